@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import exact_dedup, toxicity
 from .common import held_out, read
 
 #: Per query: its function, and its DuckDB SQL where SQL can express it.
@@ -43,3 +43,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
         F.col("toxicity.evidence").alias("evidence"),
     )
+
+
+@query(
+    "op8_exact_dedup",
+    """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
+    SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.text) AS text_sha256
+    FROM t JOIN g ON t.text = g.text""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(read(spark, sf_dir, "documents"))
