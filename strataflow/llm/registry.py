@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, toxicity
+from . import decontaminate, exact_dedup, near_dedup, toxicity
 from .common import held_out, read
 
 #: Per query: its function, and its DuckDB SQL where SQL can express it.
@@ -59,3 +59,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classify(read(spark, sf_dir, "documents"), near_dedup.Params(words=4, percent=80))
+
+
+@query("op6_decontaminate")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
