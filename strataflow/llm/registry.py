@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, toxicity
+from . import decontaminate, exact_dedup, near_dedup, pieces, toxicity
 from .common import held_out, read
 
 #: Per query: its function, and its DuckDB SQL where SQL can express it.
@@ -64,3 +64,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_decontaminate")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), pieces.load(), n=2, ids=False)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
