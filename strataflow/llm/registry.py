@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, pieces, quality, toxicity
+from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, toxicity, url_filter
 from .common import held_out, read
 
 #: Per query: its function, and its DuckDB SQL where SQL can express it.
@@ -84,3 +84,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
     scored = quality.score(docs.select("doc_id", "text"), model, "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+#: The rule list of op3: host, path, action.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+@query(
+    "op3_url_filter",
+    r"""WITH r(h, p, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+    u AS (SELECT page_id,
+        CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+        CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END AS path FROM pages),
+    f AS (SELECT u.page_id, u.host, u.path, r.h || r.p AS rule, r.action, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.h || r.p) DESC NULLS LAST) AS k
+        FROM u LEFT JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
+    SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f WHERE k = 1""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+@query(
+    "op7_chat_format",
+    r"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) - 1 AS position, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, list(role || chr(1) || text ORDER BY position) AS turns, count(*) AS n FROM t GROUP BY conv_id),
+    p AS (SELECT turns[1:k] AS turns, k FROM c, unnest(range(1, n)) AS u(k)),
+    f AS (SELECT min(conv_id) AS conv_id, turns FROM c GROUP BY turns),
+    k AS (SELECT conv_id FROM f WHERE turns NOT IN (SELECT turns FROM p))
+    SELECT conv_id, position, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, role = 'assistant' AS is_target FROM t WHERE conv_id IN (SELECT conv_id FROM k)""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read(spark, sf_dir, "conversations"))
