@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, toxicity, url_filter
-from .common import held_out, read
+from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, toxicity, url_filter, warc
+from .common import Scratch, held_out, read
 
 #: Per query: its function, and its DuckDB SQL where SQL can express it.
 _QUERIES: dict = {}
@@ -116,3 +116,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op4_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    g AS (SELECT body, min(page_id) AS first_id FROM p GROUP BY body),
+    h AS (SELECT p.page_id, strlen(p.body) AS payload_bytes, sha1(p.body) AS hex, g.first_id FROM p JOIN g ON p.body = g.body),
+    d AS (SELECT h.*, list_transform(range(0, 32), lambda k: list_reduce(list_transform(range(0, 5), lambda j: (CAST(instr('0123456789abcdef', substr(hex, CAST((5 * k + j) // 4 AS INTEGER) + 1, 1)) - 1 AS INTEGER) >> CAST(3 - (5 * k + j) % 4 AS INTEGER)) & 1), lambda a, b: a * 2 + b)) AS fives FROM h)
+    SELECT page_id, payload_bytes, array_to_string(list_transform(fives, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v AS INTEGER) + 1, 1)), '') AS payload_digest,
+        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = Scratch(spark, "warc").path("captures")
+    parts = warc.write(read(spark, sf_dir, "pages"), root)
+    return warc.scan(spark, parts).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
