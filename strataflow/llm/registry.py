@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, toxicity, url_filter, warc
+from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, token_shards, toxicity, url_filter, warc
 from .common import Scratch, held_out, read
 
 #: Per query: its function, and its DuckDB SQL where SQL can express it.
@@ -131,3 +131,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = Scratch(spark, "warc").path("captures")
     parts = warc.write(read(spark, sf_dir, "pages"), root)
     return warc.scan(spark, parts).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_token_shards")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = Scratch(spark, "token-shards").path("shards")
+    return token_shards.write(read(spark, sf_dir, "documents"), root)
