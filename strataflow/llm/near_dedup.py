@@ -30,7 +30,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -185,40 +184,58 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def likely_pairs(p: Params, forest: bool, ids, comp, own, probe, sig) -> list[tuple[int, int]]:
+    """Likely cross-component pairs of one block: every probe against the block's own rows."""
+    floor = p.estimate_floor * p.bins
+    here, ask = np.flatnonzero(own), np.flatnonzero(probe)
+    found = []
+    for at in range(0, len(ask), 32):
+        rows = ask[at : at + 32]
+        same = (sig[rows, None, :] == sig[None, here, :]).sum(axis=2)
+        i, j = np.nonzero((same >= floor) & (comp[rows][:, None] != comp[here][None, :]))
+        found.append(np.c_[rows[i], here[j], same[i, j]])
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), int)
+    pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist()
+    if forest:
+        root = {c: c for c in comp.tolist()}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        kept = []
+        for i, j, s in pairs:
+            x, y = top(comp[i]), top(comp[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append((i, j, s))
+        pairs = kept
+    return list({(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j, _ in pairs})
+
+
 def _search(p: Params, forest: bool):
-    """Likely cross-component pairs of one block of a bucket, each in its first shared band only."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["probe", "id"], kind="stable").drop_duplicates("id")
-        ids, comp = pdf["id"].to_numpy(), pdf["component"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), p.bins)
-        floor = p.estimate_floor * p.bins
-        ask = np.flatnonzero(pdf["probe"].to_numpy()) if pdf["probe"].any() else np.arange(len(ids))
-        found = []
-        for at in range(0, len(ask), 32):
-            rows = ask[at : at + 32]
-            same = (sig[rows, None, :] == sig[None, :, :]).sum(axis=2)
-            i, j = np.nonzero((same >= floor) & (comp[rows][:, None] != comp[None, :]))
-            found.append(np.c_[rows[i], j, same[i, j]])
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), int)
-        pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
-        if forest:
-            root = {c: c for c in set(comp.tolist())}
-
-            def top(c):
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            kept = []
-            for i, j, s in pairs.tolist():
-                x, y = top(comp[i]), top(comp[j])
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    kept.append((i, j, s))
-            pairs = np.array(kept, int).reshape(-1, 3)
-        a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    """``likely_pairs`` over a stream of rows sorted by (key, block)."""
+
+    def run(batches):
+        held, at = [], None
+
+        def end():
+            if len(held) < 2:
+                return []
+            ids, comp, own, probe, sig = zip(*held, strict=True)
+            return likely_pairs(p, forest, ids, np.array(comp), np.array(own), np.array(probe), np.frombuffer(b"".join(sig), np.uint16).reshape(len(ids), p.bins))
+
+        for batch in batches:
+            out = []
+            for key, block, *row in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+                if (key, block) != at:
+                    out += end()
+                    held, at = [], (key, block)
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        out = end()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -226,19 +243,20 @@ def _search(p: Params, forest: bool):
 def mixed_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, p: Params, scratch: Scratch, forest: bool) -> DataFrame:
     """Candidate pairs from buckets whose vertices are in more than one component.
 
-    The vertices of a bucket's largest component are dealt to blocks; the others are sent to every
-    block and compared with all that is there. No block holds more than about ``block`` of either.
+    All vertices of a bucket are dealt to blocks of about ``block`` rows; those outside its largest
+    component also visit every other block, and are compared with each block's own rows. A bucket of two
+    vertices has only the pair that its star has tried already.
     """
-    n = labels.count()
-    with_label = buckets.join(checked(labels, n), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    with_label = buckets.join(checked(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
     per = with_label.groupBy("key", "component").agg(F.count("*").alias("m"))
-    per_bucket = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top")).filter("k > 1")
+    per_bucket = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top")).filter("k > 1 and m > 2")
     mixed = scratch.keep(per_bucket.select("key", F.ceil(F.col("m") / p.block).cast("int").alias("blocks"), F.col("top.component").alias("most")), "mixed")
     rows = with_label.join(checked(mixed), "key")
-    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
+    home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     probe = F.col("component") != F.col("most")
-    dealt = rows.select("key", "id", "component", F.when(probe & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)).alias("at"), probe.alias("probe")).withColumn("block", F.explode("at")).drop("at")
-    return dealt.join(sigs, "id").groupBy("key", "block").applyInPandas(_search(p, forest), "a long, b long").distinct()
+    dealt = rows.select("key", "id", "component", home.alias("home"), F.when(probe, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home)).alias("at"), probe.alias("probe")).withColumn("block", F.explode("at"))
+    full = dealt.join(sigs, "id").select("key", "block", "id", "component", (F.col("block") == F.col("home")).alias("own"), "probe", "sig")
+    return full.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_search(p, forest), "a long, b long").distinct()
 
 
 def classify(docs: DataFrame, p: Params = Params()) -> DataFrame:
