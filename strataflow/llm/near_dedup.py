@@ -13,11 +13,13 @@ a pair at similarity 0.8 shares no bucket with probability 1.3e-7. Each bucket p
 smallest vertex against every other, so a bucket of m vertices makes m - 1 edges.
 
 *Confirmation.* Edges are confirmed on the full shingle sets. Buckets whose vertices are still in
-more than one component are searched again from their sketches: first each block proposes only a
-maximum spanning forest of its likely cross-component pairs, then, for what is still apart after those
-links, all remaining likely pairs. "Likely" is a sketch agreement of at least ``estimate_floor``, more
-than four standard deviations under the threshold. So no link is lost to the choice of a hub, and no
-group emits its pairs once its members are connected.
+more than one component are searched again from their sketches: each block proposes a maximum spanning
+forest of its likely cross-component pairs, which is confirmed in the same way. Forests of what is still
+apart after that join the components into clusters that hold every likely pair; inside a cluster all
+vertices outside its largest component are compared exactly with every other one through an inverted
+index of full shingle sets, and only a spanning forest of the links found is emitted. "Likely" is a
+sketch agreement of at least ``estimate_floor``, more than four standard deviations under the threshold.
+So no link is lost to the choice of a hub, and no group emits its pairs.
 
 Edge cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words than a shingle make the
 whole sequence one shingle; null, empty and blank texts have an empty set and link with nothing. Rows
@@ -41,7 +43,7 @@ from .components import components
 
 @dataclass(frozen=True)
 class Params:
-    """Words per shingle, threshold in percent, sketch shape, and block size of the second search."""
+    """Words per shingle, threshold in percent, sketch shape, and block sizes of the two searches."""
 
     words: int = 4
     percent: int = 80
@@ -49,6 +51,7 @@ class Params:
     rows: int = 5
     estimate_floor: float = 0.67
     block: int = 1024
+    block_shingles: int = 1_000_000
 
     @property
     def bands(self) -> int:
@@ -56,7 +59,6 @@ class Params:
 
 
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-ODD = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,6 +68,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Multipliers of the positions in a shingle or band: unrelated, so no swap of words cancels out.
+ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 class Shingler:
     """Text to its sorted distinct 64-bit shingle hashes; word hashes are memoised within a bound."""
 
@@ -184,8 +190,29 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def likely_pairs(p: Params, forest: bool, ids, comp, own, probe, sig) -> list[tuple[int, int]]:
-    """Likely cross-component pairs of one block: every probe against the block's own rows."""
+class Forest:
+    """Union-find over component ids."""
+
+    def __init__(self):
+        self.root: dict = {}
+
+    def top(self, c):
+        root = self.root
+        root.setdefault(c, c)
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    def join(self, a, b) -> bool:
+        """True if the two were apart."""
+        x, y = self.top(a), self.top(b)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def likely_forest(p: Params, ids, comp, own, probe, sig) -> list[tuple[int, int]]:
+    """A maximum spanning forest of the likely cross-component pairs of a block: every probe is compared
+    with the block's own rows."""
     floor = p.estimate_floor * p.bins
     here, ask = np.flatnonzero(own), np.flatnonzero(probe)
     found = []
@@ -195,27 +222,44 @@ def likely_pairs(p: Params, forest: bool, ids, comp, own, probe, sig) -> list[tu
         i, j = np.nonzero((same >= floor) & (comp[rows][:, None] != comp[here][None, :]))
         found.append(np.c_[rows[i], here[j], same[i, j]])
     pairs = np.concatenate(found) if found else np.zeros((0, 3), int)
-    pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist()
-    if forest:
-        root = {c: c for c in comp.tolist()}
-
-        def top(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        kept = []
-        for i, j, s in pairs:
-            x, y = top(comp[i]), top(comp[j])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                kept.append((i, j, s))
-        pairs = kept
-    return list({(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j, _ in pairs})
-
-
-def _search(p: Params, forest: bool):
-    """``likely_pairs`` over a stream of rows sorted by (key, block)."""
+    forest = Forest()
+    best = pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist()
+    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j, _ in best if forest.join(comp[i], comp[j])]
+
+
+def linked_forest(p: Params, ids, comp, own, probe, sets) -> list[tuple[int, int]]:
+    """A spanning forest of the exact cross-component links of a block, by an inverted index of the
+    block's own shingle sets."""
+    here = np.flatnonzero(own)
+    if not len(here):
+        return []
+    sizes = np.array([len(sets[i]) for i in here])
+    every, owner = np.concatenate([sets[i] for i in here]), np.repeat(np.arange(len(here)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    comp_here, forest, out = comp[here], Forest(), []
+    for i in np.flatnonzero(probe):
+        s = sets[i]
+        lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+        n = hi - lo
+        if not (total := int(n.sum())):
+            continue
+        at = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        both = np.bincount(owner[at], minlength=len(here))
+        for j in np.flatnonzero((100 * both >= p.percent * (sizes + len(s) - both)) & (both > 0) & (comp_here != comp[i])):
+            if forest.join(comp[i], comp_here[j]):
+                a, b = ids[i], ids[here[j]]
+                out.append((min(a, b), max(a, b)))
+    return out
+
+
+def _blocks(work):
+    """Run ``work`` on each (key, block) of a stream that is sorted by them; pairs (a, b) come out.
+
+    Columns: key, block, id, component, own, probe, payload."""
+
+    def pack(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
     def run(batches):
         held, at = [], None
@@ -223,8 +267,8 @@ def _search(p: Params, forest: bool):
         def end():
             if len(held) < 2:
                 return []
-            ids, comp, own, probe, sig = zip(*held, strict=True)
-            return likely_pairs(p, forest, ids, np.array(comp), np.array(own), np.array(probe), np.frombuffer(b"".join(sig), np.uint16).reshape(len(ids), p.bins))
+            ids, comp, own, probe, payload = zip(*held, strict=True)
+            return work(ids, np.array(comp), np.array(own), np.array(probe), payload)
 
         for batch in batches:
             out = []
@@ -233,30 +277,58 @@ def _search(p: Params, forest: bool):
                     out += end()
                     held, at = [], (key, block)
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-        out = end()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            yield pack(out)
+        yield pack(end())
 
     return run
 
 
-def mixed_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, p: Params, scratch: Scratch, forest: bool) -> DataFrame:
-    """Candidate pairs from buckets whose vertices are in more than one component.
-
-    All vertices of a bucket are dealt to blocks of about ``block`` rows; those outside its largest
-    component also visit every other block, and are compared with each block's own rows. A bucket of two
-    vertices has only the pair that its star has tried already.
-    """
-    with_label = buckets.join(checked(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per = with_label.groupBy("key", "component").agg(F.count("*").alias("m"))
-    per_bucket = per.groupBy("key").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top")).filter("k > 1 and m > 2")
-    mixed = scratch.keep(per_bucket.select("key", F.ceil(F.col("m") / p.block).cast("int").alias("blocks"), F.col("top.component").alias("most")), "mixed")
-    rows = with_label.join(checked(mixed), "key")
+def _dealt(rows: DataFrame, groups: DataFrame, payload: DataFrame, column: str) -> DataFrame:
+    """Deal the members of each group (key, blocks, most) to blocks; those outside the group's largest
+    component also visit every other block. ``payload`` (id, column) joins what the search needs."""
+    placed = rows.join(checked(groups), "key")
     home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     probe = F.col("component") != F.col("most")
-    dealt = rows.select("key", "id", "component", home.alias("home"), F.when(probe, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home)).alias("at"), probe.alias("probe")).withColumn("block", F.explode("at"))
-    full = dealt.join(sigs, "id").select("key", "block", "id", "component", (F.col("block") == F.col("home")).alias("own"), "probe", "sig")
-    return full.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_search(p, forest), "a long, b long").distinct()
+    dealt = placed.select("key", "id", "component", home.alias("home"), F.when(probe, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(home)).alias("at"), probe.alias("probe")).withColumn("block", F.explode("at"))
+    full = dealt.join(payload, "id").select("key", "block", "id", "component", (F.col("block") == F.col("home")).alias("own"), "probe", column)
+    return full.repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def _mixed(rows: DataFrame, size: str, per_block: int) -> DataFrame:
+    """Groups with more than one component, their number of blocks and their largest component."""
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum(size).alias("size"))
+    return (
+        per.groupBy("key").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.sum("size").alias("size"), F.max(F.struct("m", "component")).alias("top")).filter("k > 1")
+        .select("key", "m", F.ceil(F.col("size") / per_block).cast("int").alias("blocks"), F.col("top.component").alias("most"))
+    )
+
+
+def sketch_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Forests of likely pairs from buckets with more than one component. A bucket of two vertices has
+    only the pair that its star has tried already."""
+    rows = buckets.join(checked(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.lit(1).alias("one"))
+    groups = scratch.keep(_mixed(rows, "one", p.block).filter("m > 2").drop("m"), "mixed")
+
+    def work(ids, comp, own, probe, sig):
+        return likely_forest(p, ids, comp, own, probe, np.frombuffer(b"".join(sig), np.uint16).reshape(len(ids), p.bins))
+
+    return _dealt(rows.drop("one"), groups, sigs, "sig").mapInArrow(_blocks(work), "a long, b long").distinct()
+
+
+def cluster_links(apart: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Exact links between components that ``apart`` (forests of likely pairs) puts in one cluster."""
+    clusters = components(links.select("a", "b").union(apart), scratch)
+    some = clusters.join(checked(apart.select(F.col("a").alias("id")).distinct()), "id", "left_semi").select("component").distinct()
+    members = clusters.join(checked(some), "component", "left_semi").select("id", F.col("component").alias("key"))
+    sized = texts.select(F.col("doc_id").alias("id"), "text", (F.octet_length(F.coalesce("text", F.lit(""))) / 5 + 1).alias("size"))
+    rows = members.join(checked(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(sized.select("id", "size"), "id")
+    groups = scratch.keep(_mixed(rows, "size", p.block_shingles).drop("m"), "clusters")
+
+    def work(ids, comp, own, probe, payload):
+        shingle = Shingler(p.words)
+        return linked_forest(p, ids, comp, own, probe, [shingle(t) for t in payload])
+
+    return _dealt(rows.drop("size"), groups, sized.select("id", "text"), "text").mapInArrow(_blocks(work), "a long, b long").distinct()
 
 
 def classify(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -280,12 +352,14 @@ def classify(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     links = scratch.keep(confirm(star, texts, p), "links")
     labels = components(links, scratch)
-    for forest in (True, False):
-        more = scratch.keep(mixed_pairs(same_key, labels, sigs, p, scratch, forest), "more")
-        if more.isEmpty():
-            break
+    more = scratch.keep(sketch_pairs(same_key, labels, sigs, p, scratch), "more")
+    if not more.isEmpty():
         links = links.union(scratch.keep(confirm(more, texts, p), "links"))
         labels = components(links, scratch)
+        apart = scratch.keep(sketch_pairs(same_key, labels, sigs, p, scratch), "apart")
+        if not apart.isEmpty():
+            links = links.union(scratch.keep(cluster_links(apart, links, labels, texts, p, scratch), "links"))
+            labels = components(links, scratch)
     scratch.drop(texts, sigs, buckets, star)
 
     joined = rows.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left").join(checked(labels), "id", "left")
