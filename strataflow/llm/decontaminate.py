@@ -48,15 +48,14 @@ def masked(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     plain columns and the hashing runs in generated code.
     """
     keys = [c for c in rows.columns if c != "tokens"]
-    width = max(m[-1] for m in masks) + 1
     used = sorted({o for m in masks for o in m})
-    hashed = rows.select(*keys, F.transform("tokens", lambda t: F.xxhash64(t)).alias("h")).filter(F.size("h") >= min(m[-1] for m in masks) + 1)
-    shifted = [F.col("h").alias("t0") if o == 0 else F.slice("h", o + 1, F.greatest(F.size("h") - o, F.lit(0))).alias(f"t{o}") for o in used]
-    wide = hashed.select(*keys, *[(F.when(F.size("h") > o, c).otherwise(F.array().cast("array<bigint>"))).alias(f"t{o}") for o, c in zip(used, shifted, strict=True)])
-    assert width > used[-1]
-    zipped = wide.select(*keys, F.arrays_zip(*[F.col(f"t{o}") for o in used]).alias("z")).select(*keys, F.posexplode("z").alias("pos", "w"))
+    hashed = rows.select(*keys, F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    none = F.array().cast("array<bigint>")
+    shifted = [F.col("h") if o == 0 else F.when(F.size("h") > o, F.slice("h", o + 1, F.greatest(F.size("h") - o, F.lit(0)))).otherwise(none) for o in used]
+    # the outer explode keeps the optimizer from testing the zipped array's size by building it once more
+    zipped = hashed.select(*keys, F.arrays_zip(*[c.alias(f"t{o}") for o, c in zip(used, shifted, strict=True)]).alias("z")).select(*keys, F.posexplode_outer("z").alias("pos", "w"))
     hashes = [F.when(F.col(f"w.t{m[-1]}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"w.t{o}") for o in m])) for i, m in enumerate(masks)]
-    return zipped.select(*keys, "pos", F.explode(F.array(*hashes)).alias("hash")).filter("hash is not null")
+    return zipped.select(*keys, "pos", F.explode_outer(F.array(*hashes)).alias("hash")).filter("hash is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), scratch: Scratch | None = None) -> DataFrame:
