@@ -28,6 +28,12 @@ def postings(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     return docs.select(key, F.explode(arrays).alias("f")).select(key, F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "token"))
 
 
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """The fields of struct column ``c``, computed once: an outer explode of one element stops the
+    optimizer from copying their expressions into every later use."""
+    return rows.select(key, F.explode_outer(F.array("c")).alias("c")).select(key, "c.*")
+
+
 def bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], groups: list[list[str]], phrases: list[str] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of documents that match any AND-group of prefix terms or any quoted phrase.
 
@@ -38,7 +44,7 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str
     """
     prefixes = [(g, t.lower()) for g, terms in enumerate(groups) for t in terms]
     quoted = [[w.lower() for w in p.split() if w] for p in phrases]
-    rows = docs.select(key, *[c.alias(f"_{n}") for n, c in fields.items()])
+    rows = _once(docs.select(key, F.struct(*[c.alias(f"_{n}") for n, c in fields.items()]).alias("c")), key)
 
     def weighted(count) -> Column:
         total = F.lit(0.0)
@@ -55,7 +61,7 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str
     size = F.lit(0)
     for n in fields:
         size = size + F.size(F.col(f"_{n}"))
-    counted = rows.select(key, size.cast("double").alias("D"), *hits)
+    counted = _once(rows.select(key, F.struct(size.cast("double").alias("D"), *hits).alias("c")), key)
     n_terms = len(hits)
     stats = counted.agg(F.count("*").cast("double").alias("N"), F.avg("D").alias("avgdl"), *[F.sum((F.col(f"h{i}") > 0).cast("double")).alias(f"n{i}") for i in range(n_terms)])
     joined = counted.crossJoin(F.broadcast(stats))  # one row of totals beside each document

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import relations as R
@@ -58,10 +58,13 @@ def identity(kind: Column, qualified_name: Column, path: Column) -> Column:
 
 
 def common(nodes: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Ids in both sides' reach, or contract nodes that share a path or an identity across them."""
-    info = nodes.select("node_id", "span_path", is_contract(F.col("kind"), F.col("span_path")).alias("contract"), identity(F.col("kind"), F.col("qualified_name"), F.col("span_path")).alias("identity"))
-    a, b = info.join(left.select("node_id"), "node_id", "left_semi"), info.join(right.select("node_id"), "node_id", "left_semi")
-    same = a.select("node_id").intersect(b.select("node_id"))
-    by_path = lambda x, y: x.filter("contract and span_path <> ''").join(y.filter("contract").select("span_path"), "span_path", "left_semi").select("node_id")
-    by_identity = lambda x, y: x.join(y.filter("identity is not null").select("identity"), "identity", "left_semi").select("node_id")
-    return same.union(by_path(a, b)).union(by_path(b, a)).union(by_identity(a, b)).union(by_identity(b, a)).distinct()
+    """Ids in both sides' reach, or contract nodes that share a path or an identity across them.
+
+    Each side is joined once; windows over the nodes in reach then tell what the other side has.
+    """
+    near = nodes.join(left.select("node_id", F.lit(True).alias("l")).distinct(), "node_id", "left").join(right.select("node_id", F.lit(True).alias("r")).distinct(), "node_id", "left").fillna(False, ["l", "r"]).filter("l or r")
+    info = near.select("node_id", "l", "r", "span_path", is_contract(F.col("kind"), F.col("span_path")).alias("contract"), identity(F.col("kind"), F.col("qualified_name"), F.col("span_path")).alias("identity"))
+    seen = lambda side, by: F.max((F.col(side) & F.col("contract")).cast("int")).over(Window.partitionBy(by)) == 1
+    crossed = lambda by: (F.col("l") & seen("r", by)) | (F.col("r") & seen("l", by))
+    flagged = info.withColumns({"by_path": F.col("contract") & (F.col("span_path") != "") & crossed("span_path"), "by_identity": F.col("identity").isNotNull() & crossed("identity")})
+    return flagged.filter((F.col("l") & F.col("r")) | F.col("by_path") | F.col("by_identity")).select("node_id").distinct()

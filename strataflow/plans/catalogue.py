@@ -597,8 +597,8 @@ IMPACT_START = "function:11"
     SELECT node_id, d AS distance, relation, (CASE relation WHEN 'contains' THEN 0.25 WHEN 'implements' THEN 0.9 ELSE 1.0 END) / d AS score FROM k WHERE n = 1 AND relation IN ('references', 'implements', 'contains', 'calls', 'imports_from')""",
 )
 def g15(t):
-    edges = t.g_edges.filter("relation <> 'defines'").unionByName(t.g_edges.filter("relation = 'defines'").limit(0))
-    return evidence.impact(t.g_nodes, t.g_edges, listing(t, [(IMPACT_START,)], "node_id string"), 2, relations.impact([*relations.IMPACT, "defines"])).filter("relation <> 'defines'") if edges is not None else edges
+    near = evidence.impact(t.g_nodes, t.g_edges, listing(t, [(IMPACT_START,)], "node_id string"), 2, relations.impact([*relations.IMPACT, "defines"]))
+    return near.filter("relation <> 'defines'")
 
 
 @query("G17_intersection", "WITH a AS (SELECT target_id AS n FROM g_edges WHERE source_id = 'interface:3' UNION SELECT 'interface:3'), b AS (SELECT target_id AS n FROM g_edges WHERE source_id = 'interface:4' UNION SELECT 'interface:4'), c AS (SELECT g.* FROM g_nodes g WHERE kind LIKE '%interface%') SELECT n AS node_id FROM a WHERE n IN (SELECT n FROM b) UNION SELECT x.node_id FROM c x JOIN c y ON x.span_path = y.span_path OR lower(x.qualified_name) = lower(y.qualified_name) WHERE (x.node_id IN (SELECT n FROM a) AND y.node_id IN (SELECT n FROM b)) OR (x.node_id IN (SELECT n FROM b) AND y.node_id IN (SELECT n FROM a))")
