@@ -792,3 +792,103 @@ def c3(t):
 @query("C4_missing_embeddings", "SELECT node_id, name FROM cat_entries WHERE node_id NOT IN (SELECT node_id FROM cat_vectors)")
 def c4(t):
     return catalog.missing_embeddings(t.cat_entries.select("node_id", "name"), t.cat_vectors, ["node_id"])
+
+
+# --- questions, sources, feed --------------------------------------------------------------------
+
+from strataflow.plans import question as Q  # noqa: E402
+from strataflow.sources import discovery, extract  # noqa: E402
+from strataflow.streaming import feed  # noqa: E402
+
+ASKED = "SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'Who calls ' || c_name || '?' WHEN 1 THEN 'what does ' || c_name || ' call' WHEN 2 THEN 'Explain ' || c_name WHEN 3 THEN 'How does ' || c_name || ' reach PaymentStore?' WHEN 4 THEN 'What is affected if ' || c_name || ' changes?' WHEN 5 THEN 'where is the ' || c_mktsegment || ' folder' WHEN 6 THEN 'what do A and \"B c\" have in common' WHEN 7 THEN 'Does the workspace use ' || c_name || '?' ELSE 'tell me about ' || c_name END AS asked FROM customer"
+
+
+def asked(t: Tables) -> DataFrame:
+    return t.spark.sql(ASKED.replace("FROM customer", "FROM {customer}"), customer=t.customer)
+
+
+@query("Q1_intents", f"SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'called_by' WHEN 1 THEN 'calls' WHEN 2 THEN 'explain' WHEN 3 THEN 'path' WHEN 4 THEN 'impact' WHEN 5 THEN 'lookup' WHEN 6 THEN 'shared_contract' WHEN 7 THEN 'capability' ELSE 'unknown' END AS intent FROM ({ASKED})")
+def q1(t):
+    return asked(t).select("c_custkey", Q.intent_column(F.col("asked")).alias("intent"))
+
+
+@query("Q5_terms", "WITH w AS (SELECT c_custkey, list_filter(regexp_split_to_array(lower(asked), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN (" + ", ".join(f"'{w}'" for w in Q.STOP_WORDS) + f")) AS t FROM (SELECT c_custkey, regexp_replace(regexp_replace(asked, '([\\p{{Ll}}\\p{{Nd}}])(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g') AS asked FROM ({ASKED}))) SELECT c_custkey, array_to_string(list_transform(t, lambda x: CASE x WHEN 'affected' THEN 'impact' WHEN 'common' THEN 'shared' ELSE x END), ' ') AS terms FROM w")
+def q5(t):
+    return asked(t).select("c_custkey", F.array_join(Q.terms_column(F.col("asked")), " ").alias("terms"))
+
+
+@query("Q6_phrases", f"SELECT c_custkey, CASE WHEN c_custkey % 9 = 6 THEN 'B c' ELSE '' END AS phrases FROM ({ASKED})")
+def q6(t):
+    return asked(t).select("c_custkey", F.array_join(Q.phrases_column(F.col("asked")), "|").alias("phrases"))
+
+
+FILES = "SELECT 'r' || (p_partkey % 4) || '/' || CASE p_size % 5 WHEN 0 THEN 'node_modules/x' WHEN 1 THEN 'src' WHEN 2 THEN 'src/deep' ELSE 'test' END || '/' || CASE WHEN p_partkey % 50 < 4 THEN 'package.json' ELSE 'f' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.go' ELSE '.md' END END AS path FROM part"
+
+
+def file_paths(t: Tables) -> DataFrame:
+    return t.spark.sql(FILES.replace("FROM part", "FROM {part}"), part=t.part).distinct()
+
+
+@query("I2_project_roots", f"SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS root, 'project:' || regexp_replace(path, '/?[^/]*$', '') AS project_id FROM ({FILES}) WHERE ends_with(path, '/package.json')")
+def i2(t):
+    return discovery.project_roots(file_paths(t))
+
+
+@query("I3_owners", f"WITH f AS (SELECT DISTINCT path FROM ({FILES})), r AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS root FROM f WHERE ends_with(path, '/package.json')), k AS (SELECT path, root, row_number() OVER (PARTITION BY path ORDER BY length(root) DESC) AS n FROM f JOIN r ON starts_with(path, root || '/')) SELECT path, root, 'project:' || root AS project_id FROM k WHERE n = 1")
+def i3(t):
+    f = file_paths(t)
+    return discovery.owned(f, discovery.project_roots(f)).select("path", "root", "project_id")
+
+
+@query("I4_globs", f"SELECT DISTINCT path FROM ({FILES}) WHERE regexp_matches(path, '^(.*/)?src/(.*/)?[^/]*\\.(ts|go)$') AND NOT regexp_matches(path, '^r2/')")
+def i4(t):
+    return file_paths(t).filter(discovery.included(F.col("path"), ["**/src/**/*.{ts,go}"], ["r2/**"]))
+
+
+@query("I5_ignore_rules", f"SELECT DISTINCT path, (contains(path, '/deep/') OR ends_with(path, '.md')) AND NOT (starts_with(path, 'r1/') AND ends_with(path, '.md') AND NOT contains(path, '/deep/')) AS ignored FROM ({FILES})")
+def i5(t):
+    ignored = discovery.ignored_column(t.spark, {"": "deep/\n*.md\n", "r1": "# keep notes\n!*.md\n"})
+    return file_paths(t).select("path", ignored(F.col("path")).alias("ignored"))
+
+
+@query("I6_internal_dirs", f"SELECT DISTINCT path FROM ({FILES}) WHERE NOT contains('/' || path, '/node_modules/')")
+def i6(t):
+    return file_paths(t).filter(~discovery.internal(F.col("path")))
+
+
+@query("I7_languages", f"SELECT DISTINCT path, CASE WHEN ends_with(path, '.ts') THEN 'typescript' WHEN ends_with(path, '.go') THEN 'go' END AS language FROM ({FILES})")
+def i7(t):
+    return file_paths(t).select("path", discovery.language(F.col("path")).alias("language"))
+
+
+SOURCES = "SELECT p_partkey, 'src/f' || p_partkey || '.go' AS path, 'go' AS language, 'package p' || chr(10) || 'func F' || p_partkey || '(a int) ' || chr(123) || chr(125) || chr(10) || 'type t' || p_size || ' struct ' || chr(123) || chr(10) || chr(125) || chr(10) || 'import \"lib/' || (p_size % 7) || '\"' AS content FROM part"
+
+
+@query("I9_extract_nodes", f"SELECT path AS source_path, 'file' AS kind, 'f' || p_partkey || '.go' AS label, 1 AS line, true AS exported FROM ({SOURCES}) UNION ALL SELECT 'src/f' || p_partkey || '.go', 'go:function', 'F' || p_partkey, 2, true FROM part UNION ALL SELECT 'src/f' || p_partkey || '.go', 'go:struct', 't' || p_size, 3, false FROM part")
+def i9(t):
+    sources = t.spark.sql(SOURCES.replace("FROM part", "FROM {part}"), part=t.part)
+    return extract.extract(sources).select("source_path", "kind", "label", "line", "exported")
+
+
+@query("I10_extract_references", "SELECT 'src/f' || p_partkey || '.go' AS source_path, 'lib/' || (p_size % 7) AS specifier, 'import' AS kind FROM part")
+def i10(t):
+    sources = t.spark.sql(SOURCES.replace("FROM part", "FROM {part}"), part=t.part)
+    return extract.extract(sources, "references").select("source_path", "specifier", "kind")
+
+
+@query("T1_coalesced_changes", "SELECT 'u' || (user_id % 40) || '/f.ts' AS path, min(ts) AS ts FROM events GROUP BY 1")
+def t1(t):
+    return feed.coalesce_paths(t.events.select("ts", F.concat(F.lit("./u"), F.col("user_id") % 40, F.lit("/x/../f.ts")).alias("path")))
+
+
+@query("T4_reconcile", "SELECT 'f' || o_orderkey AS path FROM orders WHERE (o_orderkey % 3 = 0) <> (o_orderkey % 2 = 0) OR (o_orderkey % 6 = 0 AND o_orderpriority LIKE '1%')")
+def t4(t):
+    path = F.concat(F.lit("f"), F.col("o_orderkey")).alias("path")
+    disk = t.orders.filter("o_orderkey % 3 = 0").select(path, F.lit("a").alias("hash"))
+    indexed = t.orders.filter("o_orderkey % 2 = 0").select(path, F.when(F.col("o_orderpriority").startswith("1"), "b").otherwise("a").alias("hash"))
+    return feed.reconcile(disk, indexed)
+
+
+@query("T6_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def t6(t):
+    return feed.windowed_counts(t.events)
