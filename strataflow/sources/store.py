@@ -30,6 +30,7 @@ class Manifest:
     versions: list[dict] = field(default_factory=list)
     next_version: int = 1
     pruned_below: int = 1
+    rolled_back: list[int] = field(default_factory=list)
 
     def latest(self) -> int:
         if not self.versions:
@@ -108,7 +109,7 @@ class Store:
                 dropped.delete(part, True)
                 raise StoreError("budget")
         entry = {"version": v, "published_at": datetime.now(timezone.utc).isoformat(), "counts": counts}
-        after = Manifest(versions=[*before.versions, entry], next_version=v + 1, pruned_below=before.pruned_below)
+        after = Manifest(versions=[*before.versions, entry], next_version=v + 1, pruned_below=before.pruned_below, rolled_back=before.rolled_back)
         if len(after.versions) > self.retained:
             after.versions = after.versions[-self.retained :]
             after.pruned_below = after.versions[0]["version"]
@@ -117,7 +118,7 @@ class Store:
 
     def _parts(self, m: Manifest) -> list[int]:
         """Every version that was written and not rolled back; pruned ones still hold live rows."""
-        return [*range(1, m.pruned_below), *(v["version"] for v in m.versions)]
+        return [v for v in [*range(1, m.pruned_below), *(v["version"] for v in m.versions)] if v not in m.rolled_back]
 
     def _existing(self, m: Manifest, name: str) -> list[tuple[int, str]]:
         out = []
@@ -165,7 +166,8 @@ class Store:
         """Forget every newer version; what they closed is open again."""
         before = self.manifest()
         before.check(version)
-        after = Manifest(versions=[v for v in before.versions if v["version"] <= version], next_version=before.next_version, pruned_below=before.pruned_below)
+        gone = [v["version"] for v in before.versions if v["version"] > version]
+        after = Manifest(versions=[v for v in before.versions if v["version"] <= version], next_version=before.next_version, pruned_below=before.pruned_below, rolled_back=[*before.rolled_back, *gone])
         self._commit(before, after)
 
     def prune(self, version: int) -> int:
@@ -173,7 +175,7 @@ class Store:
         before = self.manifest()
         before.check(version)
         kept = [v for v in before.versions if v["version"] >= version]
-        self._commit(before, Manifest(versions=kept, next_version=before.next_version, pruned_below=version))
+        self._commit(before, Manifest(versions=kept, next_version=before.next_version, pruned_below=version, rolled_back=before.rolled_back))
         return len(before.versions) - len(kept)
 
 
