@@ -118,6 +118,18 @@ class Tokenizer:
             return b"".join([memo[p] for p in pieces])
 
 
+#: The tokenizer of this worker process; a later task finds its memo warm.
+_TOKENIZERS: dict = {}
+
+
+def tokenizer(ranks: dict[bytes, int]) -> Tokenizer:
+    key = (len(ranks), hash(tuple(ranks)[:256]))
+    if key not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[key] = Tokenizer(ranks)
+    return _TOKENIZERS[key]
+
+
 def _sequences(texts, tokenizer: Tokenizer, length: int, end: int):
     """Packed sequences of one text after another: lists of (bytes, real tokens)."""
     stop = np.uint16(end).tobytes()
@@ -139,7 +151,7 @@ def write(docs: DataFrame, root: str, p: Params = Params()) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def count(batches):
-        tok, n, check = Tokenizer(ranks.value), 0, 0
+        tok, n, check = tokenizer(ranks.value), 0, 0
         for batch in batches:
             for doc, chunks in zip(batch.column(0).to_pylist(), _sequences(batch.column(1).to_pylist(), tok, p.length, p.end), strict=True):
                 n += len(chunks)
@@ -160,7 +172,7 @@ def write(docs: DataFrame, root: str, p: Params = Params()) -> DataFrame:
     schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
 
     def place(batches):
-        tok, n, check = Tokenizer(ranks.value), 0, 0
+        tok, n, check = tokenizer(ranks.value), 0, 0
         split = TaskContext.get().partitionId()
         first, expected, expected_check = starts.value.get(split, (0, 0, 0))
         order = Feistel(max(1, total), p.key, p.rounds)
