@@ -44,7 +44,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: s
     """
     hops = oriented(edges, direction, relations)
     starts = sorted(set(starts))
-    ids = nodes.select("node_id").distinct()
+    ids = nodes.select("node_id")
     known = {r[0] for r in ids.filter(F.col("node_id").isin(starts)).collect()}
     starts = [s for s in starts if s in known]
     if scope is not None and starts:
@@ -100,13 +100,15 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: s
 def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str, relations: list[str] | None, max_depth: int) -> DataFrame:
     """(node_id, distance) of everything within ``max_depth`` hops of any start, without a node budget.
 
-    Purely set-based: one join per hop, distances kept as minima.
+    Purely set-based: each hop joins the frontier with the edges first and tests existence on what that
+    reaches, so the whole edge table is never joined with the nodes.
     """
-    hops = oriented(edges, direction, relations).select("from_id", "to_id").distinct().join(nodes.select(F.col("node_id").alias("to_id")).distinct(), "to_id", "left_semi")
+    hops = oriented(edges, direction, relations).select("from_id", "to_id")
+    ids = nodes.select("node_id")
     found = starts.select("node_id").distinct().join(nodes.select("node_id"), "node_id", "left_semi").withColumn("distance", F.lit(0))
     frontier = found
     for depth in range(1, max_depth + 1):
-        step = frontier.join(hops, F.col("node_id") == F.col("from_id")).select(F.col("to_id").alias("node_id")).distinct().join(found, "node_id", "left_anti").withColumn("distance", F.lit(depth))
+        step = frontier.join(hops, F.col("node_id") == F.col("from_id")).select(F.col("to_id").alias("node_id")).distinct().join(found, "node_id", "left_anti").join(ids, "node_id", "left_semi").withColumn("distance", F.lit(depth))
         found, frontier = found.unionByName(step), step
     return found
 
@@ -139,14 +141,15 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_de
     First-in-first-out search over sorted neighbours finds exactly that path, so the minimum per node and
     hop replaces the queue.
     """
-    hops = oriented(edges, "both" if undirected else "outgoing", relations).join(nodes.select(F.col("node_id").alias("to_id")).distinct(), "to_id", "left_semi")
+    ids = nodes.select("node_id")
+    hops = oriented(edges, "both" if undirected else "outgoing", relations)
     hops = hops.select("from_id", "to_id", F.concat_ws("|", *EDGE_KEY).alias("edge"))
     found = starts.select("node_id", F.lit(0).alias("distance"), F.array().cast("array<string>").alias("path"))
     frontier = found
     for depth in range(1, max_depth + 1):
         step = (
             frontier.join(hops, F.col("node_id") == F.col("from_id")).groupBy(F.col("to_id").alias("node_id")).agg(F.min(F.concat("path", F.array("edge"))).alias("path"))
-            .join(found.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(depth).alias("distance"), "path")
+            .join(found.select("node_id"), "node_id", "left_anti").join(ids, "node_id", "left_semi").select("node_id", F.lit(depth).alias("distance"), "path")
         )
         found, frontier = found.unionByName(step), step
     return found
