@@ -25,7 +25,6 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -92,33 +91,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Tokenizer:
-    """Byte-level BPE to packed 16-bit ids, with a bounded memo of pattern pieces."""
-
-    MEMO = 300_000
+    """Byte-level BPE to packed 16-bit ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        self.cut = regex.compile(PATTERN).findall
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.memo: dict[str, bytes] = {}
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        memo, pieces = self.memo, self.cut(text)
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            if len(memo) > self.MEMO:
-                memo.clear()
-            for p in pieces:
-                if p not in memo:
-                    memo[p] = np.array(self.encode(p), np.uint16).tobytes()
-            return b"".join([memo[p] for p in pieces])
-
-
-#: The tokenizer of this worker process; a later task finds its memo warm.
+        return self.encode(text, disallowed_special=()).astype(np.uint16).tobytes() if text else b""
+
+
+#: The tokenizer of this worker process; building it from the ranks takes longer than many texts.
 _TOKENIZERS: dict = {}
 
 
