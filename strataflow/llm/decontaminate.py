@@ -2,13 +2,13 @@
 
 Tokens are lower-cased runs of letters and digits. A mask is a fixed set of offsets; its hash at a
 position covers only the tokens at those offsets, so a substituted word at an ignored offset changes
-nothing. Masks were chosen so that at least one survives any single substitution repeated every
-fourth or every fifth token. Hashes of all benchmark positions are joined with the hashes of all
+nothing. ``placed_masks`` adds to the fixed masks, for each length of judged window, until every pattern
+of substitutions that the acceptance rule allows leaves some mask whole at some position. Hashes of all benchmark positions are joined with the hashes of all
 positions of all documents; each hit fixes an alignment (a diagonal), along which tokens are compared.
 A document leaks an item when some ``window`` consecutive item tokens (the whole item if it is shorter)
 agree with the document in at least ``match`` of their positions.
 
-Edge cases: items of fewer tokens than a mask spans get a contiguous mask of their own length; items
+Edge cases: items of fewer tokens than ``window`` get masks of their own length's patterns; items
 under ``min_tokens`` tokens are no evidence and match nothing; null or empty texts match nothing.
 Rows without a doc_id are not judged (and are kept). Rows that repeat a doc_id are judged together.
 Extra columns are ignored, or passed through by ``survivors``.
@@ -17,6 +17,9 @@ Extra columns are ignored, or passed through by ``survivors``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
+from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,17 +35,45 @@ class Params:
     min_tokens: int = 5
     broadcast_hashes: int = 500_000
 
-    @property
-    def span(self) -> int:
-        return max(m[-1] for m in self.masks) + 1
+
+def survivors_of(mask: tuple[int, ...], n: int, patterns: list[tuple[int, ...]]) -> set[int]:
+    """The numbers of the substitution patterns that leave ``mask`` whole at some position of ``n`` tokens."""
+    used = [{start + o for o in mask} for start in range(n - mask[-1])]
+    return {i for i, lost in enumerate(patterns) if any(u.isdisjoint(lost) for u in used)}
+
+
+@cache
+def placed_masks(p: Params, lengths: tuple[int, ...]) -> dict[tuple[int, ...], tuple[int, ...]]:
+    """Per mask, the window lengths whose items it seeds: ``p.masks`` where they fit, and greedily chosen
+    masks until no allowed pattern of substitutions is without a seed. Longer lengths choose first."""
+    weight = min(len(m) for m in p.masks)
+    placed: dict[tuple[int, ...], list[int]] = {m: [] for m in p.masks}
+    for n in sorted(lengths, reverse=True):
+        lost = n - ceil(n * p.match)
+        if comb(n, lost) > 5000:
+            raise ValueError(f"too many patterns of {lost} substitutions in {n} tokens to seed them all")
+        patterns = list(combinations(range(n), lost))
+        w = min(weight, n - lost)
+        left = set(range(len(patterns)))
+        for m in placed:
+            if m[-1] < n and len(m) >= w:
+                placed[m].append(n)
+                left -= survivors_of(m, n, patterns)
+        shapes = {m: survivors_of(m, n, patterns) for m in ((0, *rest) for rest in combinations(range(1, n), w - 1))} if left else {}
+        while left:
+            best = max(shapes, key=lambda m: len(shapes[m] & left))
+            placed[best] = [n]
+            left -= shapes[best]
+    return {m: tuple(ns) for m, ns in placed.items() if ns}
 
 
 def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def masked(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """``rows`` has key columns and ``tokens``; returns the keys, pos and hash of every mask position.
+def masked(rows: DataFrame, masks: list[tuple[int, ...]], wanted: list[Column] | None = None) -> DataFrame:
+    """``rows`` has key columns and ``tokens``; returns the keys, pos and hash of every mask position,
+    of each mask only in the rows where its column of ``wanted`` holds.
 
     The token hashes are shifted against themselves and zipped, so one explode yields each window as
     plain columns and the hashing runs in generated code.
@@ -54,7 +85,8 @@ def masked(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     shifted = [F.col("h") if o == 0 else F.when(F.size("h") > o, F.slice("h", o + 1, F.greatest(F.size("h") - o, F.lit(0)))).otherwise(none) for o in used]
     # the outer explode keeps the optimizer from testing the zipped array's size by building it once more
     zipped = hashed.select(*keys, F.arrays_zip(*[c.alias(f"t{o}") for o, c in zip(used, shifted, strict=True)]).alias("z")).select(*keys, F.posexplode_outer("z").alias("pos", "w"))
-    hashes = [F.when(F.col(f"w.t{m[-1]}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"w.t{o}") for o in m])) for i, m in enumerate(masks)]
+    wanted = wanted or [F.lit(True)] * len(masks)
+    hashes = [F.when(wanted[i] & F.col(f"w.t{m[-1]}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"w.t{o}") for o in m])) for i, m in enumerate(masks)]
     return zipped.select(*keys, "pos", F.explode_outer(F.array(*hashes)).alias("hash")).filter("hash is not null")
 
 
@@ -64,9 +96,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), scratch:
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontaminate")
     items = scratch.keep(benchmark.filter("item_id is not null").select("item_id", tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") >= p.min_tokens).distinct(), "items")
-    short = [r["n"] for r in items.select(F.size("tokens").alias("n")).filter(F.col("n") < p.span).distinct().collect()]  # at most span values
-    masks = [*p.masks, *[tuple(range(n)) for n in sorted(short)]]
-    seeds = scratch.keep(masked(items, masks).select("hash", "item_id", F.col("pos").alias("item_pos")), "seeds")
+    judged = F.least(F.size("tokens"), F.lit(p.window)).alias("n")
+    lengths = tuple(sorted(r["n"] for r in items.select(judged).distinct().collect()))  # at most window values
+    placed = placed_masks(p, lengths)
+    masks = list(placed) or list(p.masks)
+    wanted = [F.col("n").isin(*placed.get(m, ())) for m in masks]
+    seeds = scratch.keep(masked(items.select("item_id", judged, "tokens"), masks, wanted).select("hash", "item_id", F.col("pos").alias("item_pos")), "seeds")
     seeds = checked(seeds, limit=p.broadcast_hashes)
     rows = docs.filter("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("tokens"))
     hits = masked(rows, masks).join(seeds, "hash").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
