@@ -766,14 +766,16 @@ def r10(t):
     return resolve.unique_matches(base.filter("l_quantity = 50").select("call_id", "receiver", "name"), base.select("receiver", "name", "node_id"), ["receiver", "name"])
 
 
-DIV_HAVE = "SELECT DISTINCT 'p' || (l_suppkey % 3) AS package, 's' || l_suppkey AS type_id, 'm' || (l_partkey % 12) AS name FROM lineitem WHERE l_discount > 0.07"
-DIV_NEED = "SELECT 'p' || (p_partkey % 3) AS package, 'i' || p_partkey AS interface_id, 'm' || (p_size % 12) AS name FROM part WHERE p_partkey < 60 UNION SELECT 'p' || (p_partkey % 3), 'i' || p_partkey, 'm' || (p_partkey % 12) FROM part WHERE p_partkey < 60"
+#: Whole tables; the SQL counterpart reads only the rows of ``FEW_CALLS`` and ``FEW_PARTS``.
+DIV_HAVE = "SELECT DISTINCT 'p' || (l_suppkey % 3) AS package, 's' || l_suppkey AS type_id, 'm' || (l_partkey % 12) AS name FROM lineitem"
+DIV_NEED = "SELECT 'p' || (p_partkey % 3) AS package, 'i' || p_partkey AS interface_id, 'm' || (p_size % 12) AS name FROM part{few} UNION SELECT 'p' || (p_partkey % 3), 'i' || p_partkey, 'm' || (p_partkey % 12) FROM part{few}"
+FEW_CALLS, FEW_PARTS = " WHERE l_discount > 0.07", " WHERE p_partkey < 60"
 
 
-@query("R11_implements_division", f"WITH h AS ({DIV_HAVE}), d AS ({DIV_NEED}), n AS (SELECT package, interface_id, count(DISTINCT name) AS need FROM d GROUP BY 1, 2) SELECT h.type_id, d.interface_id FROM h JOIN d ON h.package = d.package AND h.name = d.name JOIN n ON n.package = d.package AND n.interface_id = d.interface_id GROUP BY h.package, h.type_id, d.interface_id, n.need HAVING count(*) = n.need")
+@query("R11_implements_division", f"WITH h AS ({DIV_HAVE}{FEW_CALLS}), d AS ({DIV_NEED.format(few=FEW_PARTS)}), n AS (SELECT package, interface_id, count(DISTINCT name) AS need FROM d GROUP BY 1, 2) SELECT h.type_id, d.interface_id FROM h JOIN d ON h.package = d.package AND h.name = d.name JOIN n ON n.package = d.package AND n.interface_id = d.interface_id GROUP BY h.package, h.type_id, d.interface_id, n.need HAVING count(*) = n.need")
 def r11(t):
     have = t.spark.sql(DIV_HAVE.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t.lineitem)
-    need = t.spark.sql(DIV_NEED.replace("FROM part", "FROM {part}"), part=t.part)
+    need = t.spark.sql(DIV_NEED.format(few="").replace("FROM part", "FROM {part}"), part=t.part)
     return resolve.implements(have, need)
 
 

@@ -13,6 +13,7 @@ DATA = "/root/testdata/sf0.01"
 #: Per query: the row filters of its SQL text.
 CUTS = {
     "W22_violations": [" WHERE o_orderkey < 3000"],
+    "R11_implements_division": [" WHERE l_discount > 0.07", " WHERE p_partkey < 60"],
 }
 
 
