@@ -628,7 +628,7 @@ def g19(t):
 
 @query("G21_edge_dedupe", "SELECT DISTINCT 'method:' || l_orderkey AS source_id, 'function:' || l_partkey AS target_id, 'references' AS relation FROM lineitem WHERE l_quantity > 45")
 def g21(t):
-    raw = t.lineitem.filter("l_quantity > 45").select(F.concat(F.lit("method:"), F.col("l_orderkey")).alias("source_id"), F.concat(F.lit("function:"), F.col("l_partkey")).alias("target_id"), F.lit("references").alias("relation"))
+    raw = t.lineitem.select(F.concat(F.lit("method:"), F.col("l_orderkey")).alias("source_id"), F.concat(F.lit("function:"), F.col("l_partkey")).alias("target_id"), F.lit("references").alias("relation"))
     return raw.dropDuplicates(EDGE_COLUMNS)
 
 
@@ -732,7 +732,7 @@ def r4(t):
 
 @query("R5_import_edges", "WITH r AS (SELECT DISTINCT 'f' || l_suppkey AS source_path, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'f' || (l_partkey % 50) END AS target_path FROM lineitem WHERE l_quantity > 48) SELECT source_path, target_path AS target, 'file' AS what FROM r WHERE target_path IS NOT NULL UNION SELECT r.source_path, 'interface:' || s_suppkey, 'surface' FROM r JOIN supplier ON r.target_path = 'f' || s_suppkey")
 def r5(t):
-    r = t.lineitem.filter("l_quantity > 48").select(F.concat(F.lit("f"), F.col("l_suppkey")).alias("source_path"), F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("f"), F.col("l_partkey") % 50)).alias("target_path")).distinct()
+    r = t.lineitem.select(F.concat(F.lit("f"), F.col("l_suppkey")).alias("source_path"), F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("f"), F.col("l_partkey") % 50)).alias("target_path")).distinct()
     return resolve.import_edges(r, t.supplier.select(F.concat(F.lit("f"), F.col("s_suppkey")).alias("path"), F.concat(F.lit("interface:"), F.col("s_suppkey")).alias("node_id")))
 
 
@@ -757,13 +757,13 @@ def r8(t):
 
 @query("R9_unique_calls", "WITH c AS (SELECT p_partkey AS call_id, p_name AS name FROM part), d AS (SELECT p_name AS name, count(*) AS matches, min('function:' || p_partkey) AS node_id FROM part WHERE p_size < 3 GROUP BY 1) SELECT call_id, CASE WHEN matches = 1 THEN node_id END AS node_id, coalesce(matches, 0) AS matches FROM c LEFT JOIN d ON c.name = d.name")
 def r9(t):
-    return resolve.unique_matches(t.part.select(F.col("p_partkey").alias("call_id"), F.col("p_name").alias("name")), t.part.filter("p_size < 3").select(F.col("p_name").alias("name"), F.concat(F.lit("function:"), F.col("p_partkey")).alias("node_id")), ["name"])
+    return resolve.unique_matches(t.part.select(F.col("p_partkey").alias("call_id"), F.col("p_name").alias("name")), t.part.select(F.col("p_name").alias("name"), F.concat(F.lit("function:"), F.col("p_partkey")).alias("node_id")), ["name"])
 
 
 @query("R10_method_calls", "WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS receiver, l_partkey AS name FROM lineitem WHERE l_quantity = 50), d AS (SELECT l_suppkey AS receiver, l_partkey AS name, count(*) AS matches, min('m' || l_orderkey) AS node_id FROM lineitem GROUP BY 1, 2) SELECT call_id, CASE WHEN matches = 1 THEN node_id END AS node_id, coalesce(matches, 0) AS matches FROM c LEFT JOIN d USING (receiver, name)")
 def r10(t):
-    base = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("l_suppkey").alias("receiver"), F.col("l_partkey").alias("name"), F.concat(F.lit("m"), F.col("l_orderkey")).alias("node_id"), "l_quantity")
-    return resolve.unique_matches(base.filter("l_quantity = 50").select("call_id", "receiver", "name"), base.select("receiver", "name", "node_id"), ["receiver", "name"])
+    base = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("l_suppkey").alias("receiver"), F.col("l_partkey").alias("name"), F.concat(F.lit("m"), F.col("l_orderkey")).alias("node_id"))
+    return resolve.unique_matches(base.select("call_id", "receiver", "name"), base.select("receiver", "name", "node_id"), ["receiver", "name"])
 
 
 #: Whole tables; the SQL counterpart reads only the rows of ``FEW_CALLS`` and ``FEW_PARTS``.

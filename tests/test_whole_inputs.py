@@ -14,6 +14,10 @@ DATA = "/root/testdata/sf0.01"
 CUTS = {
     "W22_violations": [" WHERE o_orderkey < 3000"],
     "R11_implements_division": [" WHERE l_discount > 0.07", " WHERE p_partkey < 60"],
+    "G21_edge_dedupe": [" WHERE l_quantity > 45"],
+    "R10_method_calls": [" WHERE l_quantity = 50"],
+    "R5_import_edges": [" WHERE l_quantity > 48"],
+    "R9_unique_calls": [" WHERE p_size < 3"],
 }
 
 
