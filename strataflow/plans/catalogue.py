@@ -420,7 +420,7 @@ for _name, _boundary, _key, _lower in (("L8_store_tokens", STORE, "store", True)
 
     @query(_name, f"SELECT node_id, {tokens_sql(_key, _lower)} AS tokens FROM g_nodes WHERE kind <> 'typescript:method'")
     def _tokens(t, boundary=_boundary, lower=_lower):
-        return t.g_nodes.filter("kind <> 'typescript:method'").select("node_id", F.array_join(identifier_tokens(F.col("qualified_name"), boundary, lower), " ").alias("tokens"))
+        return t.g_nodes.select("node_id", F.array_join(identifier_tokens(F.col("qualified_name"), boundary, lower), " ").alias("tokens"))
 
 
 @query("L11_matched_fields", f"SELECT node_id, array_to_string(list_filter([CASE WHEN list_has_any({WORDS.format('label')}, ['ring', 'asia']) THEN 'label' END, CASE WHEN list_has_any({WORDS.format('qualified_name')}, ['ring', 'asia']) THEN 'qualifiedName' END, CASE WHEN list_has_any({WORDS.format('span_path')}, ['ring', 'asia']) THEN 'path' END], lambda x: x IS NOT NULL), ',') AS fields FROM g_nodes WHERE kind IN ('project', 'file', 'typescript:function')")
@@ -477,7 +477,7 @@ FUSED = f"WITH {CANDIDATES}, {PARTS}, fu AS (SELECT *, round(exact + {RRF}, 9) A
 
 
 def candidates(t: Tables) -> DataFrame:
-    some = t.g_nodes.filter("kind in ('file', 'typescript:class') and (label like '%9' or label like '%\\\\_1' or label like '%_1')")
+    some = t.g_nodes.filter("kind in ('file', 'typescript:class')")
     scored = some.withColumn("score", (1 + (F.length("node_id") * 7 + F.length("label") * 3) % 11).cast("double"))
     return rank.components(scored, "NATION_1", ["nation", "asia"], role="left", kinds=["file"])
 

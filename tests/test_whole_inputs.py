@@ -18,6 +18,13 @@ CUTS = {
     "R10_method_calls": [" WHERE l_quantity = 50"],
     "R5_import_edges": [" WHERE l_quantity > 48"],
     "R9_unique_calls": [" WHERE p_size < 3"],
+    "L8_store_tokens": [" WHERE kind <> 'typescript:method'"],
+    "L9_question_tokens": [" WHERE kind <> 'typescript:method'"],
+    "L10_catalog_tokens": [" WHERE kind <> 'typescript:method'"],
+    "L17_seed_components": [" AND (label LIKE '%9' OR label LIKE '%_1')"],
+    "L18_rrf": [" AND (label LIKE '%9' OR label LIKE '%_1')"],
+    "L19_diversify": [" AND (label LIKE '%9' OR label LIKE '%_1')"],
+    "L20_prefer_exact_label": [" AND (label LIKE '%9' OR label LIKE '%_1')"],
 }
 
 
