@@ -34,7 +34,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best segmentation of each text as piece ids, with the scores of the two best."""
+    """The two best segmentations of each text as piece ids, with their scores."""
     return pieces.encode(docs, pieces.load(), n=2)
 
 
