@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .traverse import cut
+
 #: Candidate endings of a relative specifier, in order of preference (fixed values).
 TYPESCRIPT_ENDINGS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
 JAVASCRIPT_ENDINGS = ("", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts")
@@ -63,7 +67,7 @@ def alias_target(specifiers: DataFrame, patterns: DataFrame) -> DataFrame:
     return hit.withColumn("target", made).groupBy("specifier").agg(F.max_by("target", F.struct(F.length("head"), "pattern")).alias("target"))
 
 
-def re_export_closure(surfaces: DataFrame, re_exports: DataFrame, max_rounds: int = 32) -> DataFrame:
+def re_export_closure(surfaces: DataFrame, re_exports: DataFrame) -> DataFrame:
     """Fixpoint of exported names through re-exports.
 
     ``surfaces``: path, name, node_id; ``re_exports``: path, target_path, imported, exported, where ``*``
@@ -71,14 +75,16 @@ def re_export_closure(surfaces: DataFrame, re_exports: DataFrame, max_rounds: in
     """
     found = surfaces.select("path", "name", "node_id").distinct()
     new = found
-    for _ in range(max_rounds):
+    for depth in count(1):
         moved = new.select(F.col("path").alias("target_path"), "name", "node_id").join(re_exports, "target_path")
         star = moved.filter("imported = '*' and name <> 'default'").select("path", "name", "node_id")
         named = moved.filter("imported = name").select("path", F.col("exported").alias("name"), "node_id")
-        new = star.union(named).distinct().join(found, ["path", "name", "node_id"], "left_anti")
+        new = cut(star.union(named).distinct().join(found, ["path", "name", "node_id"], "left_anti"))
         if new.isEmpty():
             break
         found = found.union(new)
+        if depth % 8 == 0:
+            found = cut(found.repartition("path"))
     return found
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,16 +114,23 @@ def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str,
     return found
 
 
-def project_scope(edges: DataFrame, projects: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Project ids and everything below them through ``contains`` (a shallow tree; cycles end by set difference)."""
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and without its lineage."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def project_scope(edges: DataFrame, projects: DataFrame) -> DataFrame:
+    """Project ids and everything below them through ``contains``, to any depth (cycles end by set difference)."""
     below = edges.filter("relation = 'contains'").select("source_id", "target_id")
     found = projects.select("node_id").distinct()
     frontier = found
-    for _ in range(max_depth):
-        step = frontier.join(below, F.col("node_id") == F.col("source_id")).select(F.col("target_id").alias("node_id")).distinct().join(found, "node_id", "left_anti")
+    for depth in count(1):
+        step = cut(frontier.join(below, F.col("node_id") == F.col("source_id")).select(F.col("target_id").alias("node_id")).distinct().join(found, "node_id", "left_anti"))
         if step.isEmpty():
             break
         found, frontier = found.unionByName(step), step
+        if depth % 8 == 0:
+            found = cut(found.repartition("node_id"))
     return found
 
 
