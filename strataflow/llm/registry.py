@@ -130,7 +130,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = Scratch(spark, "warc").path("captures")
     parts = warc.write(read(spark, sf_dir, "pages"), root)
-    return warc.scan(spark, parts).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.scan(spark, parts, by_index=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op1_token_shards")

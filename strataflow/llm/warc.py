@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, checked
-from .shared_files import Writer, attempt, read_range, stream
+from .shared_files import Writer, attempt, open_fs, read_range, stream
 
 DATE = "2000-01-01T00:00:00Z"
 
@@ -175,29 +175,58 @@ def _key_column(url):
 READ = "page_id long, url string, record_type string, payload binary, payload_digest string, payload_bytes long, refers_to long"
 
 
-def scan(spark: SparkSession, parts: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record of the archives, one task per part, read as a stream; payload digests are checked."""
+def streamed(archive: str) -> Iterator[dict]:
+    """The records of an archive from its first byte to its last."""
+    with stream(archive) as source:
+        for data in members(source):
+            yield parse(data)
+
+
+def indexed(archive: str, index: str, directory: str, records: int) -> Iterator[dict]:
+    """The records of an archive by its directory, its index blocks and range reads at their offsets."""
+    n = 0
+    with stream(directory) as f:
+        sparse = [line.split("\t") for line in f.read().decode("utf-8", "surrogatepass").split("\n")]
+    files, path = open_fs(archive)
+    with files.open_input_file(path) as f:
+        for first, start, size in sparse:
+            lines = [x.split("\t") for x in zlib.decompress(read_range(index, int(start), int(size))).decode("utf-8", "surrogatepass").split("\n")]
+            if lines[0][0] != first:
+                raise ValueError(f"{directory}: the block at {start} does not begin with its key")
+            for _, page, at, length in lines:
+                f.seek(int(at))
+                r = parse(zlib.decompress(f.read(int(length)), 31))
+                if ("" if r["page_id"] is None else str(r["page_id"])) != page:
+                    raise ValueError(f"{index}: the record at {at} is page {r['page_id']}, not {page}")
+                n += 1
+                yield r
+    if n != records:
+        raise ValueError(f"{index}: {n} of {records} records")
+
+
+def scan(spark: SparkSession, parts: DataFrame, payloads: bool = False, by_index: bool = False) -> DataFrame:
+    """Every record of the archives, one task per part, read as a stream or ``by_index``; payload digests
+    are checked."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for archive in batch.column(0).to_pylist():
+            for part in batch.to_pylist():
+                archive = part["archive"]
                 found, held = [], 0
-                with stream(archive) as source:
-                    for data in members(source):
-                        r = parse(data)
-                        if r["record_type"] == "response" and (base32_sha1(r["payload"]) != r["payload_digest"] or len(r["payload"]) != r["payload_bytes"]):
-                            raise ValueError(f"{archive}: payload of page {r['page_id']} does not match its digest")
-                        held += len(r["payload"]) if payloads else 100
-                        found.append(r if payloads else r | {"payload": None})
-                        if held > 8 << 20 or len(found) >= 5000:
-                            yield pa.RecordBatch.from_pylist(found, schema=schema)
-                            found, held = [], 0
+                for r in indexed(**part) if by_index else streamed(archive):
+                    if r["record_type"] == "response" and (base32_sha1(r["payload"]) != r["payload_digest"] or len(r["payload"]) != r["payload_bytes"]):
+                        raise ValueError(f"{archive}: payload of page {r['page_id']} does not match its digest")
+                    held += len(r["payload"]) if payloads else 100
+                    found.append(r if payloads else r | {"payload": None})
+                    if held > 8 << 20 or len(found) >= 5000:
+                        yield pa.RecordBatch.from_pylist(found, schema=schema)
+                        found, held = [], 0
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     n = max(1, parts.count())  # as many rows as archives
-    return parts.select("archive", F.row_number().over(_by_part()).alias("i")).withColumn("i", (F.col("i") - 1).cast("int")).repartitionById(n, F.col("i")).select("archive").mapInArrow(run, READ)
+    return parts.select("archive", "index", "directory", "records", F.row_number().over(_by_part()).alias("i")).withColumn("i", (F.col("i") - 1).cast("int")).repartitionById(n, F.col("i")).select("archive", "index", "directory", "records").mapInArrow(run, READ)
 
 
 def _by_part():
