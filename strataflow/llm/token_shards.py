@@ -12,16 +12,19 @@ The second pass checks each split's count and a checksum of its document order a
 fails rather than write a wrong order if the input is not the same. Shards appear whole or not at all.
 
 Edge cases: null and empty texts make one sequence of end ids only; special-token strings in a text are
-ordinary text. Repeated rows make sequences of their own. An empty table makes no shard. Extra columns
-are ignored.
+ordinary text. A very long text is encoded whole and makes as many sequences as it needs; they lie in
+different shards like any others. Repeated rows make sequences of their own. An empty table makes no shard.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import math
-from dataclasses import asdict, dataclass
+from array import array
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,17 @@ from pyspark.sql import functions as F
 from .shared_files import Writer, attempt, read_range, stream
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the word pattern of the byte-level vocabulary, in the form without backtracking.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 @dataclass(frozen=True)
 class Params:
+    """``shard_slots`` is the least size of a shard; it doubles until there are at most ``max_shards``."""
+
     length: int = 512
     shard_slots: int = 16384
+    max_shards: int = 50_000
     key: int = 0x5EED_0F_0DE5
     rounds: int = 6
     ranks: str = RANKS
@@ -96,18 +103,31 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        # no special tokens: the ordinary encoder skips the search for them
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str | None) -> bytes:
-        return self.encode(text, disallowed_special=()).astype(np.uint16).tobytes() if text else b""
+        return array("H", self.encode(text)).tobytes() if text else b""
+
+    def count(self, text: str | None) -> int:
+        return len(self.encode(text)) if text else 0
 
 
 #: The tokenizer of this worker process; building it from the ranks takes longer than many texts.
 _TOKENIZERS: dict = {}
 
 
-def tokenizer(ranks: dict[bytes, int]) -> Tokenizer:
-    key = (len(ranks), hash(tuple(ranks)[:256]))
+def vocabulary_key(ranks: dict[bytes, int]) -> str:
+    """A digest of every entry: vocabularies that differ anywhere never share a tokenizer."""
+    h = hashlib.sha256()
+    for token, rank in ranks.items():
+        h.update(b"%d %d " % (rank, len(token)) + token)
+    return h.hexdigest()
+
+
+def tokenizer(ranks: dict[bytes, int], key: str | None = None) -> Tokenizer:
+    """The tokenizer of a vocabulary; ``key`` is its ``vocabulary_key``, if known already."""
+    key = key or vocabulary_key(ranks)
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
         _TOKENIZERS[key] = Tokenizer(ranks)
@@ -131,15 +151,21 @@ def write(docs: DataFrame, root: str, p: Params = Params()) -> DataFrame:
     executed and has one row per sequence, read back from its shard: doc_id, chunk, slot, shard,
     byte_offset, n_tokens, tokens_xxh64."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(p.ranks))  # bounded by the vocabulary file
+    vocabulary = load_ranks(p.ranks)
+    if max(vocabulary.values(), default=0) >= 1 << 16 or p.end >= 1 << 16:
+        raise ValueError(f"{p.ranks}: ids beyond 16 bits don't fit these shards")
+    key = vocabulary_key(vocabulary)
+    ranks = spark.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary file
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def count(batches):
-        tok, n, check = tokenizer(ranks.value), 0, 0
+        tok, n, check = tokenizer(ranks.value, key), 0, 0
         for batch in batches:
-            for doc, chunks in zip(batch.column(0).to_pylist(), _sequences(batch.column(1).to_pylist(), tok, p.length, p.end), strict=True):
-                n += len(chunks)
-                check = xxhash.xxh3_64_intdigest(f"{check}/{doc}/{len(chunks)}") >> 1
+            for at in range(0, batch.num_rows, 256):
+                for doc, text in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
+                    chunks = tok.count(text) // p.length + 1  # the end id makes one token more
+                    n += chunks
+                    check = xxhash.xxh3_64_intdigest(f"{check}/{doc}/{chunks}") >> 1
         yield pa.RecordBatch.from_pydict({"split": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64()), "check": pa.array([check], pa.int64())})
 
     counted = sorted(map(tuple, source.mapInArrow(count, "split int, n long, check long").collect()))  # one row per input split
@@ -148,7 +174,11 @@ def write(docs: DataFrame, root: str, p: Params = Params()) -> DataFrame:
     for split, n, check in counted:
         base[split] = (at, n, check)
         at += n
-    shards = max(1, -(-total // p.shard_slots))
+    per = p.shard_slots
+    while total > per * p.max_shards:
+        per *= 2
+    p = replace(p, shard_slots=per)
+    shards = max(1, -(-total // per))
     manifest = Writer(f"{root}/{MANIFEST}", "driver")
     manifest.write(json.dumps(asdict(p) | {"total": total, "shards": shards, "dtype": "uint16"}).encode())
     manifest.close()
@@ -156,7 +186,7 @@ def write(docs: DataFrame, root: str, p: Params = Params()) -> DataFrame:
     schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
 
     def place(batches):
-        tok, n, check = tokenizer(ranks.value), 0, 0
+        tok, n, check = tokenizer(ranks.value, key), 0, 0
         split = TaskContext.get().partitionId()
         first, expected, expected_check = starts.value.get(split, (0, 0, 0))
         order = Feistel(max(1, total), p.key, p.rounds)

@@ -33,6 +33,26 @@ def test_shards_hold_every_token_in_slot_order(spark, docs, tmp_path):
     assert token_shards.write(docs([]), f"file://{tmp_path}/e", p).count() == 0
 
 
+def test_slots_are_the_permutation_of_dense_numbers(spark, docs, tmp_path):
+    rows = [(i, "word " * (7 * i)) for i in range(40)] + [(40, "long " * 30_000)]
+    p = token_shards.Params(length=16, shard_slots=8, max_shards=100)
+    out = token_shards.write(docs(rows).coalesce(1), f"file://{tmp_path}/p", p).collect()
+    order, m = token_shards.Feistel(len(out), p.key, p.rounds), token_shards.read_manifest(f"file://{tmp_path}/p")
+    numbered = sorted(out, key=lambda r: (r["doc_id"], r["chunk"]))
+    assert [r["slot"] for r in numbered] == order.slots(np.arange(len(out))).tolist()
+    assert m["shard_slots"] >= len(out) / 100 and {r["shard"] for r in out} == set(range(m["shards"])) and m["shards"] <= 100
+    assert all(r["shard"] == r["slot"] // m["shard_slots"] and r["byte_offset"] == r["slot"] % m["shard_slots"] * 32 for r in out)
+
+
+def test_vocabularies_never_share_a_tokenizer():
+    ranks = token_shards.load_ranks(token_shards.RANKS)
+    other = dict(ranks)
+    a, b = list(other)[40_000:40_002]
+    other[a], other[b] = other[b], other[a]
+    one, two = token_shards.tokenizer(ranks), token_shards.tokenizer(other)
+    assert one is not two and token_shards.tokenizer(ranks) is not two and token_shards.vocabulary_key(ranks) != token_shards.vocabulary_key(other)
+
+
 def test_url_rules(spark):
     urls = ["http://a.Example.COM:80/en/7?x", "http://example.com/en/77", "http://example.com/en/8#f", "https://com/en/", "http://notexample.com/en/7", "http://x.net/de/1", "http://example.net/de/8/9", "http://x.org/en/", None, "no scheme", "http://", "http://x.com?/en/", "http://example.com/EN/7"]
     want = ["allow", "allow", "block", "block", "block", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow"]
