@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most identifiers that a side may have to be broadcast (16 bytes each); beyond it, joins shuffle.
+#: Most rows, and most bytes of their values, that a side may have to be broadcast; beyond it, joins shuffle.
 BROADCAST_IDS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -19,11 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     A temporary folder is used only where the setting is unset and the master is a single local
-    process; on a cluster an unset folder is an error.
+    process; on a cluster an unset folder is an error. The path comes back with its scheme, so that
+    what Python writes and what Spark writes go to one file system.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path.rstrip("/")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
     app = spark.sparkContext.applicationId
     if app not in _own:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -45,14 +50,16 @@ class Scratch:
 
     ``keep`` writes a DataFrame as Parquet and returns a scan of it, so a lost executor costs one
     re-read instead of a recomputation. ``drop`` deletes a table once nothing reads it; the rest
-    goes when the process ends.
+    goes with ``ended_scratch``, or when the process ends.
     """
 
+    open: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        atexit.register(self.close)
+        Scratch.open.append(self)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -74,16 +81,39 @@ class Scratch:
             remove(self.spark, self.root)
         except Exception:  # noqa: BLE001  the session has ended; its folder is the cluster's to clear
             pass
+        Scratch.open.remove(self)
+
+
+@atexit.register
+def _close_all() -> None:
+    for s in list(Scratch.open):
+        s.close()
+
+
+@contextmanager
+def ended_scratch():
+    """Delete at the end all scratch tables that were begun inside: for results that are written by then."""
+    before = set(map(id, Scratch.open))
+    yield
+    for s in [s for s in Scratch.open if id(s) not in before]:
+        s.close()
 
 
-def checked(ids: DataFrame, n: int | None = None, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``ids`` with a broadcast hint if its measured row count is within ``limit``, else as it is."""
-    n = ids.count() if n is None else n
-    return F.broadcast(ids) if n <= limit else ids
+WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8}
 
 
-def scan_partitions(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def checked(side: DataFrame, n: int | None = None, limit: int = BROADCAST_IDS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``side`` with a broadcast hint if its rows (``n``, if counted already) and the bytes of their values
+    are measured to be within the limits, else as it is."""
+    types = dict(side.dtypes)
+    fixed = sum(WIDTH.get(t, 0) for t in types.values())
+    other = [c for c, t in types.items() if t not in WIDTH]
+    if other:
+        size = sum((F.coalesce(F.octet_length(c) if types[c] in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in other), F.lit(0))
+        n, more = side.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    else:
+        n, more = side.count() if n is None else n, 0
+    return F.broadcast(side) if n <= limit and n * fixed + more <= most_bytes else side
 
 
 def held_out(doc_id):

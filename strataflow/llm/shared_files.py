@@ -12,11 +12,15 @@ from urllib.parse import unquote, urlparse
 from pyarrow import fs
 
 
+#: Schemes that Arrow knows by another name than Hadoop.
+SAME = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     parsed = urlparse(uri)
     if parsed.scheme in ("", "file"):
         return fs.LocalFileSystem(), unquote(parsed.path)
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(SAME.get(parsed.scheme, parsed.scheme) + uri[len(parsed.scheme) :])
 
 
 class Writer:
