@@ -12,19 +12,25 @@ are never expanded into pairs.
 a pair at similarity 0.8 shares no bucket with probability 1.3e-7. Each bucket proposes a star: its
 smallest vertex against every other, so a bucket of m vertices makes m - 1 edges.
 
-*Confirmation.* Edges are confirmed on the full shingle sets. Buckets whose vertices are still in
-more than one component are searched again from their sketches: each block proposes a maximum spanning
-forest of its likely cross-component pairs, which is confirmed in the same way. Forests of what is still
-apart after that join the components into clusters that hold every likely pair; inside a cluster all
-vertices outside its largest component are compared exactly with every other one through an inverted
-index of full shingle sets, and only a spanning forest of the links found is emitted. "Likely" is a
-sketch agreement of at least ``estimate_floor``, more than four standard deviations under the threshold.
-So no link is lost to the choice of a hub, and no group emits its pairs.
+*Confirmation.* Edges are confirmed on the full shingle sets: members of a star stream past its hub, and a
+hub with many members is dealt in blocks, with one copy of its text each.
+
+*The rest.* A star misses links between two vertices that are not like its hub. Vertices of buckets that are
+still in more than one component are joined on *prefixes*: in one order of all their shingles, from rare to
+frequent, two sets that reach the threshold share a shingle among the first ``size - ceil(percent * size / 100)
++ 1`` of each. A passage that many documents share is frequent, so it is in nobody's prefix, and documents
+that have only that in common meet nowhere: the work grows with their number, not with its square. Lists of
+vertices with one prefix shingle propose stars again; lists that stay apart after that are joined into
+clusters, inside which all vertices outside the largest component are compared exactly with every other
+one through an inverted index of full shingle sets, and only a spanning forest of the links found is
+emitted. This search is exact, so a link is lost only if its two sets share no bucket at all, and no group
+emits its pairs.
 
 Edge cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words than a shingle make the
-whole sequence one shingle; null, empty and blank texts have an empty set and link with nothing. Rows
-that repeat a doc_id share its vertex. A null doc_id is its own unlinked row with a null component.
-Extra columns are ignored (or, in ``survivors``, passed through).
+whole sequence one shingle; null, empty and blank texts have an empty set and link with nothing. Very long
+texts are used whole. Rows that repeat a doc_id share its vertex, also with different texts: what one of them
+is linked with, all are. A null doc_id is its own unlinked row with a null component. Extra columns,
+whatever their names, are ignored (or, in ``survivors``, passed through). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,23 +40,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked
+from .common import BROADCAST_IDS, Scratch, checked
 from .components import components
 
 
 @dataclass(frozen=True)
 class Params:
-    """Words per shingle, threshold in percent, sketch shape, and block sizes of the two searches."""
+    """Words per shingle, threshold in percent, sketch shape, members of a star that share a copy of
+    their hub, and shingles of a block of the exact search."""
 
     words: int = 4
     percent: int = 80
     bins: int = 200
     rows: int = 5
-    estimate_floor: float = 0.67
-    block: int = 1024
+    star: int = 256
     block_shingles: int = 1_000_000
 
     @property
@@ -58,6 +64,9 @@ class Params:
         return self.bins // self.rows
 
 
+#: A shingle of more sets than this is joined by broadcast, not by its key.
+HOT = 20_000
+
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -133,12 +142,18 @@ class Sketcher:
         return out[source]
 
 
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"
+SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+
+
+def fingerprint(shingles: np.ndarray) -> list[int]:
+    """128 bits of a sorted set, as two signed numbers."""
+    f = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return np.array([f >> 64, f & (1 << 64) - 1], np.uint64).astype(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """Per row: set size, a 128-bit fingerprint of the set, band keys, and 16 bits of each bin."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """Per row: set size, a 128-bit fingerprint of the set, and band keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         shingle, sketch = Shingler(p.words), Sketcher(p.bins)
@@ -150,44 +165,48 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                 for doc, text in zip(ids[at : at + 256], texts[at : at + 256].to_pylist(), strict=True):
                     s = shingle(text)
                     if not len(s):
-                        rows.append((doc, 0, None, None, None, None))
+                        rows.append((doc, 0, None, None, None))
                         continue
                     values = sketch(s)
                     keys = mix((values[: p.bands * p.rows].reshape(p.bands, p.rows) * ODD[: p.rows]).sum(axis=1, dtype=np.uint64) + band_no)
-                    f = xxhash.xxh3_128_intdigest(s.tobytes())
-                    f1, f2 = np.array([f >> 64, f & (1 << 64) - 1], np.uint64).astype(np.int64).tolist()
-                    rows.append((doc, len(s), f1, f2, keys.astype(np.int64), (mix(values) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
+                    rows.append((doc, len(s), *fingerprint(s), keys.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-
-    def run(batches):
-        shingle, known = Shingler(p.words), {}
+    """The pairs (a, b) whose full shingle sets reach the threshold.
 
-        def sets(doc, text):
-            if doc not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[doc] = (text, shingle(text))
-            return known[doc][1] if known[doc][0] == text else shingle(text)
+    A hub ``a`` of many pairs is dealt in blocks of about ``p.star`` members, so neither its members nor
+    copies of its text gather in one task.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.star).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = pairs.join(checked(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    members = placed.join(texts, placed["b"] == texts["doc_id"]).select("a", "block", "b", "text")
+    hubs = placed.select("a", "block").distinct().join(texts, F.col("a") == texts["doc_id"]).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
 
+    def run(batches):
+        shingle, at, hub = Shingler(p.words), None, []
         for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
-            ok = []
-            for j in range(batch.num_rows):
-                x, y = sets(a[j].as_py(), ta[j].as_py()), shingle(tb[j].as_py())
-                both = np.intersect1d(x, y, assume_unique=True).size
-                ok.append(100 * both >= p.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok, pa.bool_())), b.filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+            found = []
+            for first in range(0, batch.num_rows, 128):
+                for a, block, b, text in zip(*[batch.column(i).slice(first, 128).to_pylist() for i in range(4)], strict=True):
+                    if (a, block) != at:
+                        at, hub = (a, block), []
+                    y = shingle(text)
+                    if b is None:
+                        hub.append(y)  # more than one only where rows repeat the doc_id
+                        continue
+                    for x in hub:
+                        both = np.intersect1d(x, y, assume_unique=True).size
+                        if both and 100 * both >= p.percent * (len(x) + len(y) - both):
+                            found.append((a, b))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    stream = hubs.union(members).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return stream.mapInArrow(run, "a long, b long").distinct()
 
 
 class Forest:
@@ -210,23 +229,6 @@ class Forest:
         return x != y
 
 
-def likely_forest(p: Params, ids, comp, own, probe, sig) -> list[tuple[int, int]]:
-    """A maximum spanning forest of the likely cross-component pairs of a block: every probe is compared
-    with the block's own rows."""
-    floor = p.estimate_floor * p.bins
-    here, ask = np.flatnonzero(own), np.flatnonzero(probe)
-    found = []
-    for at in range(0, len(ask), 32):
-        rows = ask[at : at + 32]
-        same = (sig[rows, None, :] == sig[None, here, :]).sum(axis=2)
-        i, j = np.nonzero((same >= floor) & (comp[rows][:, None] != comp[here][None, :]))
-        found.append(np.c_[rows[i], here[j], same[i, j]])
-    pairs = np.concatenate(found) if found else np.zeros((0, 3), int)
-    forest = Forest()
-    best = pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist()
-    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j, _ in best if forest.join(comp[i], comp[j])]
-
-
 def linked_forest(p: Params, ids, comp, own, probe, sets) -> list[tuple[int, int]]:
     """A spanning forest of the exact cross-component links of a block, by an inverted index of the
     block's own shingle sets."""
@@ -303,32 +305,69 @@ def _mixed(rows: DataFrame, size: str, per_block: int) -> DataFrame:
     )
 
 
-def sketch_pairs(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """Forests of likely pairs from buckets with more than one component. A bucket of two vertices has
-    only the pair that its star has tried already."""
-    rows = buckets.join(checked(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.lit(1).alias("one"))
-    groups = scratch.keep(_mixed(rows, "one", p.block).filter("m > 2").drop("m"), "mixed")
-
-    def work(ids, comp, own, probe, sig):
-        return likely_forest(p, ids, comp, own, probe, np.frombuffer(b"".join(sig), np.uint16).reshape(len(ids), p.bins))
+def prefix_lists(texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """(key, id): for each vertex, those shingles of its prefix that another one has too."""
 
-    return _dealt(rows.drop("one"), groups, sigs, "sig").mapInArrow(_blocks(work), "a long, b long").distinct()
-
-
-def cluster_links(apart: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """Exact links between components that ``apart`` (forests of likely pairs) puts in one cluster."""
-    clusters = components(links.select("a", "b").union(apart), scratch)
-    some = clusters.join(checked(apart.select(F.col("a").alias("id")).distinct()), "id", "left_semi").select("component").distinct()
-    members = clusters.join(checked(some), "component", "left_semi").select("id", F.col("component").alias("key"))
+    def run(batches):
+        shingle = Shingler(p.words)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                rows = []
+                for doc, text in zip(batch.column(0).slice(at, 128).to_pylist(), batch.column(1).slice(at, 128).to_pylist(), strict=True):
+                    s = shingle(text)
+                    rows.append((doc, fingerprint(s)[0], len(s), s.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["id", "f", "size", "shingles"])
+
+    sets = scratch.keep(texts.select("doc_id", "text").mapInArrow(run, "id long, f long, size long, shingles array<long>"), "sets", "lz4")
+    every = sets.select("id", "f", "size", F.explode("shingles").alias("key"))
+    common = scratch.keep(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "common", "lz4")
+    # the few shingles of very many sets would each be one task's: they are joined where their rows are
+    n_common = common.count()
+    hot = scratch.keep(common.filter(F.col("n") > HOT), "hot") if n_common > BROADCAST_IDS else None
+    if hot is None:
+        counted = every.join(F.broadcast(common), "key")
+    else:
+        counted = every.join(checked(hot.select("key")), "key", "left_anti").join(common.filter(F.col("n") <= HOT), "key").unionByName(every.join(checked(hot), "key"))
+    whole = Window.partitionBy("id", "f")
+    # shingles that no other set has come first in the order; they are counted, not listed
+    room = F.col("size") - F.ceil(F.col("size") * p.percent / 100) + 1 - (F.col("size") - F.count("*").over(whole))
+    ranked = counted.select("id", "f", "size", "key", "n", room.alias("room")).filter("room > 0").withColumn("rank", F.row_number().over(whole.orderBy("n", "key")))
+    lists = scratch.keep(ranked.filter("rank <= room").select("key", "id").distinct(), "lists")
+    scratch.drop(sets, common, *([hot] if hot is not None else []))
+    return lists
+
+
+def apart(lists: DataFrame, labels: DataFrame, at_least: int) -> DataFrame:
+    """(key, id, component, hub) of lists in more than one component, with at least so many members."""
+    rows = lists.join(checked(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.min("id").alias("hub"))
+    return rows.join(checked(keys.filter((F.col("low") < F.col("high")) & (F.col("m") >= at_least)).select("key", "hub")), "key")
+
+
+def cluster_links(rows: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Exact links between vertices of lists that are still apart (``rows``)."""
+    rows = scratch.keep(rows, "apart")
+    clusters = components(links.select("a", "b").union(rows.filter("id <> hub").select("hub", "id").distinct()), scratch)
+    members = clusters.join(checked(rows.select("id").distinct()), "id", "left_semi").select("id", F.col("component").alias("key"))
     sized = texts.select(F.col("doc_id").alias("id"), "text", (F.octet_length(F.coalesce("text", F.lit(""))) / 5 + 1).alias("size"))
-    rows = members.join(checked(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(sized.select("id", "size"), "id")
-    groups = scratch.keep(_mixed(rows, "size", p.block_shingles).drop("m"), "clusters")
+    placed = members.join(checked(labels), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(sized.select("id", "size"), "id")
+    groups = scratch.keep(_mixed(placed, "size", p.block_shingles).drop("m"), "clusters")
 
     def work(ids, comp, own, probe, payload):
         shingle = Shingler(p.words)
         return linked_forest(p, ids, comp, own, probe, [shingle(t) for t in payload])
 
-    return _dealt(rows.drop("size"), groups, sized.select("id", "text"), "text").mapInArrow(_blocks(work), "a long, b long").distinct()
+    return _dealt(placed.drop("size"), groups, sized.select("id", "text"), "text").mapInArrow(_blocks(work), "a long, b long").distinct()
+
+
+def same_ids(rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Edges between the vertices of rows that repeat a doc_id with different sets."""
+    repeated = scratch.keep(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low < high").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return None
+    vertices = rows.join(checked(repeated), "doc_id", "left_semi").join(classes, ["f1", "f2"]).select("doc_id", "id").distinct()
+    hubs = vertices.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return scratch.keep(vertices.join(hubs, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "same")
 
 
 def classify(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -347,20 +386,25 @@ def classify(docs: DataFrame, p: Params = Params()) -> DataFrame:
     n_near = near.count()
     near = checked(near, n_near)
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near, F.col("doc_id") == near["id"], "left_semi"), "texts")
-    sigs = scratch.keep(keyed.select(F.col("doc_id").alias("id"), "sig").join(near, "id", "left_semi"), "sigs")
-    same_key = buckets.select("key", "id")
 
     links = scratch.keep(confirm(star, texts, p), "links")
+    if (same := same_ids(rows, classes, scratch)) is not None:
+        links = links.union(same)
     labels = components(links, scratch)
-    more = scratch.keep(sketch_pairs(same_key, labels, sigs, p, scratch), "more")
-    if not more.isEmpty():
-        links = links.union(scratch.keep(confirm(more, texts, p), "links"))
-        labels = components(links, scratch)
-        apart = scratch.keep(sketch_pairs(same_key, labels, sigs, p, scratch), "apart")
-        if not apart.isEmpty():
-            links = links.union(scratch.keep(cluster_links(apart, links, labels, texts, p, scratch), "links"))
+    # a bucket of two vertices has only the pair that its star has tried already
+    unsure = scratch.keep(apart(buckets.select("key", "id"), labels, 3).select("id").distinct(), "unsure")
+    if not unsure.isEmpty():
+        lists = prefix_lists(texts.join(checked(unsure), texts["doc_id"] == unsure["id"], "left_semi"), p, scratch)
+        more = scratch.keep(apart(lists, labels, 2).filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            links = links.union(scratch.keep(confirm(more, texts, p), "links"))
+            labels = components(links, scratch)
+        rest = apart(lists, labels, 3)
+        if not rest.isEmpty():
+            links = links.union(scratch.keep(cluster_links(rest, links, labels, texts, p, scratch), "links"))
             labels = components(links, scratch)
-    scratch.drop(texts, sigs, buckets, star)
+        scratch.drop(lists)
+    scratch.drop(texts, buckets, star)
 
     joined = rows.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left").join(checked(labels), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
@@ -370,6 +414,5 @@ def classify(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def survivors(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` without the documents that another one of their group stands for."""
     scratch = Scratch(docs.sparkSession, "near-kept")
-    gone = scratch.keep(classify(docs, p).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    gone = checked(gone)
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = scratch.keep(classify(docs, p).filter("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(checked(gone), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -38,6 +38,19 @@ def test_directory_doubles_until_buckets_fit():
     assert E.directory({}, 4, 20) == (0, [0])
 
 
+def test_owners_hold_key_ranges_of_a_stored_directory(docs):
+    rng = random.Random(4)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(8))) for i in range(300)]
+    index = E.build(docs(rows), E.Params(bucket_bytes=2000))
+    table = sorted((r["slot"], r["bucket"], r["owner"]) for r in index.directory.collect())
+    assert [s for s, _, _ in table] == list(range(1 << index.depth)) and len({b for _, b, _ in table}) == index.buckets > 4
+    assert [o for _, _, o in table] == sorted(o for _, _, o in table)
+    from pyspark.sql import functions as F
+
+    ranges = sorted((r["low"], r["high"]) for r in index.entries.groupBy(F.spark_partition_id()).agg(F.min(F.hex("key")).alias("low"), F.max(F.hex("key")).alias("high")).collect())
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
 def test_empty_tables(docs):
     assert E.groups(docs([])).count() == 0 and E.survivors(docs([])).count() == 0 and N.classify(docs([])).count() == 0
 
@@ -103,15 +116,89 @@ def test_near_dedup_equals_brute_force(docs):
 def test_blocks_change_nothing(docs):
     rows = corpus(5)
     want = brute(rows, 5, 80)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.classify(docs(rows), N.Params(words=5, block=7, block_shingles=600)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.classify(docs(rows), N.Params(words=5, star=3, block_shingles=600)).collect()}
     assert got == want
 
 
+def test_a_shared_passage_makes_no_quadratic_work(docs, monkeypatch):
+    """Documents that have a passage in common, but too little of it, share no prefix shingle."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(70)]
+    rows = [(i, " ".join(passage + [word() for _ in range(25)])) for i in range(300)]
+    seen = []
+    lists = N.prefix_lists
+    monkeypatch.setattr(N, "prefix_lists", lambda *a: seen.append(lists(*a)) or seen[0])
+    monkeypatch.setattr(N, "cluster_links", None)
+    drop = N.Scratch.drop
+    monkeypatch.setattr(N.Scratch, "drop", lambda self, *t: drop(self, *[x for x in t if not seen or x is not seen[0]]))
+    got = N.classify(docs(rows)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == 300
+    assert seen and seen[0].count() < 300
+
+
+def test_links_that_no_star_finds(docs):
+    """Vertices that are like one another but not like their bucket's hub, in lists that stay apart."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(100)]
+    rows = []
+    for _ in range(6):
+        some = list(base)
+        for j in rng.sample(range(100), 4):
+            some[j] = word()
+        for _ in range(7):
+            other = list(some)
+            for j in rng.sample(range(100), rng.randint(1, 4)):
+                other[j] = word()
+            rows.append(other)
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = brute(rows, 4, 80)
+    for p in (N.Params(), N.Params(star=2, block_shingles=150)):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.classify(docs(rows), p).collect()} == want
+
+
+def test_long_texts_and_clashing_columns(docs):
+    rng = random.Random(12)
+    long = [str(rng.random()) for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:55_000])), (3, " ".join(long[::-1])), (4, "a b c")]
+    extra = ("gone_id", "hit_id", "id", "key", "a", "b", "block", "f1", "shingles", "size")
+    df = docs(rows, extra=extra)
+    assert {r["doc_id"]: r["component_id"] for r in N.classify(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    kept = N.survivors(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
+def test_components_of_paths_rings_and_copies(spark):
+    from strataflow.llm.common import Scratch
+    from strataflow.llm.components import components
+
+    rng = random.Random(13)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (300, 301), (301, 300)] + [(rng.randrange(500, 560), rng.randrange(500, 560)) for _ in range(45)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
+    assert got == {v: top(v) for a, b in edges if a != b for v in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+
+
 def test_null_and_repeated_ids(docs):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "q w e r t")]
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in N.classify(docs(rows)).collect()), key=str)
     assert got == sorted([(1, 1, True), (1, 1, True), (None, None, True), (2, 2, True)], key=str)
     assert N.survivors(docs(rows)).count() == 4
+    rows = [(3, "a b c d e"), (5, "a b c d e"), (5, "q w e r t y"), (9, "q w e r t y"), (7, "q w e r"), (7, "z y x w v")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in N.classify(docs(rows)).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 7), (7, 7), (9, 3)]
 
 
 def test_densified_bins_agree_like_jaccard():
