@@ -13,8 +13,10 @@ takes its label; the transitions and the length-weighted mean then settle what s
 The weights are fitted by gradient descent on the regularised conditional likelihood over a bounded
 sample of labelled rows (``Params.examples``), with the whole text of each.
 
-Edge cases: null, empty and blank texts are one empty line. Without any labelled row every score is
-the neutral 1.0 (nothing is judged bad). A document labelled twice takes its smaller quality.
+Edge cases: null and empty texts are one empty line. Very long texts are scored whole, in memory in
+proportion to their number of lines. Without any labelled row every score is the neutral 1.0 (nothing is
+judged bad). A document labelled twice takes its smaller quality. Repeated rows get equal scores. Extra
+columns pass through; one that has the added column's name is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,17 +1,21 @@
 """Toxicity by exact nearest labelled examples under TF-IDF cosine.
 
-A bounded sample of labelled rows is the example set. Its terms are words and word beginnings;
-the ones most associated with either label (log-likelihood ratio) are the vocabulary. Inverse
-document frequencies are counted over *all* documents. The examples are kept in an inverted index
+A bounded sample of labelled rows is the example set. Terms are whole words and word beginnings. The
+dimensions of the cosine are *all* terms of the examples whose association with the label is significant
+(log-likelihood ratio, ``Params.significance``); there is no limit on their number. Over all words alone the
+neighbours are those of the same subject and language, whatever the label (see the README for figures).
+Inverse document frequencies are counted over *all* documents. The examples are kept in an inverted index
 whose postings are cut into blocks with the largest weight of each term per block: a query visits
 blocks in falling order of their upper bound and stops when no block can still beat the k-th
 neighbour, so the neighbours are exactly those of a full scan. Similarity-weighted votes are mapped
 to probabilities by isotonic regression over leave-one-out votes.
 
 Edge cases: null and empty texts have no terms and take the calibrated rate of examples without
-terms; with no labelled example at all every score is 0. Equal similarities prefer the smaller
-example id. A document that is labelled twice counts as toxic if either label says so. Extra
-columns pass through untouched.
+terms; with no labelled example at all every score is 0. Very long texts are scored whole. Equal
+similarities prefer the example whose terms sort first; ids decide nothing. A document that is labelled
+twice counts as toxic if either label says so. A labelled row that is scored itself has its own example
+among its neighbours. Repeated rows get equal scores. Extra columns pass through untouched; one that has
+the added column's name is replaced.
 """
 
 from __future__ import annotations
@@ -34,11 +38,13 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Params:
-    """``examples`` bounds the labelled sample, ``vocabulary`` the terms, ``k`` the neighbours."""
+    """``examples`` bounds the labelled sample, ``k`` the neighbours; ``significance`` is the least
+    log-likelihood ratio of a term (15.1 is the 0.0001 point of chi-square with one degree of freedom);
+    ``memo_bytes`` bounds what a task remembers of words, and of vectors, to save time."""
 
     examples: int = 8000
-    vocabulary: int = 1024
-    min_df: int = 8
+    significance: float = 15.1
+    memo_bytes: int = 24 << 20
     k: int = 25
     block: int = 32
     prefix: tuple[int, int] = (3, 8)
@@ -55,12 +61,13 @@ def word_terms(word: str, prefix: tuple[int, int]) -> list[str]:
 
 
 class Vectoriser:
-    """Text to sorted (term index, count) pairs over a fixed vocabulary, with a bounded word memo."""
+    """Text to sorted (term index, count) pairs over a fixed vocabulary, with a word memo bounded in bytes."""
 
-    def __init__(self, terms: list[str], prefix: tuple[int, int]):
+    def __init__(self, terms: list[str], prefix: tuple[int, int], memo_bytes: int):
         self.index = {t: i for i, t in enumerate(terms)}
         self.prefix = prefix
         self.memo: dict[str, tuple] = {}
+        self.held, self.memo_bytes = 0, memo_bytes
 
     def __call__(self, text: str | None) -> tuple[tuple[int, int], ...]:
         if not text:
@@ -69,9 +76,11 @@ class Vectoriser:
         for word, n in Counter(WORD.findall(text.lower())).items():
             ids = memo.get(word)
             if ids is None:
-                if len(memo) > 400_000:
+                if self.held > self.memo_bytes:
                     memo.clear()
-                ids = memo[word] = tuple(self.index[t] for t in word_terms(word[:64], self.prefix) if t in self.index)
+                    self.held = 0
+                ids = memo[word] = tuple([self.index[t] for t in word_terms(word, self.prefix) if t in self.index])
+                self.held += 4 * len(word) + 160 + 8 * len(ids)
             for i in ids:
                 counts[i] += n
         return tuple(sorted(counts.items()))
@@ -108,11 +117,11 @@ class BlockMaxIndex:
         return terms, weights / math.sqrt(float(weights @ weights))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k best (similarity, position), ties by example id; positive similarities only."""
+        """The k best (similarity, position), ties by position; positive similarities only."""
         if not len(terms) or not self.blocks:
             return []
         upper = weights @ self.bound[terms]
-        best: list[tuple[float, int, int]] = []
+        best: list[tuple[float, int]] = []
         kth = 0.0
         for b in np.argsort(-upper, kind="stable"):
             if upper[b] <= 0 or len(best) == k and upper[b] < kth - 1e-12:
@@ -123,11 +132,11 @@ class BlockMaxIndex:
             scores = weights[have] @ rows[rank[have]]
             near = np.flatnonzero((scores > 0) & (scores >= (kth - 1e-12 if len(best) == k else 0)))
             base = b * self.block
-            best += [(-round(float(scores[j]), 12), int(self.ids[base + j]), int(base + j)) for j in near if base + j != skip]
+            best += [(-round(float(scores[j]), 12), int(base + j)) for j in near if base + j != skip]
             best.sort()
             del best[k:]
             kth = -best[-1][0] if best else 0.0
-        return [(-s, p) for s, _, p in best]
+        return [(-s, p) for s, p in best]
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
                 words = set(WORD.findall(text.lower()))
-                for t in {t for w in words for t in word_terms(w[:64], prefix)}:
+                for t in {t for w in words for t in word_terms(w, prefix)}:
                     seen[t, label > 0] += 1
         if seen:
             yield pd.DataFrame({"term": [t for t, _ in seen], "pos": [n if y else 0 for (_, y), n in seen.items()], "neg": [0 if y else n for (_, y), n in seen.items()]})
@@ -216,16 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
         part(a, df * (pos / n)) + part(b, df * ((n - pos) / n))
         + part(F.lit(float(pos)) - a, (F.lit(float(n)) - df) * (pos / n)) + part(F.lit(float(n - pos)) - b, (F.lit(float(n)) - df) * ((n - pos) / n))
     )
-    # 15.1 is the 0.0001 point of chi-square with one degree of freedom
-    chosen = table.filter(df >= params.min_df).withColumn("g2", F.round(g2, 6)).filter("g2 > 15.1")
-    terms = sorted(r["term"] for r in chosen.orderBy(F.desc("g2"), "term").limit(params.vocabulary).collect())
+    # only terms of the bounded examples, and of these only what tells the labels apart
+    terms = sorted(r["term"] for r in table.filter(F.round(g2, 6) > params.significance).select("term").collect())
 
-    frequency = document_frequencies(docs, terms, prefix)
+    frequency = document_frequencies(docs, terms, params)
     total = docs.count()
     idf = np.array([math.log((total + 1) / (frequency.get(i, 0) + 1)) + 1 for i in range(len(terms))])
 
     def vectors(batches):
-        vec = Vectoriser(terms, prefix)
+        vec = Vectoriser(terms, prefix, params.memo_bytes)
         for pdf in batches:
             found = [vec(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "i": [[t for t, _ in v] for v in found], "n": [[c for _, c in v] for v in found]})
@@ -251,21 +259,22 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     return model
 
 
-def document_frequencies(docs: DataFrame, terms: list[str], prefix: tuple[int, int]) -> dict[int, int]:
+def document_frequencies(docs: DataFrame, terms: list[str], params: Params) -> dict[int, int]:
     """In how many of all documents each vocabulary term occurs; tasks emit one count per term."""
 
     def count(batches):
-        vec, seen = Vectoriser(terms, prefix), np.zeros(len(terms), np.int64)
+        vec, seen = Vectoriser(terms, params.prefix, params.memo_bytes), np.zeros(len(terms), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for i, _ in vec(text):
-                    seen[i] += 1
+            for at in range(0, batch.num_rows, 256):
+                for text in batch.column(0).slice(at, 256).to_pylist():
+                    for i, _ in vec(text):
+                        seen[i] += 1
         used = np.flatnonzero(seen)
         import pyarrow as pa
 
         yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int32()), "n": pa.array(seen[used], pa.int64())})
 
-    counts = docs.select("text").mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
     return {r["i"]: r["n"] for r in counts.collect()}  # at most one row per vocabulary term
 
 
@@ -286,15 +295,17 @@ def scorer(spark, model: Model):
     def score(text: pd.Series) -> pd.DataFrame:
         m: Model = shipped.value
         if "vec" not in state:
-            state["vec"], state["memo"] = Vectoriser(m.terms, m.params.prefix), {}
+            state["vec"], state["memo"], state["held"] = Vectoriser(m.terms, m.params.prefix, m.params.memo_bytes), {}, 0
         vec, memo = state["vec"], state["memo"]
         scores, evidence = [], []
         for t in text:
             v = vec(t)
             got = memo.get(v)
             if got is None:
-                if len(memo) > 50_000:
+                if state["held"] > m.params.memo_bytes:
                     memo.clear()
+                    state["held"] = 0
+                state["held"] += 120 * len(v) + 300 * m.params.evidence
                 s, near = m.score(v)
                 got = memo[v] = (s, [{"doc_id": int(m.index.ids[p]), "similarity": x, "label": int(m.index.labels[p])} for x, p in near[: m.params.evidence]])
             scores.append(got[0])
@@ -306,7 +317,7 @@ def scorer(spark, model: Model):
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """``docs`` with a struct column ``name``: score in 0..1 and the nearest labelled examples."""
-    return docs.withColumn(name, scorer(docs.sparkSession, model)(F.col("text")))
+    return docs.withColumn(name, scorer(docs.sparkSession, model)(F.col("text").cast("string")))
 
 
 def reject(docs: DataFrame, labels: DataFrame, params: Params = Params(), threshold: float = 0.5) -> DataFrame:
