@@ -5,14 +5,17 @@
    the row that would stay, plus one small line per input row. However many copies a text has, a
    task passes on one entry per table flush, so a hot text never gathers in one place.
 2. *Directory.* From the byte counts of key prefixes (a bounded histogram) the directory doubles
-   until no bucket is overfull or no prefix bits are left.
-3. *Owners.* Each bucket has one owner task, which reads its entries in key order as a stream, chains
-   entries whose keys collide, compares bytes, and emits the surviving row and the group's size.
+   until no bucket is overfull or no prefix bits are left. The capacity of a bucket is at least
+   ``bucket_bytes`` and a fixed share of all entries, so the prefix bits suffice at every size. The
+   directory, slot by slot, is a table of the index beside its segments.
+3. *Owners.* Buckets are dealt to owner tasks by ranges of their slots: an owner holds one key range,
+   reads its entries in key order as a stream, chains entries whose keys collide, compares bytes, and
+   emits the surviving row and the group's size.
 
 Edge cases: null text counts as empty, so null and empty rows are one group. Of equal texts the
 row with the largest doc_id stays (null is smaller than any id); of rows that repeat a doc_id and its
-text exactly one stays. All columns of a surviving row are carried as one struct, so no column name
-can clash. Empty tables give empty results.
+text exactly one stays. Very long texts are hashed and compared whole. All columns of a surviving row are
+carried as one struct, so no column name can clash. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ class Params:
     flush_bytes: int = 48 << 20
     bucket_bytes: int = 8 << 20
     key_bits: int = 128
-    max_depth: int = 20
+    max_depth: int = 16
 
 
 LEAST = -(1 << 63)
@@ -183,10 +186,11 @@ def _owner(out: pa.Schema, keep_rows: bool):
 @dataclass
 class Index:
     """``entries``: key, entry, keep_id, keep_line, group_size, row (of the survivor only);
-    ``lines``: doc_id, entry, line, text_sha256 for every input row."""
+    ``lines``: doc_id, entry, line, text_sha256 for every input row; ``directory``: slot, bucket, owner."""
 
     entries: DataFrame
     lines: DataFrame
+    directory: DataFrame
     depth: int
     buckets: int
 
@@ -205,32 +209,32 @@ def build(docs: DataFrame, params: Params = Params(), scratch: Scratch | None =
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(segment)
-    hist = min(params.max_depth, 16)
+    hist = params.max_depth
     segments = scratch.keep(row.mapInArrow(_segments(arrow, arrow.field("row").type, params, hist), segment), "segments")
     entries = segments.filter("is_entry")
     # bounded: at most 2**hist cells, and cells merge before they reach the driver
     total = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
-    bits = max(1, min(hist, (total // max(1, params.bucket_bytes)).bit_length() + 3))
+    capacity = max(1, params.bucket_bytes, total >> (hist - 2))
+    bits = max(1, min(hist, (total // capacity).bit_length() + 3))
     cells = entries.groupBy((F.shiftright("prefix", hist - bits)).alias("p")).agg(F.sum("bytes").alias("b")).collect()
-    depth, slots = directory({r["p"]: r["b"] for r in cells}, bits, params.bucket_bytes)
-    lookup = F.array(*[F.lit(s) for s in slots]) if len(slots) <= 256 else None
-    slot = F.shiftright("prefix", hist - depth)
-    if lookup is None:
-        table = spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int")  # 2**depth rows, at most 65,536
-        dealt = entries.withColumn("slot", slot).join(F.broadcast(table), "slot")
-    else:
-        dealt = entries.withColumn("bucket", F.get(lookup, slot))
+    depth, slots = directory({r["p"]: r["b"] for r in cells}, bits, capacity)
+    number = {s: i for i, s in enumerate(sorted(set(slots)))}
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(1, min(len(number), max(tasks, total // (64 * capacity))))
+    rows = [(s, b, number[b] * owners // len(number)) for s, b in enumerate(slots)]
+    table = scratch.keep(spark.createDataFrame(rows, "slot int, bucket int, owner int").coalesce(1), "directory")  # 2**depth rows, at most 2**max_depth
+    dealt = entries.withColumn("slot", F.shiftright("prefix", hist - depth)).join(F.broadcast(table), "slot")
     out = T.StructType([T.StructField(n, t) for n, t in (("key", T.BinaryType()), ("entry", T.LongType()), ("keep_id", T.LongType()), ("keep_line", T.LongType()), ("group_size", T.LongType()), ("row", row_type))])
     arrow_out = to_arrow_schema(out)
     owned = (
-        dealt.select("bucket", "key", "entry", "line", "n", "row")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "key", "entry")
+        dealt.select("owner", "key", "entry", "line", "n", "row")
+        .repartitionById(owners, F.col("owner"))
+        .sortWithinPartitions("key", "entry")
         .select("key", "entry", "line", "n", "row")
         .mapInArrow(_owner(arrow_out, keep_rows), out)
     )
     lines = segments.filter(~F.col("is_entry")).select("doc_id", "entry", "line", "text_sha256")
-    return Index(owned, lines, depth, len(set(slots)))
+    return Index(owned, lines, table, depth, len(number))
 
 
 def survivors(docs: DataFrame, params: Params = Params()) -> DataFrame:
