@@ -7,8 +7,9 @@ anti-join; of equal conversations the one with the smallest conv_id stays. The r
 conversations are rendered turn by turn.
 
 Turns are ordered by turn, then role, then text; a null role or text counts as empty. Long
-conversations are hashed in chunks of turn numbers, so a single conv_id with very many turns is
-spread over tasks. Rendering gives one row per turn: ``<|role|>\\ntext<|end|>\\n`` with its position and
+conversations are hashed in chunks of turn numbers and every join is by chunk or position, so a single
+conv_id with very many turns is spread over tasks; turns that share one number are ordered in one task,
+which spills. Very long texts are rendered whole. Rendering gives one row per turn: ``<|role|>\\ntext<|end|>\\n`` with its position and
 whether it is a training target (assistant turns). Repeated rows are turns of their own. Rows with a
 null conv_id belong to no conversation and are dropped from the result. Extra columns are ignored.
 """
@@ -25,7 +26,7 @@ CHUNK = 1000
 
 
 def positions(turns: DataFrame) -> DataFrame:
-    """conv_id, position (0-based), role, text and the two hashes of the prefix that ends here."""
+    """conv_id, chunk, position (0-based), role, text and the two hashes of the prefix that ends here."""
     clean = turns.filter("conv_id is not null").select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     clean = clean.withColumn("chunk", F.floor(F.col("turn") / CHUNK))
     inside = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
@@ -37,7 +38,7 @@ def positions(turns: DataFrame) -> DataFrame:
     sums = hashed.groupBy("conv_id", "chunk").agg(F.bit_xor("h1").alias("c1"), F.bit_xor("h2").alias("c2"))
     carried = sums.select("conv_id", "chunk", F.coalesce(F.bit_xor("c1").over(earlier), F.lit(0)).alias("c1"), F.coalesce(F.bit_xor("c2").over(earlier), F.lit(0)).alias("c2"))
     rolling = hashed.withColumns({"r1": F.bit_xor("h1").over(inside), "r2": F.bit_xor("h2").over(inside)}).join(carried, ["conv_id", "chunk"])
-    return rolling.select("conv_id", "position", "role", "text", F.col("r1").bitwiseXOR(F.col("c1")).alias("p1"), F.col("r2").bitwiseXOR(F.col("c2")).alias("p2"))
+    return rolling.select("conv_id", "chunk", "position", "role", "text", F.col("r1").bitwiseXOR(F.col("c1")).alias("p1"), F.col("r2").bitwiseXOR(F.col("c2")).alias("p2"))
 
 
 def maximal(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -48,9 +49,11 @@ def maximal(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     # copies first: one conversation per full hash, so what follows sees each content once
     first = whole.groupBy("position", "p1", "p2").agg(F.min("conv_id").alias("conv_id"))
     # proper prefixes of any conversation, each once; a hot prefix is one row after this aggregation
-    proper = rolled.join(whole.select("conv_id", F.col("position").alias("end")), "conv_id").filter("position < end").groupBy("position", "p1", "p2").agg(F.count("*").alias("n"))
+    proper = rolled.join(whole.select("conv_id", "position"), ["conv_id", "position"], "left_anti").groupBy("position", "p1", "p2").agg(F.count("*").alias("n"))
     kept = first.join(proper.drop("n"), ["position", "p1", "p2"], "left_anti").select("conv_id")
-    return rolled.join(kept, "conv_id", "left_semi").drop("p1", "p2")
+    # by chunk, so that no join gathers a long conversation
+    chunks = rolled.select("conv_id", "chunk").distinct().join(kept, "conv_id", "left_semi")
+    return rolled.join(chunks, ["conv_id", "chunk"], "left_semi").drop("p1", "p2", "chunk")
 
 
 def render(turns: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -10,8 +10,9 @@ agree with the document in at least ``match`` of their positions.
 
 Edge cases: items of fewer tokens than ``window`` get masks of their own length's patterns; items
 under ``min_tokens`` tokens are no evidence and match nothing; null or empty texts match nothing.
-Rows without a doc_id are not judged (and are kept). Rows that repeat a doc_id are judged together.
-Extra columns are ignored, or passed through by ``survivors``.
+Rows without a doc_id are not judged (and are kept). Rows that repeat a doc_id are judged together. Very long
+texts are judged whole. Empty tables, of documents or items, give no leak. Extra columns, whatever their
+names, are ignored, or passed through by ``survivors``.
 """
 
 from __future__ import annotations
@@ -107,8 +108,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), scratch:
     hits = masked(rows, masks).join(seeds, "hash").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     hits = scratch.keep(hits, "hits")
     n_hits = hits.count()
-    found = hits.select(F.col("doc_id").alias("hit_id")).distinct()
-    candidates = docs.join(checked(found, n_hits), docs["doc_id"] == F.col("hit_id"), "left_semi").select("doc_id", tokens(F.col("text")).alias("doc"))
+    found = hits.select("doc_id").distinct()
+    candidates = docs.select("doc_id", "text").join(checked(found, n_hits), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("doc"))
     aligned = candidates.join(checked(hits, n_hits), "doc_id").join(checked(items), "item_id")
     agree = F.transform("tokens", lambda t, j: F.when(F.try_element_at("doc", F.when(F.col("diagonal") + j >= 0, F.col("diagonal") + j + 1).otherwise(F.size("doc") + 1)) == t, 1).otherwise(0))
     n = F.size("tokens")
@@ -132,5 +133,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), scratch:
 def survivors(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` without the documents that leak an item."""
     scratch = Scratch(docs.sparkSession, "decontaminated")
-    bad = scratch.keep(leaks(docs, benchmark, p, scratch).select(F.col("doc_id").alias("leak_id")).distinct(), "leaking")
-    return docs.join(checked(bad), docs["doc_id"] == bad["leak_id"], "left_anti")
+    bad = scratch.keep(leaks(docs, benchmark, p, scratch).select("doc_id").distinct(), "leaking")
+    return docs.join(checked(bad), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

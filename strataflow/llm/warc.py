@@ -11,7 +11,8 @@ part of a key, a binary search of the part's directory finds the block, a binary
 finds the line, and a range read fetches just that record.
 
 Edge cases: a null html is an empty payload; payloads under ``min_revisit`` bytes are always responses.
-A null URL has the empty key. Of rows that repeat a page_id with an equal payload each is a response of
+A null URL has the empty key; very long URLs and payloads are written whole. Empty tables make no archive;
+an archive that lacks records, or ends inside one, is an error. Of rows that repeat a page_id with an equal payload each is a response of
 its own; a null page_id is a response unless an identified row has its payload. Extra columns are
 ignored. A lost task is repeated under another attempt name and renamed over, so archives are whole.
 """
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, checked
@@ -38,10 +39,15 @@ DATE = "2000-01-01T00:00:00Z"
 
 @dataclass(frozen=True)
 class Params:
+    """``part_bytes`` is about the payload of one archive (unless ``parts`` says how many there are), ``hot``
+    the copies from which a payload's digest is joined by broadcast."""
+
     min_revisit: int = 0
     block_lines: int = 200
     level: int = 3
+    part_bytes: int = 1 << 30
     parts: int | None = None
+    hot: int = 10_000
 
 
 def url_key(url: str | None) -> str:
@@ -98,6 +104,8 @@ def members(source) -> Iterator[bytes]:
         if d.eof:
             yield b"".join(parts)
             left, d, parts = d.unused_data, zlib.decompressobj(31), []
+    if parts:
+        raise ValueError("the last member of the archive is incomplete")
 
 
 def gz(data: bytes, level: int) -> bytes:
@@ -115,9 +123,11 @@ def write(pages: DataFrame, root: str, p: Params = Params()) -> DataFrame:
     rows = pages.select("page_id", "url", html.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
     scratch = Scratch(spark, "warc-digests")
     # pre-aggregated by digest: a payload that a third of all pages share is one row here
-    groups = scratch.keep(rows.filter(F.col("bytes") >= p.min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null").drop("n"), "groups")
+    seen = Observation()
+    by_digest = rows.observe(seen, F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).filter(F.col("bytes") >= p.min_revisit)
+    groups = scratch.keep(by_digest.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null"), "groups")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    parts = p.parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = p.parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen.get["bytes"] // p.part_bytes))
 
     def run(batches):
         from pyspark import TaskContext
@@ -155,7 +165,12 @@ def write(pages: DataFrame, root: str, p: Params = Params()) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"part": part, "first_key": first, "records": n, "archive": archive, "index": index, "directory": directory}], schema=pa.schema([("part", pa.int32()), ("first_key", pa.string()), ("records", pa.int64()), ("archive", pa.string()), ("index", pa.string()), ("directory", pa.string())]))
 
     # a revisit's digest is that of its payload, taken before the payload is dropped
-    dealt = rows.join(checked(groups), "digest", "left").select(
+    # rows of hot payloads leave the join by digest, which would gather them, for a broadcast of the few hot digests
+    hot = groups.filter(F.col("n") > p.hot).select(F.col("digest").alias("hot_digest"), F.col("first_id").alias("hot_id"))
+    cold = groups.filter(F.col("n") <= p.hot).select(F.col("digest").alias("cold_digest"), F.col("first_id").alias("cold_id"))
+    alone = F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    known = rows.join(checked(hot), F.col("digest") == F.col("hot_digest"), "left").withColumn("alone", alone).join(checked(cold), F.col("alone") == F.col("cold_digest"), "left")
+    dealt = known.withColumn("first_id", F.coalesce("hot_id", "cold_id")).select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "bytes", F.when(revisit, F.col("first_id")).alias("refers_to"), _key_column(F.col("url")).alias("key"), F.sha1("payload").alias("sha1")
     )
     ordered = dealt.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
@@ -175,11 +190,15 @@ def _key_column(url):
 READ = "page_id long, url string, record_type string, payload binary, payload_digest string, payload_bytes long, refers_to long"
 
 
-def streamed(archive: str) -> Iterator[dict]:
+def streamed(archive: str, records: int) -> Iterator[dict]:
     """The records of an archive from its first byte to its last."""
+    n = 0
     with stream(archive) as source:
         for data in members(source):
+            n += 1
             yield parse(data)
+    if n != records:
+        raise ValueError(f"{archive}: {n} of {records} records")
 
 
 def indexed(archive: str, index: str, directory: str, records: int) -> Iterator[dict]:
@@ -214,7 +233,7 @@ def scan(spark: SparkSession, parts: DataFrame, payloads: bool = False, by_index
             for part in batch.to_pylist():
                 archive = part["archive"]
                 found, held = [], 0
-                for r in indexed(**part) if by_index else streamed(archive):
+                for r in indexed(**part) if by_index else streamed(archive, part["records"]):
                     if r["record_type"] == "response" and (base32_sha1(r["payload"]) != r["payload_digest"] or len(r["payload"]) != r["payload_bytes"]):
                         raise ValueError(f"{archive}: payload of page {r['page_id']} does not match its digest")
                     held += len(r["payload"]) if payloads else 100
