@@ -1,23 +1,33 @@
-"""An append-only store of graph versions on Parquet parts and an atomic manifest.
-
-``root/v=N/<table>/`` holds what version N wrote; ``root/manifest.json`` lists the versions and is the
-commit point: it is written beside itself and renamed, after checking that nobody else moved the version
-on. Validity intervals are never stored: a source's rows end where its next write (or tombstone) begins,
-so rollback and prune only change the manifest. Readers pin a manifest and are never disturbed.
+"""An append-only store of graph versions on Parquet parts and numbered manifests.
+
+``root/parts/<attempt>/<table>/`` holds what one publish attempt wrote, every row with the version that
+wrote it (``written``); ``root/manifests/<n>.json`` lists the versions and their parts. The manifest with the
+highest number counts. A commit creates the next one if nobody else has: that is one atomic step, nothing is
+deleted or replaced, so a crash leaves the previous manifest in force and of two publishers one gets a
+conflict. Validity intervals are never stored: a source's rows end where its next write (or tombstone)
+begins, so rollback and prune only write a manifest. When as many versions have been forgotten as are kept,
+what is still visible of them is compacted into one base part; ``vacuum`` deletes what no manifest in force
+names, after a grace period for readers that hold an older one.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import os
+import time
+import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataflow.schema import RETAINED_VERSIONS, SCHEMA_VERSION
 
-SOURCES = "source_path string, deleted boolean"
+SOURCES = "source_path string, deleted boolean, written long"
 
 
 class StoreError(ValueError):
@@ -26,11 +36,15 @@ class StoreError(ValueError):
 
 @dataclass
 class Manifest:
+    """``versions``: version, published_at, counts, part of each kept version, oldest first. ``older``: parts
+    that hold rows of forgotten versions, oldest first. A part is its folder, tables (name to schema) and bytes."""
+
     schema: int = SCHEMA_VERSION
+    number: int = 0
     versions: list[dict] = field(default_factory=list)
+    older: list[dict] = field(default_factory=list)
     next_version: int = 1
     pruned_below: int = 1
-    rolled_back: list[int] = field(default_factory=list)
 
     def latest(self) -> int:
         if not self.versions:
@@ -38,11 +52,13 @@ class Manifest:
         return self.versions[-1]["version"]
 
     def check(self, version: int) -> int:
-        known = [v["version"] for v in self.versions]
-        if version in known:
+        if any(v["version"] == version for v in self.versions):
             return version
         raise StoreError("pruned" if 0 < version < self.pruned_below else "version not found")
 
+    def parts(self) -> list[dict]:
+        return [*self.older, *(v["part"] for v in self.versions)]
+
 
 class Store:
     """Contribution tables (each with ``source_path``) and workspace tables of one workspace."""
@@ -55,128 +71,220 @@ class Store:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def manifest(self) -> Manifest:
-        files, at = self._fs(f"{self.root}/manifest.json")
-        if not files.exists(at):
+    def _list(self, folder: str) -> list:
+        files, at = self._fs(f"{self.root}/{folder}")
+        return list(files.listStatus(at)) if files.exists(at) else []
+
+    def _numbers(self) -> list[int]:
+        names = [s.getPath().getName() for s in self._list("manifests")]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def manifest(self, number: int | None = None) -> Manifest:
+        """The manifest in force, or an earlier one by its number."""
+        numbers = self._numbers()
+        if not numbers:
             return Manifest()
-        m = Manifest(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(files.open(at), "UTF-8")))
+        files, at = self._fs(f"{self.root}/manifests/{numbers[-1] if number is None else number:012d}.json")
+        stream = files.open(at)
+        try:
+            m = Manifest(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
         if m.schema != SCHEMA_VERSION:
             raise StoreError(f"schema version {m.schema} is not {SCHEMA_VERSION}")
         return m
 
-    def _commit(self, before: Manifest, after: Manifest) -> None:
-        now = self.manifest()
-        if (now.next_version, now.versions) != (before.next_version, before.versions):
-            raise StoreError("conflict")
-        files, temp = self._fs(f"{self.root}/.manifest-{after.next_version}.tmp")
+    def _commit(self, before: Manifest, after: Manifest) -> Manifest:
+        """Create the manifest that follows ``before``, if nobody else has."""
+        after.number = before.number + 1
+        files, temp = self._fs(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
+        _, at = self._fs(f"{self.root}/manifests/{after.number:012d}.json")
         out = files.create(temp, True)
-        out.write(bytearray(json.dumps(after.__dict__).encode()))
+        out.write(bytearray(json.dumps(asdict(after)).encode()))
         out.close()
-        _, at = self._fs(f"{self.root}/manifest.json")
-        files.delete(at, False)
-        if not files.rename(temp, at):
+        self._create(files, temp, at)
+        return after
+
+    def _create(self, files, temp, at) -> None:
+        """Give a written file its name unless that name exists; one atomic step."""
+        qualified = [urlparse(files.makeQualified(p).toString()) for p in (temp, at)]
+        if qualified[0].scheme == "file":
+            source, target = (unquote(q.path) for q in qualified)
+            try:
+                os.link(source, target)
+            except FileExistsError:
+                raise StoreError("conflict") from None
+            finally:
+                files.delete(temp, False)
+        elif not files.rename(temp, at):  # refuses an existing target
+            files.delete(temp, False)
             raise StoreError("conflict")
 
-    def publish(self, tables: dict[str, DataFrame], rewritten: DataFrame, workspace: dict[str, DataFrame] | None = None, full: bool = False, replaced_owners: DataFrame | None = None, on_progress=None) -> int:
+    def _write(self, part: dict, name: str, df: DataFrame) -> None:
+        at = f"{self.root}/parts/{part['folder']}/{name}"
+        df.write.parquet(at)
+        files, path = self._fs(at)
+        part["tables"][name] = df.schema.json()
+        part["bytes"] += files.getContentSummary(path).getLength()
+
+    def publish(self, tables: dict[str, DataFrame], rewritten: DataFrame, workspace: dict[str, DataFrame] | Callable | None = None, full: bool = False, replaced_owners: DataFrame | None = None, on_progress=None) -> int:
         """Write one version. ``rewritten`` (source_path, deleted) lists the sources it replaces; a full
         index also closes every known source that is not among them. Workspace edges of owners that are
-        not replaced are carried over from the previous version."""
+        not replaced are carried over from the previous version. ``workspace`` may be a function that gets
+        a ``Staged`` view of the new version, before it is committed, and returns the workspace tables."""
         before = self.manifest()
         v = before.next_version
         if rewritten.groupBy("source_path").count().filter("count > 1").limit(1).count():
             raise StoreError("a source is contributed twice")
         if full and before.versions:
-            known = self._writes(before).filter("not deleted").select("source_path").distinct()
+            known = self.intervals(before).filter("valid_to is null and not deleted").select("source_path")
             gone = known.join(rewritten.select("source_path"), "source_path", "left_anti").withColumn("deleted", F.lit(True))
             rewritten = rewritten.select("source_path", "deleted").unionByName(gone)
-        at = f"{self.root}/v={v}"
-        rewritten.select("source_path", "deleted").write.mode("overwrite").parquet(f"{at}/_sources")
-        counts = {}
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{at}/{name}")
-            counts[name] = self.spark.read.parquet(f"{at}/{name}").count()
-            if on_progress:
-                on_progress(name, counts[name])
-        for name, df in (workspace or {}).items():
-            if replaced_owners is not None and before.versions and "owner" in df.columns:
-                previous = self.workspace(name, before.latest()).join(replaced_owners.select(F.col("source_path").alias("owner")), "owner", "left_anti")
-                df = df.unionByName(previous.select(df.columns)).distinct()
-            df.write.mode("overwrite").parquet(f"{at}/ws_{name}")
-        if self.byte_budget is not None:
-            files, root = self._fs(self.root)
-            if files.getContentSummary(root).getLength() > self.byte_budget:
-                dropped, part = self._fs(at)
-                dropped.delete(part, True)
+        part = {"folder": f"{v:06d}-{uuid.uuid4().hex[:12]}", "tables": {}, "bytes": 0}
+        try:
+            version = F.lit(v).cast("long").alias("written")
+            self._write(part, "_sources", rewritten.select("source_path", "deleted", version))
+            counts = {}
+            for name, df in tables.items():
+                self._write(part, name, df.select("*", version))
+                counts[name] = self._scan([part], name).count()
+                if on_progress:
+                    on_progress(name, counts[name])
+            if callable(workspace):
+                workspace = workspace(Staged(self, before, part))
+            for name, df in (workspace or {}).items():
+                if replaced_owners is not None and before.versions and "owner" in df.columns:
+                    previous = self._workspace(before, name, before.latest()).join(replaced_owners.select(F.col("source_path").alias("owner")), "owner", "left_anti")
+                    df = df.unionByName(previous.select(df.columns)).distinct()
+                self._write(part, f"ws_{name}", df)
+            entry = {"version": v, "published_at": datetime.now(timezone.utc).isoformat(), "counts": counts, "part": part}
+            after = self._retain(Manifest(versions=[*before.versions, entry], older=before.older, next_version=v + 1, pruned_below=before.pruned_below))
+            if self.byte_budget is not None and sum(p["bytes"] for p in after.parts()) > self.byte_budget:
                 raise StoreError("budget")
-        entry = {"version": v, "published_at": datetime.now(timezone.utc).isoformat(), "counts": counts}
-        after = Manifest(versions=[*before.versions, entry], next_version=v + 1, pruned_below=before.pruned_below, rolled_back=before.rolled_back)
-        if len(after.versions) > self.retained:
-            after.versions = after.versions[-self.retained :]
-            after.pruned_below = after.versions[0]["version"]
-        self._commit(before, after)
+            self._commit(before, after)
+        except BaseException:
+            files, at = self._fs(f"{self.root}/parts/{part['folder']}")
+            files.delete(at, True)
+            raise
         return v
 
-    def _parts(self, m: Manifest) -> list[int]:
-        """Every version that was written and not rolled back; pruned ones still hold live rows."""
-        return [v for v in [*range(1, m.pruned_below), *(v["version"] for v in m.versions)] if v not in m.rolled_back]
-
-    def _existing(self, m: Manifest, name: str) -> list[tuple[int, str]]:
-        out = []
-        for v in self._parts(m):
-            files, at = self._fs(f"{self.root}/v={v}/{name}")
-            if files.exists(at):
-                out.append((v, f"{self.root}/v={v}/{name}"))
-        return out
-
-    def _read(self, m: Manifest, name: str) -> DataFrame | None:
-        out = None
-        for v, path in self._existing(m, name):
-            df = self.spark.read.parquet(path).withColumn("valid_from", F.lit(v).cast("long"))
-            out = df if out is None else out.unionByName(df)
-        return out
+    def _retain(self, m: Manifest) -> Manifest:
+        """``m`` with its newest versions only; forgotten ones become older parts, and one base part in time."""
+        over = m.versions[: max(0, len(m.versions) - self.retained)]
+        if over:
+            m.versions, m.older = m.versions[len(over) :], [*m.older, *(v["part"] for v in over)]
+            m.pruned_below = m.versions[0]["version"]
+        return self._compacted(m) if len(m.older) > self.retained else m
+
+    def _compacted(self, m: Manifest) -> Manifest:
+        """``m`` with one base part in place of its older ones: their rows that a kept version still shows."""
+        base = {"folder": f"base-{uuid.uuid4().hex[:12]}", "tables": {}, "bytes": 0}
+        live = self.intervals(m).select("source_path", "written")
+        for name in sorted({n for p in m.older for n in p["tables"] if not n.startswith("ws_")}):
+            self._write(base, name, self._scan(m.older, name).join(live, ["source_path", "written"], "left_semi"))
+        return Manifest(versions=m.versions, older=[base], next_version=m.next_version, pruned_below=m.pruned_below)
+
+    def compact(self) -> None:
+        """Bring what is still visible of forgotten versions into one base part now."""
+        before = self.manifest()
+        if len(before.older) > 1:
+            self._commit(before, self._compacted(before))
+
+    def vacuum(self, grace_seconds: float = 3600.0) -> int:
+        """Delete parts and manifests that have not been in force for at least the grace period; returns
+        how many parts went."""
+        m, oldest, n = self.manifest(), (time.time() - grace_seconds) * 1000, 0
+        needed = {p["folder"] for p in m.parts()}
+        for status in [*self._list("parts"), *self._list("manifests")]:
+            name = status.getPath().getName()
+            is_part = status.isDirectory()
+            if status.getModificationTime() > oldest or name in needed or name == f"{m.number:012d}.json":
+                continue
+            files, at = self._fs(status.getPath().toString())
+            files.delete(at, True)
+            n += is_part
+        return n
+
+    def _scan(self, parts: list[dict], name: str) -> DataFrame | None:
+        """One scan of a table over all parts that have it."""
+        having = [p for p in parts if name in p["tables"]]
+        if not having:
+            return None
+        schema = T.StructType.fromJson(json.loads(having[-1]["tables"][name]))
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/parts/{p['folder']}/{name}" for p in having])
 
     def _writes(self, m: Manifest) -> DataFrame:
-        found = self._read(m, "_sources")
-        return found if found is not None else self.spark.createDataFrame([], SOURCES + ", valid_from long")
+        found = self._scan(m.parts(), "_sources")
+        return found if found is not None else self.spark.createDataFrame([], SOURCES)
 
     def intervals(self, m: Manifest | None = None) -> DataFrame:
-        """(source_path, valid_from, valid_to, deleted), rebased to the oldest kept version."""
+        """(source_path, valid_from, valid_to, deleted, written), rebased to the oldest kept version."""
         m = m or self.manifest()
-        following = F.lead("valid_from").over(Window.partitionBy("source_path").orderBy("valid_from"))
+        following = F.lead("written").over(Window.partitionBy("source_path").orderBy("written"))
         spans = self._writes(m).withColumn("valid_to", following - 1).filter(F.col("valid_to").isNull() | (F.col("valid_to") >= m.pruned_below))
-        return spans.withColumn("written", F.col("valid_from")).withColumn("valid_from", F.greatest("valid_from", F.lit(m.pruned_below).cast("long")))
+        return spans.withColumn("valid_from", F.greatest("written", F.lit(m.pruned_below).cast("long")))
 
     def contributions(self, name: str, version: int | None = None) -> DataFrame:
         """A contribution table with its validity interval; at one version if asked."""
-        m = self.manifest()
+        return self._contributions(self.manifest(), name, version)
+
+    def _contributions(self, m: Manifest, name: str, version: int | None = None) -> DataFrame:
         spans = self.intervals(m).filter("not deleted").select("source_path", "written", "valid_from", "valid_to")
         if version is not None:
             m.check(version)
             spans = spans.filter((F.col("valid_from") <= version) & (F.col("valid_to").isNull() | (F.col("valid_to") >= version)))
-        rows = self._read(m, name)
+        rows = self._scan(m.parts(), name)
         if rows is None:
             raise StoreError(f"no table {name}")
-        return rows.withColumnRenamed("valid_from", "written").join(spans, ["source_path", "written"]).drop("written")
+        return rows.join(spans, ["source_path", "written"]).drop("written")
 
     def workspace(self, name: str, version: int) -> DataFrame:
-        self.manifest().check(version)
-        return self.spark.read.parquet(f"{self.root}/v={version}/ws_{name}")
+        return self._workspace(self.manifest(), name, version)
+
+    def _workspace(self, m: Manifest, name: str, version: int) -> DataFrame:
+        m.check(version)
+        found = self._scan([v["part"] for v in m.versions if v["version"] == version], f"ws_{name}")
+        if found is None:
+            raise StoreError(f"no table {name}")
+        return found
 
     def rollback(self, version: int) -> None:
         """Forget every newer version; what they closed is open again."""
         before = self.manifest()
         before.check(version)
-        gone = [v["version"] for v in before.versions if v["version"] > version]
-        after = Manifest(versions=[v for v in before.versions if v["version"] <= version], next_version=before.next_version, pruned_below=before.pruned_below, rolled_back=[*before.rolled_back, *gone])
-        self._commit(before, after)
+        kept = [v for v in before.versions if v["version"] <= version]
+        self._commit(before, Manifest(versions=kept, older=before.older, next_version=before.next_version, pruned_below=before.pruned_below))
 
     def prune(self, version: int) -> int:
         """Forget versions before ``version``; returns how many."""
         before = self.manifest()
         before.check(version)
+        gone = [v["part"] for v in before.versions if v["version"] < version]
         kept = [v for v in before.versions if v["version"] >= version]
-        self._commit(before, Manifest(versions=kept, next_version=before.next_version, pruned_below=version, rolled_back=before.rolled_back))
-        return len(before.versions) - len(kept)
+        self._commit(before, Manifest(versions=kept, older=[*before.older, *gone], next_version=before.next_version, pruned_below=max(version, before.pruned_below)))
+        return len(gone)
+
+
+class Staged:
+    """What a version that is being published will show: its own part over what its sources leave of the last."""
+
+    def __init__(self, store: Store, before: Manifest, part: dict):
+        self.store, self.before, self.part = store, before, part
+
+    def sources(self) -> DataFrame:
+        """(source_path, deleted) of the version's own sources."""
+        return self.store._scan([self.part], "_sources").select("source_path", "deleted")
+
+    def contributions(self, name: str) -> DataFrame:
+        now = self.store._scan([self.part], name)
+        now = now.drop("written") if now is not None else None
+        if not self.before.versions or self.store._scan(self.before.parts(), name) is None:
+            if now is None:
+                raise StoreError(f"no table {name}")
+            return now
+        last = self.store._contributions(self.before, name, self.before.latest()).drop("valid_from", "valid_to")
+        kept = last.join(self.sources().select("source_path"), "source_path", "left_anti")
+        return kept if now is None else kept.unionByName(now)
 
 
 class Session:

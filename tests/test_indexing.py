@@ -23,7 +23,7 @@ def test_incremental_equals_full_index(spark, tmp_path):
     write(src, {"b.ts": "export class B2 {}\n"})
     (src / "d.ts").unlink()
     assert publish_batch(spark, store, tree, ["./b.ts", "d.ts"]) == 2
-    assert {r["source_path"] for r in store._writes(store.manifest()).filter("valid_from = 2").collect()} == {"a.ts", "b.ts", "d.ts"}
+    assert {r["source_path"] for r in store.intervals().filter("written = 2").collect()} == {"a.ts", "b.ts", "d.ts"}
     fresh = Store(spark, f"file://{tmp_path}/fresh")
     full_index(spark, fresh, tree)
     assert state(store, 2) == state(fresh, 1)
