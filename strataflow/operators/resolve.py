@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .traverse import cut
+from strataflow.functions.lineage import cut
 
 #: Candidate endings of a relative specifier, in order of preference (fixed values).
 TYPESCRIPT_ENDINGS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")

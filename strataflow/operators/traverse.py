@@ -8,6 +8,8 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.functions.lineage import cut
+
 EDGE_KEY = ("source_id", "target_id", "relation")
 
 
@@ -36,8 +38,9 @@ class Traversal:
     levels: dict[str, int] = field(default_factory=dict)
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: str = "outgoing", relations: list[str] | None = None, max_depth: int = 2, max_nodes: int = 100, scope: DataFrame | None = None) -> Traversal:
-    """Breadth-first traversal with a node budget and deterministic order.
+def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: str = "outgoing", relations: list[str] | None = None, max_depth: int = 2, max_nodes: int = 100, scope: DataFrame | None = None, whole: bool = False) -> Traversal:
+    """Breadth-first traversal with a node budget and deterministic order. ``whole`` says that every edge is
+    known to end in existing nodes, which then needs no test in each hop.
 
     The frontier and the result are bounded by ``max_nodes``, so each hop is one filtered scan of the
     edges against a short list; what a hop brings to the driver is cut to the room that is left before it
@@ -65,7 +68,10 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: s
     for depth in range(1, max_depth + 1):
         if not frontier:
             break
-        cand = hops.filter(F.col("from_id").isin(frontier)).join(ids.select(F.col("node_id").alias("to_id")), "to_id", "left_semi").withColumn("k", F.struct("from_id", *EDGE_KEY))
+        cand = hops.filter(F.col("from_id").isin(frontier))
+        if not whole:
+            cand = cand.join(ids.select(F.col("node_id").alias("to_id")), "to_id", "left_semi")
+        cand = cand.withColumn("k", F.struct("from_id", *EDGE_KEY))
         if scope is not None:
             cand = cand.join(scope.select(F.col("node_id").alias("to_id"), F.lit(True).alias("inside")).distinct(), "to_id", "left").fillna(False, ["inside"])
         else:
@@ -78,7 +84,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: s
         full_at = () if room == 0 else tuple(kept[-1]["k"]) if len(kept) == room else None
         selected |= {r["to_id"] for r in kept}
         hop = cand.filter(F.col("to_id").isin(list(selected)))
-        if full_at is not None:
+        if full_at is not None and scope is not None:
             late = ~F.col("inside") & (F.lit(True) if not full_at else F.col("k") > F.struct(*[F.lit(x) for x in full_at]))
             if not cand.filter(late).isEmpty():
                 truncate("node_limit")
@@ -102,23 +108,21 @@ def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str,
     """(node_id, distance) of everything within ``max_depth`` hops of any start, without a node budget.
 
     Purely set-based: each hop joins the frontier with the edges first and tests existence on what that
-    reaches, so the whole edge table is never joined with the nodes.
+    reaches, so the whole edge table is never joined with the nodes. Every hop is written before the next
+    one reads it, so a hop costs one join, not the joins of all hops before it.
     """
     hops = oriented(edges, direction, relations).select("from_id", "to_id")
     ids = nodes.select("node_id")
-    found = starts.select("node_id").distinct().join(nodes.select("node_id"), "node_id", "left_semi").withColumn("distance", F.lit(0))
+    found = cut(starts.select("node_id").distinct().join(ids, "node_id", "left_semi").withColumn("distance", F.lit(0)))
     frontier = found
     for depth in range(1, max_depth + 1):
-        step = frontier.join(hops, F.col("node_id") == F.col("from_id")).select(F.col("to_id").alias("node_id")).distinct().join(found, "node_id", "left_anti").join(ids, "node_id", "left_semi").withColumn("distance", F.lit(depth))
+        step = cut(frontier.join(hops, F.col("node_id") == F.col("from_id")).select(F.col("to_id").alias("node_id")).distinct().join(found, "node_id", "left_anti").join(ids, "node_id", "left_semi").withColumn("distance", F.lit(depth)))
+        if step.isEmpty():
+            break
         found, frontier = found.unionByName(step), step
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and without its lineage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def project_scope(edges: DataFrame, projects: DataFrame) -> DataFrame:
     """Project ids and everything below them through ``contains``, to any depth (cycles end by set difference)."""
     below = edges.filter("relation = 'contains'").select("source_id", "target_id")
@@ -147,18 +151,20 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_de
     """(node_id, distance, path) with path the smallest sequence of edge keys among the shortest ones.
 
     First-in-first-out search over sorted neighbours finds exactly that path, so the minimum per node and
-    hop replaces the queue.
+    hop replaces the queue. Every hop is written before the next one reads it.
     """
     ids = nodes.select("node_id")
     hops = oriented(edges, "both" if undirected else "outgoing", relations)
     hops = hops.select("from_id", "to_id", F.concat_ws("|", *EDGE_KEY).alias("edge"))
-    found = starts.select("node_id", F.lit(0).alias("distance"), F.array().cast("array<string>").alias("path"))
+    found = cut(starts.select("node_id", F.lit(0).alias("distance"), F.array().cast("array<string>").alias("path")))
     frontier = found
     for depth in range(1, max_depth + 1):
-        step = (
+        step = cut(
             frontier.join(hops, F.col("node_id") == F.col("from_id")).groupBy(F.col("to_id").alias("node_id")).agg(F.min(F.concat("path", F.array("edge"))).alias("path"))
             .join(found.select("node_id"), "node_id", "left_anti").join(ids, "node_id", "left_semi").select("node_id", F.lit(depth).alias("distance"), "path")
         )
+        if step.isEmpty():
+            break
         found, frontier = found.unionByName(step), step
     return found
 
