@@ -9,6 +9,7 @@ from strataflow.functions.text import CATALOG, QUESTION, STORE, bm25, identifier
 from strataflow.functions.vectors import cosine, l2
 from strataflow.operators import catalog, evidence, export, incremental, lookup, rank, relations, resolve, snapshot, traverse, usage, validate
 
+from .engine import Engine
 from .fixtures import Tables, with_views
 
 _QUERIES: dict = {}
@@ -246,17 +247,16 @@ def w21(t):
     return incremental.latest_wins(log, ["node_id", "origin"], ["seq"]).select("node_id", "origin", F.size("vector").alias("dims"), "seq")
 
 
-#: Facts of the whole orders table; the SQL counterparts read those of ``FEW_ORDERS`` only.
+#: Facts of the whole orders table.
 FACTS = {
     "fn": "SELECT CASE WHEN o_orderkey % 500 = 0 THEN '' ELSE 'm' || (o_orderkey - o_orderkey % 3) END AS node_id, CASE WHEN o_orderkey % 7 = 0 THEN 'widget' ELSE 'typescript:method' END AS kind, CASE WHEN o_orderkey % 11 = 0 THEN 'guessed' ELSE 'extracted' END AS confidence FROM orders",
     "fe": "SELECT 'm' || (o_orderkey - o_orderkey % 3) AS source_id, 'm' || o_orderkey AS target_id, CASE WHEN o_orderkey % 5 = 0 THEN 'likes' ELSE 'typescript:calls' END AS relation, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'inferred' END AS confidence FROM orders",
 }
-FEW_ORDERS = " WHERE o_orderkey < 3000"
 
 
 @query(
     "W22_violations",
-    f"""WITH fn AS ({FACTS['fn']}{FEW_ORDERS}), fe AS ({FACTS['fe']}{FEW_ORDERS}), ids AS (SELECT node_id, min(kind) AS k FROM fn GROUP BY 1),
+    f"""WITH fn AS ({FACTS['fn']}), fe AS ({FACTS['fe']}), ids AS (SELECT node_id, min(kind) AS k FROM fn GROUP BY 1),
     e AS (SELECT fe.*, a.k AS sk, b.k AS tk, source_id || '|' || target_id || '|' || relation AS fact FROM fe LEFT JOIN ids a ON a.node_id = source_id LEFT JOIN ids b ON b.node_id = target_id)
     SELECT 1 AS phase, node_id AS fact, 1 AS check_no, 'empty_node_id' AS code FROM fn WHERE node_id = ''
     UNION ALL SELECT 1, node_id, 2, 'unknown_node_kind' FROM fn WHERE kind <> 'typescript:method'
@@ -275,7 +275,7 @@ def w22(t):
     return validate.violations(nodes, edges, kinds, ends)
 
 
-@query("W22_first_violation", f"WITH fn AS ({FACTS['fn']}{FEW_ORDERS}) SELECT 1 AS phase, node_id AS fact, 1 AS check_no, 'empty_node_id' AS code FROM fn WHERE node_id = '' LIMIT 1")
+@query("W22_first_violation", f"WITH fn AS ({FACTS['fn']}) SELECT 1 AS phase, node_id AS fact, 1 AS check_no, 'empty_node_id' AS code FROM fn WHERE node_id = '' LIMIT 1")
 def w22b(t):
     return validate.first_violation(w22(t))
 
@@ -350,10 +350,9 @@ def l4(t):
     return lookup.resolve(t.g_nodes, "ASIA", 3).select("node_id", "rank").unionByName(lookup.resolve(t.g_nodes, "saturn", 3).select("node_id", "rank"))
 
 
-@query("L5_rank_retrievals", "WITH w AS (SELECT node_id, label, qualified_name, list_filter(regexp_split_to_array(lower(label), '[^a-z0-9]+'), lambda x: x <> '') AS x FROM g_nodes WHERE kind = 'typescript:function') SELECT node_id FROM w WHERE list_contains(x, 'blue') OR len(list_filter(x, lambda p: starts_with(p, 'blue'))) > 0")
+@query("L5_rank_retrievals", "WITH w AS (SELECT node_id, label, qualified_name, list_filter(regexp_split_to_array(lower(label), '[^a-z0-9]+'), lambda x: x <> '') AS x FROM g_nodes) SELECT node_id FROM w WHERE list_contains(x, 'blue') OR len(list_filter(x, lambda p: starts_with(p, 'blue'))) > 0")
 def l5(t):
-    some = t.g_nodes.filter("kind = 'typescript:function'")
-    return bm25(some, "node_id", {"label": plain_tokens(F.col("label"))}, {"label": 10.0}, [["blue"]]).select("node_id")
+    return bm25(t.g_nodes, "node_id", {"label": plain_tokens(F.col("label"))}, {"label": 10.0}, [["blue"]]).select("node_id")
 
 
 WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '')"
@@ -402,9 +401,9 @@ ALL_TEXT = "concat_ws(' ', node_id, label, qualified_name, span_path, kind)"
 NODE_FIELDS = {f: (WORDS.format(f), w) for f, w in SEARCH_WEIGHTS.items() if f != "tokens"} | {"tokens": (WORDS.format(f"regexp_replace({ALL_TEXT}, '([\\p{{Ll}}\\p{{Nd}}])(\\p{{Lu}})', '\\1 \\2', 'g')"), 5.0)}
 
 
-@query("L7_match_groups", "WITH " + bm25_sql("(SELECT * FROM g_nodes WHERE kind = 'typescript:function')", "node_id", NODE_FIELDS, [("prefix", "blue"), ("prefix", "wid"), ("prefix", "steel")], [[0, 1], [2]]) + " SELECT node_id, score FROM bm")
+@query("L7_match_groups", "WITH " + bm25_sql("g_nodes", "node_id", NODE_FIELDS, [("prefix", "blue"), ("prefix", "wid"), ("prefix", "steel")], [[0, 1], [2]]) + " SELECT node_id, score FROM bm")
 def l7(t):
-    return bm25(t.g_nodes.filter("kind = 'typescript:function'"), "node_id", search_fields(), SEARCH_WEIGHTS, [["blue", "wid"], ["steel"]]).select("node_id", F.round("score", 6).alias("score"))
+    return bm25(t.g_nodes, "node_id", search_fields(), SEARCH_WEIGHTS, [["blue", "wid"], ["steel"]]).select("node_id", F.round("score", 6).alias("score"))
 
 
 def tokens_sql(boundary: str, lower: bool) -> str:
@@ -418,7 +417,7 @@ def tokens_sql(boundary: str, lower: bool) -> str:
 
 for _name, _boundary, _key, _lower in (("L8_store_tokens", STORE, "store", True), ("L9_question_tokens", QUESTION, "question", False), ("L10_catalog_tokens", CATALOG, "catalog", True)):
 
-    @query(_name, f"SELECT node_id, {tokens_sql(_key, _lower)} AS tokens FROM g_nodes WHERE kind <> 'typescript:method'")
+    @query(_name, f"SELECT node_id, {tokens_sql(_key, _lower)} AS tokens FROM g_nodes")
     def _tokens(t, boundary=_boundary, lower=_lower):
         return t.g_nodes.select("node_id", F.array_join(identifier_tokens(F.col("qualified_name"), boundary, lower), " ").alias("tokens"))
 
@@ -468,7 +467,7 @@ def a10(t):
     return t.cat_vectors.groupBy("node_id").agg(F.round(F.min(l2(F.col("vector"), q)), 5).alias("distance"))
 
 
-CANDIDATES = "ca AS (SELECT node_id, kind, label, qualified_name, span_path, CAST(1 + (length(node_id) * 7 + length(label) * 3) % 11 AS DOUBLE) AS score FROM g_nodes WHERE kind IN ('file', 'typescript:class') AND (label LIKE '%9' OR label LIKE '%_1'))"
+CANDIDATES = "ca AS (SELECT node_id, kind, label, qualified_name, span_path, CAST(1 + (length(node_id) * 7 + length(label) * 3) % 11 AS DOUBLE) AS score FROM g_nodes WHERE kind IN ('file', 'typescript:class'))"
 PARTS = """co AS (SELECT *, CAST(label = 'NATION_1' AS INT) AS exact, score / max(score) OVER () AS lexical, CAST(regexp_replace(kind, '.*:', '') IN ('class', 'interface', 'type_alias', 'type', 'package', 'module', 'file', 'project') AS INT) AS entity_role,
     CAST(kind = 'file' AS INT) AS node_kind, 0 AS project_scope, (CAST(contains(lower(span_path), 'nation') AS INT) + CAST(contains(lower(span_path), 'asia') AS INT)) / 2 AS path_affinity,
     (CAST(contains(lower(concat_ws(' ', node_id, label, qualified_name, span_path)), 'nation') AS INT) + CAST(contains(lower(concat_ws(' ', node_id, label, qualified_name, span_path)), 'asia') AS INT)) / 2 AS token_coverage FROM ca)"""
@@ -530,7 +529,26 @@ def as_rows(t: Tables, tr: traverse.Traversal) -> DataFrame:
     return listing(t, [(i, n, tr.levels[n], ",".join(tr.truncated)) for i, n in enumerate(tr.nodes)] or [], "position int, node_id string, distance int, truncated string")
 
 
-@query("G1_traverse_limited")
+BOTH_WAYS = "o AS (SELECT source_id AS f, target_id AS n, source_id, target_id, relation FROM g_edges UNION ALL SELECT target_id, source_id, source_id, target_id, relation FROM g_edges WHERE source_id <> target_id)"
+ONE_WAY = "o AS (SELECT source_id AS f, target_id AS n, source_id, target_id, relation FROM g_edges WHERE relation IN ('contains', 'defines'))"
+
+
+def hop_sql(i: int, start: str, room: str) -> str:
+    """CTEs k, r, s of hop ``i``: new neighbours with their first key, in order of it, and those that find room."""
+    before = f"'{start}'" if i == 1 else f"SELECT n FROM s{i - 1}"
+    seen = " ".join([f"AND n <> '{start}'", *(f"AND n NOT IN (SELECT n FROM s{j})" for j in range(1, i))])
+    return f"""k{i} AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY f, source_id, target_id, relation) AS i FROM o WHERE f IN ({before}) {seen} AND n IN (SELECT node_id FROM g_nodes)),
+    r{i} AS (SELECT n, f, row_number() OVER (ORDER BY f, source_id, target_id, relation) AS p FROM k{i} WHERE i = 1), s{i} AS (SELECT n, f, p FROM r{i} WHERE p <= {room})"""
+
+
+@query(
+    "G1_traverse_limited",
+    f"""WITH {BOTH_WAYS}, {hop_sql(1, CLASS, "39")}, {hop_sql(2, CLASS, "39 - (SELECT count(*) FROM s1)")},
+    sel AS (SELECT '{CLASS}' AS n, 0 AS d, 0 AS p UNION ALL SELECT n, 1, p FROM s1 UNION ALL SELECT n, 2, p FROM s2),
+    w AS (SELECT concat_ws(',', CASE WHEN (SELECT count(*) FROM r1) > 39 OR (SELECT count(*) FROM r2) > 39 - (SELECT count(*) FROM s1) THEN 'node_limit' END,
+        CASE WHEN EXISTS (SELECT 1 FROM o WHERE f IN (SELECT n FROM s2) AND n NOT IN (SELECT n FROM sel)) THEN 'depth_limit' END) AS truncated)
+    SELECT CAST(row_number() OVER (ORDER BY d, p) - 1 AS INTEGER) AS position, n AS node_id, d AS distance, truncated FROM sel, w""",
+)
 def g1c(t):
     return as_rows(t, traverse.traverse(t.g_nodes, t.g_edges, [CLASS], "both", None, 2, 40))
 
@@ -575,11 +593,16 @@ def g9(t):
     return found.select("node_id", "distance", F.array_join("path", " ").alias("path"))
 
 
-@query("G10_find_path")
+@query(
+    "G10_find_path",
+    f"""WITH {ONE_WAY}, {hop_sql(1, "project:ASIA", "99")}, {hop_sql(2, "project:ASIA", "99 - (SELECT count(*) FROM s1)")}, far AS (SELECT n, f FROM s2 ORDER BY n DESC LIMIT 1)
+    SELECT 0 AS position, 'project:ASIA' AS source_id, f AS target_id, 'contains' AS relation FROM far UNION ALL SELECT 1, f, n, 'defines' FROM far""",
+)
 def g10(t):
     tr = traverse.traverse(t.g_nodes, t.g_edges, ["project:ASIA"], "outgoing", ["contains", "defines"], 8, 100)
     far = max(tr.nodes, key=lambda n: (tr.levels[n], n))
-    return listing(t, [(i, *e) for i, e in enumerate(traverse.path_between(tr, "project:ASIA", far) or [])], "position int, source_id string, target_id string, relation string")
+    found = Engine(t.g_nodes, t.g_edges).path("project:ASIA", far, ["contains", "defines"])["path"] or []
+    return listing(t, [(i, *e) for i, e in enumerate(found)], "position int, source_id string, target_id string, relation string")
 
 
 @query("G12_dependents", "SELECT DISTINCT source_id AS node_id FROM g_edges WHERE target_id = 'file:3' AND relation = 'imports_from' AND source_id <> 'file:3'")
@@ -626,7 +649,7 @@ def g19(t):
     return found.select("distance", "relation", "edges", F.round("score", 6).alias("score"))
 
 
-@query("G21_edge_dedupe", "SELECT DISTINCT 'method:' || l_orderkey AS source_id, 'function:' || l_partkey AS target_id, 'references' AS relation FROM lineitem WHERE l_quantity > 45")
+@query("G21_edge_dedupe", "SELECT DISTINCT 'method:' || l_orderkey AS source_id, 'function:' || l_partkey AS target_id, 'references' AS relation FROM lineitem")
 def g21(t):
     raw = t.lineitem.select(F.concat(F.lit("method:"), F.col("l_orderkey")).alias("source_id"), F.concat(F.lit("function:"), F.col("l_partkey")).alias("target_id"), F.lit("references").alias("relation"))
     return raw.dropDuplicates(EDGE_COLUMNS)
@@ -730,16 +753,16 @@ def r4(t):
     return resolve.re_export_closure(s, x)
 
 
-@query("R5_import_edges", "WITH r AS (SELECT DISTINCT 'f' || l_suppkey AS source_path, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'f' || (l_partkey % 50) END AS target_path FROM lineitem WHERE l_quantity > 48) SELECT source_path, target_path AS target, 'file' AS what FROM r WHERE target_path IS NOT NULL UNION SELECT r.source_path, 'interface:' || s_suppkey, 'surface' FROM r JOIN supplier ON r.target_path = 'f' || s_suppkey")
+@query("R5_import_edges", "WITH r AS (SELECT DISTINCT 'f' || l_suppkey AS source_path, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'f' || (l_partkey % 50) END AS target_path FROM lineitem) SELECT source_path, target_path AS target, 'file' AS what FROM r WHERE target_path IS NOT NULL UNION SELECT r.source_path, 'interface:' || s_suppkey, 'surface' FROM r JOIN supplier ON r.target_path = 'f' || s_suppkey")
 def r5(t):
     r = t.lineitem.select(F.concat(F.lit("f"), F.col("l_suppkey")).alias("source_path"), F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("f"), F.col("l_partkey") % 50)).alias("target_path")).distinct()
     return resolve.import_edges(r, t.supplier.select(F.concat(F.lit("f"), F.col("s_suppkey")).alias("path"), F.concat(F.lit("interface:"), F.col("s_suppkey")).alias("node_id")))
 
 
-@query("R6_symbol_targets", "SELECT 'c' || o.o_orderkey AS source_id, 'class:' || c.c_custkey AS target_id FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_mktsegment = 'MACHINERY' WHERE o.o_orderstatus = 'F'")
+@query("R6_symbol_targets", "SELECT 'c' || o.o_orderkey AS source_id, 'class:' || c.c_custkey AS target_id FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
 def r6(t):
-    uses = t.orders.filter("o_orderstatus = 'F'").select(F.concat(F.lit("c"), F.col("o_orderkey")).alias("source_id"), F.col("o_custkey").alias("local"))
-    bindings = t.customer.filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("local"), F.concat(F.lit("class:"), F.col("c_custkey")).alias("target_id"))
+    uses = t.orders.select(F.concat(F.lit("c"), F.col("o_orderkey")).alias("source_id"), F.col("o_custkey").alias("local"))
+    bindings = t.customer.select(F.col("c_custkey").alias("local"), F.concat(F.lit("class:"), F.col("c_custkey")).alias("target_id"))
     return uses.join(bindings, "local").select("source_id", "target_id")
 
 
@@ -755,27 +778,25 @@ def r8(t):
     return f.select(F.col("node_id").alias("source_id"), "dir").join(f.select(F.col("node_id").alias("target_id"), "dir"), "dir").filter("source_id <> target_id").select("source_id", "target_id")
 
 
-@query("R9_unique_calls", "WITH c AS (SELECT p_partkey AS call_id, p_name AS name FROM part), d AS (SELECT p_name AS name, count(*) AS matches, min('function:' || p_partkey) AS node_id FROM part WHERE p_size < 3 GROUP BY 1) SELECT call_id, CASE WHEN matches = 1 THEN node_id END AS node_id, coalesce(matches, 0) AS matches FROM c LEFT JOIN d ON c.name = d.name")
+@query("R9_unique_calls", "WITH c AS (SELECT p_partkey AS call_id, p_name AS name FROM part), d AS (SELECT p_name AS name, count(*) AS matches, min('function:' || p_partkey) AS node_id FROM part GROUP BY 1) SELECT call_id, CASE WHEN matches = 1 THEN node_id END AS node_id, coalesce(matches, 0) AS matches FROM c LEFT JOIN d ON c.name = d.name")
 def r9(t):
     return resolve.unique_matches(t.part.select(F.col("p_partkey").alias("call_id"), F.col("p_name").alias("name")), t.part.select(F.col("p_name").alias("name"), F.concat(F.lit("function:"), F.col("p_partkey")).alias("node_id")), ["name"])
 
 
-@query("R10_method_calls", "WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS receiver, l_partkey AS name FROM lineitem WHERE l_quantity = 50), d AS (SELECT l_suppkey AS receiver, l_partkey AS name, count(*) AS matches, min('m' || l_orderkey) AS node_id FROM lineitem GROUP BY 1, 2) SELECT call_id, CASE WHEN matches = 1 THEN node_id END AS node_id, coalesce(matches, 0) AS matches FROM c LEFT JOIN d USING (receiver, name)")
+@query("R10_method_calls", "WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey AS receiver, l_partkey AS name FROM lineitem), d AS (SELECT l_suppkey AS receiver, l_partkey AS name, count(*) AS matches, min('m' || l_orderkey) AS node_id FROM lineitem GROUP BY 1, 2) SELECT call_id, CASE WHEN matches = 1 THEN node_id END AS node_id, coalesce(matches, 0) AS matches FROM c LEFT JOIN d USING (receiver, name)")
 def r10(t):
     base = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), F.col("l_suppkey").alias("receiver"), F.col("l_partkey").alias("name"), F.concat(F.lit("m"), F.col("l_orderkey")).alias("node_id"))
     return resolve.unique_matches(base.select("call_id", "receiver", "name"), base.select("receiver", "name", "node_id"), ["receiver", "name"])
 
 
-#: Whole tables; the SQL counterpart reads only the rows of ``FEW_CALLS`` and ``FEW_PARTS``.
 DIV_HAVE = "SELECT DISTINCT 'p' || (l_suppkey % 3) AS package, 's' || l_suppkey AS type_id, 'm' || (l_partkey % 12) AS name FROM lineitem"
-DIV_NEED = "SELECT 'p' || (p_partkey % 3) AS package, 'i' || p_partkey AS interface_id, 'm' || (p_size % 12) AS name FROM part{few} UNION SELECT 'p' || (p_partkey % 3), 'i' || p_partkey, 'm' || (p_partkey % 12) FROM part{few}"
-FEW_CALLS, FEW_PARTS = " WHERE l_discount > 0.07", " WHERE p_partkey < 60"
+DIV_NEED = "SELECT 'p' || (p_partkey % 3) AS package, 'i' || p_partkey AS interface_id, 'm' || (p_size % 12) AS name FROM part UNION SELECT 'p' || (p_partkey % 3), 'i' || p_partkey, 'm' || (p_partkey % 12) FROM part"
 
 
-@query("R11_implements_division", f"WITH h AS ({DIV_HAVE}{FEW_CALLS}), d AS ({DIV_NEED.format(few=FEW_PARTS)}), n AS (SELECT package, interface_id, count(DISTINCT name) AS need FROM d GROUP BY 1, 2) SELECT h.type_id, d.interface_id FROM h JOIN d ON h.package = d.package AND h.name = d.name JOIN n ON n.package = d.package AND n.interface_id = d.interface_id GROUP BY h.package, h.type_id, d.interface_id, n.need HAVING count(*) = n.need")
+@query("R11_implements_division", f"WITH h AS ({DIV_HAVE}), d AS ({DIV_NEED}), n AS (SELECT package, interface_id, count(DISTINCT name) AS need FROM d GROUP BY 1, 2) SELECT h.type_id, d.interface_id FROM h JOIN d ON h.package = d.package AND h.name = d.name JOIN n ON n.package = d.package AND n.interface_id = d.interface_id GROUP BY h.package, h.type_id, d.interface_id, n.need HAVING count(*) = n.need")
 def r11(t):
     have = t.spark.sql(DIV_HAVE.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t.lineitem)
-    need = t.spark.sql(DIV_NEED.format(few="").replace("FROM part", "FROM {part}"), part=t.part)
+    need = t.spark.sql(DIV_NEED.replace("FROM part", "FROM {part}"), part=t.part)
     return resolve.implements(have, need)
 
 

@@ -22,7 +22,7 @@ VIEWS = {
         UNION ALL SELECT 'class:' || o_custkey, 'method:' || o_orderkey, 'calls' FROM orders
         UNION ALL SELECT DISTINCT 'method:' || l_orderkey, 'function:' || l_partkey, 'references' FROM lineitem
         UNION ALL SELECT DISTINCT 'interface:' || l_suppkey, 'function:' || l_partkey, 'implements' FROM lineitem
-        UNION ALL SELECT DISTINCT 'file:' || c_nationkey, 'file:' || s_nationkey, 'imports_from' FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 7 AND l_quantity >= 49""",
+        UNION ALL SELECT DISTINCT 'file:' || c_nationkey, 'file:' || s_nationkey, 'imports_from' FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey""",
     "v_orders": "SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_orderdate, year(o_orderdate) * 4 + quarter(o_orderdate) - 7980 AS version FROM orders",
     "v_versions": "SELECT version, min(o_orderdate) AS published_at FROM v_orders GROUP BY version",
     "v_writes": "SELECT DISTINCT 'src/' || o_custkey AS source_path, o_custkey, version AS valid_from FROM v_orders",
@@ -33,7 +33,7 @@ VIEWS = {
     "v_edges": "SELECT c.source_path, 'class:' || o.o_custkey AS source_id, 'method:' || o.o_orderkey AS target_id, 'calls' AS relation, c.valid_from, c.valid_to FROM v_orders o JOIN v_contributions c ON o.o_custkey = c.o_custkey AND o.version = c.valid_from",
     "ws_nodes": "SELECT version, 'project:all' AS node_id, 'project' AS kind, 'all' AS label, 'all' AS qualified_name FROM v_versions UNION ALL SELECT version, 'class:1', 'typescript:class', 'Customer', 'workspace.c1' FROM v_versions",
     "ws_edges": "SELECT DISTINCT version, 'project:all' AS source_id, 'class:' || o_custkey AS target_id, 'contains' AS relation, 'src/' || o_custkey AS owner FROM v_orders",
-    "lex_docs": "SELECT doc_id, lang AS title, source AS path, text AS body FROM documents WHERE length(text) > 0",
+    "lex_docs": "SELECT doc_id, lang AS title, source AS path, coalesce(text, '') AS body FROM documents",
     "cat_entries": "SELECT 'class:' || c_custkey AS node_id, c_name AS name, c_mktsegment AS synopsis FROM customer",
     "cat_vectors": "SELECT 'class:' || (vec_id // 2) AS node_id, 'source' || (vec_id % 2) AS origin, embedding AS vector FROM embeddings",
     "usage": "SELECT CAST(ts AS DATE) AS day, 'model' || (user_id % 5) AS model, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'actual' || (user_id % 2) END AS actual_model, event_type AS outcome, CAST(round(value * 1000) AS BIGINT) AS duration, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(round(value * 10) AS BIGINT) END AS tokens, CASE WHEN user_id % 7 = 0 THEN 'unavailable' WHEN user_id % 11 = 0 THEN 'estimate' ELSE 'exact' END AS availability, value AS budget FROM events",
