@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Word boundaries inside identifiers: store terms, question terms, catalog terms.
 STORE = r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})"
 QUESTION = r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
@@ -22,10 +24,24 @@ def plain_tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(key, field, pos, token) of every token array in ``fields``."""
+K1, B = 1.2, 0.75
+
+
+def idf(documents: Column, having: Column) -> Column:
+    """Inverse document frequency; one that would not be positive is 1e-6."""
+    x = F.log((documents - having + 0.5) / (having + 0.5))
+    return F.when(x > 0, x).otherwise(1e-6)
+
+
+def saturated(f: Column, size: Column, average: Column, k1: float = K1, b: float = B) -> Column:
+    """The part of a BM25 term that grows with its hits ``f`` and falls with the document's size."""
+    return f * (k1 + 1) / (f + k1 * (1 - b + b * size / average))
+
+
+def postings(docs: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
+    """(keys, field, pos, token) of every token array in ``fields``."""
     arrays = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("tokens")) for n, c in fields.items()])
-    return docs.select(key, F.explode(arrays).alias("f")).select(key, F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "token"))
+    return docs.select(*keys, F.explode(arrays).alias("f")).select(*keys, F.col("f.field").alias("field"), F.posexplode("f.tokens").alias("pos", "token"))
 
 
 def _once(rows: DataFrame, key: str) -> DataFrame:
@@ -34,7 +50,7 @@ def _once(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode_outer(F.array("c")).alias("c")).select(key, "c.*")
 
 
-def bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], groups: list[list[str]], phrases: list[str] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], groups: list[list[str]], phrases: list[str] = (), k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of documents that match any AND-group of prefix terms or any quoted phrase.
 
     The score is the sum over query phrases of IDF * f*(k1+1) / (f + k1*(1-b+b*D/avgdl)), where f is the
@@ -61,7 +77,8 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str
     size = F.lit(0)
     for n in fields:
         size = size + F.size(F.col(f"_{n}"))
-    counted = _once(rows.select(key, F.struct(size.cast("double").alias("D"), *hits).alias("c")), key)
+    # the counts serve the totals and the scores; written once, they cost one pass over the texts
+    counted = cut(rows.select(key, F.struct(size.cast("double").alias("D"), *hits).alias("c")).select(key, "c.*"))
     n_terms = len(hits)
     stats = counted.agg(F.count("*").cast("double").alias("N"), F.avg("D").alias("avgdl"), *[F.sum((F.col(f"h{i}") > 0).cast("double")).alias(f"n{i}") for i in range(n_terms)])
     joined = counted.crossJoin(F.broadcast(stats))  # one row of totals beside each document
@@ -72,9 +89,8 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str
     for i in range(n_terms):
         applies = true[prefixes[i][0]] if i < len(prefixes) else F.col(f"h{i}") > 0
         matched = matched | applies
-        idf = F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
         f = F.when(applies, F.col(f"h{i}")).otherwise(0.0)
-        score = score + F.when(idf > 0, idf).otherwise(1e-6) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("D") / F.col("avgdl")))
+        score = score + idf(F.col("N"), F.col(f"n{i}")) * saturated(f, F.col("D"), F.col("avgdl"), k1, b)
     return joined.filter(matched).select(key, score.alias("score"))
 
 

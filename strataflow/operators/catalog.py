@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import CATALOG, bm25, identifier_tokens, plain_tokens
+from strataflow.functions.text import CATALOG, bm25, identifier_tokens, match_groups, plain_tokens
 from strataflow.functions.vectors import cosine, l2
 
 SYNOPSIS_LIMIT = 300
@@ -56,10 +58,11 @@ def copy_catalog(entries: DataFrame, visible: DataFrame) -> DataFrame:
 
 
 def search(entries: DataFrame, text: str, limit: int = LEXICAL_LIMIT) -> DataFrame:
-    """Catalog entries by BM25 over prefix terms, any of which may match."""
-    terms = [t for t in text.lower().split() if t]
-    fields = {"name": plain_tokens(F.col("name")), "synopsis": plain_tokens(F.col("synopsis"))}
-    found = bm25(entries, "node_id", fields, WEIGHTS, [[t] for t in terms])
+    """Catalog entries by BM25 over prefix terms, any of which may match. Besides the name and the
+    deterministic synopsis every column ``synopsis_<provider>`` is a field of weight 1."""
+    terms = match_groups(text, [], [])
+    fields = {"name": plain_tokens(F.col("name")), "synopsis": plain_tokens(F.col("synopsis"))} | {c: plain_tokens(F.col(c)) for c in entries.columns if c.startswith("synopsis_")}
+    found = bm25(entries, "node_id", fields, {c: WEIGHTS.get(c, WEIGHTS["other"]) for c in fields}, terms)
     return found.join(entries.select("node_id", "name"), "node_id").orderBy(F.desc("score"), "name", "node_id").limit(limit)
 
 
@@ -77,5 +80,41 @@ def rerank(lexical: DataFrame, vectors: DataFrame, query: list[float], limit: in
     return lexical.join(best, "node_id", "left").orderBy(F.col("similarity").isNull(), F.desc("similarity"), "position").limit(limit)
 
 
+def ranked(entries: DataFrame, vectors: DataFrame | None, text: str, embed: Callable[[str], list[float]] | None = None) -> dict:
+    """Lexical hits, re-ranked by their vectors if a model is there; without a lexical hit the nearest vectors.
+
+    Returns matches (node_id, name; at most ``RESULT_LIMIT``), the method, why embeddings were not used, and
+    warnings. Everything on the driver is bounded by ``LEXICAL_LIMIT``.
+    """
+    if not text.strip():
+        raise ValueError("rank catalog: a text is needed")
+    found = search(entries, text).select("node_id", "name", "score").collect()
+    out = {"matches": [{"node_id": r["node_id"], "name": r["name"], "score": r["score"]} for r in found], "method": "lexical", "skipped": "no embedding model is set", "warnings": []}
+    query = None
+    if embed is not None and vectors is not None:
+        try:
+            query, out["skipped"] = list(embed(text)), ""
+        except Exception as e:  # noqa: BLE001  a model is outside code; the lexical answer stands without it
+            out["skipped"] = f"the embedding model failed: {e}"
+    if not found:
+        near = nearest(vectors, query, LEXICAL_LIMIT).join(entries.select("node_id", "name"), "node_id").orderBy("distance", "node_id").limit(RESULT_LIMIT).collect() if query else []
+        if near:
+            return out | {"matches": [{"node_id": r["node_id"], "name": r["name"], "score": -r["distance"]} for r in near], "method": "embeddings"}
+        out["skipped"] = out["skipped"] or "no vector is near"
+        out["warnings"] = ["no unit of the catalog fits"]
+        return out
+    if query:
+        spark = entries.sparkSession
+        at = spark.createDataFrame([(m["node_id"], i) for i, m in enumerate(out["matches"])], "node_id string, position int")
+        order = rerank(at, vectors, query, LEXICAL_LIMIT).collect()
+        if any(r["similarity"] is not None for r in order):
+            out["matches"] = [out["matches"][r["position"]] | {"similarity": r["similarity"]} for r in order]
+            out["method"] = "lexical_and_embeddings"
+        else:
+            out["skipped"] = "none of the hits has a vector that fits"
+    out["matches"] = out["matches"][:RESULT_LIMIT]
+    return out
+
+
 def with_position(rows: DataFrame, *order) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))

@@ -64,7 +64,9 @@ def rank_terms(nodes: DataFrame, terms: list[str], top: int = 3) -> DataFrame:
     return out.select("term", F.row_number().over(w).alias("position"), "node_id", "rank")
 
 
-def resolve(nodes: DataFrame, term: str, limit: int) -> DataFrame:
-    """Exact matches if there are any, else the best ranked ones."""
+def resolve(nodes: DataFrame, term: str, limit: int, scope: DataFrame | None = None) -> DataFrame:
+    """Exact matches if there are any, else the best ranked ones, optionally inside a project scope."""
+    if scope is not None:
+        nodes = nodes.join(scope.select("node_id"), "node_id", "left_semi")
     found = exact(nodes, term).limit(limit)
     return found.withColumn("rank", lookup_rank(term)) if not found.isEmpty() else ranked(nodes, term, limit)

@@ -10,6 +10,7 @@ from strataflow.functions.vectors import cosine, l2
 from strataflow.operators import catalog, evidence, export, incremental, lookup, rank, relations, resolve, snapshot, traverse, usage, validate
 
 from .engine import Engine
+from .lexical import LexicalIndex
 from .fixtures import Tables, with_views
 
 _QUERIES: dict = {}
@@ -406,6 +407,22 @@ def l7(t):
     return bm25(t.g_nodes, "node_id", search_fields(), SEARCH_WEIGHTS, [["blue", "wid"], ["steel"]]).select("node_id", F.round("score", 6).alias("score"))
 
 
+@query("W16_lexical_index", "WITH " + bm25_sql("g_nodes", "node_id", NODE_FIELDS, [("prefix", "blue"), ("prefix", "wid"), ("prefix", "steel")], [[0, 1], [2]]) + " SELECT node_id, score FROM bm")
+def w16(t):
+    index = LexicalIndex.build(t.g_nodes, search_fields())
+    return index.search(SEARCH_WEIGHTS, [["blue", "wid"], ["steel"]]).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query("Q11_scoped_search", "WITH RECURSIVE s(node_id) AS (SELECT 'project:ASIA' UNION SELECT target_id FROM g_edges JOIN s ON source_id = s.node_id AND relation = 'contains'), " + bm25_sql("g_nodes", "node_id", NODE_FIELDS, [("prefix", "nation")], [[0]]) + " SELECT node_id, score FROM bm JOIN g_nodes USING (node_id) WHERE node_id IN (SELECT node_id FROM s) ORDER BY score DESC, qualified_name, node_id LIMIT 50")
+def q11(t):
+    return Engine(t.g_nodes, t.g_edges, projects=["project:ASIA"]).search("nation", [["nation"]], limit=50).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query("L5_exact_retrieval", "SELECT node_id, kind, label, qualified_name FROM g_nodes WHERE qualified_name = 'ASIA/NATION_2' OR node_id = 'ASIA/NATION_2' OR (kind = 'file' AND span_path = 'ASIA/NATION_2') ORDER BY qualified_name, label, node_id LIMIT 10")
+def l5b(t):
+    return Engine(t.g_nodes, t.g_edges).retrieve("ASIA/NATION_2").select(*NODE_COLUMNS)
+
+
 def tokens_sql(boundary: str, lower: bool) -> str:
     inner = {
         "store": r"regexp_replace(qualified_name, '([\p{Ll}\p{Nd}])(\p{Lu})', '\1 \2', 'g')",

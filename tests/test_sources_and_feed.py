@@ -65,9 +65,10 @@ def engine(spark):
 def test_ask(engine):
     assert [e["edges"][0][0] for e in engine.ask("who calls app.run?").evidence if e["distance"] == 1] == ["go:function:main"]
     assert engine.ask("how does app.main reach app.stopServer?").edges == [("go:function:main", "go:function:run", "go:calls"), ("go:function:run", "go:function:stop", "go:calls")]
-    assert engine.ask("what do pg.PgStore and lite.LiteStore have in common").evidence == [{"node_id": "i"}] or "i" in [e["node_id"] for e in engine.ask("what do pg.PgStore and lite.LiteStore have in common").evidence]
+    shared = engine.ask("what do pg.PgStore and lite.LiteStore have in common").evidence[0]
+    assert shared["shared"] == ["i", "p", "q"] == shared["nodes"] and shared["edges"] == [("p", "i", "typescript:implements"), ("q", "i", "typescript:implements")]
     assert engine.ask("what is affected if app.stopServer changes").evidence[0]["node_id"] == "go:function:run"
-    assert engine.ask("who calls Nobody?").warnings[0]["code"] == "not_found"
+    assert engine.ask("who calls Nobody?").warnings[0]["code"] == "entity_not_found"
     assert engine.ask("where is stop server?").evidence[0]["label"] == "stopServer"
 
 
