@@ -25,16 +25,31 @@ def clean(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
 
 
+def relative_base(references: DataFrame) -> DataFrame:
+    """References with ``base``: the path that a relative specifier names, before endings are tried."""
+    return references.withColumn("base", clean(F.concat_ws("/", dirname(F.col("source_path")), F.col("specifier"))))
+
+
 def relative_candidates(references: DataFrame, endings: tuple[str, ...] = TYPESCRIPT_ENDINGS) -> DataFrame:
     """(source_path, specifier, position, candidate) of every file a relative specifier could mean."""
-    base = clean(F.concat_ws("/", dirname(F.col("source_path")), F.col("specifier")))
+    return with_endings(relative_base(references), endings)
+
+
+def with_endings(based: DataFrame, endings: tuple[str, ...] = TYPESCRIPT_ENDINGS) -> DataFrame:
+    """(source_path, specifier, position, candidate): each base with every ending, and as a directory's index."""
     suffixes = [*endings, *(f"/index{e}" for e in endings[1:])]
-    return references.withColumn("base", base).select("source_path", "specifier", F.posexplode(F.array(*[F.concat("base", F.lit(s)) for s in suffixes])).alias("position", "candidate"))
+    return based.select("source_path", "specifier", F.posexplode(F.array(*[F.concat("base", F.lit(s)) for s in suffixes])).alias("position", "candidate"))
+
+
+def first_existing(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """(source_path, specifier, target_path) of the first candidate that is a file."""
+    hit = candidates.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate")
+    return hit.groupBy("source_path", "specifier").agg(F.min_by("candidate", "position").alias("target_path"))
 
 
 def resolve_relative(references: DataFrame, files: DataFrame, endings: tuple[str, ...] = TYPESCRIPT_ENDINGS) -> DataFrame:
     """The first existing candidate of each reference (target_path null if there is none)."""
-    hit = relative_candidates(references, endings).join(files.select(F.col("path").alias("candidate")).distinct(), "candidate").groupBy("source_path", "specifier").agg(F.min_by("candidate", "position").alias("target_path"))
+    hit = first_existing(relative_candidates(references, endings), files)
     return references.select("source_path", "specifier").distinct().join(hit, ["source_path", "specifier"], "left")
 
 
@@ -59,12 +74,74 @@ def alias_target(specifiers: DataFrame, patterns: DataFrame) -> DataFrame:
 
     ``patterns`` (pattern, replacement, each with at most one star) is one project's configuration.
     """
-    p = patterns.withColumns({"head": F.substring_index("pattern", "*", 1), "star": F.col("pattern").contains("*")})
-    heads = specifiers.select("specifier").distinct().withColumn("head", F.explode(F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda i: F.substring(F.col("specifier"), F.lit(1), i))))
-    hit = heads.join(p, "head").filter(F.col("star") | (F.col("specifier") == F.col("pattern")))
+    one = specifiers.select("specifier").distinct().withColumn("dir", F.lit(""))
+    return alias_in(one, patterns.withColumn("dir", F.lit(""))).select("specifier", "target")
+
+
+def alias_in(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``rows`` (dir, specifier) with ``target``, by the patterns of their own ``dir``; rows without one go.
+
+    The beginnings of a specifier are joined with the patterns' fixed parts, so no row meets all patterns.
+    """
+    p = patterns.select("dir", "pattern", "replacement", F.substring_index("pattern", "*", 1).alias("head"), F.col("pattern").contains("*").alias("star"))
+    heads = rows.withColumn("head", F.explode(F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda i: F.substring(F.col("specifier"), F.lit(1), i))))
+    hit = heads.join(p, ["dir", "head"]).filter(F.col("star") | (F.col("specifier") == F.col("pattern")))
     rest = F.substring(F.col("specifier"), F.length("head") + 1, F.length("specifier"))
     made = F.when(F.col("star"), F.concat(F.substring_index("replacement", "*", 1), rest)).otherwise(F.col("replacement"))
-    return hit.withColumn("target", made).groupBy("specifier").agg(F.max_by("target", F.struct(F.length("head"), "pattern")).alias("target"))
+    return hit.withColumn("target", made).groupBy(*rows.columns).agg(F.max_by("target", F.struct(F.length("head"), ~F.col("star"), "pattern")).alias("target"))
+
+
+def nearest_dir(rows: DataFrame, dirs: DataFrame) -> DataFrame:
+    """``rows`` (source_path, ...) with the nearest of ``dirs`` (dir) at or above their file's directory."""
+    each = rows.withColumn("dir", F.explode(F.array_union(ancestors(dirname(F.col("source_path"))), F.array(F.lit("")))))
+    return each.join(dirs.select("dir").distinct(), "dir").groupBy(*rows.columns).agg(F.max_by("dir", F.length("dir")).alias("dir"))
+
+
+def alias_bases(references: DataFrame, configs: DataFrame) -> DataFrame:
+    """(source_path, specifier, base) by the nearest project configuration: its aliases, else its base directory."""
+    rows = nearest_dir(references.select("source_path", "specifier").distinct(), configs.filter("kind = 'config'"))
+    named = alias_in(rows, configs.filter("kind = 'alias'").select("dir", F.col("key").alias("pattern"), F.col("value").alias("replacement")))
+    below = rows.join(configs.filter("kind = 'base'").select("dir", F.col("value").alias("top")), "dir").select("source_path", "specifier", clean(F.concat_ws("/", "top", "specifier")).alias("second"))
+    both = named.select("source_path", "specifier", F.col("target").alias("first")).join(below, ["source_path", "specifier"], "full")
+    return both.select("source_path", "specifier", F.coalesce("first", "second").alias("base"))
+
+
+def package_bases(references: DataFrame, configs: DataFrame) -> DataFrame:
+    """(source_path, specifier, base) of package specifiers: the nearest installed package going upward, else
+    a package of the workspace by its name; within it the entry for the subpath, best condition first."""
+    name = F.regexp_extract("specifier", "^(@[^/]+/[^/]+|[^/]+)", 1)
+    asked = references.select("source_path", "specifier").distinct().withColumn("name", name).withColumn("sub", F.concat(F.lit("."), F.substring(F.col("specifier"), F.length("name") + 1, F.length("specifier"))))
+    up = F.array_union(ancestors(dirname(F.col("source_path"))), F.array(F.lit("")))
+    installed = asked.withColumn("above", F.explode(up)).withColumn("dir", F.concat(F.when(F.col("above") == "", "").otherwise(F.concat("above", F.lit("/"))), F.lit("node_modules/"), F.col("name"))).withColumn("near", F.length("above") + 1)
+    own = asked.join(configs.filter("kind = 'named'").select(F.col("key").alias("name"), "dir"), "name").withColumn("near", F.lit(0))
+    places = installed.select("source_path", "specifier", "sub", "dir", "near").unionByName(own.select("source_path", "specifier", "sub", "dir", "near"))
+    entries = configs.filter("kind = 'package'").select("dir", F.col("key").alias("sub"), F.col("value").alias("base"), "position")
+    listed = places.join(entries, ["dir", "sub"])
+    free = places.filter("sub <> '.'").join(configs.filter("kind = 'open_package'").select("dir"), "dir", "left_semi").select("*", clean(F.concat_ws("/", "dir", "sub")).alias("base"), F.lit(99).alias("position"))
+    return listed.unionByName(free).groupBy("source_path", "specifier").agg(F.min_by("base", F.struct(-F.col("near"), "position")).alias("base"))
+
+
+def script_targets(references: DataFrame, files: DataFrame, configs: DataFrame, endings: tuple[str, ...] = TYPESCRIPT_ENDINGS) -> DataFrame:
+    """(source_path, specifier, target_path) of script references: relative, then aliases, then packages."""
+    asked = references.select("source_path", "specifier").distinct()
+    relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
+    named = asked.filter(~relative)
+    tries = [relative_base(asked.filter(relative)), alias_bases(named, configs), package_bases(named, configs)]
+    found = None
+    for k, based in enumerate(tries):
+        some = with_endings(based.select("source_path", "specifier", "base"), endings).withColumn("position", F.col("position") + 100 * k)
+        found = some if found is None else found.unionByName(some)
+    return asked.join(first_existing(found, files), ["source_path", "specifier"], "left")
+
+
+def go_packages(references: DataFrame, configs: DataFrame) -> DataFrame:
+    """(source_path, specifier, target_dir) of Go imports: the longest module path that begins the import path,
+    a local replacement before the module's own place."""
+    each = references.select("source_path", "specifier").distinct().withColumn("module", F.explode(ancestors(F.col("specifier"))))
+    hit = each.join(configs.filter("kind = 'module'").select(F.col("key").alias("module"), "value", "position"), "module")
+    best = hit.groupBy("source_path", "specifier").agg(F.max_by(F.struct("module", "value"), F.struct(F.length("module"), "position", "value")).alias("m"))
+    rest = F.substring(F.col("specifier"), F.length("m.module") + 1, F.length("specifier"))
+    return best.select("source_path", "specifier", clean(F.concat("m.value", rest)).alias("target_dir"))
 
 
 def re_export_closure(surfaces: DataFrame, re_exports: DataFrame) -> DataFrame:
@@ -100,6 +177,18 @@ def unresolved(resolved: DataFrame) -> DataFrame:
     return resolved.filter("target_path is null").select("source_path", "specifier", F.lit("warning").alias("severity"))
 
 
+def bound_targets(symbols: DataFrame, bindings: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, source_path) of symbol uses through import bindings.
+
+    ``bindings``: source_path, local, imported, target_path; a use of ``local`` means the imported name, one of
+    ``local.name`` of a whole-module binding (``*``) means ``name``. ``surfaces``: path, name, node_id.
+    """
+    head = F.substring_index("target", ".", 1)
+    used = symbols.filter("receiver = ''").select("source_id", "relation", "source_path", head.alias("local"), F.when(F.col("target").contains("."), F.element_at(F.split("target", r"\."), 2)).alias("member"))
+    meant = used.join(bindings, ["source_path", "local"]).withColumn("name", F.when(F.col("imported") == "*", F.col("member")).otherwise(F.col("imported")))
+    return meant.join(surfaces.select(F.col("path").alias("target_path"), "name", "node_id"), ["target_path", "name"]).select("source_id", F.col("node_id").alias("target_id"), "relation", "source_path").distinct()
+
+
 def unique_matches(calls: DataFrame, callables: DataFrame, on: list[str]) -> DataFrame:
     """Calls whose name matches exactly one callable: call_id, node_id (null, with the count, otherwise)."""
     per = callables.groupBy(*on).agg(F.count("*").alias("matches"), F.min("node_id").alias("node_id"))
@@ -107,6 +196,24 @@ def unique_matches(calls: DataFrame, callables: DataFrame, on: list[str]) -> Dat
     return joined.select("call_id", F.when(F.col("matches") == 1, F.col("node_id")).alias("node_id"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+def package_uses(symbols: DataFrame, imports: DataFrame, declared: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation, source_path) of Go symbol uses that fit exactly one declaration.
+
+    ``symbols``: source_id, target, receiver, relation, source_path; ``imports``: source_path, alias, target_dir;
+    ``declared``: dir, owner (a method's type, else empty), label, exported, node_id. A plain name means the own
+    package, ``alias.Name`` an imported one and only what it exports; a receiver's type is looked up likewise.
+    """
+    whole = F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "target")).otherwise(F.col("target"))
+    parts = F.split(whole, r"\.")
+    method = F.col("receiver") != ""
+    foreign = F.size(parts) > F.when(method, 2).otherwise(1)
+    used = symbols.withColumns({"alias": F.when(foreign, parts[0]), "label": F.element_at(parts, -1), "owner": F.when(method, F.element_at(parts, -2)).otherwise("")})
+    at = used.join(imports, ["source_path", "alias"], "left").withColumn("dir", F.when(F.col("alias").isNull(), dirname(F.col("source_path"))).otherwise(F.col("target_dir"))).filter("dir is not null")
+    fits = at.join(declared, ["dir", "owner", "label"]).filter("alias is null or exported")
+    per = fits.groupBy("source_id", "target", "receiver", "relation", "source_path").agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("target_id"))
+    return per.filter("n = 1").select("source_id", "target_id", "relation", "source_path").distinct()
+
+
 def implements(methods: DataFrame, required: DataFrame) -> DataFrame:
     """Relational division: types of a package that have every method an interface requires.
 

@@ -906,16 +906,38 @@ def i7(t):
 SOURCES = "SELECT p_partkey, 'src/f' || p_partkey || '.go' AS path, 'go' AS language, 'package p' || chr(10) || 'func F' || p_partkey || '(a int) ' || chr(123) || chr(125) || chr(10) || 'type t' || p_size || ' struct ' || chr(123) || chr(10) || chr(125) || chr(10) || 'import \"lib/' || (p_size % 7) || '\"' AS content FROM part"
 
 
-@query("I9_extract_nodes", f"SELECT path AS source_path, 'file' AS kind, 'f' || p_partkey || '.go' AS label, 1 AS line, true AS exported FROM ({SOURCES}) UNION ALL SELECT 'src/f' || p_partkey || '.go', 'go:function', 'F' || p_partkey, 2, true FROM part UNION ALL SELECT 'src/f' || p_partkey || '.go', 'go:struct', 't' || p_size, 3, false FROM part")
+@query("I9_extract_nodes", f"SELECT path AS source_path, 'file' AS kind, 'f' || p_partkey || '.go' AS label, 1 AS line, true AS exported FROM ({SOURCES}) UNION ALL SELECT 'src/f' || p_partkey || '.go', 'go:function', 'F' || p_partkey, 2, true FROM part UNION ALL SELECT 'src/f' || p_partkey || '.go', 'go:struct', 't' || p_size, 3, false FROM part UNION ALL SELECT 'src/f' || p_partkey || '.go', 'go:package', 'p', 1, true FROM part")
 def i9(t):
     sources = t.spark.sql(SOURCES.replace("FROM part", "FROM {part}"), part=t.part)
     return extract.extract(sources).select("source_path", "kind", "label", "line", "exported")
 
 
-@query("I10_extract_references", "SELECT 'src/f' || p_partkey || '.go' AS source_path, 'lib/' || (p_size % 7) AS specifier, 'import' AS kind FROM part")
+SCRIPTS = "SELECT p_partkey, 'src/f' || p_partkey || '.js' AS path, 'javascript' AS language, 'import d, ' || chr(123) || ' a as b ' || chr(125) || ' from ' || chr(39) || './m' || (p_size % 7) || chr(39) || chr(10) || 'const r = require(' || chr(39) || 'lib/' || (p_size % 5) || chr(39) || ')' || chr(10) || 'export * from \"./all\"' || chr(10) || 'import(p ? \"./x\" : \"./y\" + \"z\")' || chr(10) || 'export class C' || p_size || ' extends d ' || chr(123) || ' m(x) ' || chr(123) || ' this.n(); b(x); r.open() ' || chr(125) || ' ' || chr(125) AS content FROM part"
+
+
+@query("I10_extract_references", "WITH s AS (SELECT 'src/f' || p_partkey || '.js' AS source_path, p_size FROM part) SELECT source_path, './m' || (p_size % 7) AS specifier, 'import' AS kind, false AS ambiguous, 'default>d a>b' AS bindings FROM s UNION ALL SELECT source_path, 'lib/' || (p_size % 5), 'require', false, '*>r' FROM s UNION ALL SELECT source_path, './all', 're_export', false, '*>*' FROM s UNION ALL SELECT source_path, './x', 'import', true, '' FROM s UNION ALL SELECT source_path, './yz', 'import', true, '' FROM s")
 def i10(t):
-    sources = t.spark.sql(SOURCES.replace("FROM part", "FROM {part}"), part=t.part)
-    return extract.extract(sources, "references").select("source_path", "specifier", "kind")
+    found = extract.extract(t.spark.sql(SCRIPTS.replace("FROM part", "FROM {part}"), part=t.part), "references")
+    return found.select("source_path", "specifier", "kind", "ambiguous", F.array_join(F.transform("bindings", lambda b: F.concat(b["imported"], F.lit(">"), b["local"])), " ").alias("bindings"))
+
+
+@query("I10_extract_symbols", "WITH s AS (SELECT 'src/f' || p_partkey || '.js' AS p, 'C' || p_size AS c FROM part) SELECT 'javascript:class:' || p || '#' || c AS source_id, 'd' AS target, '' AS receiver, 'javascript:extends' AS relation FROM s UNION ALL SELECT 'javascript:method:' || p || '#' || c || '.m', 'n', c, 'javascript:calls' FROM s UNION ALL SELECT 'javascript:method:' || p || '#' || c || '.m', 'b', '', 'javascript:calls' FROM s UNION ALL SELECT 'javascript:method:' || p || '#' || c || '.m', 'r.open', '', 'javascript:calls' FROM s")
+def i10b(t):
+    return extract.extract(t.spark.sql(SCRIPTS.replace("FROM part", "FROM {part}"), part=t.part), "symbols").select("source_id", "target", "receiver", "relation")
+
+
+TYPED = "SELECT 'src/f' || p_partkey || '.ts' AS path, 'typescript' AS language, 'export interface I' || p_size || ' extends J<string> ' || chr(123) || ' a(): void ' || chr(125) || chr(10) || 'type U = ' || chr(123) || ' x: number ' || chr(125) || chr(10) || 'export default class K implements I' || p_size || ', ns.L ' || chr(123) || ' get(): Promise<void> ' || chr(123) || ' return f() ' || chr(125) || ' ' || chr(125) AS content FROM part"
+
+
+@query("I11_extract_nodes", "WITH s AS (SELECT 'src/f' || p_partkey || '.ts' AS source_path, 'f' || p_partkey || '.ts' AS f, p_size FROM part) SELECT source_path, 'file' AS kind, f AS label, 1 AS line, 3 AS end_line, true AS exported FROM s UNION ALL SELECT source_path, 'typescript:interface', 'I' || p_size, 1, 1, true FROM s UNION ALL SELECT source_path, 'typescript:type_alias', 'U', 2, 2, false FROM s UNION ALL SELECT source_path, 'typescript:class', 'K', 3, 3, true FROM s UNION ALL SELECT source_path, 'typescript:method', 'get', 3, 3, false FROM s")
+def i11(t):
+    return extract.extract(t.spark.sql(TYPED.replace("FROM part", "FROM {part}"), part=t.part)).select("source_path", "kind", "label", "line", "end_line", "exported")
+
+
+@query("I11_heritage", "WITH s AS (SELECT 'src/f' || p_partkey || '.ts' AS p, p_size FROM part) SELECT 'typescript:interface:' || p || '#I' || p_size AS source_id, 'J' AS target, 'typescript:extends' AS relation FROM s UNION ALL SELECT 'typescript:class:' || p || '#K', 'I' || p_size, 'typescript:implements' FROM s UNION ALL SELECT 'typescript:class:' || p || '#K', 'ns.L', 'typescript:implements' FROM s")
+def i11b(t):
+    found = extract.extract(t.spark.sql(TYPED.replace("FROM part", "FROM {part}"), part=t.part), "symbols")
+    return found.filter("not endswith(relation, 'calls')").select("source_id", "target", "relation")
 
 
 @query("T1_coalesced_changes", "SELECT 'u' || (user_id % 40) || '/f.ts' AS path, min(ts) AS ts FROM events GROUP BY 1")

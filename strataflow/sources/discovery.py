@@ -117,14 +117,53 @@ def owned(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return longest_prefix(paths.select("path"), "path", roots).join(roots, "root")
 
 
-def discover(spark: SparkSession, workspace: str, include: list[str] | None = None, exclude: list[str] = (), ignore: dict[str, str] | None = None, configured: list[str] = ()) -> DataFrame:
-    """(path, root, project_id, language, content) of a directory tree's supported sources."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(workspace)
+def ignore_files(spark: SparkSession, workspace: str, depth: int) -> dict[str, str]:
+    """The tree's own ``.gitignore`` files by directory, down to ``depth``; as many as directories that have one.
+
+    Spark's readers pass over names that begin with a dot, so they are found by one pattern for each depth."""
+    jvm, root = spark.sparkContext._jvm, workspace.rstrip("/")
+    files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top, out = root.split("://")[-1] + "/", {}
+    for d in range(depth):
+        for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(root + "/*" * d + "/.gitignore")) or []:
+            where = status.getPath().toString().rpartition(top)[2].rpartition("/")[0]
+            if set(where.split("/")).isdisjoint(INTERNAL_DIRS):
+                stream = files.open(status.getPath())
+                try:
+                    out[where] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                finally:
+                    stream.close()
+    return out
+
+
+def _files(spark: SparkSession, workspace: str, names: str | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", names) if names else reader).load(workspace)
+
+
+def discover(spark: SparkSession, workspace: str, include: list[str] | None = None, exclude: list[str] = (), ignore: dict[str, str] | None = None, configured: list[str] = (), only: DataFrame | None = None) -> DataFrame:
+    """(path, root, project_id, language, content) of a directory tree's supported sources.
+
+    Ignore rules are those of the tree's ``.gitignore`` files unless ``ignore`` gives others. ``only`` (path)
+    limits the result; paths are judged before any content is read.
+    """
     top = workspace.split("://")[-1].rstrip("/") + "/"
-    rows = files.select(F.substring_index("path", top, -1).alias("path"), "content").filter(~internal(F.col("path")))
-    roots = project_roots(rows.select("path"), list(configured))
+    whole = _files(spark, workspace)
+    paths = whole.select(F.substring_index("path", top, -1).alias("path")).filter(~internal(F.col("path")))
+    roots = project_roots(paths, list(configured))
     keep = language(F.col("path")).isNotNull() & included(F.col("path"), include, list(exclude))
-    sources = rows.filter(keep)
-    if ignore:
-        sources = sources.filter(~ignored_column(spark, ignore)(F.col("path")))
-    return sources.join(owned(sources, roots), "path").select("path", "root", "project_id", language(F.col("path")).alias("language"), F.col("content").cast("string").alias("content"))
+    wanted = paths.filter(keep) if only is None else paths.filter(keep).join(only, "path", "left_semi")
+    if ignore is None:
+        deepest = paths.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 1
+        ignore = ignore_files(spark, workspace, deepest)
+    rules = ignore
+    if rules:
+        wanted = wanted.filter(~ignored_column(spark, rules)(F.col("path")))
+    chosen = owned(wanted, roots)
+    if only is not None:
+        few = [r["path"] for r in chosen.select("path").collect()]  # as many as paths were asked for
+        content = spark.read.format("binaryFile").load([f"{workspace.rstrip('/')}/{p}" for p in few]) if few else whole.limit(0)
+    else:
+        content = whole
+    content = content.select(F.substring_index("path", top, -1).alias("path"), F.col("content").cast("string").alias("content"))
+    return content.join(chosen, "path").select("path", "root", "project_id", language(F.col("path")).alias("language"), "content")

@@ -1,78 +1,105 @@
-"""Per-file extraction as a plug-in over Arrow batches, with a small declaration scanner.
+"""Per-file extraction as a plug-in over Arrow batches.
 
-A parser maps (path, text) to (nodes, references). The built-in scanner reads top-level declarations,
-imports and exports of Go, JavaScript and TypeScript by line patterns; a full parser can take its place
-through ``extract(parser=...)``.
+A parser maps (path, language, text) to the rows of ``parse.Parsed``; one file is parsed once for all tables.
+Parsers are registered per file extension.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
-NODES = "source_path string, node_id string, kind string, label string, qualified_name string, line int, exported boolean"
-REFERENCES = "source_path string, specifier string, kind string, line int"
-
-DECLARATIONS = {
-    "go": [
-        ("function", re.compile(r"^func\s+([A-Za-z_]\w*)")), ("method", re.compile(r"^func\s*\([^)]*\)\s*([A-Za-z_]\w*)")), ("interface", re.compile(r"^type\s+(\w+)\s+interface\b")),
-        ("struct", re.compile(r"^type\s+(\w+)\s+struct\b")), ("type_alias", re.compile(r"^type\s+(\w+)\s*=")), ("type", re.compile(r"^type\s+(\w+)\s+\w")), ("constant", re.compile(r"^const\s+(\w+)")), ("variable", re.compile(r"^var\s+(\w+)")),
-    ],
-    "javascript": [("class", re.compile(r"^(?:export\s+)?(?:default\s+)?class\s+(\w+)")), ("function", re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)")), ("variable", re.compile(r"^(?:export\s+)?(?:const|let|var)\s+(\w+)"))],
-}
-DECLARATIONS["typescript"] = [
-    ("interface", re.compile(r"^(?:export\s+)?(?:declare\s+)?interface\s+(\w+)")), ("type_alias", re.compile(r"^(?:export\s+)?(?:declare\s+)?type\s+(\w+)")),
-    ("class", re.compile(r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)")), *DECLARATIONS["javascript"][1:],
-]
-IMPORT = re.compile(r"""^\s*import\b[^'"]*['"]([^'"]+)['"]""")
-RE_EXPORT = re.compile(r"""^\s*export\b[^'"]*\bfrom\s*['"]([^'"]+)['"]""")
-REQUIRE = re.compile(r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""")
-GO_IMPORT = re.compile(r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$""")
-
-
-def scan(path: str, language: str, text: str) -> tuple[list[tuple], list[tuple]]:
-    """Declarations and references of one file."""
-    nodes = [(path, f"file:{path}", "file", path.rsplit("/", 1)[-1], path, 1, True)]
-    refs, in_import = [], False
-    for number, line in enumerate(text.split("\n"), 1):
-        for kind, pattern in DECLARATIONS[language]:
-            if m := pattern.match(line):
-                exported = m[1][:1].isupper() and m[1][:1].isascii() if language == "go" else line.startswith("export")
-                nodes.append((path, f"{language}:{kind}:{path}#{m[1]}", f"{language}:{kind}", m[1], f"{path}::{m[1]}", number, exported))
-                break
-        if language == "go":
-            if line.startswith("import"):
-                in_import = "(" in line
-            if (in_import or line.startswith("import")) and (m := GO_IMPORT.match(line)):
-                refs.append((path, m[1], "import", number))
-            if in_import and line.startswith(")"):
-                in_import = False
-        else:
-            for kind, pattern in (("import", IMPORT), ("re_export", RE_EXPORT)):
-                if m := pattern.match(line):
-                    refs.append((path, m[1], kind, number))
-            refs += [(path, s, "require", number) for s in REQUIRE.findall(line)]
-    return nodes, refs
-
-
-def extract(sources: DataFrame, what: str = "nodes", parser: Callable = scan, fail_fast: bool = True) -> DataFrame:
-    """``nodes`` or ``references`` of every source (path, language, content); a parse error fails the run
-    unless ``fail_fast`` is off, which leaves the file out."""
-    schema = NODES if what == "nodes" else REFERENCES
-    columns = [c.split()[0] for c in schema.split(", ")]
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from strataflow.schema import EXTENSIONS
+
+from .parse import Parsed, parse
+
+BINDINGS = "array<struct<imported:string,local:string>>"
+#: Columns of each table, besides source_path.
+TABLES = {
+    "nodes": {"node_id": "string", "kind": "string", "label": "string", "qualified_name": "string", "line": "int", "exported": "boolean", "start_column": "int", "end_line": "int", "end_column": "int", "owner": "string", "signature": "string", "comments": "array<string>"},
+    "edges": {"source_id": "string", "target_id": "string", "relation": "string"},
+    "references": {"specifier": "string", "kind": "string", "line": "int", "ambiguous": "boolean", "bindings": BINDINGS},
+    "symbols": {"source_id": "string", "target": "string", "receiver": "string", "relation": "string", "line": "int"},
+    "exports": {"local": "string", "exported_name": "string"},
+}
+_ALL: dict[str, str] = {k: v for t in TABLES.values() for k, v in t.items()}
+SCHEMA = "table string, source_path string, " + ", ".join(f"{k} {v}" for k, v in _ALL.items())
+
+
+class Registry:
+    """Parsers by file extension; an extension belongs to one language and one parser."""
+
+    def __init__(self):
+        self.languages: dict[str, str] = {}
+        self.parsers: dict[str, Callable[[str, str, str], Parsed]] = {}
+
+    def register(self, language: str, extensions: list[str], parser: Callable[[str, str, str], Parsed]) -> Registry:
+        taken = [e for e in extensions if e in self.languages]
+        if taken or language in self.parsers:
+            raise ValueError(f"registered already: {taken or language}")
+        if bad := [e for e in extensions if not e.startswith(".")]:
+            raise ValueError(f"not an extension: {bad}")
+        self.languages |= dict.fromkeys(extensions, language)
+        self.parsers[language] = parser
+        return self
+
+    def language(self, path: Column) -> Column:
+        """The language of a path's extension, or null."""
+        if not self.languages:
+            return F.lit(None).cast("string")
+        table = F.create_map(*[F.lit(x) for pair in self.languages.items() for x in pair])
+        return F.try_element_at(table, F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+def default_registry() -> Registry:
+    out = Registry()
+    for language in dict.fromkeys(EXTENSIONS.values()):
+        out.register(language, [e for e, of in EXTENSIONS.items() if of == language], parse)
+    return out
+
+
+def rows(p: Parsed) -> list[dict]:
+    """One file's rows with the table that each belongs to."""
+    out = [{"table": "nodes", **n} for n in p.nodes]
+    out += [{"table": "edges", "source_id": a, "target_id": b, "relation": r} for a, b, r in p.edges]
+    out += [{"table": "references", "specifier": s, "kind": k, "line": n, "ambiguous": a, "bindings": [{"imported": i, "local": o} for i, o in b]} for s, k, n, a, b in p.references]
+    out += [{"table": "symbols", "source_id": a, "target": t, "receiver": r, "relation": rel, "line": n} for a, t, r, rel, n in p.symbols]
+    out += [{"table": "exports", "local": a, "exported_name": b} for a, b in p.exports]
+    return [x | {"source_path": p.path} for x in out]
+
+
+def extract_all(sources: DataFrame, registry: Registry | None = None, fail_fast: bool = True) -> DataFrame:
+    """All rows of every source (path, language, content). A parse error fails the run unless ``fail_fast`` is
+    off, which leaves the file out. Write the result before several tables are taken from it."""
+    parsers = (registry or default_registry()).parsers
+    columns = ["table", "source_path", *_ALL]
 
     def run(batches):
         for pdf in batches:
-            out = []
+            out: list[dict] = []
             for path, language, text in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
                 try:
-                    out += parser(path, language, text)[0 if what == "nodes" else 1]
+                    out += rows(parsers[language](path, language, text or ""))
                 except Exception as e:
                     if fail_fast:
                         raise ValueError(f"{path}: {e}") from e
-            yield pd.DataFrame(out, columns=columns)
+            frame = pd.DataFrame(out, columns=columns, dtype=object)
+            for c, kind in _ALL.items():
+                if kind in ("int", "boolean"):
+                    frame[c] = frame[c].astype("Int32" if kind == "int" else "boolean")
+            yield frame.where(frame.notna(), None) if len(frame) else frame
+
+    return sources.select("path", "language", "content").mapInPandas(run, SCHEMA)
+
+
+def table(found: DataFrame, name: str) -> DataFrame:
+    """One table of ``extract_all``'s rows."""
+    return found.filter(F.col("table") == name).select("source_path", *TABLES[name])
+
 
-    return sources.select("path", "language", "content").mapInPandas(run, schema)
+def extract(sources: DataFrame, what: str = "nodes", registry: Registry | None = None, fail_fast: bool = True) -> DataFrame:
+    """One table of every source; see ``extract_all``."""
+    return table(extract_all(sources, registry, fail_fast), what)

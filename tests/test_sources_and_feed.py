@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from strataflow.plans.engine import Engine
 from strataflow.sources.discovery import IgnoreRules, discover, glob_regex
-from strataflow.sources.extract import extract, scan
+from strataflow.sources.extract import extract
+from strataflow.sources.parse import parse
 from strataflow.streaming import feed
 
 
@@ -26,7 +27,7 @@ def test_discover_and_extract(spark, tmp_path):
     nodes = {(r["kind"], r["label"], r["exported"]) for r in extract(found).collect()}
     assert ("typescript:class", "A", True) in nodes and ("typescript:interface", "B", True) in nodes and ("typescript:function", "c", False) in nodes
     assert [r["specifier"] for r in extract(found, "references").collect()] == ["./lib/b"]
-    assert scan("x.go", "go", 'import (\n\t"fmt"\n)\nfunc (s T) Do() {}\n')[1] == [("x.go", "fmt", "import", 2)]
+    assert parse("x.go", "go", 'import (\n\t"fmt"\n)\nfunc (s T) Do() {}\n').references == [("fmt", "import", 2, False, [])]
 
 
 def test_feed_retries_and_keeps_order(spark):
