@@ -24,10 +24,10 @@ def by_model(metrics: DataFrame) -> DataFrame:
 
 
 def lattice(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """Token totals with their availability."""
+    """Token totals with their availability; ``estimate_method`` tells how a record was estimated."""
     is_ = lambda x: F.sum(F.when(F.col("availability") == x, 1).otherwise(0))
-    grouped = metrics.groupBy(*keys).agg(F.sum("tokens").alias("total"), F.count("*").alias("rows"), is_("exact").alias("exact"), is_("estimate").alias("estimated"))
-    state = availability(F.col("total"), F.col("exact"), F.col("estimated"), F.col("rows"), F.lit(1))
+    grouped = metrics.groupBy(*keys).agg(F.sum("tokens").alias("total"), F.count("*").alias("rows"), is_("exact").alias("exact"), is_("estimate").alias("estimated"), F.countDistinct(F.when(F.col("availability") == "estimate", F.coalesce("estimate_method", F.lit("")))).alias("methods"))
+    state = availability(F.col("total"), F.col("exact"), F.col("estimated"), F.col("rows"), F.col("methods"))
     return grouped.select(*keys, F.when(state != "unavailable", F.col("total")).alias("total"), state.alias("availability"))
 
 
@@ -44,13 +44,13 @@ def windows(spend: DataFrame, now: Column) -> DataFrame:
     return spend.agg(since("DAY").alias("day_used"), since("WEEK").alias("week_used"), since("MONTH").alias("month_used"))
 
 
-def grant(used: dict[str, int], limits: dict[str, int | None], most: int, least: int) -> int | None:
-    """What may be reserved: the asked maximum within every enabled limit; None if that is too little.
-
-    Without any limit the maximum is granted and nothing needs recording.
-    """
-    enabled = [limits[w] - used[w] for w in limits if limits[w] is not None]
-    amount = min([most, *enabled])
+def grant(used: dict[str, float], limits: dict[str, float | None], most: float, least: float) -> float | None:
+    """What may be reserved: the asked maximum (0 asks for all there is) within every enabled limit; None if
+    that is too little. Without any limit the maximum is granted and nothing needs recording."""
+    enabled = [limits[w] - used[w] for w in limits if limits[w]]
+    if not enabled:
+        return most
+    amount = min([most or float("inf"), *enabled])
     return amount if amount >= least and amount > 0 else None
 
 
@@ -84,3 +84,29 @@ def question_baseline(answers: DataFrame, truth: DataFrame) -> DataFrame:
     shape = answers.groupBy("question").agg((F.countDistinct("path") / F.count("*")).alias("diversity"), F.max("intent").alias("intent"))
     joined = truth.select("question", F.col("intent").alias("expected")).distinct().join(hit, "question", "left").join(shape, "question", "left")
     return joined.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall_at_10"), F.avg(F.coalesce((F.col("intent") == F.col("expected")).cast("int"), F.lit(0))).alias("intent_accuracy"), F.avg("diversity").alias("seed_diversity"))
+
+
+def benchmark_errors(runs: list[dict], limits: dict[str, float], runs_wanted: int = 3, noise: float = 0.01) -> list[str]:
+    """What is wrong with a benchmark's runs: their number, order, checksums, medians, and peak memory.
+
+    A run is a dict with ``index``, ``checksum``, ``peak_bytes`` and one number per metric of ``limits``; the
+    limit of ``peak_bytes`` holds for the median, and with ``noise`` on top for each run.
+    """
+    out = [] if len(runs) == runs_wanted else [f"{len(runs)} runs instead of {runs_wanted}"]
+    out += ["runs are out of order"] if [r.get("index") for r in runs] != list(range(len(runs))) else []
+    out += ["checksums differ between runs"] if len({r.get("checksum") for r in runs}) > 1 else []
+    for metric, most in limits.items():
+        values = [r.get(metric) for r in runs]
+        if not runs or any(v is None or v < 0 for v in values):
+            out.append(f"{metric} is missing or negative")
+            continue
+        median = sorted(values)[len(values) // 2]
+        out += [f"{metric}: median {median} is over {most}"] if median > most else []
+        out += [f"{metric}: a run is over {most} by more than noise"] if metric == "peak_bytes" and max(values) > most * (1 + noise) else []
+    return out
+
+
+def growth_errors(small: dict, large: dict) -> list[str]:
+    """Retained memory must grow by less than half as fast as the corpus (both have ``size``, ``retained_bytes``)."""
+    corpus, heap = large["size"] / small["size"], large["retained_bytes"] / small["retained_bytes"]
+    return [] if corpus > 1 and heap < corpus / 2 else [f"retained memory grew {heap:.2f} times over a corpus {corpus:.2f} times as large"]

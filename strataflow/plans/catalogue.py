@@ -686,7 +686,7 @@ def a2(t):
     return usage.by_model(t.usage)
 
 
-LATTICE = "SELECT day, model, CASE WHEN e = n OR s = n THEN total END AS total, CASE WHEN e = n THEN 'exact' WHEN s = n THEN 'estimate' ELSE 'unavailable' END AS availability FROM (SELECT day, model, sum(tokens)::BIGINT AS total, count(*) AS n, sum(CASE WHEN availability = 'exact' THEN 1 ELSE 0 END) AS e, sum(CASE WHEN availability = 'estimate' THEN 1 ELSE 0 END) AS s FROM usage GROUP BY 1, 2)"
+LATTICE = "SELECT day, model, CASE WHEN e = n OR s = n AND k = 1 THEN total END AS total, CASE WHEN e = n THEN 'exact' WHEN s = n AND k = 1 THEN 'estimate' ELSE 'unavailable' END AS availability FROM (SELECT day, model, sum(tokens)::BIGINT AS total, count(*) AS n, sum(CASE WHEN availability = 'exact' THEN 1 ELSE 0 END) AS e, sum(CASE WHEN availability = 'estimate' THEN 1 ELSE 0 END) AS s, count(DISTINCT CASE WHEN availability = 'estimate' THEN estimate_method END) AS k FROM usage GROUP BY 1, 2)"
 
 
 @query("A3_availability", LATTICE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import time
 from collections.abc import Callable
 
@@ -30,35 +32,104 @@ def coalesce_paths(events: DataFrame, order: str = "ts") -> DataFrame:
 class Publisher:
     """Calls ``publish`` with one list of changed paths after another.
 
-    A micro-batch holds what changed in one throttle interval, so its list is as small as the change.
-    Failed paths come first in the next attempt; waiting doubles from one second to a minute.
+    A list holds at most ``most`` paths, so a backlog goes to the driver in parts. Failed paths come first in
+    the next attempt; waiting doubles from one second to a minute and begins anew after a success. Attempts
+    don't end unless ``attempts`` says so; the checkpoint replays a batch that a stopped query did not finish.
     """
 
-    def __init__(self, publish: Callable[[list[str]], None], sleep: Callable[[float], None] = time.sleep, attempts: int = 8):
-        self.publish, self.sleep, self.attempts = publish, sleep, attempts
+    def __init__(self, publish: Callable[[list[str]], None], sleep: Callable[[float], None] = time.sleep, attempts: int | None = None, most: int = 10_000):
+        self.publish, self.sleep, self.attempts, self.most = publish, sleep, attempts, most
         self.pending: list[str] = []
+        self.last_change = time.monotonic()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        fresh = [r["path"] for r in coalesce_paths(batch).toLocalIterator()]
-        self.pending += [p for p in fresh if p not in set(self.pending)]
-        wait = FIRST_BACKOFF
-        for attempt in range(self.attempts):
-            if not self.pending:
-                return
+        for row in coalesce_paths(batch).toLocalIterator():
+            self.last_change = time.monotonic()
+            if row["path"] not in self.pending:
+                self.pending.append(row["path"])
+            if len(self.pending) >= self.most:
+                self.flush()
+        self.flush()
+
+    def flush(self) -> None:
+        wait, tried = FIRST_BACKOFF, 0
+        while self.pending:
             try:
                 self.publish(list(self.pending))
                 self.pending = []
-                return
             except Exception:
-                if attempt + 1 == self.attempts:
-                    raise  # the checkpoint replays this batch when the query restarts
+                tried += 1
+                if self.attempts is not None and tried >= self.attempts:
+                    raise
                 self.sleep(wait)
                 wait = min(MOST_BACKOFF, 2 * wait)
 
 
-def start(changes: DataFrame, publish: Callable[[list[str]], None], checkpoint: str, throttle: str = THROTTLE) -> StreamingQuery:
+class Ownership:
+    """One feed for each workspace: a lock file in the shared folder names its owner and is kept fresh.
+
+    A lock that has not been refreshed for ``stale`` seconds belonged to a process that died, and is taken over.
+    """
+
+    def __init__(self, path: str, owner: str, stale: float = 60.0, clock: Callable[[], float] = time.time):
+        self.path, self.owner, self.stale, self.clock = path, owner, stale, clock
+
+    def _read(self) -> dict | None:
+        try:
+            with open(self.path) as f:
+                return json.load(f)
+        except (FileNotFoundError, ValueError):
+            return None
+
+    def acquire(self) -> bool:
+        """True if this owner has the workspace now."""
+        held = self._read()
+        if held and held["owner"] != self.owner:
+            if self.clock() - held["at"] <= self.stale:
+                return False
+            os.unlink(self.path)
+        if held is None or held["owner"] != self.owner:
+            temp = f"{self.path}.{self.owner}"
+            with open(temp, "w") as f:
+                json.dump({"owner": self.owner, "at": self.clock()}, f)
+            try:
+                os.link(temp, self.path)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(temp)
+        return True
+
+    def refresh(self) -> None:
+        temp = f"{self.path}.{self.owner}"
+        with open(temp, "w") as f:
+            json.dump({"owner": self.owner, "at": self.clock()}, f)
+        os.replace(temp, self.path)
+
+    def release(self) -> None:
+        if (self._read() or {}).get("owner") == self.owner:
+            os.unlink(self.path)
+
+    def status(self) -> dict:
+        held = self._read()
+        return {"running": bool(held) and self.clock() - held["at"] <= self.stale, "owner": held["owner"] if held else None}
+
+
+def start(changes: DataFrame, publish: Callable[[list[str]], None] | Publisher, checkpoint: str, throttle: str = THROTTLE) -> StreamingQuery:
     """Run the feed over a stream of (ts, path); never two publishes at once."""
-    return changes.writeStream.foreachBatch(Publisher(publish)).option("checkpointLocation", checkpoint).trigger(processingTime=throttle).start()
+    publisher = publish if isinstance(publish, Publisher) else Publisher(publish)
+    return changes.writeStream.foreachBatch(publisher).option("checkpointLocation", checkpoint).trigger(processingTime=throttle).start()
+
+
+def run_until_idle(query: StreamingQuery, publisher: Publisher, ownership: Ownership, idle: float = 300.0, poll: float = 5.0) -> None:
+    """Keep the lock fresh while the feed runs; stop it, and give the lock back, when nothing has changed for a while."""
+    try:
+        while query.isActive and time.monotonic() - publisher.last_change < idle:
+            ownership.refresh()
+            query.awaitTermination(poll)
+    finally:
+        query.stop()
+        ownership.release()
 
 
 def reconcile(on_disk: DataFrame, indexed: DataFrame) -> DataFrame:
