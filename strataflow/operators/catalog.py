@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from strataflow.functions.text import CATALOG, bm25, identifier_tokens, match_groups, plain_tokens
 from strataflow.functions.vectors import cosine, l2
 
+from .incremental import latest_wins
+
 SYNOPSIS_LIMIT = 300
 LEXICAL_LIMIT, RESULT_LIMIT = 50, 10
 #: Weights of catalog search fields (fixed values).
@@ -66,11 +68,16 @@ def search(entries: DataFrame, text: str, limit: int = LEXICAL_LIMIT) -> DataFra
     return found.join(entries.select("node_id", "name"), "node_id").orderBy(F.desc("score"), "name", "node_id").limit(limit)
 
 
-def nearest(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
-    """The nodes with the smallest distance of any of their vectors of the query's dimension."""
+def min_distances(vectors: DataFrame, query: list[float], digits: int | None = None) -> DataFrame:
+    """(node_id, distance): the smallest distance of any of a node's vectors of the query's dimension."""
     q = F.array(*[F.lit(float(x)).cast("float") for x in query])
-    same = vectors.filter(F.size("vector") == len(query))
-    return same.groupBy("node_id").agg(F.min(l2(F.col("vector"), q)).alias("distance")).orderBy("distance", "node_id").limit(limit)
+    least = F.min(l2(F.col("vector"), q))
+    return vectors.filter(F.size("vector") == len(query)).groupBy("node_id").agg((F.round(least, digits) if digits is not None else least).alias("distance"))
+
+
+def nearest(vectors: DataFrame, query: list[float], limit: int, digits: int | None = None) -> DataFrame:
+    """The nodes with the smallest distances; ``digits`` rounds them before they are compared."""
+    return min_distances(vectors, query, digits).orderBy("distance", "node_id").limit(limit)
 
 
 def rerank(lexical: DataFrame, vectors: DataFrame, query: list[float], limit: int = RESULT_LIMIT) -> DataFrame:
@@ -118,3 +125,18 @@ def ranked(entries: DataFrame, vectors: DataFrame | None, text: str, embed: Call
 
 def with_position(rows: DataFrame, *order) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
+def read(entries: DataFrame, vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entries of some node ids with their vectors (a row for each origin; null without one)."""
+    return entries.join(ids.select("node_id").distinct(), "node_id", "left_semi").join(vectors, "node_id", "left")
+
+
+def delete(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """The entries without those of some node ids."""
+    return entries.join(gone.select("node_id"), "node_id", "left_anti")
+
+
+def write_vectors(log: DataFrame, most_dims: int = 8192) -> DataFrame:
+    """The last vector of each node and origin in an append log (seq); ones of impossible size are refused."""
+    return latest_wins(log.filter(F.size("vector").between(1, most_dims)), ["node_id", "origin"], ["seq"])

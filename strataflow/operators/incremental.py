@@ -74,3 +74,9 @@ def first_wins(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def duplicate_sources(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("source_path").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def tombstones(contributions: DataFrame, gone: DataFrame, version: int) -> DataFrame:
+    """Empty contributions of removed sources: source_path, the version that closes them, and no facts."""
+    known = contributions.select("source_path").distinct().join(gone.select("source_path"), "source_path", "left_semi")
+    return known.select("source_path", F.lit(version).alias("valid_from"), F.lit(0).alias("facts"))

@@ -222,3 +222,11 @@ def implements(methods: DataFrame, required: DataFrame) -> DataFrame:
     need = required.groupBy("package", "interface_id").agg(F.countDistinct("name").alias("need"))
     have = methods.select("package", "type_id", "name").distinct().join(required.select("package", "interface_id", "name").distinct(), ["package", "name"])
     return have.groupBy("package", "type_id", "interface_id").agg(F.count("*").alias("have")).join(need, ["package", "interface_id"]).filter("have = need").select("type_id", "interface_id")
+
+
+def package_edges(imports: DataFrame, members: DataFrame) -> DataFrame:
+    """(source_id, target_id) from each importing file to every member of the imported package.
+
+    ``imports``: source_id, target_dir; ``members``: dir, node_id.
+    """
+    return imports.join(members.select(F.col("dir").alias("target_dir"), F.col("node_id").alias("target_id")), "target_dir").filter("source_id <> target_id").select("source_id", "target_id").distinct()

@@ -74,3 +74,33 @@ def uncovered(contributed: DataFrame, covered: DataFrame, version: int) -> DataF
 def staged_view(visible_rows: DataFrame, staged: DataFrame, rewritten: DataFrame) -> DataFrame:
     """What a session sees before commit: staged rows in place of those of rewritten sources."""
     return visible_rows.join(rewritten.select("source_path"), "source_path", "left_anti").unionByName(staged)
+
+
+def point_read(contributed: DataFrame, workspace: DataFrame, version: int, node_id: str) -> DataFrame:
+    """``node_of`` one id: the id reaches both scans before anything is ranked."""
+    mine = F.col("node_id") == node_id
+    return node_of(contributed.filter(mine), workspace.filter(mine), version)
+
+
+def resolver_projections(version: int, **tables: DataFrame) -> DataFrame:
+    """Per source path the rows of each contribution table that it has at a version, as one array per table.
+
+    What one file contributes is bounded by the file. ``tables`` have source_path and a validity interval.
+    """
+    out = None
+    for name, df in tables.items():
+        row = F.struct(*[c for c in df.columns if c not in ("source_path", "valid_from", "valid_to")])
+        part = df.filter(at(version)).groupBy("source_path").agg(F.sort_array(F.collect_set(row)).alias(name))
+        out = part if out is None else out.join(part, "source_path", "full")
+    return out.select("source_path", *[F.coalesce(n, F.array().cast(out.schema[n].dataType)).alias(n) for n in tables])
+
+
+def resolver_target(version: int, source_path: str, **tables: DataFrame) -> dict[str, DataFrame]:
+    """The rows of one source path at a version, table by table."""
+    return {name: df.filter(at(version) & (F.col("source_path") == source_path)).drop("valid_from", "valid_to") for name, df in tables.items()}
+
+
+def package_page(files: DataFrame, directory: str, after: str = "", limit: int = 128, path: str = "span_path", key: str = "node_id") -> DataFrame:
+    """Keyset page of the files that lie directly in a directory."""
+    inside = F.regexp_replace(F.col(path), "/?[^/]*$", "") == directory
+    return page(files.filter(inside), key, after, limit)

@@ -13,6 +13,13 @@ def availability(total: Column, exact: Column, estimated: Column, rows: Column,
     return F.when(exact == rows, "exact").when((estimated == rows) & (methods == 1), "estimate").otherwise("unavailable")
 
 
+def by_day(metrics: DataFrame, first: str, last: str, keys: tuple[str, ...] = ("model", "actual_model", "fallback_model", "effort")) -> DataFrame:
+    """Conditional sums per day and the planner's keys, over a range of days."""
+    some = metrics.filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    sums = [F.sum(F.when(F.col("outcome") == o, 1).otherwise(0)).alias(f"n_{o}") for o in OUTCOMES]
+    return some.groupBy("day", *keys).agg(*sums, F.sum("duration").alias("duration"), F.sum("tokens").alias("tokens"), F.count("tokens").alias("n_tokens"), F.max("budget").alias("max_budget"))
+
+
 def by_model(metrics: DataFrame) -> DataFrame:
     """Conditional sums per day and model, the actual model standing in where it is named."""
     model = F.coalesce(F.when(F.col("actual_model") != "", F.col("actual_model")), F.col("model"))

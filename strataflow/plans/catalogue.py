@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.functions.text import CATALOG, QUESTION, STORE, bm25, identifier_tokens, matched_fields, plain_tokens
-from strataflow.functions.vectors import cosine, l2
+from strataflow.functions.vectors import cosine
 from strataflow.operators import catalog, evidence, export, incremental, lookup, rank, relations, resolve, snapshot, traverse, usage, validate
+from strataflow.sources import configs
 
 from .engine import Engine
 from .lexical import LexicalIndex
@@ -104,9 +105,10 @@ def s7(t):
     return c.select("source_path", F.array_join("nodes", " ").alias("nodes"), F.array_join("edges", " ").alias("edges"))
 
 
-@query("S8_resolver_projections", f"SELECT source_path, count(*) AS declarations, count(DISTINCT kind) AS kinds FROM v_nodes WHERE {VISIBLE} GROUP BY source_path")
+@query("S8_resolver_projections", f"SELECT source_path, declarations, kinds, coalesce(refs, 0) AS refs FROM (SELECT source_path, count(DISTINCT (node_id, kind, label, qualified_name)) AS declarations, count(DISTINCT kind) AS kinds FROM v_nodes WHERE {VISIBLE} GROUP BY 1) LEFT JOIN (SELECT source_path, count(DISTINCT (source_id, target_id, relation)) AS refs FROM v_edges WHERE {VISIBLE} GROUP BY 1) USING (source_path)")
 def s8(t):
-    return t.v_nodes.filter(snapshot.at(VERSION)).groupBy("source_path").agg(F.count("*").alias("declarations"), F.countDistinct("kind").alias("kinds"))
+    found = snapshot.resolver_projections(VERSION, declarations=t.v_nodes, references=t.v_edges)
+    return found.select("source_path", F.size("declarations").cast("long").alias("declarations"), F.size(F.array_distinct(F.transform("declarations", lambda d: d["kind"]))).cast("long").alias("kinds"), F.size("references").cast("long").alias("refs"))
 
 
 @query("S9_projection_page", f"SELECT DISTINCT source_path FROM v_contributions WHERE {VISIBLE} AND source_path > 'src/12' ORDER BY source_path LIMIT 128")
@@ -114,14 +116,15 @@ def s9(t):
     return snapshot.page(t.v_contributions.filter(snapshot.at(VERSION)).select("source_path").distinct(), "source_path", "src/12", 128)
 
 
-@query("S10_resolver_target", f"SELECT node_id, kind, qualified_name FROM v_nodes WHERE {VISIBLE} AND source_path = 'src/7'")
+@query("S10_resolver_target", f"SELECT node_id, kind, qualified_name FROM v_nodes WHERE {VISIBLE} AND source_path = 'src/7' UNION ALL SELECT source_id, relation, target_id FROM v_edges WHERE {VISIBLE} AND source_path = 'src/7'")
 def s10(t):
-    return t.v_nodes.filter(snapshot.at(VERSION) & (F.col("source_path") == "src/7")).select("node_id", "kind", "qualified_name")
+    found = snapshot.resolver_target(VERSION, "src/7", declarations=t.v_nodes, references=t.v_edges)
+    return found["declarations"].select("node_id", "kind", "qualified_name").unionByName(found["references"].select(F.col("source_id").alias("node_id"), F.col("relation").alias("kind"), F.col("target_id").alias("qualified_name")))
 
 
 @query("S11_package_page", "SELECT node_id FROM g_nodes WHERE kind = 'file' AND regexp_replace(span_path, '/?[^/]*$', '') = 'ASIA' ORDER BY node_id LIMIT 128")
 def s11(t):
-    return snapshot.page(t.g_nodes.filter((F.col("kind") == "file") & (resolve.dirname(F.col("span_path")) == "ASIA")).select("node_id"), "node_id", "", 128)
+    return snapshot.package_page(t.g_nodes.filter("kind = 'file'"), "ASIA").select("node_id")
 
 
 @query("S12_staged_reads", f"WITH s AS (SELECT source_path, node_id FROM v_nodes WHERE valid_from = 21) SELECT source_path, node_id FROM v_nodes WHERE {VISIBLE} AND source_path NOT IN (SELECT source_path FROM s) UNION ALL SELECT source_path, node_id FROM s")
@@ -140,7 +143,7 @@ def s13(t):
 @query("S14_catalog_reads", "SELECT e.node_id, e.name, v.origin, len(v.vector) AS dims FROM cat_entries e LEFT JOIN cat_vectors v ON e.node_id = v.node_id WHERE e.node_id IN ('class:1', 'class:7', 'class:900')")
 def s14(t):
     ids = listing(t, [("class:1",), ("class:7",), ("class:900",)], "node_id string")
-    return t.cat_entries.join(F.broadcast(ids), "node_id", "left_semi").join(t.cat_vectors, "node_id", "left").select("node_id", "name", "origin", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"))
+    return catalog.read(t.cat_entries, t.cat_vectors, ids).select("node_id", "name", "origin", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"))
 
 
 @query("S16_fact_counts", f"WITH n AS ({NODES_AT}), e AS ({EDGES_AT}) SELECT (SELECT count(DISTINCT node_id) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges")
@@ -181,8 +184,8 @@ def w6(t):
 
 @query("W7_tombstones", f"SELECT source_path, 21 AS valid_from, 0 AS facts FROM v_contributions WHERE {VISIBLE} AND o_custkey % 10 = 3")
 def w7(t):
-    gone = t.v_contributions.filter(snapshot.at(VERSION) & (F.col("o_custkey") % 10 == 3))
-    return gone.select("source_path", F.lit(21).alias("valid_from"), F.lit(0).alias("facts"))
+    now = t.v_contributions.filter(snapshot.at(VERSION))
+    return incremental.tombstones(now, t.customer.filter("c_custkey % 10 = 3").select(F.concat(F.lit("src/"), F.col("c_custkey")).alias("source_path")), 21)
 
 
 @query("W8_retained_edges", "SELECT source_id, target_id, relation, owner FROM ws_edges WHERE version = 20 AND owner NOT IN (SELECT source_path FROM v_writes WHERE valid_from = 21)")
@@ -227,6 +230,11 @@ def w18(t):
     return incremental.latest_wins(log, ["workspace"], ["version", "seq"]).drop("seq")
 
 
+@query("S5_point_read", f"WITH r AS (SELECT node_id, kind, label, qualified_name, source_path, 0 AS k FROM v_nodes WHERE {VISIBLE} AND node_id = 'class:1' UNION ALL SELECT node_id, kind, label, qualified_name, '', 1 FROM ws_nodes WHERE version = 20 AND node_id = 'class:1') SELECT node_id, kind, label, qualified_name FROM r ORDER BY k DESC, source_path DESC LIMIT 1")
+def s5b(t):
+    return snapshot.point_read(t.v_nodes, t.ws_nodes, VERSION, "class:1")
+
+
 _QUERIES["S15_read_task"] = lambda spark, d: _QUERIES["W18_catalog_task"](spark, d).filter("workspace = 3")
 _SQL["S15_read_task"] = with_views("SELECT * FROM (SELECT o_custkey % 5 AS workspace, version, o_orderstatus AS state FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY version DESC, o_orderkey DESC) AS n FROM v_orders) WHERE n = 1) WHERE workspace = 3")
 
@@ -239,13 +247,13 @@ def w19(t):
 @query("W20_delete_catalog", "SELECT node_id, name FROM cat_entries WHERE node_id NOT IN (SELECT 'class:' || o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def w20(t):
     gone = t.orders.filter("o_orderstatus = 'F'").select(F.concat(F.lit("class:"), F.col("o_custkey")).alias("node_id"))
-    return t.cat_entries.select("node_id", "name").join(gone, "node_id", "left_anti")
+    return catalog.delete(t.cat_entries.select("node_id", "name"), gone)
 
 
 @query("W21_write_embeddings", "SELECT 'n' || (vec_id % 100) AS node_id, 's' || label AS origin, len(arg_max(embedding, vec_id)) AS dims, max(vec_id) AS seq FROM embeddings WHERE len(embedding) BETWEEN 1 AND 8192 GROUP BY 1, 2")
 def w21(t):
-    log = t.embeddings.filter(F.size("embedding").between(1, 8192)).select(F.concat(F.lit("n"), F.col("vec_id") % 100).alias("node_id"), F.concat(F.lit("s"), F.col("label")).alias("origin"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
-    return incremental.latest_wins(log, ["node_id", "origin"], ["seq"]).select("node_id", "origin", F.size("vector").alias("dims"), "seq")
+    log = t.embeddings.select(F.concat(F.lit("n"), F.col("vec_id") % 100).alias("node_id"), F.concat(F.lit("s"), F.col("label")).alias("origin"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+    return catalog.write_vectors(log).select("node_id", "origin", F.size("vector").alias("dims"), "seq")
 
 
 #: Facts of the whole orders table.
@@ -461,9 +469,7 @@ PROBE_SQL = "[" + ", ".join(f"CAST({x} AS FLOAT)" for x in PROBE) + "]"
 
 @query("L13_nearest_vectors", f"SELECT node_id, distance FROM (SELECT node_id, round(min(list_distance(CAST(vector AS DOUBLE[]), CAST({PROBE_SQL} AS DOUBLE[]))), 5) AS distance FROM cat_vectors WHERE len(vector) = 64 GROUP BY node_id) ORDER BY distance, node_id LIMIT 20")
 def l13(t):
-    q = F.array(*[F.lit(float(x)).cast("float") for x in PROBE])
-    best = t.cat_vectors.filter(F.size("vector") == 64).groupBy("node_id").agg(F.round(F.min(l2(F.col("vector"), q)), 5).alias("distance"))
-    return best.orderBy("distance", "node_id").limit(20)
+    return catalog.nearest(t.cat_vectors, PROBE, 20, 5)
 
 
 @query("L14_cosine", f"SELECT node_id, origin, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST({PROBE_SQL} AS DOUBLE[])), 5) AS similarity FROM cat_vectors")
@@ -478,10 +484,9 @@ def l15(t):
     return catalog.rerank(lexical, t.cat_vectors, PROBE).select("node_id", "position", F.round("similarity", 5).alias("similarity"))
 
 
-@query("A10_min_distance", f"SELECT node_id, round(min(list_distance(CAST(vector AS DOUBLE[]), CAST({PROBE_SQL} AS DOUBLE[]))), 5) AS distance FROM cat_vectors GROUP BY node_id")
+@query("A10_min_distance", f"SELECT node_id, round(min(list_distance(CAST(vector AS DOUBLE[]), CAST({PROBE_SQL} AS DOUBLE[]))), 5) AS distance FROM cat_vectors WHERE len(vector) = 64 GROUP BY node_id")
 def a10(t):
-    q = F.array(*[F.lit(float(x)).cast("float") for x in PROBE])
-    return t.cat_vectors.groupBy("node_id").agg(F.round(F.min(l2(F.col("vector"), q)), 5).alias("distance"))
+    return catalog.min_distances(t.cat_vectors, PROBE, 5)
 
 
 CANDIDATES = "ca AS (SELECT node_id, kind, label, qualified_name, span_path, CAST(1 + (length(node_id) * 7 + length(label) * 3) % 11 AS DOUBLE) AS score FROM g_nodes WHERE kind IN ('file', 'typescript:class'))"
@@ -675,10 +680,9 @@ def g21(t):
 # --- usage ---------------------------------------------------------------------------------------
 
 
-@query("A1_metrics_by_day", "SELECT day, model, actual_model, " + ", ".join(f"sum(CASE WHEN outcome = '{o}' THEN 1 ELSE 0 END)::BIGINT AS n_{o}" for o in usage.OUTCOMES) + ", sum(duration)::BIGINT AS duration, sum(tokens)::BIGINT AS tokens, count(tokens) AS n_tokens, max(budget) AS max_budget FROM usage WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' GROUP BY 1, 2, 3")
+@query("A1_metrics_by_day", "SELECT day, model, actual_model, fallback_model, effort, " + ", ".join(f"sum(CASE WHEN outcome = '{o}' THEN 1 ELSE 0 END)::BIGINT AS n_{o}" for o in usage.OUTCOMES) + ", sum(duration)::BIGINT AS duration, sum(tokens)::BIGINT AS tokens, count(tokens) AS n_tokens, max(budget) AS max_budget FROM usage WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' GROUP BY 1, 2, 3, 4, 5")
 def a1(t):
-    m = t.usage.filter("day between date'2024-01-01' and date'2024-12-31'")
-    return m.groupBy("day", "model", "actual_model").agg(*[F.sum(F.when(F.col("outcome") == o, 1).otherwise(0)).alias(f"n_{o}") for o in usage.OUTCOMES], F.sum("duration").alias("duration"), F.sum("tokens").alias("tokens"), F.count("tokens").alias("n_tokens"), F.max("budget").alias("max_budget"))
+    return usage.by_day(t.usage, "2024-01-01", "2024-12-31")
 
 
 @query("A2_metrics_by_model", "SELECT day, coalesce(nullif(actual_model, ''), model) AS model, " + ", ".join(f"sum(CASE WHEN outcome = '{o}' THEN 1 ELSE 0 END)::BIGINT AS n_{o}" for o in usage.OUTCOMES) + ", sum(duration)::BIGINT AS duration, sum(tokens)::BIGINT AS tokens, count(tokens) AS n_tokens, max(budget) AS max_budget, count(DISTINCT CASE WHEN tokens IS NOT NULL THEN outcome END) AS n_outcomes, min(CASE WHEN availability = 'exact' THEN tokens END) AS least_exact FROM usage GROUP BY 1, 2")
@@ -753,11 +757,23 @@ def r2(t):
 
 @query("R3_package_walk", f"WITH r AS ({REFS}) SELECT source_path, 'r' || regexp_extract(source_path, '^r(\\d+)', 1) || '/node_modules/lib' AS target FROM r WHERE CAST(regexp_extract(source_path, '^r(\\d+)', 1) AS INT) < 3")
 def r3(t):
-    r, _ = refs(t)
-    dirs = r.select("source_path", F.explode(resolve.ancestors(resolve.dirname(F.col("source_path")))).alias("dir")).distinct()
-    have = listing(t, [(f"r{i}",) for i in range(3)], "dir string")
-    nearest = dirs.join(F.broadcast(have), "dir").groupBy("source_path").agg(F.max_by("dir", F.length("dir")).alias("dir"))
-    return r.select("source_path").join(nearest, "source_path").select("source_path", F.concat("dir", F.lit("/node_modules/lib")).alias("target"))
+    asked = refs(t)[0].select("source_path", F.lit("lib").alias("specifier"))
+    installed = listing(t, [("package", f"r{i}/node_modules/lib", ".", f"r{i}/node_modules/lib", 0) for i in range(3)], configs.SCHEMA)
+    return resolve.package_bases(asked, installed).select("source_path", F.col("base").alias("target"))
+
+
+@query("R2_nearest_config", f"WITH r AS (SELECT DISTINCT source_path, 'r' || (CAST(regexp_extract(source_path, '^r(\\d+)', 1) AS INT)) AS top FROM ({REFS})) SELECT source_path, '@lib/x' AS specifier, CASE top WHEN 'r0' THEN 'own/x' ELSE 'all/lib/x' END AS base FROM r UNION ALL SELECT source_path, 'plain', CASE top WHEN 'r0' THEN NULL ELSE 'all/plain' END FROM r WHERE top <> 'r0'")
+def r2b(t):
+    files = refs(t)[0].select("source_path")
+    asked = files.withColumn("specifier", F.lit("@lib/x")).union(files.withColumn("specifier", F.lit("plain")))
+    rows = [("config", "", "", "", 0), ("base", "", "", "all", 0), ("alias", "", "@lib/*", "all/lib/*", 0), ("config", "r0", "", "", 0), ("alias", "r0", "@lib/*", "own/*", 0), ("alias", "r0", "@*", "wrong/*", 1)]
+    return resolve.alias_bases(asked, listing(t, rows, configs.SCHEMA)).select("source_path", "specifier", "base")
+
+
+@query("R7_go_packages", "WITH s AS (SELECT DISTINCT 'ex.org/' || p_brand || '/pkg' || (p_size % 5) AS specifier FROM part) SELECT 'm.go' AS source_path, specifier, CASE WHEN starts_with(specifier, 'ex.org/Brand#1/') THEN 'local/' || substr(specifier, 16) ELSE 'root/' || substr(specifier, 8) END AS target_dir FROM s")
+def r7b(t):
+    asked = t.part.select(F.lit("m.go").alias("source_path"), F.concat(F.lit("ex.org/"), F.col("p_brand"), F.lit("/pkg"), F.col("p_size") % 5).alias("specifier"))
+    return resolve.go_packages(asked, listing(t, [("module", "root", "ex.org", "root", 0), ("module", "", "ex.org/Brand#1", "gone", 0), ("module", "", "ex.org/Brand#1", "local", 1)], configs.SCHEMA))
 
 
 CLOSE = "WITH RECURSIVE x AS (SELECT 'p' || n_nationkey AS path, 'p' || (n_nationkey + 7) AS target_path FROM nation WHERE n_nationkey < 18), s AS (SELECT 'p' || (s_suppkey % 25) AS path, CASE WHEN s_suppkey % 9 = 0 THEN 'default' ELSE s_name END AS name, 'interface:' || s_suppkey AS node_id FROM supplier), c(path, name, node_id) AS (SELECT * FROM s UNION SELECT x.path, c.name, c.node_id FROM c JOIN x ON c.path = x.target_path WHERE c.name <> 'default') SELECT path, name, node_id FROM c"
@@ -778,9 +794,10 @@ def r5(t):
 
 @query("R6_symbol_targets", "SELECT 'c' || o.o_orderkey AS source_id, 'class:' || c.c_custkey AS target_id FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey")
 def r6(t):
-    uses = t.orders.select(F.concat(F.lit("c"), F.col("o_orderkey")).alias("source_id"), F.col("o_custkey").alias("local"))
-    bindings = t.customer.select(F.col("c_custkey").alias("local"), F.concat(F.lit("class:"), F.col("c_custkey")).alias("target_id"))
-    return uses.join(bindings, "local").select("source_id", "target_id")
+    uses = t.orders.select(F.concat(F.lit("c"), F.col("o_orderkey")).alias("source_id"), F.concat(F.lit("ns."), F.col("o_custkey")).alias("target"), F.lit("").alias("receiver"), F.lit("calls").alias("relation"), F.lit("f").alias("source_path"))
+    bindings = listing(t, [("f", "ns", "*", "g")], "source_path string, local string, imported string, target_path string")
+    shown = t.customer.select(F.lit("g").alias("path"), F.col("c_custkey").cast("string").alias("name"), F.concat(F.lit("class:"), F.col("c_custkey")).alias("node_id"))
+    return resolve.bound_targets(uses, bindings, shown).select("source_id", "target_id")
 
 
 @query("R7_longest_prefix", "WITH p AS (SELECT DISTINCT n_path || '/c' || (c_custkey % 9) AS path FROM customer JOIN g_place ON c_nationkey = n_nationkey), r(root) AS (VALUES ('ASIA'), ('ASIA/NATION_2'), ('EUROPE/NATION_3'), ('AFRICA/NATION')), k AS (SELECT path, root, row_number() OVER (PARTITION BY path ORDER BY length(root) DESC) AS n FROM p JOIN r ON path = root OR starts_with(path, root || '/')) SELECT path, root FROM k WHERE n = 1")
@@ -792,7 +809,7 @@ def r7(t):
 @query("R8_package_imports", "SELECT a.node_id AS source_id, b.node_id AS target_id FROM g_nodes a JOIN g_nodes b ON regexp_replace(a.span_path, '/?[^/]*$', '') = regexp_replace(b.span_path, '/?[^/]*$', '') WHERE a.kind = 'file' AND b.kind = 'file' AND a.node_id <> b.node_id")
 def r8(t):
     f = t.g_nodes.filter("kind = 'file'").select("node_id", resolve.dirname(F.col("span_path")).alias("dir"))
-    return f.select(F.col("node_id").alias("source_id"), "dir").join(f.select(F.col("node_id").alias("target_id"), "dir"), "dir").filter("source_id <> target_id").select("source_id", "target_id")
+    return resolve.package_edges(f.select(F.col("node_id").alias("source_id"), F.col("dir").alias("target_dir")), f)
 
 
 @query("R9_unique_calls", "WITH c AS (SELECT p_partkey AS call_id, p_name AS name FROM part), d AS (SELECT p_name AS name, count(*) AS matches, min('function:' || p_partkey) AS node_id FROM part GROUP BY 1) SELECT call_id, CASE WHEN matches = 1 THEN node_id END AS node_id, coalesce(matches, 0) AS matches FROM c LEFT JOIN d ON c.name = d.name")

@@ -36,7 +36,7 @@ VIEWS = {
     "lex_docs": "SELECT doc_id, lang AS title, source AS path, coalesce(text, '') AS body FROM documents",
     "cat_entries": "SELECT 'class:' || c_custkey AS node_id, c_name AS name, c_mktsegment AS synopsis FROM customer",
     "cat_vectors": "SELECT 'class:' || (vec_id // 2) AS node_id, 'source' || (vec_id % 2) AS origin, embedding AS vector FROM embeddings",
-    "usage": "SELECT CAST(ts AS DATE) AS day, 'model' || (user_id % 5) AS model, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'actual' || (user_id % 2) END AS actual_model, event_type AS outcome, CAST(round(value * 1000) AS BIGINT) AS duration, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(round(value * 10) AS BIGINT) END AS tokens, CASE WHEN user_id % 7 = 0 THEN 'unavailable' WHEN user_id % 11 = 0 THEN 'estimate' ELSE 'exact' END AS availability, CASE WHEN user_id % 11 = 0 THEN 'by' || (user_id % 2) ELSE '' END AS estimate_method, value AS budget FROM events",
+    "usage": "SELECT CAST(ts AS DATE) AS day, 'model' || (user_id % 5) AS model, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'actual' || (user_id % 2) END AS actual_model, CASE WHEN user_id % 4 = 0 THEN 'spare' ELSE '' END AS fallback_model, CASE user_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE '' END AS effort, event_type AS outcome, CAST(round(value * 1000) AS BIGINT) AS duration, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(round(value * 10) AS BIGINT) END AS tokens, CASE WHEN user_id % 7 = 0 THEN 'unavailable' WHEN user_id % 11 = 0 THEN 'estimate' ELSE 'exact' END AS availability, CASE WHEN user_id % 11 = 0 THEN 'by' || (user_id % 2) ELSE '' END AS estimate_method, value AS budget FROM events",
     "spend": "SELECT event_id AS reservation_id, ts AS recorded_at, CAST(round(value * 100) AS BIGINT) AS amount FROM events WHERE event_type = 'purchase'",
 }
 

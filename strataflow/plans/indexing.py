@@ -110,7 +110,8 @@ def _go_edges(f: Facts, mine: Facts) -> DataFrame:
     one = imports.select("source_path", "target_dir").distinct()
     mates = f.nodes.filter(is_go() & (F.col("kind") == "file")).select(here.alias("target_dir"), F.col("node_id").alias("target_id"))
     shown = declared.filter("exported and owner = ''").select(F.col("dir").alias("target_dir"), F.col("node_id").alias("target_id"))
-    imported = one.join(mates.union(shown), "target_dir").select(file_id, "target_id", F.lit("go:imports_from").alias("relation"), "source_path")
+    members = mates.union(shown).select(F.col("target_dir").alias("dir"), F.col("target_id").alias("node_id"))
+    imported = resolve.package_edges(one.select(file_id, "target_dir"), members).select("source_id", "target_id", F.lit("go:imports_from").alias("relation"), F.substring("source_id", 6, 1 << 30).alias("source_path"))
     symbols = mine.symbols.filter(is_go())
     callable_ = declared.filter("kind in ('go:function', 'go:method')").drop("kind", "source_path")
     calls = resolve.package_uses(symbols.filter("relation = 'go:calls'"), imports, callable_)
