@@ -61,7 +61,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classify(read(spark, sf_dir, "documents"), near_dedup.Params(words=4, percent=80))
 
 
-@query("op6_decontaminate")
+LEAKS_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents WHERE doc_id IS NOT NULL),
+    i AS (SELECT row_number() OVER () AS k, item_id, t, len(t) AS n, least(len(t), 13) AS w FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark WHERE item_id IS NOT NULL) WHERE len(t) >= 5),
+    dt AS (SELECT r, unnest(t) AS x, generate_subscripts(t, 1) AS p FROM d), it AS (SELECT k, unnest(t) AS x, generate_subscripts(t, 1) AS p FROM i),
+    m AS (SELECT r, k, dt.p - it.p AS g, list(it.p) AS ps, count(*) AS matched FROM dt JOIN it ON dt.x = it.x GROUP BY r, k, dt.p - it.p HAVING count(*) >= 4),
+    b AS (SELECT d.doc_id, i.item_id, g, n, matched, w, list_max(list_transform(range(1, n - w + 2), lambda s: len(list_filter(ps, lambda q: q >= s AND q < s + w)))) AS best FROM m JOIN i ON i.k = m.k JOIN d ON d.r = m.r WHERE matched >= ceil(w * 0.8)),
+    z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best DESC, matched DESC, g) AS o FROM b WHERE best >= ceil(w * 0.8))
+    SELECT doc_id, item_id, CAST(g AS BIGINT) AS doc_offset, CAST(n AS BIGINT) AS item_tokens, CAST(matched AS BIGINT) AS matched_tokens, round(best / w, 6) AS best_window FROM z WHERE o = 1"""
+
+
+@query("op6_decontaminate", LEAKS_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 

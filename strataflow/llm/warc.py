@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, checked
@@ -123,11 +123,9 @@ def write(pages: DataFrame, root: str, p: Params = Params()) -> DataFrame:
     rows = pages.select("page_id", "url", html.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
     scratch = Scratch(spark, "warc-digests")
     # pre-aggregated by digest: a payload that a third of all pages share is one row here
-    seen = Observation()
-    by_digest = rows.observe(seen, F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).filter(F.col("bytes") >= p.min_revisit)
-    groups = scratch.keep(by_digest.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null"), "groups")
+    groups = scratch.keep(rows.filter(F.col("bytes") >= p.min_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null"), "groups")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    parts = p.parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen.get["bytes"] // p.part_bytes))
+    parts = p.parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // p.part_bytes))
 
     def run(batches):
         from pyspark import TaskContext

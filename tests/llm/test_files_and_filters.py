@@ -65,6 +65,31 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), spark.createDataFrame(URL_RULES, "host string, path string, action string")).count() == 0
 
 
+def test_url_filter_passes_clashing_columns_and_long_urls(spark):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    long = "http://a.com/en/" + "x/" * 100_000
+    pages = spark.createDataFrame([(1, long, "p", "q", "r"), (2, None, "p", "q", "r"), (2, None, "p", "q", "r"), (3, "http://b.org/es/", "p", "q", "r")], "page_id long, url string, best string, row string, key string")
+    out = url_filter.judge(pages, rules)
+    assert out.columns == ["page_id", "url", "best", "row", "key", "host", "path", "rule", "verdict"]
+    got = sorted(((r["page_id"], r["verdict"], r["best"], r["rule"]) for r in out.collect()), key=str)
+    assert got == [(1, "block", "p", "com/en/"), (2, "allow", "p", None), (2, "allow", "p", None), (3, "block", "p", "org/es/")]
+    assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_a_cut_archive_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"body {i}") for i in range(9)], "page_id long, url string, html string")
+    parts = warc.write(pages, f"file://{tmp_path}/w", warc.Params(parts=1))
+    path = parts.first()["archive"].split(":", 1)[1]
+    path = path.removeprefix("//")
+    with open(path, "rb") as f:
+        data = f.read()
+    with open(path, "wb") as f:
+        f.write(data[:-6])
+    for by_index in (False, True):
+        with pytest.raises(Exception, match="member|records|incomplete|truncated"):
+            warc.scan(spark, parts, by_index=by_index).collect()
+
+
 def test_warc_round_trip_and_lookup(spark, tmp_path):
     body = "<p>é</p>\r\n\r\nWARC/1.1" * 50
     rows = [(1, "http://b.x.com/1", body), (2, "http://a.x.com/2", body), (3, "http://a.x.com/2", None), (4, None, ""), (5, "bad url", "y" * 300_000), (6, "http://a.x.com/2?q=\t#f", "z"), (6, "http://c.org/", "z"), (None, "http://c.org/n", "w")]
