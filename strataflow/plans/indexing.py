@@ -31,7 +31,9 @@ class Facts:
 
     @classmethod
     def staged(cls, view: Staged, configs: DataFrame) -> Facts:
-        return cls(**{n: view.contributions(n) for n in CONTRIBUTED}, configs=configs)
+        """Written once where they are put together from several versions, as resolution reads them many times."""
+        put = cut if view.before.versions else lambda df: df
+        return cls(**{n: put(view.contributions(n)) for n in CONTRIBUTED}, configs=configs)
 
     def of(self, owners: DataFrame | None) -> Facts:
         """The same with only the references, symbols and local edges of some sources."""
