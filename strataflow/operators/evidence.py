@@ -54,7 +54,7 @@ def is_contract(kind: Column, path: Column) -> Column:
 
 def identity(kind: Column, qualified_name: Column, path: Column) -> Column:
     suite = suite_name(kind, path)
-    return F.when(suite.isNotNull(), F.concat(F.lit("contract-suite:"), suite)).when(is_contract(kind, path) & (qualified_name != ""), F.concat(F.lit("qualified:"), F.lower(qualified_name)))
+    return F.when(suite.isNotNull(), F.concat(F.lit("suite of "), suite)).when(is_contract(kind, path) & (qualified_name != ""), F.concat(F.lit("named "), F.lower(qualified_name)))
 
 
 def common(nodes: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -654,7 +654,7 @@ def g17(t):
     return evidence.common(t.g_nodes, side("interface:3"), side("interface:4"))
 
 
-@query("G18_contract_predicates", "SELECT node_id, CASE WHEN contains(kind, 'interface') THEN 'qualified:' || lower(qualified_name) END AS identity FROM g_nodes")
+@query("G18_contract_predicates", "SELECT node_id, CASE WHEN contains(kind, 'interface') THEN 'named ' || lower(qualified_name) END AS identity FROM g_nodes")
 def g18(t):
     return t.g_nodes.select("node_id", evidence.identity(F.col("kind"), F.col("qualified_name"), F.col("span_path")).alias("identity"))
 
