@@ -551,24 +551,24 @@ def as_rows(t: Tables, tr: traverse.Traversal) -> DataFrame:
     return listing(t, [(i, n, tr.levels[n], ",".join(tr.truncated)) for i, n in enumerate(tr.nodes)] or [], "position int, node_id string, distance int, truncated string")
 
 
-BOTH_WAYS = "o AS (SELECT source_id AS f, target_id AS n, source_id, target_id, relation FROM g_edges UNION ALL SELECT target_id, source_id, source_id, target_id, relation FROM g_edges WHERE source_id <> target_id)"
-ONE_WAY = "o AS (SELECT source_id AS f, target_id AS n, source_id, target_id, relation FROM g_edges WHERE relation IN ('contains', 'defines'))"
+BOTH_WAYS = "o AS MATERIALIZED (SELECT source_id AS f, target_id AS n, source_id, target_id, relation FROM g_edges UNION ALL SELECT target_id, source_id, source_id, target_id, relation FROM g_edges WHERE source_id <> target_id)"
+ONE_WAY = "o AS MATERIALIZED (SELECT source_id AS f, target_id AS n, source_id, target_id, relation FROM g_edges WHERE relation IN ('contains', 'defines'))"
 
 
 def hop_sql(i: int, start: str, room: str) -> str:
     """CTEs k, r, s of hop ``i``: new neighbours with their first key, in order of it, and those that find room."""
     before = f"'{start}'" if i == 1 else f"SELECT n FROM s{i - 1}"
     seen = " ".join([f"AND n <> '{start}'", *(f"AND n NOT IN (SELECT n FROM s{j})" for j in range(1, i))])
-    return f"""k{i} AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY f, source_id, target_id, relation) AS i FROM o WHERE f IN ({before}) {seen} AND n IN (SELECT node_id FROM g_nodes)),
-    r{i} AS (SELECT n, f, row_number() OVER (ORDER BY f, source_id, target_id, relation) AS p FROM k{i} WHERE i = 1), s{i} AS (SELECT n, f, p FROM r{i} WHERE p <= {room})"""
+    return f"""k{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY n ORDER BY f, source_id, target_id, relation) AS i FROM o WHERE f IN ({before}) {seen} AND n IN (SELECT node_id FROM g_nodes)),
+    r{i} AS MATERIALIZED (SELECT n, f, row_number() OVER (ORDER BY f, source_id, target_id, relation) AS p FROM k{i} WHERE i = 1), s{i} AS MATERIALIZED (SELECT n, f, p FROM r{i} WHERE p <= {room})"""
 
 
 @query(
     "G1_traverse_limited",
     f"""WITH {BOTH_WAYS}, {hop_sql(1, CLASS, "39")}, {hop_sql(2, CLASS, "39 - (SELECT count(*) FROM s1)")},
-    sel AS (SELECT '{CLASS}' AS n, 0 AS d, 0 AS p UNION ALL SELECT n, 1, p FROM s1 UNION ALL SELECT n, 2, p FROM s2),
+    sel AS MATERIALIZED (SELECT '{CLASS}' AS n, 0 AS d, 0 AS p UNION ALL SELECT n, 1, p FROM s1 UNION ALL SELECT n, 2, p FROM s2),
     w AS (SELECT concat_ws(',', CASE WHEN (SELECT count(*) FROM r1) > 39 OR (SELECT count(*) FROM r2) > 39 - (SELECT count(*) FROM s1) THEN 'node_limit' END,
-        CASE WHEN EXISTS (SELECT 1 FROM o WHERE f IN (SELECT n FROM s2) AND n NOT IN (SELECT n FROM sel)) THEN 'depth_limit' END) AS truncated)
+        CASE WHEN (SELECT count(*) FROM o SEMI JOIN s2 ON o.f = s2.n ANTI JOIN sel ON o.n = sel.n) > 0 THEN 'depth_limit' END) AS truncated)
     SELECT CAST(row_number() OVER (ORDER BY d, p) - 1 AS INTEGER) AS position, n AS node_id, d AS distance, truncated FROM sel, w""",
 )
 def g1c(t):
