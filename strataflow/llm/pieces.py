@@ -542,16 +542,16 @@ def spans(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-def encode(docs: DataFrame, v: Vocabulary, n: int = 1, ids: bool = True, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode(docs: DataFrame, v: Vocabulary, n: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: the id column, n_tokens, score, ids_xxh64 (of the packed ids), round_trip (whether each of
-    the N best, decoded, is the text), the scores and digests of the N best and, with ``ids``, the best
-    ids and the ids of the N best."""
+    the N best, decoded, is the text), the scores and digests of the N best, the best ids and the ids of
+    the N best."""
     shipped = docs.sparkSession.sparkContext.broadcast(v)  # bounded by the model file
     key = docs.select(F.col(id_column).alias("doc_id")).schema["doc_id"]
     from pyspark.sql.pandas.types import to_arrow_type
 
     fields = [("doc_id", to_arrow_type(key.dataType)), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids_xxh64", pa.int64()), ("round_trip", pa.bool_()), ("nbest_scores", pa.list_(pa.float64())), ("nbest_xxh64", pa.list_(pa.int64()))]
-    fields += [("ids", pa.list_(pa.int32())), ("nbest_ids", pa.list_(pa.list_(pa.int32())))] if ids else []
+    fields += [("ids", pa.list_(pa.int32())), ("nbest_ids", pa.list_(pa.list_(pa.int32())))]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -582,9 +582,8 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 1, ids: bool = True, id_colu
                     pa.array(digests[firsts]), pa.array(whole, pa.bool_()), pa.ListArray.from_arrays(pa.array(rows), pa.array([s for f in found for s, _ in f], pa.float64())),
                     pa.ListArray.from_arrays(pa.array(rows), pa.array(digests)),
                 ]
-                if ids:
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                    arrays += [lists.take(pa.array(firsts)), pa.ListArray.from_arrays(pa.array(rows), lists)]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                arrays += [lists.take(pa.array(firsts)), pa.ListArray.from_arrays(pa.array(rows), lists)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     from pyspark.sql.pandas.types import from_arrow_schema
