@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, token_shards, toxicity, url_filter, warc
+from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, resampling, token_shards, toxicity, trie, url_filter, vantage, warc
 from .common import Scratch, held_out, read
 
 #: Per query: its function, and its DuckDB SQL where SQL can express it.
@@ -146,3 +146,62 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = Scratch(spark, "token-shards").path("shards")
     return token_shards.write(read(spark, sf_dir, "documents"), root)
+
+
+#: crc32 in SQL: the table of one byte's steps, and the checksum of a text's UTF-8 bytes ({0}) by it.
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY n) AS tbl FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(n)))"
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({0}))), lambda i: (instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 2, 1)) - 1)), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query(
+    "op11_importance_resampling",
+    rf"""WITH {CRC_TABLE},
+    d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    i AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+    o AS (SELECT r, unnest(words) AS w FROM d),
+    v AS (SELECT w, {CRC.format('w')} % 10000 AS bucket FROM (SELECT w FROM o UNION SELECT w FROM i), crc),
+    s AS (SELECT bucket, count(*) AS s FROM o JOIN v USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM i JOIN v USING (w) GROUP BY bucket),
+    n AS (SELECT (SELECT count(*) FROM o)::DOUBLE AS S_all, (SELECT count(*) FROM i)::DOUBLE AS T_all),
+    g AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1.0::DOUBLE) * (S_all + 10000) / ((s.s + 1.0::DOUBLE) * (T_all + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), n),
+    a AS (SELECT r, sum(gain) AS total FROM o JOIN v USING (w) JOIN g USING (bucket) GROUP BY r),
+    b AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_features, CASE WHEN len(words) = 0 THEN 0 ELSE CAST(floor(total::DOUBLE / len(words)) AS BIGINT) END AS weight,
+        CAST(concat('0x', substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8)) AS BIGINT) AS h FROM d LEFT JOIN a ON d.r = a.r),
+    c AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM b),
+    k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS place FROM c)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM c WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM k""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op12_conversation_trie",
+    rf"""WITH {CRC_TABLE},
+    t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY p) AS turns FROM t GROUP BY conv_id),
+    h AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base, CAST({CRC.format('conv_id::VARCHAR')} % 4 AS BIGINT) AS h FROM o, crc),
+    b AS (SELECT h.conv_id, list_concat(coalesce(o.turns[1:h.h], []), coalesce(h.turns[h.h + 1:], [])) AS turns FROM h LEFT JOIN o ON o.conv_id = h.base),
+    m AS (SELECT conv_id, turns[1:d] AS path, d, len(turns) AS n FROM b, unnest(range(0, len(turns) + 1)) AS u(d)),
+    a AS (SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN n = d THEN conv_id END, ',' ORDER BY conv_id) AS ends FROM m GROUP BY path, d),
+    k AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM a WHERE depth > 0 GROUP BY 1, 2),
+    e AS (SELECT a.*, coalesce(k.n_children, 0) AS n_children, CASE WHEN a.depth = 0 THEN 0 ELSE (a.n_convs - 1) * len(regexp_extract_all(a.path[a.depth].text, '[^\x20\x09-\x0D]+')) END AS saving FROM a LEFT JOIN k ON k.path = a.path AND k.depth = a.depth),
+    s AS (SELECT e.path[1:x.d] AS path, x.d AS depth, sum(CASE WHEN e.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(e.saving) AS saved_tokens FROM e, unnest(range(0, e.depth + 1)) AS x(d) GROUP BY 1, 2)
+    SELECT e.conv_id, e.depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+    FROM e JOIN s ON s.path = e.path AND s.depth = e.depth LEFT JOIN a u ON e.depth > 0 AND u.depth = e.depth - 1 AND u.path = e.path[1:e.depth - 1]""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    nodes = trie.trie(read(spark, sf_dir, "conversations"), c - c % 20, F.crc32(c.cast("string").cast("binary")) % 4, most=3)
+    return nodes.drop("pos", "stop")
+
+
+@query(
+    "op13_vantage_neighbours",
+    """WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+    u AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE list_dot_product(x, x) > 0),
+    p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) / (q.norm * c.norm) AS score FROM u q JOIN u c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.x) = len(c.x))
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return vantage.nearest(rows.filter("vec_id % 50 = 0"), vantage.build(rows))
