@@ -46,7 +46,7 @@ def snapshot(store: Store, version: int | None) -> tuple[DataFrame, DataFrame, d
     """Nodes and edges of a version, and its entry in the manifest."""
     m = store.manifest()
     v = m.check(version) if version else m.latest()
-    nodes = store.contributions("nodes", v).selectExpr(*NODE)
+    nodes = store.rows("nodes", v).selectExpr(*NODE)
     return nodes, store.workspace("edges", v).select("source_id", "target_id", "relation"), next(x for x in m.versions if x["version"] == v)
 
 
@@ -70,7 +70,7 @@ def run(spark: SparkSession, arguments: list[str], out=sys.stdout) -> int:
         between.write.parquet(f"{a.to}/edges")
         print(envelope({"nodes": f"{a.to}/nodes", "edges": f"{a.to}/edges"}), file=out)
         return 0
-    engine = Engine(nodes, edges, entry["version"], a.project)
+    engine = Engine.open(store, entry["version"], a.project)
     bounds = {k: v for k, v in (("max_depth", a.depth), ("max_nodes", a.nodes)) if v is not None}
     if a.command == "query" and is_question(a.words):
         answer = engine.ask(a.words[0], **bounds)

@@ -56,15 +56,15 @@ def value_ranks(df: DataFrame, keys: list[str], value: Column, name: str, keep:
     """
     counts = keep(df.groupBy(*keys, value.alias("_value")).agg(F.count("*").alias("_n")))
     order = [*[F.col(k) for k in keys], F.col("_value")]
-    placed = keep(numbered(counts, order, "_place", keep))
-    sums = prefix_sums(placed, "_place", ["_n"], placed.count())
-    upto = keep(sums.withColumn("_before", F.col("_n_sum") - F.col("_n")).drop("_n_sum", "_place"))
+    placed = numbered(counts, order, "_place", keep)
+    sums = prefix_sums(placed, "_place", ["_n"], counts.count())
+    upto = keep(sums.withColumn("_upto", F.col("_n_sum") - F.col("_n")).drop("_n_sum", "_place"))
     if not keys:
         total = upto.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))  # one row
-        return upto.crossJoin(F.broadcast(total)).withColumnRenamed("_before", name)
-    starts = upto.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_total"))
+        return upto.crossJoin(F.broadcast(total)).withColumnRenamed("_upto", name)
+    starts = upto.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_upto").alias("_first"), F.sum("_n").alias("_total"))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return upto.join(starts, on).withColumn(name, F.col("_before") - F.col("_first")).drop("_before", "_first", *[f"_k{i}" for i in range(len(keys))])
+    return upto.join(starts, on).withColumn(name, F.col("_upto") - F.col("_first")).drop("_upto", "_first", *[f"_k{i}" for i in range(len(keys))])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,37 @@ def identifier_tokens(text: Column, boundary: str = STORE, lower: bool = True) -
     return F.array_remove(F.split(F.lower(spaced) if lower else spaced, SEPARATORS), "")
 
 
+@cache
+def diacritics() -> tuple[str, str]:
+    """Characters to fold and what they become, position by position; those beyond the second text's end go.
+
+    By rule: a character that decomposes into an ASCII letter and combining marks becomes that letter, and the
+    combining diacritical marks (U+0300 to U+036F) go.
+    """
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+    folded = {c: d[0] for c, d in parts.items() if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(unicodedata.category(m) == "Mn" for m in d[1:])}
+    marks = "".join(chr(c) for c in range(0x300, 0x370))
+    return "".join(folded) + marks, "".join(folded.values())
+
+
+def fold(text: Column) -> Column:
+    """``text`` without diacritics."""
+    return F.translate(text, *diacritics())
+
+
+def folded(text: str) -> str:
+    """The same, lower-cased, for a request's terms."""
+    these, into = diacritics()
+    return text.translate(str.maketrans(dict(zip(these, into)) | dict.fromkeys(these[len(into) :], ""))).lower()
+
+
+#: What parts words of a search text: anything but letters, numbers, and private characters.
+BETWEEN_WORDS = r"[^\p{L}\p{N}\p{Co}]+"
+
+
 def plain_tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, without camel-case splitting."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+    """Lower-cased runs of letters and numbers without diacritics, without camel-case splitting."""
+    return F.array_remove(F.split(F.lower(fold(F.coalesce(text, F.lit("")))), BETWEEN_WORDS), "")
 
 
 K1, B = 1.2, 0.75
@@ -58,8 +89,8 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str
     document only if the whole group matches it; their document frequencies ignore the group. All terms
     are counted in one pass over the documents with array functions, so no postings are shuffled.
     """
-    prefixes = [(g, t.lower()) for g, terms in enumerate(groups) for t in terms]
-    quoted = [[w.lower() for w in p.split() if w] for p in phrases]
+    prefixes = [(g, folded(t)) for g, terms in enumerate(groups) for t in terms]
+    quoted = [[folded(w) for w in p.split() if w] for p in phrases]
     rows = _once(docs.select(key, F.struct(*[c.alias(f"_{n}") for n, c in fields.items()]).alias("c")), key)
 
     def weighted(count) -> Column:
@@ -100,7 +131,7 @@ def match_groups(text: str, groups: list[list[str]], phrases: list[str]) -> list
         return [g for g in groups if g]
     import re
 
-    return [[t] for t in re.split(r"[^\w]|_", text.lower()) if t]
+    return [[t] for t in re.split(r"[^\w]|_", folded(text)) if t]
 
 
 def matched_fields(terms: list[str], fields: dict[str, Column]) -> Column:

@@ -59,13 +59,14 @@ def copy_catalog(entries: DataFrame, visible: DataFrame) -> DataFrame:
     return entries.join(visible.select("node_id").distinct(), "node_id", "left_semi")
 
 
-def search(entries: DataFrame, text: str, limit: int = LEXICAL_LIMIT) -> DataFrame:
-    """Catalog entries by BM25 over prefix terms, any of which may match. Besides the name and the
-    deterministic synopsis every column ``synopsis_<provider>`` is a field of weight 1."""
+def search(entries: DataFrame, text: str, limit: int | None = LEXICAL_LIMIT) -> DataFrame:
+    """Catalog entries by BM25 over prefix terms, any of which may match; None as limit gives all. Besides the name
+    and the deterministic synopsis every column ``synopsis_<provider>`` is a field of weight 1."""
     terms = match_groups(text, [], [])
     fields = {"name": plain_tokens(F.col("name")), "synopsis": plain_tokens(F.col("synopsis"))} | {c: plain_tokens(F.col(c)) for c in entries.columns if c.startswith("synopsis_")}
     found = bm25(entries, "node_id", fields, {c: WEIGHTS.get(c, WEIGHTS["other"]) for c in fields}, terms)
-    return found.join(entries.select("node_id", "name"), "node_id").orderBy(F.desc("score"), "name", "node_id").limit(limit)
+    hits = found.join(entries.select("node_id", "name"), "node_id")
+    return hits if limit is None else hits.orderBy(F.desc("score"), "name", "node_id").limit(limit)
 
 
 def min_distances(vectors: DataFrame, query: list[float], digits: int | None = None) -> DataFrame:

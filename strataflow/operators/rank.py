@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.functions.lineage import cut
+from strataflow.functions.ranks import value_ranks
+from strataflow.functions.sizes import small
+
 COMPONENTS = ("exact", "lexical", "entity_role", "node_kind", "project_scope", "path_affinity", "token_coverage")
 
 #: Which base kinds fit a slot's role, and an entity role (fixed values).
@@ -38,8 +42,9 @@ def coverage(text: Column, tokens: list[str]) -> Column:
 
 def components(candidates: DataFrame, text: str, tokens: list[str], role: str = "", entity_role: str = "", kinds: list[str] = (), scoped: bool = False) -> DataFrame:
     """Candidates (a lexical score per node) with the seven component columns."""
-    best = F.max("score").over(Window.partitionBy())
+    best = F.col("_best")  # one row beside each candidate
     lexical = F.when(best > 0, F.col("score") / best).otherwise(F.col("score"))
+    candidates = candidates.crossJoin(F.broadcast(candidates.agg(F.max("score").alias("_best"))))
     whole = F.concat_ws(" ", "node_id", "label", "qualified_name", "span_path")
     tokens = tokens or text.lower().split()
     return candidates.withColumns(
@@ -48,20 +53,44 @@ def components(candidates: DataFrame, text: str, tokens: list[str], role: str =
             "node_kind": F.col("kind").isin(list(kinds)).cast("double") if kinds else F.lit(0.0), "project_scope": F.lit(float(scoped)),
             "path_affinity": coverage(F.col("span_path"), tokens), "token_coverage": coverage(whole, tokens),
         }
-    )
+    ).drop("_best")
 
 
 def fuse(candidates: DataFrame) -> DataFrame:
-    """Sum of 1/(60+rank) over the components, ties sharing a rank and zeros having none.
+    """Sum of 1/(60+rank) over the components, ties sharing a rank and zeros having none, for any number of candidates.
 
-    Candidates are a bounded set (four times the request's limit), so the windows over all of them are
-    small; each component is ranked once.
+    Ranks belong to values, not to rows: the distinct positive values of each component with their counts are ranked by
+    ranges and prefix sums and joined back, broadcast where they are few.
     """
-    total = F.lit(0.0)
+    held = cut(candidates)
+    values = held.select(F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).cast("double").alias("value")) for c in COMPONENTS])).alias("v")).select("v.*").filter("value > 0")
+    ranked = value_ranks(values, ["component"], F.col("value"), "_before")
+    # a rank is one more than the rows with a greater value
+    ranked = cut(ranked.select("component", "_value", (F.col("_total") - F.col("_before") - F.col("_n") + 1).alias("_rank")))
+    out, total = held, F.lit(0.0)
     for c in COMPONENTS:
-        rank = F.rank().over(Window.partitionBy().orderBy(F.desc(c)))
-        total = total + F.when(F.col(c) > 0, 1 / (FUSION_CONSTANT + rank)).otherwise(0.0)
-    return candidates.withColumn("reciprocal_rank", total).withColumn("fused", F.col("exact") + F.col("reciprocal_rank"))
+        mine = small(ranked.filter(F.col("component") == c).select(F.col("_value").alias(f"_v_{c}"), F.col("_rank").alias(f"_r_{c}")))
+        out = out.join(mine, F.col(c).cast("double") == F.col(f"_v_{c}"), "left")
+        total = total + F.coalesce(1 / (FUSION_CONSTANT + F.col(f"_r_{c}")), F.lit(0.0))
+    return _fused(out, total).drop(*[f"_{x}_{c}" for c in COMPONENTS for x in "vr"])
+
+
+def fuse_few(candidates: DataFrame) -> DataFrame:
+    """``fuse`` of a request's candidates (at most four times its limit): they fit one row, in which each counts those
+    before it."""
+    one = candidates.agg(F.collect_list(F.struct(*candidates.columns)).alias("_all"))
+
+    def reciprocal(c: str, x: Column) -> Column:
+        before = F.size(F.filter("_all", lambda y: y[c] > x[c]))
+        return F.when(x[c] > 0, 1 / (FUSION_CONSTANT + 1 + before)).otherwise(0.0)
+
+    total = lambda x: sum((reciprocal(c, x) for c in COMPONENTS), F.lit(0.0))
+    each = one.select(F.explode(F.transform("_all", lambda x: F.struct(x.alias("x"), total(x).alias("total")))).alias("e")).select("e.x.*", "e.total")
+    return _fused(each, F.col("total")).drop("total")
+
+
+def _fused(rows: DataFrame, total: Column) -> DataFrame:
+    return rows.withColumn("reciprocal_rank", total).withColumn("fused", F.col("exact") + F.col("reciprocal_rank"))
 
 
 def diversify(ranked: DataFrame, order: list, path: str, key: str, limit: int) -> DataFrame:
@@ -75,7 +104,8 @@ def diversify(ranked: DataFrame, order: list, path: str, key: str, limit: int) -
 def prefer_exact_label(candidates: DataFrame, text: str) -> DataFrame:
     """Only the candidates whose label equals the text without case, if there are any."""
     same = F.lower("label") == text.lower()
-    return candidates.withColumn("_any", F.max(same.cast("int")).over(Window.partitionBy())).filter((F.col("_any") == 0) | same).drop("_any")
+    any_ = candidates.agg(F.max(same.cast("int")).alias("_any"))  # one row
+    return candidates.crossJoin(F.broadcast(any_)).filter((F.col("_any") == 0) | same).drop("_any")
 
 
 def evidence_score(seed_relevance: Column, distance: Column, fit: Column, confidence: Column, support: Column, diversity: Column) -> Column:

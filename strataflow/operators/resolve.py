@@ -214,14 +214,45 @@ def package_uses(symbols: DataFrame, imports: DataFrame, declared: DataFrame) ->
     return per.filter("n = 1").select("source_id", "target_id", "relation", "source_path").distinct()
 
 
-def implements(methods: DataFrame, required: DataFrame) -> DataFrame:
-    """Relational division: types of a package that have every method an interface requires.
+def name_classes(rows: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Classes (package, class_id, names) of ids with one and the same set of names, and their members (package,
+    class_id, id). A class is called after its smallest id."""
+    sets = cut(rows.groupBy("package", id_column).agg(F.sort_array(F.collect_set("name")).alias("names")))  # one type's names
+    classes = cut(sets.groupBy("package", "names").agg(F.min(id_column).alias("class_id")))
+    members = sets.join(classes, ["package", "names"]).select("package", "class_id", F.col(id_column).alias("id"))
+    return classes, members
+
+
+def containment(have: DataFrame, need: DataFrame) -> DataFrame:
+    """(package, have_id, need_id) of classes whose names hold all those of a class of needs.
+
+    Prefix filtering: whatever holds all names of a set holds its rarest one, so a need meets only the classes that
+    have its rarest name, and whole sets are compared there.
+    """
+    each = have.select("package", F.col("class_id").alias("have_id"), F.col("names").alias("has"), F.explode("names").alias("name"))
+    often = each.groupBy("package", "name").agg(F.count("*").alias("n"))
+    wanted = need.select("package", F.col("class_id").alias("need_id"), "names", F.explode("names").alias("name")).join(often, ["package", "name"], "left")
+    rarest = wanted.groupBy("package", "need_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "name"))["name"].alias("name"), F.first("names").alias("names"))
+    met = rarest.join(each, ["package", "name"])
+    return met.filter(F.size(F.array_except("names", "has")) == 0).select("package", "have_id", "need_id")
+
+
+def implement_classes(methods: DataFrame, required: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Relational division by classes: pairs (package, have_id, need_id) of classes of types and of interfaces, and the
+    members of both (package, class_id, id).
 
     ``methods``: package, type_id, name; ``required``: package, interface_id, name (non-empty sets).
     """
-    need = required.groupBy("package", "interface_id").agg(F.countDistinct("name").alias("need"))
-    have = methods.select("package", "type_id", "name").distinct().join(required.select("package", "interface_id", "name").distinct(), ["package", "name"])
-    return have.groupBy("package", "type_id", "interface_id").agg(F.count("*").alias("have")).join(need, ["package", "interface_id"]).filter("have = need").select("type_id", "interface_id")
+    types, of_types = name_classes(methods, "type_id")
+    interfaces, of_interfaces = name_classes(required, "interface_id")
+    return containment(types, interfaces), of_types, of_interfaces
+
+
+def implements(methods: DataFrame, required: DataFrame) -> DataFrame:
+    """(type_id, interface_id) of types of a package that have every method an interface requires."""
+    pairs, types, interfaces = implement_classes(methods, required)
+    met = pairs.join(types.select("package", F.col("class_id").alias("have_id"), F.col("id").alias("type_id")), ["package", "have_id"])
+    return met.join(interfaces.select("package", F.col("class_id").alias("need_id"), F.col("id").alias("interface_id")), ["package", "need_id"]).select("type_id", "interface_id")
 
 
 def package_edges(imports: DataFrame, members: DataFrame) -> DataFrame:

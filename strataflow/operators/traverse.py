@@ -104,6 +104,44 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: s
     return out
 
 
+def traverse_indexed(adjacency, starts: list[str], direction: str = "outgoing", relations: list[str] | None = None, max_depth: int = 2, max_nodes: int = 100) -> Traversal:
+    """``traverse`` of existing ``starts`` over an adjacency table, one job a hop.
+
+    A hop brings to the driver the neighbours that are selected already and, in encounter order, as many new ones as
+    there is room for and one more, each with its edges from the frontier: at most ``max_nodes`` rows and one.
+    """
+    starts = sorted(set(starts))
+    if len(starts) > max_nodes:
+        return Traversal(starts[:max_nodes], [], ["node_limit"], levels={s: 0 for s in starts[:max_nodes]})
+    out = Traversal(list(starts), [], levels={s: 0 for s in starts})
+    frontier, edges = list(starts), set()
+
+    def neighbours(room: int):
+        known = F.col("to_id").isin(list(out.levels))
+        key = F.struct(*EDGE_KEY)
+        near = adjacency.at(frontier, direction, relations).groupBy("to_id").agg(F.min(F.struct("from_id", *EDGE_KEY)).alias("k"), F.collect_set(key).alias("edges")).withColumn("known", known)
+        return near.orderBy(F.desc("known"), "k").limit(len(out.levels) + room + 1).collect()
+
+    for depth in range(1, max_depth + 1):
+        if not frontier:
+            break
+        room = max_nodes - len(out.levels)
+        near = neighbours(room)
+        fresh = [r for r in near if not r["known"]]
+        if len(fresh) > room and "node_limit" not in out.truncated:
+            out.truncated.append("node_limit")
+        kept = fresh[:room]
+        edges |= {tuple(e) for r in near if r["known"] for e in r["edges"]} | {tuple(e) for r in kept for e in r["edges"]}
+        for r in kept:
+            out.nodes.append(r["to_id"])
+            out.levels[r["to_id"]] = depth
+        frontier = sorted(r["to_id"] for r in kept)
+    if frontier and not adjacency.at(frontier, direction, relations).filter(~F.col("to_id").isin(list(out.levels))).isEmpty():
+        out.truncated.append("depth_limit")
+    out.edges = sorted(edges)
+    return out
+
+
 def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str, relations: list[str] | None, max_depth: int) -> DataFrame:
     """(node_id, distance) of everything within ``max_depth`` hops of any start, without a node budget.
 

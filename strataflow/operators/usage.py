@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.functions.ranks import value_ranks
+
 OUTCOMES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -67,22 +69,25 @@ def settle(ledger: DataFrame, corrections: DataFrame) -> DataFrame:
     return ledger.join(fixed, "reservation_id", "left").withColumn("amount", F.when(F.col("exact") <= F.col("amount"), F.col("exact")).otherwise(F.col("amount"))).drop("exact")
 
 
+def at_rank(rows: DataFrame, keys: list[str], value: str, position, name: str) -> DataFrame:
+    """Per key, the value at ``position`` (0-based, a function of the number of the key's rows) of its sorted values.
+
+    Exact selection by ranges: values merge with their counts, are dealt over ranges of (key, value) and get their
+    ranks from prefix sums, so the rows of one key are spread over tasks.
+    """
+    ranked = value_ranks(rows, keys, F.col(value), "_before")
+    at = position(F.col("_total"))
+    return ranked.filter((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n"))).select(*keys, F.col("_value").alias(name))
+
+
 def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The element at position n // 2 of the sorted values, by rank and not by approximation."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1)
-    return ranked.filter(F.col("_i") == F.floor(F.col("_n") / 2)).select(*keys, F.col(value).alias("median"))
+    return at_rank(rows, keys, value, lambda n: F.floor(n / 2), "median")
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
     """The element at position ceil(p*n)-1 of the sorted values."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(value)))
-    return ranked.filter(F.col("_i") == F.ceil(F.lit(p) * F.col("_n"))).select(*keys, F.col(value).alias("percentile"))
+    return at_rank(rows, keys, value, lambda n: F.ceil(F.lit(p) * n) - 1, "percentile")
 
 
 def question_baseline(answers: DataFrame, truth: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataflow.functions.sizes import small
+
 
 def violations(nodes: DataFrame, edges: DataFrame, kinds: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(phase, fact, check_no, code) of every violation.
@@ -15,7 +17,7 @@ def violations(nodes: DataFrame, edges: DataFrame, kinds: DataFrame, endpoints:
     target, endpoint kinds).
     """
     known = kinds.select("kind", F.lit(True).alias("ok"))
-    checked = nodes.join(F.broadcast(known), "kind", "left")  # bounded by the vocabulary
+    checked = nodes.join(small(known), "kind", "left")
     bad_confidence = ~F.coalesce(F.col("confidence").isin("extracted", "inferred", "ambiguous"), F.lit(False))
 
     def found(df: DataFrame, phase: int, no: int, code: str, when, fact="node_id") -> DataFrame:
@@ -27,11 +29,11 @@ def violations(nodes: DataFrame, edges: DataFrame, kinds: DataFrame, endpoints:
     key = F.concat_ws("|", "source_id", "target_id", "relation")
     relations = endpoints.select("relation").distinct().withColumn("known", F.lit(True))
     ids = nodes.groupBy("node_id").agg(F.min("kind").alias("k"))
-    e = (  # the vocabulary's own tables are a list of names each
-        edges.join(F.broadcast(relations), "relation", "left")
+    e = (
+        edges.join(small(relations), "relation", "left")
         .join(ids.select(F.col("node_id").alias("source_id"), F.col("k").alias("source_kind")), "source_id", "left")
         .join(ids.select(F.col("node_id").alias("target_id"), F.col("k").alias("target_kind")), "target_id", "left")
-        .join(F.broadcast(endpoints.select("relation", "source_kind", "target_kind", F.lit(True).alias("allowed"))), ["relation", "source_kind", "target_kind"], "left")
+        .join(small(endpoints.select("relation", "source_kind", "target_kind", F.lit(True).alias("allowed"))), ["relation", "source_kind", "target_kind"], "left")
     )
     both = F.col("source_kind").isNotNull() & F.col("target_kind").isNotNull() & F.col("known").isNotNull()
     return (

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import CATALOG, QUESTION, STORE, bm25, identifier_tokens, matched_fields, plain_tokens
+from strataflow.functions.text import CATALOG, QUESTION, STORE, bm25, diacritics, fold, identifier_tokens, matched_fields, plain_tokens
 from strataflow.functions.vectors import cosine
 from strataflow.operators import catalog, evidence, export, incremental, lookup, rank, relations, resolve, snapshot, traverse, usage, validate
+from strataflow.operators.adjacency import Adjacency
+from strataflow.functions.lineage import checkpoint_dir
 from strataflow.sources import configs
+from strataflow.sources.store import Store
 
 from .engine import Engine
-from .lexical import LexicalIndex
+from .lexical import LexicalIndex, segment
 from .fixtures import Tables, with_views
 
 _QUERIES: dict = {}
@@ -364,14 +369,15 @@ def l5(t):
     return bm25(t.g_nodes, "node_id", {"label": plain_tokens(F.col("label"))}, {"label": 10.0}, [["blue"]]).select("node_id")
 
 
-WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '')"
+FOLD = "translate({}, '" + "', '".join(diacritics()) + "')"
+WORDS = "list_filter(regexp_split_to_array(lower(" + FOLD + "), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda x: x <> '')"
 #: Weights of the node search fields (fixed values).
 SEARCH_WEIGHTS = {"label": 10.0, "qualified_name": 6.0, "span_path": 3.0, "kind": 1.0, "tokens": 5.0}
 
 
 def search_fields() -> dict:
     all_text = F.concat_ws(" ", "node_id", "label", "qualified_name", "span_path", "kind")
-    return {"label": plain_tokens(F.col("label")), "qualified_name": plain_tokens(F.col("qualified_name")), "span_path": plain_tokens(F.col("span_path")), "kind": plain_tokens(F.col("kind")), "tokens": identifier_tokens(all_text)}
+    return {"label": plain_tokens(F.col("label")), "qualified_name": plain_tokens(F.col("qualified_name")), "span_path": plain_tokens(F.col("span_path")), "kind": plain_tokens(F.col("kind")), "tokens": identifier_tokens(fold(all_text))}
 
 
 def bm25_sql(source: str, key: str, fields: dict[str, tuple[str, float]], terms: list[tuple[str, str]], groups: list[list[int]]) -> str:
@@ -407,7 +413,7 @@ def l6(t):
 
 
 ALL_TEXT = "concat_ws(' ', node_id, label, qualified_name, span_path, kind)"
-NODE_FIELDS = {f: (WORDS.format(f), w) for f, w in SEARCH_WEIGHTS.items() if f != "tokens"} | {"tokens": (WORDS.format(f"regexp_replace({ALL_TEXT}, '([\\p{{Ll}}\\p{{Nd}}])(\\p{{Lu}})', '\\1 \\2', 'g')"), 5.0)}
+NODE_FIELDS = {f: (WORDS.format(f), w) for f, w in SEARCH_WEIGHTS.items() if f != "tokens"} | {"tokens": (WORDS.format(f"regexp_replace({FOLD.format(ALL_TEXT)}, '([\\p{{Ll}}\\p{{Nd}}])(\\p{{Lu}})', '\\1 \\2', 'g')"), 5.0)}
 
 
 @query("L7_match_groups", "WITH " + bm25_sql("g_nodes", "node_id", NODE_FIELDS, [("prefix", "blue"), ("prefix", "wid"), ("prefix", "steel")], [[0, 1], [2]]) + " SELECT node_id, score FROM bm")
@@ -421,6 +427,37 @@ def w16(t):
     return index.search(SEARCH_WEIGHTS, [["blue", "wid"], ["steel"]]).select("node_id", F.round("score", 6).alias("score"))
 
 
+#: The versions of ``v_nodes`` that are published to a store, one after another.
+ERAS = (9, 18, 27)
+AT_18 = "s18 AS (SELECT node_id, kind, label, qualified_name, source_path AS span_path FROM v_nodes WHERE valid_from <= 18 AND (valid_to IS NULL OR valid_to >= 18))"
+AT_27 = AT_18.replace("18", "27")
+SEGMENT_TERMS = ([("prefix", "urgent"), ("prefix", "c1"), ("prefix", "medium")], [[0, 1], [2]])
+
+
+def segment_sql(version: int, at: str) -> str:
+    """Search results of one version."""
+    return "WITH " + at + ", " + bm25_sql(f"s{version}", "node_id", NODE_FIELDS, *SEGMENT_TERMS) + f" SELECT {version} AS version, node_id, score FROM bm"
+
+
+@query("W16_segment_merge", f"SELECT * FROM ({segment_sql(18, AT_18)}) UNION ALL SELECT * FROM ({segment_sql(27, AT_27)})")
+def w16_segments(t):
+    """Three publishes write a segment each of the sources that they replace; search at the second version, and at the
+    third after a merge."""
+    store = Store(t.spark, f"{checkpoint_dir(t.spark)}/segments-{uuid.uuid4().hex[:12]}")
+    out, last = [], 0
+    for era in ERAS:
+        written = t.v_contributions.filter((F.col("valid_from") > last) & (F.col("valid_from") <= era)).select("source_path", F.lit(False).alias("deleted")).distinct()
+        live = t.v_nodes.filter((F.col("valid_from") > last) & snapshot.at(era)).select("source_path", *NODE_COLUMNS)
+        store.publish({"nodes": live}, written, segment(live.withColumn("span_path", F.col("source_path")), search_fields()), replaced_owners=written.select("source_path"))
+        last = era
+    for version, era in ((2, 18), (3, 27)):
+        if version == 3:
+            store.merge(least=1)
+        found = LexicalIndex.stored(store, version).search(SEARCH_WEIGHTS, [["urgent", "c1"], ["medium"]])
+        out.append(found.select(F.lit(era).alias("version"), "node_id", F.round("score", 6).alias("score")))
+    return out[0].unionByName(out[1])
+
+
 @query("Q11_scoped_search", "WITH RECURSIVE s(node_id) AS (SELECT 'project:ASIA' UNION SELECT target_id FROM g_edges JOIN s ON source_id = s.node_id AND relation = 'contains'), " + bm25_sql("g_nodes", "node_id", NODE_FIELDS, [("prefix", "nation")], [[0]]) + " SELECT node_id, score FROM bm JOIN g_nodes USING (node_id) WHERE node_id IN (SELECT node_id FROM s) ORDER BY score DESC, qualified_name, node_id LIMIT 50")
 def q11(t):
     return Engine(t.g_nodes, t.g_edges, projects=["project:ASIA"]).search("nation", [["nation"]], limit=50).select("node_id", F.round("score", 6).alias("score"))
@@ -447,10 +484,10 @@ for _name, _boundary, _key, _lower in (("L8_store_tokens", STORE, "store", True)
         return t.g_nodes.select("node_id", F.array_join(identifier_tokens(F.col("qualified_name"), boundary, lower), " ").alias("tokens"))
 
 
-@query("L11_matched_fields", f"SELECT node_id, array_to_string(list_filter([CASE WHEN list_has_any({WORDS.format('label')}, ['ring', 'asia']) THEN 'label' END, CASE WHEN list_has_any({WORDS.format('qualified_name')}, ['ring', 'asia']) THEN 'qualifiedName' END, CASE WHEN list_has_any({WORDS.format('span_path')}, ['ring', 'asia']) THEN 'path' END], lambda x: x IS NOT NULL), ',') AS fields FROM g_nodes WHERE kind IN ('project', 'file', 'typescript:function')")
+@query("L11_matched_fields", f"SELECT node_id, array_to_string(list_filter([CASE WHEN list_has_any({WORDS.format('label')}, ['ring', 'asia']) THEN 'label' END, CASE WHEN list_has_any({WORDS.format('qualified_name')}, ['ring', 'asia']) THEN 'qualifiedName' END, CASE WHEN list_has_any({WORDS.format('span_path')}, ['ring', 'asia']) THEN 'path' END], lambda x: x IS NOT NULL), ',') AS fields FROM g_nodes")
 def l11(t):
     fields = {"label": plain_tokens(F.col("label")), "qualifiedName": plain_tokens(F.col("qualified_name")), "path": plain_tokens(F.col("span_path"))}
-    return t.g_nodes.filter(F.col("kind").isin("project", "file", "typescript:function")).select("node_id", F.array_join(matched_fields(["ring", "asia"], fields), ",").alias("fields"))
+    return t.g_nodes.select("node_id", F.array_join(matched_fields(["ring", "asia"], fields), ",").alias("fields"))
 
 
 CAT_FIELDS = {"name": (WORDS.format("name"), 8.0), "synopsis": (WORDS.format("synopsis"), 5.0)}
@@ -459,7 +496,7 @@ CAT_SEARCH = "WITH " + bm25_sql("cat_entries", "node_id", CAT_FIELDS, [("prefix"
 
 @query("L12_search_catalog", CAT_SEARCH + " SELECT node_id, score FROM lx WHERE position <= 50")
 def l12(t):
-    found = catalog.search(t.cat_entries, "machi 0000000", limit=2_000_000).select("node_id", "name", F.round("score", 6).alias("score"))
+    found = catalog.search(t.cat_entries, "machi 0000000", limit=None).select("node_id", "name", F.round("score", 6).alias("score"))
     return found.orderBy(F.desc("score"), "name", "node_id").limit(50).select("node_id", "score")
 
 
@@ -575,6 +612,17 @@ def g1c(t):
     return as_rows(t, traverse.traverse(t.g_nodes, t.g_edges, [CLASS], "both", None, 2, 40))
 
 
+G1_LIMITED = _SQL["G1_traverse_limited"]
+
+
+def g1_indexed(t):
+    return as_rows(t, traverse.traverse_indexed(Adjacency.build(t.g_nodes, t.g_edges), [CLASS], "both", None, 2, 40))
+
+
+_QUERIES["G1_indexed_traverse"] = lambda spark, sf_dir: g1_indexed(Tables(spark, sf_dir))
+_SQL["G1_indexed_traverse"] = G1_LIMITED
+
+
 @query("G3_project_scope", "WITH RECURSIVE s(node_id) AS (SELECT 'project:ASIA' UNION SELECT target_id FROM g_edges JOIN s ON source_id = s.node_id AND relation = 'contains') SELECT node_id FROM s")
 def g3(t):
     return traverse.project_scope(t.g_edges, listing(t, [("project:ASIA",)], "node_id string"))
@@ -827,11 +875,21 @@ DIV_HAVE = "SELECT DISTINCT 'p' || (l_suppkey % 3) AS package, 's' || l_suppkey
 DIV_NEED = "SELECT 'p' || (p_partkey % 3) AS package, 'i' || p_partkey AS interface_id, 'm' || (p_size % 12) AS name FROM part UNION SELECT 'p' || (p_partkey % 3), 'i' || p_partkey, 'm' || (p_partkey % 12) FROM part"
 
 
-@query("R11_implements_division", f"WITH h AS ({DIV_HAVE}), d AS ({DIV_NEED}), n AS (SELECT package, interface_id, count(DISTINCT name) AS need FROM d GROUP BY 1, 2) SELECT h.type_id, d.interface_id FROM h JOIN d ON h.package = d.package AND h.name = d.name JOIN n ON n.package = d.package AND n.interface_id = d.interface_id GROUP BY h.package, h.type_id, d.interface_id, n.need HAVING count(*) = n.need")
+@query(
+    "R11_implements_division",
+    f"""WITH h AS ({DIV_HAVE}), d AS ({DIV_NEED}), hs AS (SELECT package, type_id AS id, list_sort(list(DISTINCT name)) AS names FROM h GROUP BY 1, 2), ds AS (SELECT package, interface_id AS id, list_sort(list(DISTINCT name)) AS names FROM d GROUP BY 1, 2),
+    hc AS (SELECT package, names, min(id) AS class_id FROM hs GROUP BY 1, 2), dc AS (SELECT package, names, min(id) AS class_id FROM ds GROUP BY 1, 2)
+    SELECT 'implements' AS what, hc.class_id AS a, dc.class_id AS b FROM hc JOIN dc ON hc.package = dc.package AND list_has_all(hc.names, dc.names)
+    UNION ALL SELECT 'type', class_id, id FROM hs JOIN hc USING (package, names) UNION ALL SELECT 'interface', class_id, id FROM ds JOIN dc USING (package, names)""",
+)
 def r11(t):
+    """Pairs of classes, and the members of both kinds of classes."""
     have = t.spark.sql(DIV_HAVE.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t.lineitem)
     need = t.spark.sql(DIV_NEED.replace("FROM part", "FROM {part}"), part=t.part)
-    return resolve.implements(have, need)
+    pairs, types, interfaces = resolve.implement_classes(have, need)
+    rows = pairs.select(F.lit("implements").alias("what"), F.col("have_id").alias("a"), F.col("need_id").alias("b"))
+    member = lambda df, what: df.select(F.lit(what).alias("what"), F.col("class_id").alias("a"), F.col("id").alias("b"))
+    return rows.unionByName(member(types, "type")).unionByName(member(interfaces, "interface"))
 
 
 @query("C1_synopsis", "SELECT node_id, substr(split_part(qualified_name, '::', 1) || '.' || label || ' (' || regexp_replace(kind, '.*:', '') || '). Lives in ' || span_path || ' Signature: new ' || label || '(). Identifiers: ' || " + tokens_sql("catalog", True).replace("qualified_name", "label") + ", 1, 300) AS synopsis FROM g_nodes WHERE kind = 'typescript:class'")

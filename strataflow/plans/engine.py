@@ -6,14 +6,14 @@ import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
-from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import bm25, identifier_tokens, match_groups, plain_tokens
+from strataflow.functions.text import bm25, fold, identifier_tokens, match_groups, plain_tokens
 from strataflow.operators import catalog as cat
 from strataflow.operators import evidence, lookup, rank, relations, traverse
+from strataflow.operators.adjacency import Adjacency
 
 from .lexical import LexicalIndex
 from .question import Plan, Slot, analyze, planner_response
@@ -78,33 +78,41 @@ class Catalog:
 
 def search_fields() -> dict:
     whole = F.concat_ws(" ", "node_id", "label", "qualified_name", "span_path", "kind")
-    return {"label": plain_tokens(F.col("label")), "qualified_name": plain_tokens(F.col("qualified_name")), "span_path": plain_tokens(F.col("span_path")), "kind": plain_tokens(F.col("kind")), "tokens": identifier_tokens(whole)}
+    return {"label": plain_tokens(F.col("label")), "qualified_name": plain_tokens(F.col("qualified_name")), "span_path": plain_tokens(F.col("span_path")), "kind": plain_tokens(F.col("kind")), "tokens": identifier_tokens(fold(whole))}
 
 
 class Engine:
     """One snapshot's ``nodes`` (node_id, kind, label, qualified_name, span_path) and ``edges``.
 
     ``projects`` limits everything to those projects' nodes unless a request names others; ``lexical`` is the
-    version's stored postings, without which a search counts tokens in the nodes; ``planners`` are tried in
-    order for questions that no rule knows, each a function from the question to one JSON object.
+    version's stored postings, without which a search counts tokens in the nodes; ``adjacency`` is its stored
+    edges by node, without which the first walk writes one; ``planners`` are tried in order for questions that no
+    rule knows, each a function from the question to one JSON object.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, version: int = 0, projects: Sequence[str] = (), lexical: LexicalIndex | None = None, catalog: Catalog | None = None, planners: Sequence[Callable[[str], str]] = ()):
-        self.nodes, self.edges, self.version = nodes, edges, version
+    def __init__(self, nodes: DataFrame, edges: DataFrame, version: int = 0, projects: Sequence[str] = (), lexical: LexicalIndex | None = None, catalog: Catalog | None = None, planners: Sequence[Callable[[str], str]] = (), adjacency: Adjacency | None = None):
+        self.nodes, self.edges, self.version, self._adjacency = nodes, edges, version, adjacency
         self.projects, self.lexical, self.catalog, self.planners = tuple(projects), lexical, catalog, tuple(planners)
         self._scopes: dict[tuple[str, ...], DataFrame] = {}
 
-    @cached_property
-    def whole_edges(self) -> DataFrame:
-        """Edges between existing nodes, tested once for all requests."""
-        ids = self.nodes.select("node_id").distinct()
-        known = self.edges.join(ids.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
-        return known.select(*traverse.EDGE_KEY).persist()
+    @classmethod
+    def open(cls, store, version: int | None = None, projects: Sequence[str] = (), **more) -> Engine:
+        """Over a stored version and its indexes."""
+        m = store.manifest()
+        v = m.latest() if version is None else m.check(version)
+        nodes = store.rows("nodes", v).selectExpr("node_id", "kind", "label", "qualified_name", "source_path as span_path")
+        edges = store.workspace("edges", v).select(*traverse.EDGE_KEY)
+        return cls(nodes, edges, v, projects, LexicalIndex.stored(store, v), adjacency=Adjacency(store.workspace("adjacency", v)), **more)
+
+    @property
+    def adjacency(self) -> Adjacency:
+        """Edges between existing nodes, by node."""
+        if self._adjacency is None:
+            self._adjacency = Adjacency.build(self.nodes, self.edges)
+        return self._adjacency
 
     def close(self) -> None:
         """Let go of what was kept between requests."""
-        if "whole_edges" in self.__dict__:
-            self.__dict__.pop("whole_edges").unpersist()
         self._scopes.clear()
 
     def scope(self, projects: Sequence[str] | None = None) -> DataFrame | None:
@@ -118,7 +126,11 @@ class Engine:
         return self._scopes[key]
 
     def _walk(self, starts: list[str], direction: str, names: list[str] | None, depth: int, nodes: int, projects: Sequence[str] | None) -> traverse.Traversal:
-        return traverse.traverse(self.nodes, self.whole_edges, starts, direction, names, depth, nodes, self.scope(projects), whole=True)
+        inside = self.scope(projects)
+        if inside is None:
+            known = {r[0] for r in self.nodes.select("node_id").filter(F.col("node_id").isin(sorted(set(starts)))).collect()} if starts else set()
+            return traverse.traverse_indexed(self.adjacency, [s for s in starts if s in known], direction, names, depth, nodes)
+        return traverse.traverse(self.nodes, self.adjacency.hops("outgoing"), starts, direction, names, depth, nodes, inside, whole=True)
 
     # --- retrieval -------------------------------------------------------------------------------
 
@@ -158,7 +170,7 @@ class Engine:
             found = self.search(slot.text, slot.groups, phrases, slot.kinds, slot.limit * CANDIDATE_FACTOR, projects)
             if slot.source_path:
                 found = found.filter(F.col("span_path") == slot.source_path)
-            rows = rank.fuse(rank.components(found, slot.text, [t for g in slot.groups for t in g], slot.role, slot.entity_role, slot.kinds, self.scope(projects) is not None))
+            rows = rank.fuse_few(rank.components(found, slot.text, [t for g in slot.groups for t in g], slot.role, slot.entity_role, slot.kinds, self.scope(projects) is not None))
         if slot.source_path:
             rows = rank.prefer_exact_label(rows, slot.text)
         order = [F.desc("fused"), "qualified_name", "label", "node_id"]
@@ -353,5 +365,5 @@ class Engine:
         ids = [r["node_id"] for r in lookup.resolve(self.nodes, term, 4, self.scope(projects)).collect()]
         if len(ids) != 1:
             return {"candidates": ids[:3], "more": max(0, len(ids) - 3)}
-        near, at = traverse.explain(self.nodes, self.edges, ids[0])
+        near, at = traverse.explain(self.nodes, self.adjacency.at([ids[0]], "both").select(*self.edges.columns) if set(self.edges.columns) <= set(traverse.EDGE_KEY) else self.edges, ids[0])
         return {"nodes": near, "edges": at}

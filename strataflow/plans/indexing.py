@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from strataflow.functions.lineage import cut
 from strataflow.operators import incremental, resolve
+from strataflow.operators.adjacency import both_ways, laid_out
 from strataflow.sources.configs import read_configs
 from strataflow.sources.discovery import discover
 from strataflow.sources.extract import TABLES, extract_all, table
 from strataflow.sources.store import Staged, Store
 from strataflow.streaming.feed import normalised
 
+from .engine import search_fields
+from .lexical import segment
+
 CONTRIBUTED = tuple(TABLES)
 
 
@@ -138,7 +142,10 @@ def _publish(store: Store, found: DataFrame, written: DataFrame, configs: DataFr
 
     def resolved(view: Staged) -> dict[str, DataFrame]:
         edges, missing = workspace_edges(Facts.staged(view, configs), owners)
-        return {"edges": edges, "diagnostics": missing.withColumnRenamed("source_path", "owner")}
+        edges = cut(edges)
+        # both indexes get a segment: the edges of the owners that are resolved, the names of the sources that are written
+        named = view.own("nodes").withColumn("span_path", F.col("source_path"))
+        return {"edges": edges, "diagnostics": missing.withColumnRenamed("source_path", "owner"), "adjacency": laid_out(both_ways(edges, ["owner"])), **segment(named, search_fields())}
 
     return store.publish({n: table(found, n) for n in CONTRIBUTED}, written, resolved, full=full, replaced_owners=owners)
 
@@ -165,7 +172,7 @@ def publish_batch(spark: SparkSession, store: Store, workspace: str, changed: li
     now = discover(spark, workspace, only=paths.select(F.col("source_path").alias("path")), **options)
     found = cut(extract_all(now))
     fresh = table(found, "nodes")
-    old = store.contributions("nodes", version)
+    old = store.rows("nodes", version)
     present = cut(fresh.filter("kind = 'file'").select("source_path"))
     gone = cut(paths.join(present, "source_path", "left_anti").join(old.filter("kind = 'file'").select("source_path"), "source_path", "left_semi"))
     if present.isEmpty() and gone.isEmpty():

@@ -1,4 +1,10 @@
-"""The lexical index of a version: postings that are sorted by token, and one row of totals."""
+"""The lexical index of a version: postings that are sorted by token, and totals.
+
+In a store the index is log-structured. A publish writes one immutable segment with the postings and the totals of
+the sources that it replaces, and nothing else; the store masks what older segments hold of these sources, adds the
+totals of what is left, and merges segments when many have come together. There every node row is a document of its
+own, and a node that several sources contribute has the score of its best row.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import B, K1, idf, postings, saturated
+from strataflow.functions.text import B, K1, folded, idf, postings, saturated
 
 #: Names of the two workspace tables in a store.
 POSTINGS, TOTALS = "lexical_postings", "lexical_totals"
 
 
+def segment(nodes: DataFrame, fields: dict[str, Column], key: str = "node_id") -> dict[str, DataFrame]:
+    """The two tables of a segment: postings (token, node_id, size, hits, source_path), sorted by token, and totals per
+    source (source_path, documents, tokens)."""
+    size = sum((F.size(c) for c in fields.values()), F.lit(0))
+    at = F.monotonically_increasing_id()  # tells the rows of one node apart
+    arrays = nodes.select(F.col(key).alias("node_id"), "source_path", at.alias("row"), size.alias("size"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("f")).select("node_id", "source_path", "row", "size", "f.*")
+    found = postings(arrays, ["node_id", "source_path", "row", "size"], {n: F.col(n) for n in fields})
+    rows = found.groupBy("token", "node_id", "source_path", "row", "size").agg(F.collect_list(F.struct("field", "pos")).alias("hits"))
+    totals = nodes.select("source_path", size.alias("size")).groupBy("source_path").agg(F.count("*").alias("documents"), F.sum("size").cast("long").alias("tokens"))
+    return {POSTINGS: rows.repartitionByRange("token", "node_id").sortWithinPartitions("token", "node_id"), TOTALS: totals}
+
+
 class LexicalIndex:
     """BM25 from stored postings: a search reads only the tokens that begin with one of its terms.
 
@@ -24,6 +42,12 @@ class LexicalIndex:
     def __init__(self, rows: DataFrame, totals: DataFrame):
         self.rows, self.totals = rows, totals
 
+    @classmethod
+    def stored(cls, store, version: int) -> LexicalIndex:
+        """The index of a stored version: its segments' live postings, and the sum of their live totals."""
+        totals = store.workspace(TOTALS, version).agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens") / F.sum("documents"), F.lit(0.0)).alias("average"))
+        return cls(store.workspace(POSTINGS, version), totals)
+
     @classmethod
     def build(cls, nodes: DataFrame, fields: dict[str, Column], key: str = "node_id") -> LexicalIndex:
         """Tokenise every node once. Of a node with several rows the least one, by its fields, is indexed."""
@@ -37,8 +61,8 @@ class LexicalIndex:
 
     def search(self, weights: dict[str, float], groups: list[list[str]], phrases: Sequence[str] = ()) -> DataFrame:
         """(node_id, score), as ``functions.text.bm25`` over the same nodes."""
-        prefixes = [(g, t.lower()) for g, terms in enumerate(groups) for t in terms]
-        quoted = [w for p in phrases if (w := [x.lower() for x in p.split()])]
+        prefixes = [(g, folded(t)) for g, terms in enumerate(groups) for t in terms]
+        quoted = [w for p in phrases if (w := [folded(x) for x in p.split()])]
         # a prefix is a range of tokens: both ends are plain comparisons that reach the scan
         ranges = [F.col("token").between(t, t + "\U0010ffff") & F.col("token").startswith(t) for _, t in prefixes] + [F.col("token") == w for p in quoted for w in p]
         if not ranges:
@@ -61,7 +85,8 @@ class LexicalIndex:
 
         hits = [F.sum(F.when(F.col("token").startswith(t), weighed(F.col("hits"))).otherwise(0.0)).alias(f"h{i}") for i, (_, t) in enumerate(prefixes)]
         places = [shifted(w, j).alias(f"p{i}_{j}") for i, p in enumerate(quoted) for j, w in enumerate(p)]
-        per = near.groupBy("node_id", "size").agg(*hits, *places)
+        document = [c for c in ("node_id", "source_path", "row", "size") if c in self.rows.columns]
+        per = near.groupBy(*document).agg(*hits, *places)
         for i, p in enumerate(quoted):
             starts = F.col(f"p{i}_0")
             for j in range(1, len(p)):
@@ -77,4 +102,5 @@ class LexicalIndex:
             applies = true[prefixes[i][0]] if i < len(prefixes) else F.col(f"h{i}") > 0
             matched = matched | applies
             score = score + idf(F.col("documents"), F.col(f"n{i}")) * saturated(F.when(applies, F.col(f"h{i}")).otherwise(0.0), F.col("size"), F.col("average"), K1, B)
-        return per.crossJoin(F.broadcast(totals)).filter(matched).select("node_id", score.alias("score"))
+        found = per.crossJoin(F.broadcast(totals)).filter(matched).select("node_id", score.alias("score"))
+        return found.groupBy("node_id").agg(F.max("score").alias("score")) if "source_path" in document else found

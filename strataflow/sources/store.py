@@ -8,6 +8,12 @@ conflict. Validity intervals are never stored: a source's rows end where its nex
 begins, so rollback and prune only write a manifest. When as many versions have been forgotten as are kept,
 what is still visible of them is compacted into one base part; ``vacuum`` deletes what no manifest in force
 names, after a grace period for readers that hold an older one.
+
+Tables are read as a base and the segments after it. A *whole* table (of a first version, a full index, or a
+merge) hides everything before it; later parts hold only what they replaced, and the log of what that was
+(``_sources`` by source, ``_owners`` by owner of workspace rows) masks older rows. The masks are as small as the
+changes since the base, so rows are filtered where they are scanned and are not shuffled. ``merge`` writes what a
+version shows of a workspace table as a new base when many segments have come together.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import os
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from urllib.parse import unquote, urlparse
@@ -25,8 +32,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataflow.functions.sizes import small
 from strataflow.schema import RETAINED_VERSIONS, SCHEMA_VERSION
 
+#: Most rows of logs whose mask is broadcast.
+MASK_ROWS = 200_000
 SOURCES = "source_path string, deleted boolean, written long"
 
 
@@ -36,8 +46,9 @@ class StoreError(ValueError):
 
 @dataclass
 class Manifest:
-    """``versions``: version, published_at, counts, part of each kept version, oldest first. ``older``: parts
-    that hold rows of forgotten versions, oldest first. A part is its folder, tables (name to schema) and bytes."""
+    """``versions``: version, published_at, counts, part of each kept version, oldest first, and the part ``merged``
+    that shows its workspace tables whole, if there is one. ``older``: parts that hold rows of forgotten versions,
+    oldest first. A part is its folder, tables (name to schema), bytes, and the names of its ``whole`` tables."""
 
     schema: int = SCHEMA_VERSION
     number: int = 0
@@ -56,15 +67,28 @@ class Manifest:
             return version
         raise StoreError("pruned" if 0 < version < self.pruned_below else "version not found")
 
-    def parts(self) -> list[dict]:
-        return [*self.older, *(v["part"] for v in self.versions)]
+    def parts(self, version: int | None = None) -> list[dict]:
+        """All parts, or those up to a version, oldest first."""
+        kept = [v for v in self.versions if version is None or v["version"] <= version]
+        return [*self.older, *(p for v in kept for p in entry_parts(v))]
+
+
+def entry_parts(entry: dict) -> list[dict]:
+    """The parts of a version: what it wrote, and what was merged for it."""
+    return [entry["part"], *([entry["merged"]] if "merged" in entry else [])]
+
+
+def since_whole(parts: list[dict], name: str) -> list[dict]:
+    """The parts from the last one on that has table ``name`` whole; all if none has."""
+    at = max((i for i, p in enumerate(parts) if name in p.get("whole", ())), default=0)
+    return parts[at:]
 
 
 class Store:
     """Contribution tables (each with ``source_path``) and workspace tables of one workspace."""
 
-    def __init__(self, spark: SparkSession, root: str, retained: int = RETAINED_VERSIONS, byte_budget: int | None = None):
-        self.spark, self.root, self.retained, self.byte_budget = spark, root.rstrip("/"), retained, byte_budget
+    def __init__(self, spark: SparkSession, root: str, retained: int = RETAINED_VERSIONS, byte_budget: int | None = None, merge_after: int = 12):
+        self.spark, self.root, self.retained, self.byte_budget, self.merge_after = spark, root.rstrip("/"), retained, byte_budget, merge_after
 
     # file access goes through Spark's file system layer, so any store that Spark reads will do
     def _fs(self, path: str):
@@ -97,13 +121,26 @@ class Store:
     def _commit(self, before: Manifest, after: Manifest) -> Manifest:
         """Create the manifest that follows ``before``, if nobody else has."""
         after.number = before.number + 1
-        files, temp = self._fs(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
-        _, at = self._fs(f"{self.root}/manifests/{after.number:012d}.json")
+        self.create(f"manifests/{after.number:012d}.json", json.dumps(asdict(after)).encode())
+        return after
+
+    def create(self, name: str, content: bytes) -> None:
+        """Create a file with its whole content unless it exists; of several writers one succeeds, the others get a
+        conflict.
+
+        On ``file:`` a hard link gives a written file its name. ``hdfs:`` and ``viewfs:`` rename and refuse an existing
+        target in one step. Other schemes promise neither, so they are refused.
+        """
+        files, at = self._fs(f"{self.root}/{name}")
+        folder, _, last = name.rpartition("/")
+        _, temp = self._fs(f"{self.root}/{folder}/.{last}.{uuid.uuid4().hex}.tmp")
+        scheme = urlparse(files.makeQualified(at).toString()).scheme
+        if scheme not in ("file", "hdfs", "viewfs"):
+            raise StoreError(f"{scheme}: can't create a file only if it is absent")
         out = files.create(temp, True)
-        out.write(bytearray(json.dumps(asdict(after)).encode()))
+        out.write(bytearray(content))
         out.close()
         self._create(files, temp, at)
-        return after
 
     def _create(self, files, temp, at) -> None:
         """Give a written file its name unless that name exists; one atomic step."""
@@ -115,23 +152,38 @@ class Store:
             except FileExistsError:
                 raise StoreError("conflict") from None
             finally:
-                files.delete(temp, False)
+                self._discard(files, temp)
         elif not files.rename(temp, at):  # refuses an existing target
-            files.delete(temp, False)
+            self._discard(files, temp)
             raise StoreError("conflict")
 
+    @staticmethod
+    def _discard(files, temp) -> None:
+        """Delete a temporary file; one that stays behind harms nobody and is not an error."""
+        with suppress(Exception):
+            files.delete(temp, False)
+
     def _write(self, part: dict, name: str, df: DataFrame) -> None:
         at = f"{self.root}/parts/{part['folder']}/{name}"
-        df.write.parquet(at)
+        # tables that are read by few of their keys get small row groups
+        writer = df.write.option("parquet.block.size", 256 << 10) if name in self.ORDERS else df.write
+        writer.parquet(at)
         files, path = self._fs(at)
         part["tables"][name] = df.schema.json()
         part["bytes"] += files.getContentSummary(path).getLength()
 
+    def _log(self, part: dict, name: str, df: DataFrame) -> None:
+        """Write what the part replaces, and remember how much that is: masks are broadcast by these counts."""
+        self._write(part, name, df)
+        part.setdefault("rows", {})[name] = self._scan([part], name).count()
+
     def publish(self, tables: dict[str, DataFrame], rewritten: DataFrame, workspace: dict[str, DataFrame] | Callable | None = None, full: bool = False, replaced_owners: DataFrame | None = None, on_progress=None) -> int:
         """Write one version. ``rewritten`` (source_path, deleted) lists the sources it replaces; a full
-        index also closes every known source that is not among them. Workspace edges of owners that are
-        not replaced are carried over from the previous version. ``workspace`` may be a function that gets
-        a ``Staged`` view of the new version, before it is committed, and returns the workspace tables."""
+        index also closes every known source that is not among them. With ``replaced_owners``, the rows of
+        workspace tables replace those of these owners only (of the rewritten sources, in tables with a
+        ``source_path``); the others' rows stay where they are. ``workspace`` may be a
+        function that gets a ``Staged`` view of the new version, before it is committed, and returns the workspace
+        tables."""
         before = self.manifest()
         v = before.next_version
         if rewritten.groupBy("source_path").count().filter("count > 1").limit(1).count():
@@ -140,48 +192,99 @@ class Store:
             known = self.intervals(before).filter("valid_to is null and not deleted").select("source_path")
             gone = known.join(rewritten.select("source_path"), "source_path", "left_anti").withColumn("deleted", F.lit(True))
             rewritten = rewritten.select("source_path", "deleted").unionByName(gone)
-        part = {"folder": f"{v:06d}-{uuid.uuid4().hex[:12]}", "tables": {}, "bytes": 0}
+        part = {"folder": f"{v:06d}-{uuid.uuid4().hex[:12]}", "tables": {}, "bytes": 0, "whole": []}
         try:
             version = F.lit(v).cast("long").alias("written")
-            self._write(part, "_sources", rewritten.select("source_path", "deleted", version))
+            self._log(part, "_sources", rewritten.select("source_path", "deleted", version))
             counts = {}
             for name, df in tables.items():
                 self._write(part, name, df.select("*", version))
                 counts[name] = self._scan([part], name).count()
                 if on_progress:
                     on_progress(name, counts[name])
+            if full or not before.versions:
+                part["whole"] += list(tables)
             if callable(workspace):
                 workspace = workspace(Staged(self, before, part))
+            segments = replaced_owners is not None and bool(before.versions)
+            if segments:
+                self._log(part, "_owners", replaced_owners.select(F.col("source_path").alias("owner"), version).distinct())
             for name, df in (workspace or {}).items():
-                if replaced_owners is not None and before.versions and "owner" in df.columns:
-                    previous = self._workspace(before, name, before.latest()).join(replaced_owners.select(F.col("source_path").alias("owner")), "owner", "left_anti")
-                    df = df.unionByName(previous.select(df.columns)).distinct()
-                self._write(part, f"ws_{name}", df)
+                self._write(part, f"ws_{name}", df.select("*", version))
+                if not segments or not {"owner", "source_path"} & set(df.columns):
+                    part["whole"].append(f"ws_{name}")
             entry = {"version": v, "published_at": datetime.now(timezone.utc).isoformat(), "counts": counts, "part": part}
             after = self._retain(Manifest(versions=[*before.versions, entry], older=before.older, next_version=v + 1, pruned_below=before.pruned_below))
             if self.byte_budget is not None and sum(p["bytes"] for p in after.parts()) > self.byte_budget:
                 raise StoreError("budget")
             self._commit(before, after)
         except BaseException:
-            files, at = self._fs(f"{self.root}/parts/{part['folder']}")
-            files.delete(at, True)
+            self._abandon(part)
             raise
+        if segments:
+            with suppress(StoreError):  # somebody else has committed: their next publish merges
+                self.merge()
         return v
 
+    def _abandon(self, part: dict) -> None:
+        """Delete the part of a failed attempt, unless a manifest names it: an interrupt may come after the commit."""
+        if part["folder"] in {p["folder"] for p in self.manifest().parts()}:
+            return
+        files, at = self._fs(f"{self.root}/parts/{part['folder']}")
+        files.delete(at, True)
+
+    def merge(self, least: int | None = None) -> list[str]:
+        """Write the workspace tables that consist of more than ``least`` (``merge_after``) parts as one, in place of their
+        segments, for the last version and those after it; returns their names. Readers of older manifests keep theirs."""
+        m, least = self.manifest(), self.merge_after if least is None else least
+        parts, last = m.parts(), m.versions[-1]
+        names = sorted({n for p in parts for n in p["tables"] if n.startswith("ws_")})
+        due = [n for n in names if sum(n in p["tables"] for p in since_whole(parts, n)) > least]
+        if not due:
+            return []
+        merged = {"folder": f"merged-{uuid.uuid4().hex[:12]}", "tables": {}, "bytes": 0, "whole": [*due]}
+        try:
+            for n in due:
+                self._write(merged, n, self.sorted_like(n, self._live(parts, n)))
+            if "merged" in last:  # its other tables stay
+                for n in last["merged"]["tables"]:
+                    if n not in due:
+                        self._write(merged, n, self._scan([last["merged"]], n))
+                        merged["whole"].append(n)
+            entry = last | {"merged": merged}
+            self._commit(m, Manifest(versions=[*m.versions[:-1], entry], older=m.older, next_version=m.next_version, pruned_below=m.pruned_below))
+        except BaseException:
+            self._abandon(merged)
+            raise
+        return [n[3:] for n in due]
+
+    #: The order in which a workspace table's rows are stored, so that readers of few keys skip the rest.
+    ORDERS = {"ws_adjacency": ("from_id", "direction"), "ws_lexical_postings": ("token", "node_id")}
+
+    def sorted_like(self, name: str, rows: DataFrame) -> DataFrame:
+        order = self.ORDERS.get(name)
+        return rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+
     def _retain(self, m: Manifest) -> Manifest:
         """``m`` with its newest versions only; forgotten ones become older parts, and one base part in time."""
         over = m.versions[: max(0, len(m.versions) - self.retained)]
         if over:
-            m.versions, m.older = m.versions[len(over) :], [*m.older, *(v["part"] for v in over)]
+            m.versions, m.older = m.versions[len(over) :], [*m.older, *(p for v in over for p in entry_parts(v))]
             m.pruned_below = m.versions[0]["version"]
         return self._compacted(m) if len(m.older) > self.retained else m
 
     def _compacted(self, m: Manifest) -> Manifest:
         """``m`` with one base part in place of its older ones: their rows that a kept version still shows."""
-        base = {"folder": f"base-{uuid.uuid4().hex[:12]}", "tables": {}, "bytes": 0}
+        base = {"folder": f"base-{uuid.uuid4().hex[:12]}", "tables": {}, "bytes": 0, "whole": []}
         live = self.intervals(m).select("source_path", "written")
-        for name in sorted({n for p in m.older for n in p["tables"] if not n.startswith("ws_")}):
-            self._write(base, name, self._scan(m.older, name).join(live, ["source_path", "written"], "left_semi"))
+        for name in sorted({n for p in m.older for n in p["tables"]}):
+            if name.startswith("ws_"):
+                self._write(base, name, self.sorted_like(name, self._live(m.older, name)))
+            elif name == "_owners":
+                continue  # the base holds only what is left
+            else:
+                self._write(base, name, self._scan(m.older, name).join(live, ["source_path", "written"], "left_semi"))
+            base["whole"] += [name] if name.startswith("ws_") else []
         return Manifest(versions=m.versions, older=[base], next_version=m.next_version, pruned_below=m.pruned_below)
 
     def compact(self) -> None:
@@ -233,20 +336,44 @@ class Store:
         if version is not None:
             m.check(version)
             spans = spans.filter((F.col("valid_from") <= version) & (F.col("valid_to").isNull() | (F.col("valid_to") >= version)))
-        rows = self._scan(m.parts(), name)
+        rows = self._scan(m.parts(version), name)
         if rows is None:
             raise StoreError(f"no table {name}")
-        return rows.join(spans, ["source_path", "written"]).drop("written")
+        return rows.join(small(spans), ["source_path", "written"]).drop("written")
+
+    def rows(self, name: str, version: int | None = None) -> DataFrame:
+        """A contribution table as one version shows it, without validity intervals: scanned from its base and
+        segments, and not shuffled."""
+        m = self.manifest()
+        return self._rows(m, name, m.latest() if version is None else m.check(version))
+
+    def _rows(self, m: Manifest, name: str, version: int) -> DataFrame:
+        if not any(name in p["tables"] for p in m.parts(version)):
+            raise StoreError(f"no table {name}")
+        return self._live(m.parts(version), name).drop("written")
+
+    def _live(self, parts: list[dict], name: str) -> DataFrame:
+        """The rows of the table's base and segments, with ``written``, that no later part has replaced: by source, or
+        by owner in workspace tables that have no source."""
+        parts = since_whole(parts, name)
+        rows = self._scan(parts, name)
+        key, log = ("source_path", "_sources") if "source_path" in rows.columns else ("owner", "_owners")
+        later = self._scan(parts[1:], log) if len(parts) > 1 and key in rows.columns else None
+        if later is None:
+            return rows
+        latest = later.groupBy(key).agg(F.max("written").alias("_latest"))
+        logged = sum(p.get("rows", {}).get(log, MASK_ROWS) for p in parts[1:] if log in p["tables"])
+        latest = F.broadcast(latest) if logged <= MASK_ROWS else latest
+        return rows.join(latest, key, "left").filter(F.col("_latest").isNull() | (F.col("written") >= F.col("_latest"))).select(*rows.columns)
 
     def workspace(self, name: str, version: int) -> DataFrame:
         return self._workspace(self.manifest(), name, version)
 
     def _workspace(self, m: Manifest, name: str, version: int) -> DataFrame:
         m.check(version)
-        found = self._scan([v["part"] for v in m.versions if v["version"] == version], f"ws_{name}")
-        if found is None:
+        if not any(f"ws_{name}" in p["tables"] for p in m.parts(version)):
             raise StoreError(f"no table {name}")
-        return found
+        return self._live(m.parts(version), f"ws_{name}").drop("written")
 
     def rollback(self, version: int) -> None:
         """Forget every newer version; what they closed is open again."""
@@ -259,9 +386,10 @@ class Store:
         """Forget versions before ``version``; returns how many."""
         before = self.manifest()
         before.check(version)
-        gone = [v["part"] for v in before.versions if v["version"] < version]
+        gone = [v for v in before.versions if v["version"] < version]
         kept = [v for v in before.versions if v["version"] >= version]
-        self._commit(before, Manifest(versions=kept, older=[*before.older, *gone], next_version=before.next_version, pruned_below=max(version, before.pruned_below)))
+        older = [*before.older, *(p for v in gone for p in entry_parts(v))]
+        self._commit(before, Manifest(versions=kept, older=older, next_version=before.next_version, pruned_below=max(version, before.pruned_below)))
         return len(gone)
 
 
@@ -275,15 +403,21 @@ class Staged:
         """(source_path, deleted) of the version's own sources."""
         return self.store._scan([self.part], "_sources").select("source_path", "deleted")
 
+    def own(self, name: str) -> DataFrame:
+        """The version's own rows of a contribution table."""
+        now = self.store._scan([self.part], name)
+        if now is None:
+            raise StoreError(f"no table {name}")
+        return now.drop("written")
+
     def contributions(self, name: str) -> DataFrame:
         now = self.store._scan([self.part], name)
         now = now.drop("written") if now is not None else None
-        if not self.before.versions or self.store._scan(self.before.parts(), name) is None:
+        if not self.before.versions or not any(name in p["tables"] for p in self.before.parts()):
             if now is None:
                 raise StoreError(f"no table {name}")
             return now
-        last = self.store._contributions(self.before, name, self.before.latest()).drop("valid_from", "valid_to")
-        kept = last.join(self.sources().select("source_path"), "source_path", "left_anti")
+        kept = self.store._rows(self.before, name, self.before.latest()).join(small(self.sources().select("source_path")), "source_path", "left_anti")
         return kept if now is None else kept.unionByName(now)
 
 
