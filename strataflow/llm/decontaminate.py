@@ -110,8 +110,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), scratch:
     n_hits = hits.count()
     found = hits.select("doc_id").distinct()
     candidates = docs.select("doc_id", "text").join(checked(found, n_hits), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("doc"))
-    aligned = candidates.join(checked(hits, n_hits), "doc_id").join(checked(items), "item_id")
-    agree = F.transform("tokens", lambda t, j: F.when(F.try_element_at("doc", F.when(F.col("diagonal") + j >= 0, F.col("diagonal") + j + 1).otherwise(F.size("doc") + 1)) == t, 1).otherwise(0))
+    candidates = scratch.keep(candidates, "candidates")  # else a document is split again at each of its diagonals
+    met = candidates.join(checked(hits, n_hits), "doc_id").join(checked(items), "item_id")
+    # a row keeps the tokens under the item, never the document's: a document of one repeated token has as many
+    # diagonals as tokens. The explode of one element stops the optimizer from moving the cut into later uses.
+    begin = F.greatest(F.col("diagonal"), F.lit(0))
+    under = F.slice("doc", begin + 1, F.size("tokens") - (begin - F.col("diagonal")))
+    aligned = met.select("doc_id", "item_id", "diagonal", "tokens", F.explode_outer(F.array(under)).alias("under"))
+    at = F.lit(1) + F.least(F.col("diagonal"), F.lit(0))
+    agree = F.transform("tokens", lambda t, j: F.when(F.try_element_at("under", F.when(at + j >= 1, at + j).otherwise(F.size("under") + 1)) == t, 1).otherwise(0))
     n = F.size("tokens")
     w = F.least(n, F.lit(p.window))
     starts = F.sequence(F.lit(0), n - w)
