@@ -35,12 +35,23 @@ from .common import Scratch
 @dataclass(frozen=True)
 class Params:
     """``flush_bytes`` bounds a scan task's table, ``bucket_bytes`` is when a bucket splits,
-    ``key_bits`` is the width of the hash key (tests narrow it to force chains)."""
+    ``key_bits`` is the width of the hash key (tests narrow it to force chains), ``max_depth`` bounds the directory
+    (2**max_depth slots), ``owner_bytes`` is what an owner task is dealt."""
 
     flush_bytes: int = 48 << 20
     bucket_bytes: int = 8 << 20
     key_bits: int = 128
-    max_depth: int = 16
+    max_depth: int = 18
+    owner_bytes: int = 512 << 20
+
+    def shape(self, total: int) -> tuple[int, int]:
+        """The capacity of a bucket and the prefix bits of the histogram, for entries of ``total`` bytes."""
+        capacity = max(1, self.bucket_bytes, total >> (self.max_depth - 2))
+        return capacity, max(1, min(self.max_depth, (total // capacity).bit_length() + 3))
+
+    def owners(self, total: int, buckets: int, tasks: int) -> int:
+        """Owner tasks: of at most ``owner_bytes`` each while there are buckets to deal."""
+        return max(1, min(buckets, max(tasks, -(-total // self.owner_bytes))))
 
 
 LEAST = -(1 << 63)
@@ -214,13 +225,12 @@ def build(docs: DataFrame, params: Params = Params(), scratch: Scratch | None =
     entries = segments.filter("is_entry")
     # bounded: at most 2**hist cells, and cells merge before they reach the driver
     total = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
-    capacity = max(1, params.bucket_bytes, total >> (hist - 2))
-    bits = max(1, min(hist, (total // capacity).bit_length() + 3))
+    capacity, bits = params.shape(total)
     cells = entries.groupBy((F.shiftright("prefix", hist - bits)).alias("p")).agg(F.sum("bytes").alias("b")).collect()
     depth, slots = directory({r["p"]: r["b"] for r in cells}, bits, capacity)
     number = {s: i for i, s in enumerate(sorted(set(slots)))}
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owners = max(1, min(len(number), max(tasks, total // (64 * capacity))))
+    owners = params.owners(total, len(number), tasks)
     rows = [(s, b, number[b] * owners // len(number)) for s, b in enumerate(slots)]
     table = scratch.keep(spark.createDataFrame(rows, "slot int, bucket int, owner int").coalesce(1), "directory")  # 2**depth rows, at most 2**max_depth
     dealt = entries.withColumn("slot", F.shiftright("prefix", hist - depth)).join(F.broadcast(table), "slot")
