@@ -90,13 +90,26 @@ def _close_all() -> None:
         s.close()
 
 
+_shipped: list = []
+
+
+def ship(spark: SparkSession, value):
+    """A broadcast of a bounded value, which ``ended_scratch`` takes back from driver and executors."""
+    _shipped.append(spark.sparkContext.broadcast(value))
+    return _shipped[-1]
+
+
 @contextmanager
 def ended_scratch():
-    """Delete at the end all scratch tables that were begun inside: for results that are written by then."""
-    before = set(map(id, Scratch.open))
+    """Delete at the end all scratch tables and shipped values that were begun inside: for results that are written by
+    then."""
+    before, sent = set(map(id, Scratch.open)), len(_shipped)
     yield
     for s in [s for s in Scratch.open if id(s) not in before]:
         s.close()
+    for b in _shipped[sent:]:
+        b.destroy()
+    del _shipped[sent:]
 
 
 WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4, "bigint": 8, "double": 8, "timestamp": 8}

@@ -11,9 +11,13 @@ fitted on training documents only.
 Training needs line labels but documents are labelled as wholes, so every line of a labelled document
 takes its label; the transitions and the length-weighted mean then settle what single lines cannot.
 The weights are fitted by gradient descent on the regularised conditional likelihood over a bounded
-sample of labelled rows (``Params.examples``), with the whole text of each.
+sample of labelled rows: at most ``Params.examples`` documents, taken in hash order, and of these as many whole ones as
+have ``Params.example_lines`` lines together. Tasks make their features; the driver sees numbers only.
 
-Edge cases: null and empty texts are one empty line. Very long texts are scored whole, in memory in
+``line_labels`` gives every line's label and marginal; a document's score is derived from the same marginals.
+
+Edge cases: null and empty texts are one empty line. Of rows that repeat a labelled doc_id, the text that sorts first is
+its example. Very long texts are scored whole, in memory in
 proportion to their number of lines. Without any labelled row every score is the neutral 1.0 (nothing is
 judged bad). A document labelled twice takes its smaller quality. Repeated rows get equal scores. Extra
 columns pass through; one that has the added column's name is replaced. An empty table gives an empty result.
@@ -27,15 +31,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out
+from .common import Scratch, held_out, ship
 
 
 @dataclass(frozen=True)
 class Params:
     examples: int = 4000
+    example_lines: int = 400_000
     batch_lines: int = 30_000
     steps: int = 300
     rate: float = 0.05
@@ -147,10 +153,18 @@ class Model:
     offset: float = 0.0
     fitted: bool = True
 
-    def raw(self, text: str | None) -> float:
-        x, w = features(text)
+    def marginals(self, x: np.ndarray) -> np.ndarray:
+        """Each line's probability of being good, from the features of a document's lines."""
         s = ((x - self.mean) / self.scale) @ self.weights
-        p = np.array(good_share(s, np.exp(self.trans).ravel().tolist()))
+        return np.array(good_share(s, np.exp(self.trans).ravel().tolist()))
+
+    def lines(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals and weights of a document's lines."""
+        x, w = features(text)
+        return self.marginals(x) if self.fitted else np.ones(len(x)), w
+
+    def raw(self, text: str | None) -> float:
+        p, w = self.lines(text)
         return float(p @ w / w.sum())
 
     def calibrate(self, raw):
@@ -214,9 +228,9 @@ def gradient(weights: np.ndarray, trans: np.ndarray, batch: tuple) -> tuple[floa
     return ll, gw, seen - pairs
 
 
-def train(texts: list[str], labels: list[int], p: Params) -> Model:
-    """Fit weights, transitions and calibration on the given (bounded) examples."""
-    chains = [features(t)[0] for t in texts]
+def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], p: Params) -> Model:
+    """Fit weights, transitions and calibration on the features and line weights of the given (bounded) examples."""
+    chains = [x for x, _ in examples]
     rows = np.concatenate(chains)
     mean, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-6
     mean[0], scale[0] = 0, 1
@@ -235,7 +249,7 @@ def train(texts: list[str], labels: list[int], p: Params) -> Model:
             v[i] = 0.999 * v[i] + 0.001 * g * g
             value += p.rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     model = Model(mean, scale, w, t)
-    raw = np.array([model.raw(x) for x in texts])
+    raw = np.array([float(model.marginals(x) @ w / w.sum()) for x, w in examples])
     y = np.array(labels, float)
     z = np.log(np.clip(raw, 1e-6, 1 - 1e-6) / (1 - np.clip(raw, 1e-6, 1 - 1e-6)))
     slope, offset = 1.0, 0.0
@@ -256,19 +270,61 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     scratch = Scratch(spark, "quality")
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     sample = usable.orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id").limit(p.examples)
-    few = scratch.keep(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id"), "examples")
-    rows = few.select("doc_id", "text", "label").collect()  # at most Params.examples rows
-    scratch.drop(few)
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    once = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    found = scratch.keep(once.mapInArrow(_example_features, "doc_id long, label int, lines long, x binary, w binary"), "examples")
+    # at most Params.examples small rows tell which whole documents fit the lines
+    sizes = sorted((r["h"], r["doc_id"], r["lines"]) for r in found.select(F.xxhash64(F.lit(p.seed), "doc_id").alias("h"), "doc_id", "lines").collect())
+    kept, total = [], 0
+    for _, doc, lines in sizes:
+        if total + lines <= p.example_lines:
+            kept.append(doc)
+            total += lines
+    rows = found.filter(F.col("doc_id").isin(kept)).select("doc_id", "label", "lines", "x", "w").collect() if kept else []
+    scratch.drop(found)
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         z = np.zeros(1)
         return Model(z, z + 1, z, np.zeros((2, 2)), fitted=False)
-    return train([r["text"] for r in rows], [int(r["label"] > 0) for r in rows], p)
+    examples = [(np.frombuffer(r["x"], np.float64).reshape(r["lines"], -1), np.frombuffer(r["w"], np.float64)) for r in rows]
+    return train(examples, [int(r["label"] > 0) for r in rows], p)
+
+
+def _example_features(batches):
+    for batch in batches:
+        ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for at in range(0, len(ids), 64):
+            found = [features(t) for t in batch.column(1).slice(at, 64).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at : at + 64], pa.int64()), pa.array(labels[at : at + 64], pa.int32()), pa.array([len(w) for _, w in found], pa.int64()), pa.array([x.tobytes() for x, _ in found]), pa.array([w.tobytes() for _, w in found])],
+                names=["doc_id", "label", "lines", "x", "w"],
+            )
+
+
+def line_labels(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, line, weight, good, label) of every line: its number from 0, its length and one more, its probability of
+    being good, and whether that is at least a half."""
+    shipped = ship(docs.sparkSession, model)
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("weight", pa.int64()), ("good", pa.float64()), ("label", pa.int32())])
+
+    def run(batches):
+        m = shipped.value
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for at in range(0, len(ids), 64):
+                for doc, text in zip(ids[at : at + 64], batch.column(1).slice(at, 64).to_pylist(), strict=True):
+                    p, w = m.lines(text)
+                    for first in range(0, len(p), 8192):
+                        some = p[first : first + 8192]
+                        n = len(some)
+                        yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(np.arange(first, first + n)), pa.array(w[first : first + n].astype(np.int64)), pa.array(some), pa.array((some >= 0.5).astype(np.int32))], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line long, weight long, good double, label int")
 
 
 def scorer(spark, model: Model):
     """A column function text -> score in 0..1."""
-    shipped = spark.sparkContext.broadcast(model)  # a few hundred numbers
+    shipped = ship(spark, model)  # a few hundred numbers
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
