@@ -13,8 +13,8 @@ to probabilities by isotonic regression over leave-one-out votes.
 Edge cases: null and empty texts have no terms and take the calibrated rate of examples without
 terms; with no labelled example at all every score is 0. Very long texts are scored whole. Equal
 similarities prefer the example whose terms sort first; ids decide nothing. A document that is labelled
-twice counts as toxic if either label says so. A labelled row that is scored itself has its own example
-among its neighbours. Repeated rows get equal scores. Extra columns pass through untouched; one that has
+twice counts as toxic if either label says so; of rows that repeat a labelled doc_id the text that sorts
+first is the example. A labelled row that is scored itself has its own example among its neighbours. Repeated rows get equal scores. Extra columns pass through untouched; one that has
 the added column's name is replaced.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, held_out
+from .common import Scratch, held_out, ship
 
 WORD = re.compile(r"\w+")
 
@@ -199,7 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     )
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     few = max(1, min(16, params.examples // 500))
-    examples = scratch.keep(texts.join(F.broadcast(sample), "doc_id").repartition(few, "doc_id"), "examples")
+    # one row a labelled document, also where rows repeat its id: the text that sorts first
+    once = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    examples = scratch.keep(once.repartition(few, "doc_id"), "examples")
 
     prefix = params.prefix
 
@@ -288,7 +290,7 @@ SCORE = T.StructType(
 
 def scorer(spark, model: Model):
     """A column function text -> (score, evidence)."""
-    shipped = spark.sparkContext.broadcast(model)  # bounded by Params
+    shipped = ship(spark, model)  # bounded by Params
     state: dict = {}
 
     @F.pandas_udf(SCORE)
