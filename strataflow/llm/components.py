@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, checked
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges (16 bytes each) that one task contracts; more take rounds over all tasks.
+FEW = 200_000
+
+
+def _contracted(batches):
+    """Union-find over all edges of one bounded partition."""
+    root: dict[int, int] = {}
+
+    def top(v):
+        root.setdefault(v, v)
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(v) for v in ids], pa.int64())], names=["id", "component"])
+
+
+def components(edges: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b): component is its smallest reachable id.
 
+    Up to ``few`` distinct edges are contracted in one task, with the same result as below.
+
     Each round hooks every vertex that has a smaller neighbour onto the smallest one, flattens the
     resulting trees by pointer jumping, and contracts the edges to roots. What is left shrinks at least
     by half each round, so the number of rounds is logarithmic. Every table is written to the shared
@@ -18,6 +43,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     a, b = F.least("a", "b"), F.greatest("a", "b")
     work = scratch.keep(edges.select(a.alias("a"), b.alias("b")).filter("a < b").distinct(), "edges")
+    if work.count() <= few:
+        labels = scratch.keep(work.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_contracted, "id long, component long"), "labels")
+        scratch.drop(work)
+        return labels
     labels = scratch.keep(work.select(F.col("a").alias("id")).union(work.select("b")).distinct().select("id", F.col("id").alias("component")), "labels")
     while not work.isEmpty():
         hook = scratch.keep(work.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), "hook")

@@ -82,10 +82,10 @@ ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 class Shingler:
-    """Text to its sorted distinct 64-bit shingle hashes; word hashes are memoised within a bound."""
+    """Text to its sorted distinct 64-bit shingle hashes; word hashes are memoised within ``memo_bytes``."""
 
-    def __init__(self, words: int):
-        self.words, self.memo = words, {}
+    def __init__(self, words: int, memo_bytes: int = 16 << 20):
+        self.words, self.memo, self.held, self.memo_bytes = words, {}, 0, memo_bytes
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -95,11 +95,13 @@ class Shingler:
         try:
             hashed = [memo[w] for w in tokens]
         except KeyError:
-            if len(memo) > 300_000:
+            if self.held > self.memo_bytes:
                 memo.clear()
+                self.held = 0
             for w in tokens:
                 if w not in memo:
                     memo[w] = xxhash.xxh3_64_intdigest(w)
+                    self.held += len(w) + 170  # the word, its hash, and their place
             hashed = [memo[w] for w in tokens]
         h = np.array(hashed, np.uint64)
         k = min(self.words, len(h))
@@ -325,7 +327,7 @@ def prefix_lists(texts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     n_common = common.count()
     hot = scratch.keep(common.filter(F.col("n") > HOT), "hot") if n_common > BROADCAST_IDS else None
     if hot is None:
-        counted = every.join(F.broadcast(common), "key")
+        counted = every.join(checked(common, n_common), "key")
     else:
         counted = every.join(checked(hot.select("key")), "key", "left_anti").join(common.filter(F.col("n") <= HOT), "key").unionByName(every.join(checked(hot), "key"))
     whole = Window.partitionBy("id", "f")

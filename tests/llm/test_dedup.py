@@ -186,9 +186,10 @@ def test_components_of_paths_rings_and_copies(spark):
     for a, b in edges:
         x, y = top(a), top(b)
         root[max(x, y)] = min(x, y)
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
-    assert got == {v: top(v) for a, b in edges if a != b for v in (a, b)}
-    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+    for few in (0, 10_000):  # in rounds over all tasks, and in one task
+        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), few).collect()}
+        assert got == {v: top(v) for a, b in edges if a != b for v in (a, b)}
+        assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test"), few).count() == 0
 
 
 def test_null_and_repeated_ids(docs):
