@@ -70,3 +70,13 @@ def resolve(nodes: DataFrame, term: str, limit: int, scope: DataFrame | None = N
         nodes = nodes.join(scope.select("node_id"), "node_id", "left_semi")
     found = exact(nodes, term).limit(limit)
     return found.withColumn("rank", lookup_rank(term)) if not found.isEmpty() else ranked(nodes, term, limit)
+
+
+def resolved_ids(nodes: DataFrame, term: str, limit: int, scope: DataFrame | None = None) -> list[str]:
+    """The ids of ``resolve``, at most ``limit``, in one job."""
+    if scope is not None:
+        nodes = nodes.join(scope.select("node_id"), "node_id", "left_semi")
+    hit = (F.col("node_id") == term) | (F.col("qualified_name") == term) | ((F.col("kind") == "file") & (F.col("span_path") == term))
+    near = nodes.withColumn("_exact", F.coalesce(hit, F.lit(False))).withColumn("_rank", F.when(F.col("_exact"), F.lit(-1)).otherwise(lookup_rank(term))).filter("_rank is not null")
+    some = near.orderBy("_rank", *ORDER).limit(limit).select("node_id", "_exact").collect()
+    return [r["node_id"] for r in some if r["_exact"] == some[0]["_exact"]]

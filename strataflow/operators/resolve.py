@@ -217,8 +217,8 @@ def package_uses(symbols: DataFrame, imports: DataFrame, declared: DataFrame) ->
 def name_classes(rows: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
     """Classes (package, class_id, names) of ids with one and the same set of names, and their members (package,
     class_id, id). A class is called after its smallest id."""
-    sets = cut(rows.groupBy("package", id_column).agg(F.sort_array(F.collect_set("name")).alias("names")))  # one type's names
-    classes = cut(sets.groupBy("package", "names").agg(F.min(id_column).alias("class_id")))
+    sets = rows.groupBy("package", id_column).agg(F.sort_array(F.collect_set("name")).alias("names"))  # one type's names
+    classes = sets.groupBy("package", "names").agg(F.min(id_column).alias("class_id"))
     members = sets.join(classes, ["package", "names"]).select("package", "class_id", F.col(id_column).alias("id"))
     return classes, members
 

@@ -125,10 +125,11 @@ class Engine:
             self._scopes[key] = traverse.project_scope(self.edges, ids)
         return self._scopes[key]
 
-    def _walk(self, starts: list[str], direction: str, names: list[str] | None, depth: int, nodes: int, projects: Sequence[str] | None) -> traverse.Traversal:
+    def _walk(self, starts: list[str], direction: str, names: list[str] | None, depth: int, nodes: int, projects: Sequence[str] | None, known: bool = False) -> traverse.Traversal:
+        """``known`` says that the starts are nodes."""
         inside = self.scope(projects)
         if inside is None:
-            known = {r[0] for r in self.nodes.select("node_id").filter(F.col("node_id").isin(sorted(set(starts)))).collect()} if starts else set()
+            known = set(starts) if known else {r[0] for r in self.nodes.select("node_id").filter(F.col("node_id").isin(sorted(set(starts)))).collect()} if starts else set()
             return traverse.traverse_indexed(self.adjacency, [s for s in starts if s in known], direction, names, depth, nodes)
         return traverse.traverse(self.nodes, self.adjacency.hops("outgoing"), starts, direction, names, depth, nodes, inside, whole=True)
 
@@ -342,27 +343,27 @@ class Engine:
     def terms(self, terms: list[str], names: list[str] | None = None, max_depth: int = 2, max_nodes: int = 100, projects: Sequence[str] | None = None) -> traverse.Traversal:
         """Literal lookup of terms, then outgoing traversal; relations are taken as given."""
         inside = self.scope(projects)
-        ids = [r["node_id"] for term in terms for r in lookup.resolve(self.nodes, term, 3, inside).collect()]
-        return self._walk(ids, "outgoing", names, max_depth, max_nodes, projects)
+        ids = [i for term in terms for i in lookup.resolved_ids(self.nodes, term, 3, inside)]
+        return self._walk(ids, "outgoing", names, max_depth, max_nodes, projects, known=True)
 
     def path(self, source: str, target: str, names: list[str] | None = None, undirected: bool = False, max_depth: int = 8, max_nodes: int = 100, projects: Sequence[str] | None = None) -> dict:
         """Shortest path between two terms that must each resolve to one node; else up to three candidates of
         each and how many more there are (counted up to one)."""
         inside = self.scope(projects)
-        ends = {w: [r["node_id"] for r in lookup.resolve(self.nodes, t, 4, inside).collect()] for w, t in (("source", source), ("target", target))}
+        ends = {w: lookup.resolved_ids(self.nodes, t, 4, inside) for w, t in (("source", source), ("target", target))}
         if any(len(v) != 1 for v in ends.values()):
             return {"path": None, "candidates": {w: v[:3] for w, v in ends.items()}, "more": {w: max(0, len(v) - 3) for w, v in ends.items()}, "truncated": []}
         (a,), (b,) = ends["source"], ends["target"]
-        t = self._walk([a], "outgoing", names, max_depth, max_nodes, projects)
+        t = self._walk([a], "outgoing", names, max_depth, max_nodes, projects, known=True)
         found = traverse.path_between(t, a, b)
         if found is None and undirected:
-            t = self._walk([a], "both", names, max_depth, max_nodes, projects)
+            t = self._walk([a], "both", names, max_depth, max_nodes, projects, known=True)
             found = traverse.path_between(t, a, b, True)
         return {"path": found, "candidates": {}, "more": {}, "truncated": t.truncated}
 
     def inspect(self, term: str, projects: Sequence[str] | None = None) -> dict:
         """One node with its edges and neighbours, or up to three candidates."""
-        ids = [r["node_id"] for r in lookup.resolve(self.nodes, term, 4, self.scope(projects)).collect()]
+        ids = lookup.resolved_ids(self.nodes, term, 4, self.scope(projects))
         if len(ids) != 1:
             return {"candidates": ids[:3], "more": max(0, len(ids) - 3)}
         near, at = traverse.explain(self.nodes, self.adjacency.at([ids[0]], "both").select(*self.edges.columns) if set(self.edges.columns) <= set(traverse.EDGE_KEY) else self.edges, ids[0])

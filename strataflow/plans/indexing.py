@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.functions.lineage import cut
+from strataflow.functions.sizes import small
 from strataflow.operators import incremental, resolve
 from strataflow.operators.adjacency import both_ways, laid_out
 from strataflow.sources.configs import read_configs
@@ -32,19 +33,20 @@ class Facts:
     edges: DataFrame
     exports: DataFrame
     configs: DataFrame
+    owners: DataFrame | None = None
 
     @classmethod
     def staged(cls, view: Staged, configs: DataFrame) -> Facts:
-        """Written once where they are put together from several versions, as resolution reads them many times."""
-        put = cut if view.before.versions else lambda df: df
-        return cls(**{n: put(view.contributions(n)) for n in CONTRIBUTED}, configs=configs)
+        """Scans of the base and the segments with what this version replaces masked: reading them again costs no shuffle."""
+        return cls(**{n: view.contributions(n) for n in CONTRIBUTED}, configs=configs)
 
     def of(self, owners: DataFrame | None) -> Facts:
         """The same with only the references, symbols and local edges of some sources."""
         if owners is None:
             return self
-        some = lambda df: df.join(owners.select("source_path"), "source_path", "left_semi")
-        return Facts(self.nodes, some(self.references), some(self.symbols), some(self.edges), self.exports, self.configs)
+        few = small(owners.select("source_path"))
+        some = lambda df: df.join(few, "source_path", "left_semi")
+        return Facts(self.nodes, some(self.references), some(self.symbols), some(self.edges), self.exports, self.configs, few)
 
 
 def surfaces(f: Facts) -> DataFrame:
@@ -65,6 +67,31 @@ def workspace_edges(f: Facts, owners: DataFrame | None = None) -> tuple[DataFram
     ``owners`` limits the work to the references and symbols of some sources; what they refer to may be anywhere.
     """
     mine = f.of(owners)
+    own = mine.edges.select("source_id", "target_id", "relation", F.col("source_path").alias("owner"), F.lit("extracted").alias("confidence"))
+    found, missing = [own], None
+    # a language without references and symbols among the owners costs two looks, not its resolution
+    has = lambda df, go: not df.filter(is_go() == F.lit(go)).isEmpty()
+    if has(mine.references, False) or has(mine.symbols, False):
+        known, missing = _script_edges(f, mine)
+        found += known
+    if has(mine.references, True) or has(mine.symbols, True) or has(mine.edges, True):
+        found.append(_inferred(_go_edges(f, mine)))
+    every_edge = found[0]
+    for more in found[1:]:
+        every_edge = every_edge.unionByName(more)
+    # an edge that more than one reference gives is as sure as the surest of them
+    sure = F.min(F.array_position(F.array(F.lit("extracted"), F.lit("inferred"), F.lit("ambiguous")), F.col("confidence")))
+    edges = every_edge.groupBy("source_id", "target_id", "relation", "owner").agg(F.element_at(F.array(F.lit("extracted"), F.lit("inferred"), F.lit("ambiguous")), sure.cast("int")).alias("confidence"))
+    none = f.references.sparkSession.createDataFrame([], "source_path string, specifier string, severity string")
+    return edges, none if missing is None else missing
+
+
+def _inferred(rows: DataFrame) -> DataFrame:
+    return rows.select("source_id", "target_id", "relation", F.col("source_path").alias("owner"), F.lit("inferred").alias("confidence"))
+
+
+def _script_edges(f: Facts, mine: Facts) -> tuple[list[DataFrame], DataFrame]:
+    """Edges of JavaScript and TypeScript sources, and their references without a target."""
     files = f.nodes.filter("kind = 'file'").select(F.col("source_path").alias("path"))
     script = mine.references.filter(~is_go())
     every = f.references.filter(~is_go())
@@ -92,14 +119,7 @@ def workspace_edges(f: Facts, owners: DataFrame | None = None) -> tuple[DataFram
     through = resolve.bound_targets(uses, bindings, named)
     local = f.nodes.filter(~is_go() & (F.col("kind") != "file")).select("source_path", F.col("owner").alias("receiver"), F.col("label").alias("target"), "node_id")
     within = uses.join(local, ["source_path", "receiver", "target"]).select("source_id", F.col("node_id").alias("target_id"), "relation", "source_path")
-    go = _go_edges(f, mine)
-    known = through.unionByName(within).unionByName(go).select("source_id", "target_id", "relation", F.col("source_path").alias("owner"), F.lit("inferred").alias("confidence"))
-    own = mine.edges.select("source_id", "target_id", "relation", F.col("source_path").alias("owner"), F.lit("extracted").alias("confidence"))
-    every_edge = own.unionByName(to_file).unionByName(to_name).unionByName(known)
-    # an edge that more than one reference gives is as sure as the surest of them
-    sure = F.min(F.array_position(F.array(F.lit("extracted"), F.lit("inferred"), F.lit("ambiguous")), F.col("confidence")))
-    edges = every_edge.groupBy("source_id", "target_id", "relation", "owner").agg(F.element_at(F.array(F.lit("extracted"), F.lit("inferred"), F.lit("ambiguous")), sure.cast("int")).alias("confidence"))
-    return edges, resolve.unresolved(resolved)
+    return [to_file, to_name, _inferred(through.unionByName(within))], resolve.unresolved(resolved)
 
 
 def _go_edges(f: Facts, mine: Facts) -> DataFrame:
@@ -126,14 +146,17 @@ def _go_edges(f: Facts, mine: Facts) -> DataFrame:
     # implementation is judged within packages of one name, over all their files
     methods = declared.filter("kind = 'go:method'").select("dir", F.col("owner").alias("label"), F.col("label").alias("name"))
     owners = declared.filter("kind in ('go:type', 'go:struct')").select("dir", "label", F.col("node_id").alias("type_id"), "source_path")
+    if mine is not f:
+        owners = owners.join(mine.owners, "source_path", "left_semi")
     package_of = f.nodes.filter("kind = 'go:package'").groupBy(here.alias("dir")).agg(F.min("label").alias("package"))
     have = owners.join(methods, ["dir", "label"]).join(package_of, "dir")
     interfaces = declared.filter("kind = 'go:interface'").select("dir", F.col("node_id").alias("interface_id")).join(package_of, "dir")
     required = f.symbols.filter("relation = 'go:requires'").select(F.col("source_id").alias("interface_id"), F.col("target").alias("name"))
     need = interfaces.join(required, "interface_id").select("package", "interface_id", "name")
+    if mine is not f:
+        need = need.join(have.select("package").distinct(), "package", "left_semi")
     fits = resolve.implements(have.select("package", "type_id", "name"), need).join(owners.select("type_id", "source_path"), "type_id")
-    judged = mine.nodes.select("source_path").distinct() if mine is f else mine.edges.select("source_path").distinct()
-    implemented = fits.join(judged, "source_path", "left_semi").select(F.col("type_id").alias("source_id"), F.col("interface_id").alias("target_id"), F.lit("go:implements").alias("relation"), "source_path")
+    implemented = fits.select(F.col("type_id").alias("source_id"), F.col("interface_id").alias("target_id"), F.lit("go:implements").alias("relation"), "source_path")
     return imported.unionByName(calls).unionByName(embeds).unionByName(implemented).distinct()
 
 
@@ -168,13 +191,13 @@ def publish_batch(spark: SparkSession, store: Store, workspace: str, changed: li
     """
     m = store.manifest()
     version = m.latest()
-    paths = cut(spark.createDataFrame([(p,) for p in changed] or [], "path string").select(normalised(F.col("path")).alias("source_path")).filter("source_path is not null").distinct())
+    paths = spark.createDataFrame([(p,) for p in changed] or [], "path string").select(normalised(F.col("path")).alias("source_path")).filter("source_path is not null").distinct()
     now = discover(spark, workspace, only=paths.select(F.col("source_path").alias("path")), **options)
     found = cut(extract_all(now))
     fresh = table(found, "nodes")
     old = store.rows("nodes", version)
-    present = cut(fresh.filter("kind = 'file'").select("source_path"))
-    gone = cut(paths.join(present, "source_path", "left_anti").join(old.filter("kind = 'file'").select("source_path"), "source_path", "left_semi"))
+    present = fresh.filter("kind = 'file'").select("source_path")
+    gone = old.filter("kind = 'file'").select("source_path").join(small(paths), "source_path", "left_semi").join(present, "source_path", "left_anti")
     if present.isEmpty() and gone.isEmpty():
         return version
     touched = paths.select("source_path")

@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from strataflow.functions.sizes import small
 from strataflow.schema import RETAINED_VERSIONS, SCHEMA_VERSION
 
-#: Most rows of logs whose mask is broadcast.
-MASK_ROWS = 200_000
+#: Most rows of logs whose mask is a plain filter, and most of those whose mask is broadcast.
+FEW_MASKED, MASK_ROWS = 1_000, 200_000
 SOURCES = "source_path string, deleted boolean, written long"
 
 
@@ -89,6 +89,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, retained: int = RETAINED_VERSIONS, byte_budget: int | None = None, merge_after: int = 12):
         self.spark, self.root, self.retained, self.byte_budget, self.merge_after = spark, root.rstrip("/"), retained, byte_budget, merge_after
+        self._masks: dict[tuple, list] = {}
 
     # file access goes through Spark's file system layer, so any store that Spark reads will do
     def _fs(self, path: str):
@@ -298,6 +299,7 @@ class Store:
         how many parts went."""
         m, oldest, n = self.manifest(), (time.time() - grace_seconds) * 1000, 0
         needed = {p["folder"] for p in m.parts()}
+        self._masks.clear()
         for status in [*self._list("parts"), *self._list("manifests")]:
             name = status.getPath().getName()
             is_part = status.isDirectory()
@@ -363,6 +365,14 @@ class Store:
             return rows
         latest = later.groupBy(key).agg(F.max("written").alias("_latest"))
         logged = sum(p.get("rows", {}).get(log, MASK_ROWS) for p in parts[1:] if log in p["tables"])
+        if logged <= FEW_MASKED:
+            at = (log, *(p["folder"] for p in parts[1:]))  # parts never change
+            if at not in self._masks:
+                self._masks[at] = [tuple(r) for r in latest.select(key, "_latest").collect()]
+            dead = F.lit(False)
+            for version in sorted({v for _, v in self._masks[at]}):
+                dead = dead | (F.col(key).isin([k for k, v in self._masks[at] if v == version and k is not None]) & (F.col("written") < version))
+            return rows.filter(~F.coalesce(dead, F.lit(False)))
         latest = F.broadcast(latest) if logged <= MASK_ROWS else latest
         return rows.join(latest, key, "left").filter(F.col("_latest").isNull() | (F.col("written") >= F.col("_latest"))).select(*rows.columns)
 
@@ -417,7 +427,9 @@ class Staged:
             if now is None:
                 raise StoreError(f"no table {name}")
             return now
-        kept = self.store._rows(self.before, name, self.before.latest()).join(small(self.sources().select("source_path")), "source_path", "left_anti")
+        own = self.sources().select("source_path")
+        own = F.broadcast(own) if self.part["rows"]["_sources"] <= MASK_ROWS else own
+        kept = self.store._rows(self.before, name, self.before.latest()).join(own, "source_path", "left_anti")
         return kept if now is None else kept.unionByName(now)
 
 
