@@ -104,3 +104,13 @@ def package_page(files: DataFrame, directory: str, after: str = "", limit: int =
     """Keyset page of the files that lie directly in a directory."""
     inside = F.regexp_replace(F.col(path), "/?[^/]*$", "") == directory
     return page(files.filter(inside), key, after, limit)
+
+
+def retained(versions: DataFrame, most: int) -> DataFrame:
+    """The newest ``most`` versions, which are kept."""
+    return versions.select("version").distinct().orderBy(F.desc("version")).limit(most)
+
+
+def publish_totals(rows: DataFrame) -> DataFrame:
+    """(version, sources, nodes) that each version wrote: from its contribution rows (source_path, valid_from)."""
+    return rows.groupBy(F.col("valid_from").alias("version")).agg(F.countDistinct("source_path").alias("sources"), F.count("*").alias("nodes"))

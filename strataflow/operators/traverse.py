@@ -207,6 +207,54 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_de
     return found
 
 
+def walk_from_each(adjacency, starts: list[str], direction: str = "outgoing", relations: list[str] | None = None, max_depth: int = 2, max_nodes: int = 100) -> dict[str, Traversal]:
+    """``traverse_indexed`` from every start by itself, all in one breadth-first search: a hop is one job for all of them.
+
+    Rows carry the start that they belong to; each start has its own budget, and its neighbours come in the order that
+    a search from it alone would meet them in. At most ``len(starts) * (max_nodes + 1)`` rows reach the driver.
+    """
+    out = {s: Traversal([s], [], levels={s: 0}) for s in sorted(set(starts))}
+    edges: dict[str, set] = {s: set() for s in out}
+    frontier = {s: [s] for s in out}
+    spark = adjacency.rows.sparkSession
+
+    def step(room: dict[str, int]):
+        """Neighbours of each start's frontier: known ones, then new ones in encounter order, up to its room and one."""
+        at = spark.createDataFrame([(s, n, room[s]) for s, ns in frontier.items() for n in ns], "start string, from_id string, room int")
+        seen = spark.createDataFrame([(s, n) for s in frontier if frontier[s] for n in out[s].levels], "start string, to_id string").withColumn("known", F.lit(True))
+        every = sorted({n for ns in frontier.values() for n in ns})
+        near = adjacency.at(every, direction, relations).join(F.broadcast(at), "from_id")  # bounded by the budgets
+        per = near.groupBy("start", "to_id").agg(F.min(F.struct("from_id", *EDGE_KEY)).alias("k"), F.collect_set(F.struct(*EDGE_KEY)).alias("edges"), F.first("room").alias("room"))
+        per = per.join(F.broadcast(seen), ["start", "to_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        order = Window.partitionBy("start", "known").orderBy("k")
+        return per.withColumn("_n", F.row_number().over(order)).filter(F.col("known") | (F.col("_n") <= F.col("room") + 1)).select("start", "to_id", "k", "edges", "known").collect()
+
+    for depth in range(1, max_depth + 2):
+        frontier = {s: ns for s, ns in frontier.items() if ns}
+        if not frontier:
+            break
+        room = {s: max_nodes - len(out[s].levels) for s in frontier}
+        rows = sorted(step(room), key=lambda r: tuple(r["k"]))
+        for s in list(frontier):
+            t, mine = out[s], [r for r in rows if r["start"] == s]
+            fresh = [r for r in mine if not r["known"]]
+            if depth > max_depth:  # one look beyond the depth
+                if fresh:
+                    t.truncated.append("depth_limit")
+                continue
+            if len(fresh) > room[s] and "node_limit" not in t.truncated:
+                t.truncated.append("node_limit")
+            kept = fresh[: room[s]]
+            edges[s] |= {tuple(e) for r in mine if r["known"] for e in r["edges"]} | {tuple(e) for r in kept for e in r["edges"]}
+            for r in kept:
+                t.nodes.append(r["to_id"])
+                t.levels[r["to_id"]] = depth
+            frontier[s] = sorted(r["to_id"] for r in kept)
+    for s, t in out.items():
+        t.edges = sorted(edges[s])
+    return out
+
+
 def path_between(t: Traversal, source: str, target: str, undirected: bool = False) -> list[tuple[str, str, str]] | None:
     """Shortest path inside a bounded traversal (at most its node budget), ties by edge key."""
     if source == target:

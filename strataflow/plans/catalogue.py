@@ -12,6 +12,8 @@ from strataflow.functions.vectors import cosine
 from strataflow.operators import catalog, evidence, export, incremental, lookup, rank, relations, resolve, snapshot, traverse, usage, validate
 from strataflow.operators.adjacency import Adjacency
 from strataflow.functions.lineage import checkpoint_dir
+from strataflow.operators.neighbours import knn_join
+from strataflow.schema import RETAINED_VERSIONS
 from strataflow.sources import configs
 from strataflow.sources.store import Store
 
@@ -220,7 +222,7 @@ def w13(t):
 
 @query("W14_retention", "SELECT version FROM v_versions ORDER BY version DESC LIMIT 25")
 def w14(t):
-    return t.v_versions.select("version").orderBy(F.desc("version")).limit(25)
+    return snapshot.retained(t.v_versions, RETAINED_VERSIONS)
 
 
 @query("W17_write_catalog", "SELECT 'class:' || o_custkey AS node_id, arg_max(o_orderpriority, o_orderkey) AS synopsis FROM orders GROUP BY 1")
@@ -302,7 +304,7 @@ def w24(t):
 
 @query("A11_publish_totals", "SELECT valid_from AS version, count(DISTINCT source_path) AS sources, count(*) AS nodes FROM v_nodes GROUP BY 1")
 def a11(t):
-    return t.v_nodes.groupBy(F.col("valid_from").alias("version")).agg(F.countDistinct("source_path").alias("sources"), F.count("*").alias("nodes"))
+    return snapshot.publish_totals(t.v_nodes)
 
 
 # --- incremental ---------------------------------------------------------------------------------
@@ -509,6 +511,12 @@ def l13(t):
     return catalog.nearest(t.cat_vectors, PROBE, 20, 5)
 
 
+@query("L13_knn_join", "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND len(q.embedding) = len(e.embedding)) SELECT query_id, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM p) WHERE k <= 10")
+def l13_join(t):
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return knn_join(rows.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), rows, 10, digits=5)
+
+
 @query("L14_cosine", f"SELECT node_id, origin, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST({PROBE_SQL} AS DOUBLE[])), 5) AS similarity FROM cat_vectors")
 def l14(t):
     q = F.array(*[F.lit(float(x)).cast("float") for x in PROBE])
@@ -600,27 +608,32 @@ def hop_sql(i: int, start: str, room: str) -> str:
     r{i} AS MATERIALIZED (SELECT n, f, row_number() OVER (ORDER BY f, source_id, target_id, relation) AS p FROM k{i} WHERE i = 1), s{i} AS MATERIALIZED (SELECT n, f, p FROM r{i} WHERE p <= {room})"""
 
 
-@query(
-    "G1_traverse_limited",
-    f"""WITH {BOTH_WAYS}, {hop_sql(1, CLASS, "39")}, {hop_sql(2, CLASS, "39 - (SELECT count(*) FROM s1)")},
-    sel AS MATERIALIZED (SELECT '{CLASS}' AS n, 0 AS d, 0 AS p UNION ALL SELECT n, 1, p FROM s1 UNION ALL SELECT n, 2, p FROM s2),
+def limited_sql(start: str) -> str:
+    """A traversal from one start both ways, at most two hops and 40 nodes."""
+    return f"""WITH {BOTH_WAYS}, {hop_sql(1, start, "39")}, {hop_sql(2, start, "39 - (SELECT count(*) FROM s1)")},
+    sel AS MATERIALIZED (SELECT '{start}' AS n, 0 AS d, 0 AS p UNION ALL SELECT n, 1, p FROM s1 UNION ALL SELECT n, 2, p FROM s2),
     w AS (SELECT concat_ws(',', CASE WHEN (SELECT count(*) FROM r1) > 39 OR (SELECT count(*) FROM r2) > 39 - (SELECT count(*) FROM s1) THEN 'node_limit' END,
         CASE WHEN (SELECT count(*) FROM o SEMI JOIN s2 ON o.f = s2.n ANTI JOIN sel ON o.n = sel.n) > 0 THEN 'depth_limit' END) AS truncated)
-    SELECT CAST(row_number() OVER (ORDER BY d, p) - 1 AS INTEGER) AS position, n AS node_id, d AS distance, truncated FROM sel, w""",
-)
-def g1c(t):
-    return as_rows(t, traverse.traverse(t.g_nodes, t.g_edges, [CLASS], "both", None, 2, 40))
+    SELECT CAST(row_number() OVER (ORDER BY d, p) - 1 AS INTEGER) AS position, n AS node_id, d AS distance, truncated FROM sel, w"""
 
 
-G1_LIMITED = _SQL["G1_traverse_limited"]
+@query("G1_traverse_limited", limited_sql(CLASS))
+def g1c(t):
+    return as_rows(t, traverse.traverse(t.g_nodes, t.g_edges, [CLASS], "both", None, 2, 40))
 
 
+@query("G1_indexed_traverse", limited_sql(CLASS))
 def g1_indexed(t):
     return as_rows(t, traverse.traverse_indexed(Adjacency.build(t.g_nodes, t.g_edges), [CLASS], "both", None, 2, 40))
 
 
-_QUERIES["G1_indexed_traverse"] = lambda spark, sf_dir: g1_indexed(Tables(spark, sf_dir))
-_SQL["G1_indexed_traverse"] = G1_LIMITED
+WALK_STARTS = ("class:7", "class:11", "file:3", "interface:3")
+
+
+@query("G16_walk_from_each", " UNION ALL ".join(f"SELECT '{s}' AS start, * FROM ({limited_sql(s)})" for s in WALK_STARTS))
+def g16_walks(t):
+    walks = traverse.walk_from_each(Adjacency.build(t.g_nodes, t.g_edges), list(WALK_STARTS), "both", None, 2, 40)
+    return listing(t, [(s, i, n, w.levels[n], ",".join(w.truncated)) for s, w in walks.items() for i, n in enumerate(w.nodes)], "start string, position int, node_id string, distance int, truncated string")
 
 
 @query("G3_project_scope", "WITH RECURSIVE s(node_id) AS (SELECT 'project:ASIA' UNION SELECT target_id FROM g_edges JOIN s ON source_id = s.node_id AND relation = 'contains') SELECT node_id FROM s")

@@ -290,8 +290,10 @@ class Engine:
         if not searched and (len(sources), len(targets)) != (1, 1):
             return out.warn("ambiguous_path_endpoints", "More than one entity has an endpoint's exact name, so no path was sought.", [f"Run path from {a} to {b}." for a in sources for b in targets])
         names, t = relations.calls(out.plan.relations), None
+        inside = self.scope(projects)
+        walks = traverse.walk_from_each(self.adjacency, sources, "outgoing", names, depth, nodes) if inside is None else {}
         for source in sources:
-            t = self._walk([source], "outgoing", names, depth, nodes, projects)
+            t = walks[source] if inside is None else self._walk([source], "outgoing", names, depth, nodes, projects)
             target = next((x for x in targets if x in t.levels and traverse.path_between(t, source, x) is not None), None)
             if target is not None:
                 out.edges = traverse.path_between(t, source, target)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +34,7 @@ class Ledger:
         return settle(every.filter("kind = 'reserved'").drop("kind", "entry"), last)
 
     def _append(self, number: int, row: dict) -> None:
-        files, at = self._files._fs(f"{self.root}/entries/{number:012d}.json")
-        _, temp = self._files._fs(f"{self.root}/entries/.{uuid.uuid4().hex}.tmp")
-        out = files.create(temp, True)
-        out.write(bytearray(json.dumps({"entry": number} | row).encode()))
-        out.close()
-        self._files._create(files, temp, at)
+        self._files.create(f"entries/{number:012d}.json", json.dumps({"entry": number} | row).encode())
 
     def _next(self) -> int:
         return (self.entries().agg(F.max("entry")).first()[0] or 0) + 1

@@ -100,6 +100,15 @@ class Store:
         files, at = self._fs(f"{self.root}/{folder}")
         return list(files.listStatus(at)) if files.exists(at) else []
 
+    def text(self, name: str) -> str:
+        """The content of a small file."""
+        files, at = self._fs(f"{self.root}/{name}")
+        stream = files.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def _numbers(self) -> list[int]:
         names = [s.getPath().getName() for s in self._list("manifests")]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
@@ -109,12 +118,7 @@ class Store:
         numbers = self._numbers()
         if not numbers:
             return Manifest()
-        files, at = self._fs(f"{self.root}/manifests/{numbers[-1] if number is None else number:012d}.json")
-        stream = files.open(at)
-        try:
-            m = Manifest(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
+        m = Manifest(**json.loads(self.text(f"manifests/{numbers[-1] if number is None else number:012d}.json")))
         if m.schema != SCHEMA_VERSION:
             raise StoreError(f"schema version {m.schema} is not {SCHEMA_VERSION}")
         return m

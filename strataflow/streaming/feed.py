@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strataflow.operators.resolve import clean
+from strataflow.sources.store import Store, StoreError
 
 THROTTLE = "250 milliseconds"
 FIRST_BACKOFF, MOST_BACKOFF = 1.0, 60.0
@@ -39,14 +39,13 @@ class Publisher:
 
     def __init__(self, publish: Callable[[list[str]], None], sleep: Callable[[float], None] = time.sleep, attempts: int | None = None, most: int = 10_000):
         self.publish, self.sleep, self.attempts, self.most = publish, sleep, attempts, most
-        self.pending: list[str] = []
+        self.pending: dict[str, None] = {}  # in order of arrival
         self.last_change = time.monotonic()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         for row in coalesce_paths(batch).toLocalIterator():
             self.last_change = time.monotonic()
-            if row["path"] not in self.pending:
-                self.pending.append(row["path"])
+            self.pending.setdefault(row["path"])
             if len(self.pending) >= self.most:
                 self.flush()
         self.flush()
@@ -56,7 +55,7 @@ class Publisher:
         while self.pending:
             try:
                 self.publish(list(self.pending))
-                self.pending = []
+                self.pending = {}
             except Exception:
                 tried += 1
                 if self.attempts is not None and tried >= self.attempts:
@@ -66,53 +65,65 @@ class Publisher:
 
 
 class Ownership:
-    """One feed for each workspace: a lock file in the shared folder names its owner and is kept fresh.
+    """One feed for each workspace: numbered entries in a shared folder, of which the highest names the owner.
 
-    A lock that has not been refreshed for ``stale`` seconds belonged to a process that died, and is taken over.
+    Every step (taking, keeping, giving back) creates the next entry if nobody else has, through the store's file
+    layer, so of two contenders for a free or stale lock one wins wherever Spark can create files safely. An entry that
+    has not been followed for ``stale`` seconds belonged to a process that died. An owner that finds a newer entry of
+    somebody else has lost the workspace and must stop.
     """
 
-    def __init__(self, path: str, owner: str, stale: float = 60.0, clock: Callable[[], float] = time.time):
-        self.path, self.owner, self.stale, self.clock = path, owner, stale, clock
+    def __init__(self, spark: SparkSession, root: str, owner: str, stale: float = 60.0, clock: Callable[[], float] = time.time):
+        self.files, self.owner, self.stale, self.clock = Store(spark, root), owner, stale, clock
 
-    def _read(self) -> dict | None:
+    def _numbers(self) -> list[int]:
+        names = [s.getPath().getName() for s in self.files._list("lock")]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _last(self) -> tuple[int, dict]:
+        """The highest entry: its number, owner (None: given back) and time."""
+        numbers = self._numbers()
+        if not numbers:
+            return 0, {"owner": None, "at": 0.0}
+        return numbers[-1], json.loads(self.files.text(f"lock/{numbers[-1]:012d}.json"))
+
+    def _enter(self, after: int, owner: str | None) -> bool:
         try:
-            with open(self.path) as f:
-                return json.load(f)
-        except (FileNotFoundError, ValueError):
-            return None
+            self.files.create(f"lock/{after + 1:012d}.json", json.dumps({"owner": owner, "at": self.clock()}).encode())
+        except StoreError as e:
+            if str(e) != "conflict":
+                raise
+            return False
+        for old in self._numbers():
+            if old < after:  # the entry before stays for whoever is reading it
+                files, at = self.files._fs(f"{self.files.root}/lock/{old:012d}.json")
+                files.delete(at, False)
+        return True
+
+    def _held(self, entry: dict) -> bool:
+        return entry["owner"] is not None and self.clock() - entry["at"] <= self.stale
 
     def acquire(self) -> bool:
         """True if this owner has the workspace now."""
-        held = self._read()
-        if held and held["owner"] != self.owner:
-            if self.clock() - held["at"] <= self.stale:
-                return False
-            os.unlink(self.path)
-        if held is None or held["owner"] != self.owner:
-            temp = f"{self.path}.{self.owner}"
-            with open(temp, "w") as f:
-                json.dump({"owner": self.owner, "at": self.clock()}, f)
-            try:
-                os.link(temp, self.path)
-            except FileExistsError:
-                return False
-            finally:
-                os.unlink(temp)
-        return True
+        number, entry = self._last()
+        if self._held(entry) and entry["owner"] != self.owner:
+            return False
+        return self._enter(number, self.owner)
 
     def refresh(self) -> None:
-        temp = f"{self.path}.{self.owner}"
-        with open(temp, "w") as f:
-            json.dump({"owner": self.owner, "at": self.clock()}, f)
-        os.replace(temp, self.path)
+        """Keep the lock; an error if it has gone to somebody else."""
+        number, entry = self._last()
+        if entry["owner"] != self.owner or not self._enter(number, self.owner):
+            raise StoreError(f"conflict: the feed belongs to {entry['owner']}")
 
     def release(self) -> None:
-        if (self._read() or {}).get("owner") == self.owner:
-            os.unlink(self.path)
+        number, entry = self._last()
+        if entry["owner"] == self.owner:
+            self._enter(number, None)
 
     def status(self) -> dict:
-        held = self._read()
-        return {"running": bool(held) and self.clock() - held["at"] <= self.stale, "owner": held["owner"] if held else None}
+        entry = self._last()[1]
+        return {"running": self._held(entry), "owner": entry["owner"]}
 
 
 def start(changes: DataFrame, publish: Callable[[list[str]], None] | Publisher, checkpoint: str, throttle: str = THROTTLE) -> StreamingQuery:

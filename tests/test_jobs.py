@@ -87,12 +87,19 @@ def test_question_baseline(spark):
 
 def test_one_owner_and_retries_without_end(spark, tmp_path):
     now = [0.0]
-    a, b = (feed.Ownership(str(tmp_path / "lock"), n, 10, lambda: now[0]) for n in ("a", "b"))
+    a, b = (feed.Ownership(spark, f"file://{tmp_path}", n, 10, lambda: now[0]) for n in ("a", "b"))
     assert a.acquire() and a.acquire() and not b.acquire() and a.status() == {"running": True, "owner": "a"}
     now[0] = 11.0
     assert not a.status()["running"] and b.acquire() and not a.acquire()
+    with pytest.raises(StoreError, match="belongs to b"):
+        a.refresh()  # the lock went stale and was taken over
+    b.refresh()
     b.release()
-    assert a.acquire()
+    assert not b.status()["running"] and a.acquire() and len(list((tmp_path / "lock").glob("*.json"))) <= 3
+    # of two contenders for a stale lock the one that creates the next entry has it
+    now[0] = 50.0
+    number = b._last()[0]
+    assert a._enter(number, "a") and not b._enter(number, "b") and a.status() == {"running": True, "owner": "a"}
     calls, waits = [], []
 
     def publish(paths):
