@@ -56,7 +56,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read(spark, sf_dir, "documents"))
 
 
-@query("op5_minhash_near_dedup")
+@query(
+    "op5_minhash_near_dedup",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS shingles FROM d),
+    x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+    SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.b, s.doc_id)) AS component_id, least(s.doc_id, coalesce(c.b, s.doc_id)) = s.doc_id AS kept FROM s LEFT JOIN c ON c.a = s.doc_id""",
+)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classify(read(spark, sf_dir, "documents"), near_dedup.Params(words=4, percent=80))
 
