@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,9 @@ TABLES = {
     "exports": {"local": "string", "exported_name": "string"},
 }
 _ALL: dict[str, str] = {k: v for t in TABLES.values() for k, v in t.items()}
-SCHEMA = "table string, source_path string, " + ", ".join(f"{k} {v}" for k, v in _ALL.items())
+ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), BINDINGS: pa.list_(pa.struct([("imported", pa.string()), ("local", pa.string())]))}
+#: Tasks that parse, for each core, and most rows of a batch that they hand on.
+TASKS, BATCH = 4, 20_000
 
 
 class Registry:
@@ -61,38 +63,48 @@ def default_registry() -> Registry:
     return out
 
 
-def rows(p: Parsed) -> list[dict]:
-    """One file's rows with the table that each belongs to."""
-    out = [{"table": "nodes", **n} for n in p.nodes]
-    out += [{"table": "edges", "source_id": a, "target_id": b, "relation": r} for a, b, r in p.edges]
-    out += [{"table": "references", "specifier": s, "kind": k, "line": n, "ambiguous": a, "bindings": [{"imported": i, "local": o} for i, o in b]} for s, k, n, a, b in p.references]
-    out += [{"table": "symbols", "source_id": a, "target": t, "receiver": r, "relation": rel, "line": n} for a, t, r, rel, n in p.symbols]
-    out += [{"table": "exports", "local": a, "exported_name": b} for a, b in p.exports]
-    return [x | {"source_path": p.path} for x in out]
+def rows(p: Parsed, only: str | None = None) -> list[dict]:
+    """One file's rows with the table that each belongs to; of one table ``only``, if it is named."""
+    made = {
+        "nodes": lambda: p.nodes,
+        "edges": lambda: [{"source_id": a, "target_id": b, "relation": r} for a, b, r in p.edges],
+        "references": lambda: [{"specifier": s, "kind": k, "line": n, "ambiguous": a, "bindings": [{"imported": i, "local": o} for i, o in b]} for s, k, n, a, b in p.references],
+        "symbols": lambda: [{"source_id": a, "target": t, "receiver": r, "relation": rel, "line": n} for a, t, r, rel, n in p.symbols],
+        "exports": lambda: [{"local": a, "exported_name": b} for a, b in p.exports],
+    }
+    return [{"table": t, "source_path": p.path, **x} for t in (made if only is None else [only]) for x in made[t]()]
 
 
-def extract_all(sources: DataFrame, registry: Registry | None = None, fail_fast: bool = True) -> DataFrame:
-    """All rows of every source (path, language, content). A parse error fails the run unless ``fail_fast`` is
-    off, which leaves the file out. Write the result before several tables are taken from it."""
+def spread(sources: DataFrame) -> DataFrame:
+    """``sources`` dealt by path to a fixed number of tasks: parsing costs far more than reading, and a scan has a task
+    per so many bytes, which are few for a table that texts are made of."""
+    return sources.repartition(TASKS * sources.sparkSession.sparkContext.defaultParallelism, "path")
+
+
+def extract_all(sources: DataFrame, registry: Registry | None = None, fail_fast: bool = True, only: str | None = None) -> DataFrame:
+    """All rows of every source (path, language, content), or those of one table ``only``. A parse error fails the run
+    unless ``fail_fast`` is off, which leaves the file out. Write the result before several tables are taken from it."""
     parsers = (registry or default_registry()).parsers
-    columns = ["table", "source_path", *_ALL]
+    kinds = {"source_path": "string", **TABLES[only]} if only else {"table": "string", "source_path": "string", **_ALL}
+
+    def batch(out: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in out], ARROW[kind]) for c, kind in kinds.items()], names=list(kinds))
 
     def run(batches):
-        for pdf in batches:
+        for given in batches:
             out: list[dict] = []
-            for path, language, text in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
+            for path, language, text in zip(*(given.column(c).to_pylist() for c in ("path", "language", "content")), strict=True):
                 try:
-                    out += rows(parsers[language](path, language, text or ""))
+                    out += rows(parsers[language](path, language, text or ""), only)
                 except Exception as e:
                     if fail_fast:
                         raise ValueError(f"{path}: {e}") from e
-            frame = pd.DataFrame(out, columns=columns, dtype=object)
-            for c, kind in _ALL.items():
-                if kind in ("int", "boolean"):
-                    frame[c] = frame[c].astype("Int32" if kind == "int" else "boolean")
-            yield frame.where(frame.notna(), None) if len(frame) else frame
+                if len(out) >= BATCH:
+                    yield batch(out)
+                    out = []
+            yield batch(out)
 
-    return sources.select("path", "language", "content").mapInPandas(run, SCHEMA)
+    return spread(sources.select("path", "language", "content")).mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
 
 
 def table(found: DataFrame, name: str) -> DataFrame:
@@ -102,4 +114,4 @@ def table(found: DataFrame, name: str) -> DataFrame:
 
 def extract(sources: DataFrame, what: str = "nodes", registry: Registry | None = None, fail_fast: bool = True) -> DataFrame:
     """One table of every source; see ``extract_all``."""
-    return table(extract_all(sources, registry, fail_fast), what)
+    return extract_all(sources, registry, fail_fast, what)
