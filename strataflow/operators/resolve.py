@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions.lineage import cut
+from strataflow.functions.sizes import small
 
 #: Candidate endings of a relative specifier, in order of preference (fixed values).
 TYPESCRIPT_ENDINGS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
@@ -181,11 +182,12 @@ def bound_targets(symbols: DataFrame, bindings: DataFrame, surfaces: DataFrame)
     """(source_id, target_id, relation, source_path) of symbol uses through import bindings.
 
     ``bindings``: source_path, local, imported, target_path; a use of ``local`` means the imported name, one of
-    ``local.name`` of a whole-module binding (``*``) means ``name``. ``surfaces``: path, name, node_id.
+    ``local.name`` of a whole-module binding (``*``) means ``name``. ``surfaces``: path, name, node_id. Bindings are
+    broadcast while they are few, so a file or a binding of very many uses is not one task.
     """
     head = F.substring_index("target", ".", 1)
     used = symbols.filter("receiver = ''").select("source_id", "relation", "source_path", head.alias("local"), F.when(F.col("target").contains("."), F.element_at(F.split("target", r"\."), 2)).alias("member"))
-    meant = used.join(bindings, ["source_path", "local"]).withColumn("name", F.when(F.col("imported") == "*", F.col("member")).otherwise(F.col("imported")))
+    meant = used.join(small(bindings), ["source_path", "local"]).withColumn("name", F.when(F.col("imported") == "*", F.col("member")).otherwise(F.col("imported")))
     return meant.join(surfaces.select(F.col("path").alias("target_path"), "name", "node_id"), ["target_path", "name"]).select("source_id", F.col("node_id").alias("target_id"), "relation", "source_path").distinct()
 
 
