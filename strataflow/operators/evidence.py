@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataflow.functions.sizes import small
+
 from . import relations as R
 from .rank import evidence_score
 from .traverse import oriented, reach
@@ -20,7 +22,7 @@ def impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int
     hops = oriented(edges, "incoming", relations)
     far = levels.select(F.col("node_id").alias("from_id"), F.col("distance").alias("from_distance"))
     first = (
-        levels.filter("distance > 0").join(hops, F.col("node_id") == F.col("to_id")).join(far, "from_id").filter("from_distance = distance - 1")
+        hops.join(small(levels.filter("distance > 0")), F.col("node_id") == F.col("to_id")).join(small(far), "from_id").filter("from_distance = distance - 1")
         .groupBy("node_id", "distance").agg(F.min(F.struct("from_id", "source_id", "target_id", "relation")).alias("k"))
     )
     return first.select("node_id", "distance", F.col("k.relation").alias("relation"), (R.impact_weight(F.col("k.relation")) / F.col("distance")).alias("score"))
@@ -32,7 +34,7 @@ def traversal_groups(nodes: DataFrame, edges: DataFrame, starts: DataFrame, dire
     hops = oriented(edges, direction, relations)
     far = levels.select(F.col("node_id").alias("from_id"), F.col("distance").alias("from_distance"))
     found = (
-        levels.filter("distance > 0").join(hops, F.col("node_id") == F.col("to_id")).join(far, "from_id").filter("from_distance = distance - 1")
+        hops.join(small(levels.filter("distance > 0")), F.col("node_id") == F.col("to_id")).join(small(far), "from_id").filter("from_distance = distance - 1")
         .groupBy("node_id", "distance").agg(F.min(F.struct("from_id", "source_id", "target_id", "relation")).alias("k"))
     )
     grouped = found.groupBy("distance", F.col("k.relation").alias("relation")).agg(F.count("*").alias("edges"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.lineage import cut
+from strataflow.functions.sizes import small
 
 EDGE_KEY = ("source_id", "target_id", "relation")
 
@@ -27,6 +28,11 @@ def oriented(edges: DataFrame, direction: str, relations: list[str] | None = Non
     return out.unionByName(into.filter("source_id <> target_id"))
 
 
+def those_among(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node_id) of the written ``ids`` (node_id) that are nodes: few ids go to the nodes, which stay where they are."""
+    return nodes.select("node_id").join(small(ids.select("node_id").distinct()), "node_id", "left_semi").distinct()
+
+
 @dataclass
 class Traversal:
     """Node ids in order of selection, edge keys, and why (and where) it stopped short."""
@@ -43,8 +49,8 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: s
     known to end in existing nodes, which then needs no test in each hop.
 
     The frontier and the result are bounded by ``max_nodes``, so each hop is one filtered scan of the
-    edges against a short list; what a hop brings to the driver is cut to the room that is left before it
-    is collected. The encounter order of a neighbour is (frontier node, edge key).
+    edges against a short list, whose result is written before it is used; what a hop brings to the driver is
+    cut to the room that is left before it is collected. The encounter order of a neighbour is (frontier node, edge key).
     """
     hops = oriented(edges, direction, relations)
     starts = sorted(set(starts))
@@ -68,9 +74,10 @@ def traverse(nodes: DataFrame, edges: DataFrame, starts: list[str], direction: s
     for depth in range(1, max_depth + 1):
         if not frontier:
             break
-        cand = hops.filter(F.col("from_id").isin(frontier))
+        cand = cut(hops.filter(F.col("from_id").isin(frontier)))
         if not whole:
-            cand = cand.join(ids.select(F.col("node_id").alias("to_id")), "to_id", "left_semi")
+            there = cut(those_among(ids, cand.select(F.col("to_id").alias("node_id"))))
+            cand = cand.join(small(there.withColumnRenamed("node_id", "to_id")), "to_id", "left_semi")
         cand = cand.withColumn("k", F.struct("from_id", *EDGE_KEY))
         if scope is not None:
             cand = cand.join(scope.select(F.col("node_id").alias("to_id"), F.lit(True).alias("inside")).distinct(), "to_id", "left").fillna(False, ["inside"])
@@ -147,14 +154,16 @@ def reach(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction: str,
 
     Purely set-based: each hop joins the frontier with the edges first and tests existence on what that
     reaches, so the whole edge table is never joined with the nodes. Every hop is written before the next
-    one reads it, so a hop costs one join, not the joins of all hops before it.
+    one reads it, so a hop costs one join, not the joins of all hops before it. A frontier, and what it
+    reaches, is broadcast while it is small, so that edges and nodes are read but not shuffled.
     """
     hops = oriented(edges, direction, relations).select("from_id", "to_id")
     ids = nodes.select("node_id")
     found = cut(starts.select("node_id").distinct().join(ids, "node_id", "left_semi").withColumn("distance", F.lit(0)))
     frontier = found
     for depth in range(1, max_depth + 1):
-        step = cut(frontier.join(hops, F.col("node_id") == F.col("from_id")).select(F.col("to_id").alias("node_id")).distinct().join(found, "node_id", "left_anti").join(ids, "node_id", "left_semi").withColumn("distance", F.lit(depth)))
+        near = cut(hops.join(small(frontier), F.col("node_id") == F.col("from_id")).select(F.col("to_id").alias("node_id")).distinct().join(found, "node_id", "left_anti"))
+        step = cut(those_among(ids, near).withColumn("distance", F.lit(depth)))
         if step.isEmpty():
             break
         found, frontier = found.unionByName(step), step
