@@ -92,6 +92,7 @@ class Engine:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, version: int = 0, projects: Sequence[str] = (), lexical: LexicalIndex | None = None, catalog: Catalog | None = None, planners: Sequence[Callable[[str], str]] = (), adjacency: Adjacency | None = None):
         self.nodes, self.edges, self.version, self._adjacency = nodes, edges, version, adjacency
+        self._along: dict[tuple[str, ...], Adjacency] = {}
         self.projects, self.lexical, self.catalog, self.planners = tuple(projects), lexical, catalog, tuple(planners)
         self._scopes: dict[tuple[str, ...], DataFrame] = {}
 
@@ -111,6 +112,15 @@ class Engine:
             self._adjacency = Adjacency.build(self.nodes, self.edges)
         return self._adjacency
 
+    def along(self, names: Sequence[str] | None) -> Adjacency:
+        """Edges of some relations by node: all edges' table if there is one, else one of these alone, kept between requests."""
+        if self._adjacency is not None or not names:
+            return self.adjacency
+        key = tuple(sorted(set(names)))
+        if key not in self._along:
+            self._along[key] = Adjacency.build(self.nodes, self.edges.filter(F.col("relation").isin(list(key))))
+        return self._along[key]
+
     def close(self) -> None:
         """Let go of what was kept between requests."""
         self._scopes.clear()
@@ -125,12 +135,12 @@ class Engine:
             self._scopes[key] = traverse.project_scope(self.edges, ids)
         return self._scopes[key]
 
-    def _walk(self, starts: list[str], direction: str, names: list[str] | None, depth: int, nodes: int, projects: Sequence[str] | None, known: bool = False) -> traverse.Traversal:
-        """``known`` says that the starts are nodes."""
+    def _walk(self, starts: list[str], direction: str, names: list[str] | None, depth: int, nodes: int, projects: Sequence[str] | None, known: bool = False, alone: bool = False) -> traverse.Traversal:
+        """``known`` says that the starts are nodes, ``alone`` that no other relations will be asked for soon."""
         inside = self.scope(projects)
         if inside is None:
             known = set(starts) if known else {r[0] for r in self.nodes.select("node_id").filter(F.col("node_id").isin(sorted(set(starts)))).collect()} if starts else set()
-            return traverse.traverse_indexed(self.adjacency, [s for s in starts if s in known], direction, names, depth, nodes)
+            return traverse.traverse_indexed(self.along(names) if alone else self.adjacency, [s for s in starts if s in known], direction, names, depth, nodes)
         return traverse.traverse(self.nodes, self.adjacency.hops("outgoing"), starts, direction, names, depth, nodes, inside, whole=True)
 
     # --- retrieval -------------------------------------------------------------------------------
@@ -356,10 +366,10 @@ class Engine:
         if any(len(v) != 1 for v in ends.values()):
             return {"path": None, "candidates": {w: v[:3] for w, v in ends.items()}, "more": {w: max(0, len(v) - 3) for w, v in ends.items()}, "truncated": []}
         (a,), (b,) = ends["source"], ends["target"]
-        t = self._walk([a], "outgoing", names, max_depth, max_nodes, projects, known=True)
+        t = self._walk([a], "outgoing", names, max_depth, max_nodes, projects, known=True, alone=True)
         found = traverse.path_between(t, a, b)
         if found is None and undirected:
-            t = self._walk([a], "both", names, max_depth, max_nodes, projects, known=True)
+            t = self._walk([a], "both", names, max_depth, max_nodes, projects, known=True, alone=True)
             found = traverse.path_between(t, a, b, True)
         return {"path": found, "candidates": {}, "more": {}, "truncated": t.truncated}
 
