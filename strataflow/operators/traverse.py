@@ -126,7 +126,7 @@ def traverse_indexed(adjacency, starts: list[str], direction: str = "outgoing",
     def neighbours(room: int):
         known = F.col("to_id").isin(list(out.levels))
         key = F.struct(*EDGE_KEY)
-        near = adjacency.at(frontier, direction, relations).groupBy("to_id").agg(F.min(F.struct("from_id", *EDGE_KEY)).alias("k"), F.collect_set(key).alias("edges")).withColumn("known", known)
+        near = adjacency.near(frontier, direction, relations).groupBy("to_id").agg(F.min(F.struct("from_id", *EDGE_KEY)).alias("k"), F.collect_set(key).alias("edges")).withColumn("known", known)
         return near.orderBy(F.desc("known"), "k").limit(len(out.levels) + room + 1).collect()
 
     for depth in range(1, max_depth + 1):
@@ -143,7 +143,7 @@ def traverse_indexed(adjacency, starts: list[str], direction: str = "outgoing",
             out.nodes.append(r["to_id"])
             out.levels[r["to_id"]] = depth
         frontier = sorted(r["to_id"] for r in kept)
-    if frontier and not adjacency.at(frontier, direction, relations).filter(~F.col("to_id").isin(list(out.levels))).isEmpty():
+    if frontier and not adjacency.near(frontier, direction, relations).filter(~F.col("to_id").isin(list(out.levels))).isEmpty():
         out.truncated.append("depth_limit")
     out.edges = sorted(edges)
     return out
@@ -232,7 +232,7 @@ def walk_from_each(adjacency, starts: list[str], direction: str = "outgoing", re
         at = spark.createDataFrame([(s, n, room[s]) for s, ns in frontier.items() for n in ns], "start string, from_id string, room int")
         seen = spark.createDataFrame([(s, n) for s in frontier if frontier[s] for n in out[s].levels], "start string, to_id string").withColumn("known", F.lit(True))
         every = sorted({n for ns in frontier.values() for n in ns})
-        near = adjacency.at(every, direction, relations).join(F.broadcast(at), "from_id")  # bounded by the budgets
+        near = adjacency.near(every, direction, relations).join(F.broadcast(at), "from_id")  # bounded by the budgets
         per = near.groupBy("start", "to_id").agg(F.min(F.struct("from_id", *EDGE_KEY)).alias("k"), F.collect_set(F.struct(*EDGE_KEY)).alias("edges"), F.first("room").alias("room"))
         per = per.join(F.broadcast(seen), ["start", "to_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
         order = Window.partitionBy("start", "known").orderBy("k")

@@ -107,7 +107,7 @@ class Engine:
 
     @property
     def adjacency(self) -> Adjacency:
-        """Edges between existing nodes, by node."""
+        """Edges by node."""
         if self._adjacency is None:
             self._adjacency = Adjacency.build(self.nodes, self.edges)
         return self._adjacency
@@ -141,7 +141,7 @@ class Engine:
         if inside is None:
             known = set(starts) if known else {r[0] for r in self.nodes.select("node_id").filter(F.col("node_id").isin(sorted(set(starts)))).collect()} if starts else set()
             return traverse.traverse_indexed(self.along(names) if alone else self.adjacency, [s for s in starts if s in known], direction, names, depth, nodes)
-        return traverse.traverse(self.nodes, self.adjacency.hops("outgoing"), starts, direction, names, depth, nodes, inside, whole=True)
+        return traverse.traverse(self.nodes, self.adjacency.hops("outgoing"), starts, direction, names, depth, nodes, inside, whole=self.adjacency.whole)
 
     # --- retrieval -------------------------------------------------------------------------------
 
@@ -378,5 +378,5 @@ class Engine:
         ids = lookup.resolved_ids(self.nodes, term, 4, self.scope(projects))
         if len(ids) != 1:
             return {"candidates": ids[:3], "more": max(0, len(ids) - 3)}
-        near, at = traverse.explain(self.nodes, self.adjacency.at([ids[0]], "both").select(*self.edges.columns) if set(self.edges.columns) <= set(traverse.EDGE_KEY) else self.edges, ids[0])
+        near, at = traverse.explain(self.nodes, self.adjacency.near([ids[0]], "both").select(*self.edges.columns) if set(self.edges.columns) <= set(traverse.EDGE_KEY) else self.edges, ids[0])
         return {"nodes": near, "edges": at}
