@@ -13,22 +13,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import B, K1, folded, idf, postings, saturated
+from strataflow.functions.text import B, K1, folded, idf, saturated
 
 #: Names of the two workspace tables in a store.
 POSTINGS, TOTALS = "lexical_postings", "lexical_totals"
 
 
+def by_token(rows: DataFrame, keys: list[str], fields: Sequence[str]) -> DataFrame:
+    """(token, keys, hits) of rows whose columns ``fields`` are token arrays: a row's places sorted by token and cut
+    where the token changes, so places are grouped inside their row and not shuffled."""
+
+    def places(name: str) -> Column:
+        return F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda t, i: F.struct(t.alias("token"), F.lit(name).alias("field"), i.alias("pos")))
+
+    def alone(df: DataFrame, *columns: Column) -> DataFrame:
+        """With more columns, computed once: an outer explode of one element keeps them from being copied into later uses."""
+        return df.select("*", F.explode_outer(F.array(F.struct(*columns))).alias("_c")).select(*df.columns, "_c.*")
+
+    def token(i: Column) -> Column:
+        return F.get(F.col("_s"), i)["token"]
+
+    every = alone(rows.select(*keys, *fields), F.array_sort(F.concat(*[places(n) for n in fields])).alias("_s")).select(*keys, "_s").filter(F.size("_s") > 0)
+    heads = alone(every, F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (token(i) != token(i - 1))).alias("_at"))
+    one = heads.select(*keys, "_s", "_at", F.posexplode("_at").alias("_n", "_i"))
+    size = F.coalesce(F.get(F.col("_at"), F.col("_n") + 1), F.size("_s")) - F.col("_i")
+    hits = F.transform(F.slice("_s", F.col("_i") + 1, size), lambda x: F.struct(x["field"].alias("field"), x["pos"].alias("pos")))
+    return one.select(token(F.col("_i")).alias("token"), *keys, hits.alias("hits"))
+
+
 def segment(nodes: DataFrame, fields: dict[str, Column], key: str = "node_id") -> dict[str, DataFrame]:
-    """The two tables of a segment: postings (token, node_id, size, hits, source_path), sorted by token, and totals per
-    source (source_path, documents, tokens)."""
+    """The two tables of a segment: postings (token, node_id, size, hits, source_path), each file sorted by token, and
+    totals per source (source_path, documents, tokens). Postings stay in the task that made them; a merge orders them
+    over all files."""
     size = sum((F.size(c) for c in fields.values()), F.lit(0))
     at = F.monotonically_increasing_id()  # tells the rows of one node apart
     arrays = nodes.select(F.col(key).alias("node_id"), "source_path", at.alias("row"), size.alias("size"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("f")).select("node_id", "source_path", "row", "size", "f.*")
-    found = postings(arrays, ["node_id", "source_path", "row", "size"], {n: F.col(n) for n in fields})
-    rows = found.groupBy("token", "node_id", "source_path", "row", "size").agg(F.collect_list(F.struct("field", "pos")).alias("hits"))
+    rows = by_token(arrays, ["node_id", "source_path", "row", "size"], list(fields))
     totals = nodes.select("source_path", size.alias("size")).groupBy("source_path").agg(F.count("*").alias("documents"), F.sum("size").cast("long").alias("tokens"))
-    return {POSTINGS: rows.repartitionByRange("token", "node_id").sortWithinPartitions("token", "node_id"), TOTALS: totals}
+    return {POSTINGS: rows.sortWithinPartitions("token", "node_id"), TOTALS: totals}
 
 
 class LexicalIndex:
@@ -54,8 +76,7 @@ class LexicalIndex:
         size = sum((F.size(c) for c in fields.values()), F.lit(0))
         arrays = nodes.select(F.col(key).alias("node_id"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("f"), size.alias("size"))
         once = arrays.groupBy("node_id").agg(F.min(F.struct("f", "size")).alias("m")).select("node_id", F.col("m.size").alias("size"), "m.f.*")
-        found = postings(once, ["node_id", "size"], {n: F.col(n) for n in fields})
-        rows = found.groupBy("token", "node_id", "size").agg(F.collect_list(F.struct("field", "pos")).alias("hits"))
+        rows = by_token(once, ["node_id", "size"], list(fields))
         totals = once.agg(F.count("*").alias("documents"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("average"))
         return cls(rows.repartitionByRange("token").sortWithinPartitions("token", "node_id"), totals)
 
