@@ -266,26 +266,35 @@ class ManyLattices:
         count = np.zeros(m, np.int64)
         edge_of, parent_of, made = [], [], 0
         out_string, out_score, out_path = [], [], []
-        active = np.arange(m)
+        active, every = np.arange(m), np.arange(len(self.end))
         while len(active):
             at, so_far, right = node[active, 0], done[active, 0], path[active, 0]
-            for table, empty in ((least, np.inf), (node, 0), (done, 0), (path, -1)):
-                table[active, :-1] = table[active, 1:]
-                table[active, -1] = empty
             ended = at == self.first[active]
-            out_string.append(active[ended])
+            over = active[ended]
+            for table, empty in ((least, np.inf), (node, 0), (done, 0), (path, -1)):
+                table[over, :-1] = table[over, 1:]
+                table[over, -1] = empty
+            out_string.append(over)
             out_score.append(so_far[ended])
             out_path.append(right[ended])
-            count[active[ended]] += 1
+            count[over] += 1
             grow = np.flatnonzero(~ended)
-            edges, number = ragged(self.into, np.arange(len(self.end)), at[grow])
+            edges, number = ragged(self.into, every, at[grow])
             whose = np.repeat(grow, number)
             total = so_far[whose] + self.score[edges]
+            ahead = -(best[self.start[edges]] + total)
+            if n == 2 and len(edges) and number.all():
+                # of a word's new entries only the two first can stay, or one if one has come out already
+                heads = np.r_[0, np.cumsum(number[:-1])]
+                bound = np.minimum.reduceat(ahead, heads)
+                second = np.minimum.reduceat(np.where(ahead > np.repeat(bound, number), ahead, np.inf), heads)
+                some = ahead <= np.repeat(np.where(count[active[grow]] == 0, second, bound), number)
+                edges, whose, total, ahead = edges[some], whose[some], total[some], ahead[some]
             # entries that wait go before new ones of the same priority and place
-            old, column = np.nonzero(np.isfinite(least[active[grow]]))
-            old = active[grow][old]
+            old, column = np.nonzero(np.isfinite(least[active[grow], 1:]))
+            old, column = active[grow][old], column + 1
             word = np.r_[old, active[whose]]
-            priority = np.r_[least[old, column], -(best[self.start[edges]] + total)]
+            priority = np.r_[least[old, column], ahead]
             place = np.r_[node[old, column], self.start[edges]]
             sums = np.r_[done[old, column], total]
             refs = np.r_[path[old, column], made + np.arange(len(edges))]
